@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import text as T
 from colloquy.functions.constants import FOLDS
 from colloquy.operators import evaluate, split
+from colloquy.session import materialize
 
 LOGREG = "TF-IDF + Logistic Regression"
 SVM = "TF-IDF + Linear SVM"
@@ -32,10 +33,13 @@ MIN_DF = 2
 VOCABULARY_LIMIT = 1 << 18
 MAX_ITER = 1000
 PARALLEL_FITS = 4
+ROWS_PER_TASK = 4096
 
 
 def with_terms(df: DataFrame) -> DataFrame:
     """Add the unigram and bigram array that the vectorizer counts."""
+    if "terms" in df.columns:
+        return df
     return df.withColumn("terms", T.ngrams_1_2(T.model_tokens("text")))
 
 
@@ -81,10 +85,13 @@ def fit_models(train: DataFrame, names: Sequence[str] = MODELS, max_iter: int =
     ready = labels.transform(PipelineModel(stages=stages).transform(terms)).select("features", "target")
     ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     rows = ready.count()
+    # Each task returns a gradient as long as the vocabulary: few rows, few tasks.
+    tasks = max(1, min(ready.rdd.getNumPartitions(), -(-rows // ROWS_PER_TASK)))
+    ready_few = ready.coalesce(tasks)
     names_back = IndexToString(inputCol="prediction", outputCol="pred", labels=list(labels.labels))
     try:
         return {
-            name: PipelineModel(stages=[*stages, classifier(name, rows, max_iter).fit(ready), names_back])
+            name: PipelineModel(stages=[*stages, classifier(name, rows, max_iter).fit(ready_few), names_back])
             for name in names
         }
     finally:
@@ -108,7 +115,7 @@ def confidence(model: PipelineModel) -> Column:
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add ``pred`` and ``confidence`` to the rows."""
-    keep = df.columns
+    keep = [c for c in df.columns if c != "terms"]
     return model.transform(with_terms(df)).select(*keep, "pred", confidence(model).alias("confidence"))
 
 
@@ -131,7 +138,7 @@ def cross_validate(
 
     The driver only starts the fits, a few at a time; rows stay in Spark.
     """
-    dealt = split.stratified_folds(train).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = with_terms(split.stratified_folds(train)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one_fold(fold: int) -> list[DataFrame]:
         fitted = fit_models(dealt.where(F.col("fold") != fold), names, max_iter)
@@ -146,7 +153,9 @@ def cross_validate(
     together = parts[0]
     for part in parts[1:]:
         together = together.unionByName(part)
-    return evaluate.overall_metrics(together, ["model", "fold"])
+    metrics = materialize(evaluate.overall_metrics(together, ["model", "fold"]), "fold-metrics")
+    dealt.unpersist()
+    return metrics
 
 
 def best_name(summary: DataFrame) -> str:
