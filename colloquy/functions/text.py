@@ -12,13 +12,20 @@ from pyspark.sql import functions as F
 WORD = r"\p{L}\p{N}_"
 BLANK = r"\s\p{Z}"
 
-NOT_WORD_OR_BLANK = f"[^{WORD}{BLANK}]"
-NOT_TOKEN_CHAR = f"[^{WORD}{BLANK}']"
+# Classes are tried from left to right, so common characters come first.
+NOT_WORD_OR_BLANK = f"[^a-z {WORD}{BLANK}]"
 BLANKS = f"[{BLANK}]+"
-# The look-behind and the possessive ``++`` keep long inner blank runs linear.
-OUTER_BLANKS = f"^[{BLANK}]++|(?<![{BLANK}])[{BLANK}]++$"
-MODEL_TOKEN = f"([{WORD}]{{2,}})"
-NOT_ASCII_PUNCTUATION = r"[^!-/:-@\[-`{-~]"
+# Runs that are not already one plain space; single spaces need no rewriting.
+IRREGULAR_BLANKS = f"[{BLANK}]{{2,}}|[{BLANK}&&[^ ]]"
+AUDIT_TOKEN = f"[a-z'{WORD}]+"
+MODEL_TOKEN = f"[a-z{WORD}]{{2,}}"
+ASCII_PUNCTUATION = r"[!-/:-@\[-`{-~]"
+# The whitespace characters that stripping removes.
+BLANK_CHARACTERS = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 REASONING_BLOCK = r"(?is)<think>.*?</think>\s*"
 SENTENCE = r"([^.!?]+[.!?]*)"
 
@@ -28,8 +35,8 @@ def _col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(_col(c), OUTER_BLANKS, "")
+    """Remove leading and trailing whitespace of any kind; only the ends are read."""
+    return F.trim(_col(c), F.lit(BLANK_CHARACTERS))
 
 
 def is_blank(c: Column | str) -> Column:
@@ -39,7 +46,7 @@ def is_blank(c: Column | str) -> Column:
 
 
 def _bare(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, NOT_WORD_OR_BLANK, ""), BLANKS, " ")
+    return F.regexp_replace(F.regexp_replace(c, NOT_WORD_OR_BLANK, ""), IRREGULAR_BLANKS, " ")
 
 
 def normalize(c: Column | str) -> Column:
@@ -69,8 +76,9 @@ def char_count(c: Column | str) -> Column:
 
 
 def punctuation_count(c: Column | str) -> Column:
-    """Number of ASCII punctuation characters."""
-    return F.char_length(F.regexp_replace(_col(c), NOT_ASCII_PUNCTUATION, "")).cast("long")
+    """Number of ASCII punctuation characters: the length lost by removing them."""
+    c = _col(c)
+    return (F.char_length(c) - F.char_length(F.regexp_replace(c, ASCII_PUNCTUATION, ""))).cast("long")
 
 
 def token_set(c: Column | str) -> Column:
@@ -79,13 +87,13 @@ def token_set(c: Column | str) -> Column:
 
 
 def audit_tokens(c: Column | str) -> Column:
-    """Lower-case tokens with punctuation other than ``'`` turned into spaces."""
-    return words(F.regexp_replace(F.lower(_col(c)), NOT_TOKEN_CHAR, " "))
+    """Lower-case runs of word characters and ``'``; everything else separates."""
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(AUDIT_TOKEN), F.lit(0))
 
 
 def model_tokens(c: Column | str) -> Column:
     """Lower-case word tokens of at least two characters."""
-    return F.regexp_extract_all(F.lower(_col(c)), F.lit(MODEL_TOKEN), 1)
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(MODEL_TOKEN), F.lit(0))
 
 
 def bigrams(tokens: Column) -> Column:

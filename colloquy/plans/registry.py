@@ -248,7 +248,7 @@ def missing_and_blank(spark, sf):
 
 @query
 def missing_and_blank_documents(spark, sf):
-    return audit.missing_and_blank(D.load(spark, sf, "documents"), ["text", "lang", "source"])
+    return audit.missing_and_blank(D.documents(spark, sf), ["text", "lang", "source"])
 
 
 @query

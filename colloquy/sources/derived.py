@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
 from colloquy.functions.constants import LABELS
+from colloquy.sources import tables
 
 # Message openings by residue; 11 to 13 are the over-long, null and blank cases.
 PHRASES = (
@@ -31,7 +32,11 @@ NOISY_LABELS = ("joy", "sadness", "anger", "fear", "surprise", "disgust", "joy",
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return tables.read_table(spark, f"{sf_dir}/{table}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.spread(load(spark, sf_dir, "documents"), "doc_id")
 
 
 def _by_position(values: tuple[str, ...], index: Column) -> Column:
@@ -131,12 +136,12 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled by their language."""
-    return load(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    return documents(spark, sf_dir).select("doc_id", "text", F.col("lang").alias("label"))
 
 
 def corpus_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with one unexpected label, one missing label and conflicts."""
-    return load(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", "text", _by_position(NOISY_LABELS, F.col("doc_id") % 8).alias("label"), "source"
     )
 
@@ -145,7 +150,7 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a true label and a prediction that is sometimes wrong."""
     doc, lang = F.col("doc_id"), F.col("lang")
     pred = F.when(doc % 7 == 0, "en").when(doc % 11 == 0, "fr").otherwise(lang)
-    return load(spark, sf_dir, "documents").select("doc_id", "text", lang.alias("label"), pred.alias("pred"))
+    return documents(spark, sf_dir).select("doc_id", "text", lang.alias("label"), pred.alias("pred"))
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +181,7 @@ def bank_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a closing phrase repeated up to three times."""
-    return load(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id",
         F.concat("text", F.repeat(F.lit(" For now."), (F.col("doc_id") % 4).cast("int"))).alias("text"),
     )

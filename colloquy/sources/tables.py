@@ -77,6 +77,20 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+FEW_PARTITIONS = 32
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a small input over the idle cores.
+
+    A single small file gives one task, however heavy the text work on it is.
+    Inputs of more than a few partitions, as at scale, are left as they are.
+    """
+    parts = df.rdd.getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if parts < min(cores, FEW_PARTITIONS) else df
+
+
 def require_columns(df: DataFrame, expected: tuple[str, ...] = CORPUS_COLUMNS) -> DataFrame:
     """Fail unless the columns are exactly the expected set."""
     if set(df.columns) != set(expected):
