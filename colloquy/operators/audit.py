@@ -113,7 +113,7 @@ def vocab_stats(df: DataFrame, text: str = "text", approximate: bool = False) ->
         count_rows().alias("vocab_size"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_tokens"),
         F.coalesce(once, F.lit(0)).alias("rare_words"),
-        F.round(100 * once / count_rows(), 2).alias("rare_pct"),
+        F.round(F.try_divide(100 * once, count_rows()), 2).alias("rare_pct"),
     )
 
 

@@ -125,7 +125,7 @@ def error_by_length(preds: DataFrame) -> DataFrame:
     return rows.agg(
         count_rows().alias("n"),
         count(wrong).alias("n_errors"),
-        F.round(100 * count(wrong) / count_rows(), 2).alias("error_pct"),
+        F.round(F.try_divide(100 * count(wrong), count_rows()), 2).alias("error_pct"),
         count(wrong & (wc <= SHORT_WORDS)).alias("short_errors"),
         count(wrong & (wc >= F.col("long_words"))).alias("long_errors"),
     )
