@@ -7,6 +7,7 @@ has ``emotion, confidence``. Generated replies arrive as input columns.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -265,6 +266,10 @@ def cascade_feedback(votes: DataFrame, messages: DataFrame, session_id: str) ->
 
 
 def retention(df: DataFrame, now: str, days: int = C.RETENTION_DAYS, ts: str = "ts") -> DataFrame:
-    """Rows no older than ``days`` before ``now``; a row exactly that old stays."""
-    cutoff = F.expr(f"timestamp'{now}' - make_interval(0, 0, 0, {int(days)})")
-    return df.where(F.col(ts) >= cutoff)
+    """Rows no older than ``days`` before ``now``; a row exactly that old stays.
+
+    On a table partitioned by day (``dt``) older days are not even listed.
+    """
+    cutoff = datetime.fromisoformat(now) - timedelta(days=days)
+    kept = df.where(F.col(ts) >= F.lit(cutoff))
+    return kept.where(F.col("dt") >= F.lit(cutoff.date())) if "dt" in df.columns else kept

@@ -39,9 +39,8 @@ def rows(columns, data) -> list[tuple]:
     )
 
 
-def compare(spark, con, function, sql: str, sf_dir: str) -> str | None:
+def compare(df, con, sql: str) -> str | None:
     """None when equal, else a short description of the difference."""
-    df = function(spark, sf_dir)
     got = rows(df.columns, df.collect())
     relation = con.sql(sql)
     want = rows(relation.columns, relation.fetchall())
@@ -70,7 +69,7 @@ def main() -> int:
         start = time.time()
         try:
             if name in ORACLES:
-                problem = compare(spark, con, QUERIES[name], ORACLES[name], sf_dir)
+                problem = compare(QUERIES[name](spark, sf_dir), con, ORACLES[name])
                 note = "ok" if problem is None else f"DIFF {problem}"
             else:
                 count = len(QUERIES[name](spark, sf_dir).collect())
