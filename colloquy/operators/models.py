@@ -30,7 +30,7 @@ BAYES = "TF-IDF + Multinomial Naive Bayes"
 MODELS = (LOGREG, SVM, BAYES)
 
 MIN_DF = 2
-VOCABULARY_LIMIT = 1 << 18
+VOCABULARY_LIMIT = 1 << 22
 MAX_ITER = 1000
 PARALLEL_FITS = 4
 ROWS_PER_TASK = 4096
@@ -38,25 +38,27 @@ ROWS_PER_TASK = 4096
 
 def with_terms(df: DataFrame) -> DataFrame:
     """Add the unigram and bigram array that the vectorizer counts."""
-    if "terms" in df.columns:
-        return df
     return df.withColumn("terms", T.ngrams_1_2(T.model_tokens("text")))
 
 
-def fit_features(
-    df: DataFrame, min_df: int = MIN_DF, vocabulary: int = VOCABULARY_LIMIT
-) -> list[Model]:
-    """Fitted TF-IDF stages: counts, smoothed idf, unit length.
+def fit_counts(df: DataFrame, min_df: int = MIN_DF, vocabulary: int = VOCABULARY_LIMIT) -> Model:
+    """Term counts over all terms found in at least ``min_df`` texts.
+
+    Every model needs the vocabulary on the driver too; ``vocabulary`` is the
+    number of terms it may hold, most frequent first.
+    """
+    return CountVectorizer(inputCol="terms", outputCol="tf", minDF=min_df, vocabSize=vocabulary).fit(df)
+
+
+def fit_weights(counted: DataFrame) -> list[Model]:
+    """Smoothed idf and unit length on top of the counts.
 
     MLlib's idf is ln((n+1)/(df+1)) without the added 1, so the fitted idf plus
-    one becomes an element-wise factor. The vocabulary, which every model also
-    needs on the driver, is limited to ``vocabulary`` terms, most frequent first.
+    one becomes an element-wise factor.
     """
-    counts = CountVectorizer(inputCol="terms", outputCol="tf", minDF=min_df, vocabSize=vocabulary).fit(df)
-    idf = IDF(inputCol="tf", outputCol="tfidf").fit(counts.transform(df))
+    idf = IDF(inputCol="tf", outputCol="tfidf").fit(counted)
     factor = Vectors.dense(idf.idf.toArray() + 1.0)
     return [
-        counts,
         ElementwiseProduct(inputCol="tf", outputCol="tfidf", scalingVec=factor),
         Normalizer(inputCol="tfidf", outputCol="features", p=2.0),
     ]
@@ -78,25 +80,28 @@ def classifier(name: str, rows: int, max_iter: int = MAX_ITER) -> Estimator:
 
 
 def fit_models(train: DataFrame, names: Sequence[str] = MODELS, max_iter: int = MAX_ITER) -> dict[str, PipelineModel]:
-    """Fit the named models on one set of features, fitted on the same rows."""
-    terms = with_terms(train).select("terms", "label").persist(StorageLevel.MEMORY_AND_DISK)
-    labels = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc").fit(terms)
-    stages = fit_features(terms)
-    ready = labels.transform(PipelineModel(stages=stages).transform(terms)).select("features", "target")
-    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = ready.count()
+    """Fit the named models on one set of features, fitted on the same rows.
+
+    Only the sparse counts are kept between passes; they are smaller than the
+    texts, unlike the n-gram arrays they come from.
+    """
+    terms = with_terms(train).select("terms", "label")
+    labels = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc").fit(train)
+    counts = fit_counts(terms)
+    counted = labels.transform(counts.transform(terms)).select("tf", "target").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = counted.count()
+    weights = fit_weights(counted)
     # Each task returns a gradient as long as the vocabulary: few rows, few tasks.
-    tasks = max(1, min(ready.rdd.getNumPartitions(), -(-rows // ROWS_PER_TASK)))
-    ready_few = ready.coalesce(tasks)
+    tasks = max(1, min(counted.rdd.getNumPartitions(), -(-rows // ROWS_PER_TASK)))
+    ready = PipelineModel(stages=weights).transform(counted).select("features", "target").coalesce(tasks)
     names_back = IndexToString(inputCol="prediction", outputCol="pred", labels=list(labels.labels))
     try:
         return {
-            name: PipelineModel(stages=[*stages, classifier(name, rows, max_iter).fit(ready_few), names_back])
+            name: PipelineModel(stages=[counts, *weights, classifier(name, rows, max_iter).fit(ready), names_back])
             for name in names
         }
     finally:
-        ready.unpersist()
-        terms.unpersist()
+        counted.unpersist()
 
 
 def confidence(model: PipelineModel) -> Column:
@@ -115,7 +120,7 @@ def confidence(model: PipelineModel) -> Column:
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add ``pred`` and ``confidence`` to the rows."""
-    keep = [c for c in df.columns if c != "terms"]
+    keep = df.columns
     return model.transform(with_terms(df)).select(*keep, "pred", confidence(model).alias("confidence"))
 
 
@@ -138,7 +143,7 @@ def cross_validate(
 
     The driver only starts the fits, a few at a time; rows stay in Spark.
     """
-    dealt = with_terms(split.stratified_folds(train)).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = materialize(split.stratified_folds(train), "folds")
 
     def one_fold(fold: int) -> list[DataFrame]:
         fitted = fit_models(dealt.where(F.col("fold") != fold), names, max_iter)
@@ -153,9 +158,7 @@ def cross_validate(
     together = parts[0]
     for part in parts[1:]:
         together = together.unionByName(part)
-    metrics = materialize(evaluate.overall_metrics(together, ["model", "fold"]), "fold-metrics")
-    dealt.unpersist()
-    return metrics
+    return materialize(evaluate.overall_metrics(together, ["model", "fold"]), "fold-metrics")
 
 
 def best_name(summary: DataFrame) -> str:

@@ -297,6 +297,9 @@ def char_best(queries: DataFrame, bank: DataFrame) -> DataFrame:
     needed = F.greatest(F.ceil(r * q / (2 - r) - SLACK), F.lit(1))
     widest = F.when(r > 0, q * (2 - r) / r + SLACK).otherwise(F.lit(float("inf")))
     pairs = _prefix_pairs(bounded, postings, needed, widest)
+    # Pairs are small but dear to compare: keep them spread over all tasks.
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(tasks, "qid", "bid")
     sides = _with_sides(pairs, asked, stored).join(bound, "qid", "left")
     shared = F.size(F.array_intersect("qtokens", "btokens"))
     possible = 2 * shared / (F.size("qtokens") + F.size("btokens"))

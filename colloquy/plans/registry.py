@@ -17,6 +17,7 @@ from colloquy.functions import text as T
 from colloquy.operators import audit, evaluate, frames, messages, models, sessions, similarity, split
 from colloquy.session import scratch_path
 from colloquy.sources import derived as D
+from colloquy.sources import tables
 from colloquy.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,7 @@ CLOCK = "2024-02-05 00:00:00"
 MATCH_THRESHOLD = 0.6
 SMALL_MAX_ITER = 20
 AUDITED = ["text", "label"]
+T_SPLIT = "doc_id long, text string, label string, split string"
 
 
 def query(function: Query) -> Query:
@@ -564,8 +566,17 @@ def hybrid_route(spark, sf):
 
 # --- Models ----------------------------------------------------------------------------------
 
+_SPLITS: dict[tuple[str, str], str] = {}
+
+
 def _train_and_eval(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    sides = split.group_split(D.corpus_clean(spark, sf)).select("doc_id", "text", "label", "split")
+    """The split as a stored table, which every fit of the session reads."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SPLITS:
+        path = scratch_path(spark, "split")
+        tables.write_split(split.group_split(D.corpus_clean(spark, sf)).drop("text_key"), path)
+        _SPLITS[key] = path
+    sides = tables.read_table(spark, _SPLITS[key], T_SPLIT)
     return sides.where("split = 'train'"), sides.where("split = 'evaluation'")
 
 

@@ -24,7 +24,8 @@ def fitted(corpus):
 def test_tfidf_weights_follow_the_smoothed_formula(spark):
     df = spark.createDataFrame([(0, "aa bb", "x"), (1, "aa bb", "y"), (2, "aa cc", "x")], "doc_id long, text string, label string")
     terms = models.with_terms(df)
-    counts, product, unit = models.fit_features(terms)
+    counts = models.fit_counts(terms)
+    product, unit = models.fit_weights(counts.transform(terms))
     row = unit.transform(product.transform(counts.transform(terms))).where("doc_id = 0").first()
     got = dict(zip((counts.vocabulary[i] for i in row.features.indices), row.features.values))
     raw = {"aa": math.log(4 / 4) + 1, "bb": math.log(4 / 3) + 1, "aa bb": math.log(4 / 3) + 1}
