@@ -60,8 +60,8 @@ def chunk_window(keys: Sequence[str], order: Sequence[str]) -> W:
     return W.partitionBy(*keys, CHUNK).orderBy(*order)
 
 
-def hash_rank(df: DataFrame, strata: str, hashed: str, rank: str = "rank") -> DataFrame:
-    """Exact ascending rank of a hex hash inside each stratum.
+def hash_rank(df: DataFrame, strata: str, hashed: str) -> DataFrame:
+    """Add ``rank``, the exact ascending rank of a hex hash, and ``size``, per stratum.
 
     Equals ``row_number() over (partition by strata order by hashed)``, but a
     stratum is ranked in 4,096 equal slices: rows are ranked inside their hash
@@ -75,12 +75,13 @@ def hash_rank(df: DataFrame, strata: str, hashed: str, rank: str = "rank") -> Da
     starts = counts.select(
         F.col(strata).alias("_s"), F.col(prefix).alias("_p"),
         F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_start"),
+        F.sum("_n").over(W.partitionBy(strata)).alias("size"),
     )
     within = F.row_number().over(W.partitionBy(strata, prefix).orderBy(hashed))
     return (
         cut.withColumn("_within", within)
         .join(starts, F.col(strata).eqNullSafe(F.col("_s")) & (F.col(prefix) == F.col("_p")))
-        .withColumn(rank, (F.col("_start") + F.col("_within")).cast("long"))
+        .withColumn("rank", (F.col("_start") + F.col("_within")).cast("long"))
         .drop(prefix, "_within", "_s", "_p", "_start")
     )
 

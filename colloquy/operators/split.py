@@ -17,14 +17,9 @@ def seeded_hash(key: Column, seed: int = SPLIT_SEED) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), key))
 
 
-def _cut(ranked: DataFrame, strata: str, fraction: float) -> DataFrame:
-    """Mark the lowest ``ceil(fraction * n)`` ranks of each stratum."""
-    sizes = ranked.groupBy(strata).agg(F.max("rank").alias("_size"))
-    return (
-        ranked.join(sizes.withColumnRenamed(strata, "_s"), F.col(strata).eqNullSafe(F.col("_s")))
-        .withColumn("_held", F.col("rank") <= F.ceil(F.lit(fraction) * F.col("_size")))
-        .drop("_s", "_size")
-    )
+def _held(fraction: float) -> Column:
+    """True for the lowest ``ceil(fraction * size)`` ranks of a stratum."""
+    return F.col("rank") <= F.ceil(F.lit(fraction) * F.col("size"))
 
 
 def text_groups(df: DataFrame, text: str = "text", label: str = "label", row_id: str = "doc_id") -> DataFrame:
@@ -54,8 +49,8 @@ def group_split(
         held = position < F.lit(int(fraction * (1 << 32)))
         return keyed.withColumn("split", F.when(held, "evaluation").otherwise("train"))
     groups = text_groups(df, text, label, row_id).withColumn("_h", seeded_hash(F.col("text_key"), seed))
-    sides = _cut(frames.hash_rank(groups, "group_label", "_h"), "group_label", fraction).select(
-        "text_key", F.when(F.col("_held"), "evaluation").otherwise("train").alias("split")
+    sides = frames.hash_rank(groups, "group_label", "_h").select(
+        "text_key", F.when(_held(fraction), "evaluation").otherwise("train").alias("split")
     )
     return keyed.join(sides, "text_key")
 
@@ -91,7 +86,7 @@ def stratified_folds(
     """Deal the shuffled rows of each label over the folds in turn."""
     hashed = df.withColumn("_h", seeded_hash(F.col(row_id).cast("string"), seed))
     ranked = frames.hash_rank(hashed, label, "_h")
-    return ranked.withColumn("fold", ((F.col("rank") - 1) % folds).cast("int")).drop("rank", "_h")
+    return ranked.withColumn("fold", ((F.col("rank") - 1) % folds).cast("int")).drop("rank", "size", "_h")
 
 
 def row_split(
@@ -100,5 +95,5 @@ def row_split(
 ) -> DataFrame:
     """Row-level stratified validation slice."""
     hashed = df.withColumn("_h", seeded_hash(F.col(row_id).cast("string"), seed))
-    cut = _cut(frames.hash_rank(hashed, label, "_h"), label, fraction)
-    return cut.withColumn("split", F.when(F.col("_held"), "validation").otherwise("train")).drop("_held", "rank", "_h")
+    side = F.when(_held(fraction), "validation").otherwise("train")
+    return frames.hash_rank(hashed, label, "_h").withColumn("split", side).drop("rank", "size", "_h")
