@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import exact_dedup, licenses, mixing
+from colloquy.llm import exact_dedup, licenses, line_dedup, mixing
 from colloquy.llm.common import documents
 
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 40 code points or more that five documents hold."""
+    done = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources of ``documents`` brought to equal shares, 1.5 copies per document in the mean."""
     mixed = mixing.mix_sources(documents(spark, sf_dir), total_repetitions=1.5, seed=SEED)
@@ -31,9 +37,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_mixing, op5_licenses, op10_exact_dedup)
+    f.__name__: f for f in (op3_line_dedup, op4_mixing, op5_licenses, op10_exact_dedup)
 }
 
+_FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_LINES = rf"""
+WITH lines AS (
+  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+), keyed AS (
+  SELECT *, {_FOLD.format(r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")} AS key FROM lines
+), repeated AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+  SELECT k.*, coalesce(k.doc_id <> r.keeper, false) AS gone FROM keyed k LEFT JOIN repeated r USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
 _UNIFORM = "(('0x' || substr(md5({0}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
 
 _MIXING = f"""
@@ -91,4 +116,6 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLES: dict[str, str] = {"op4_mixing": _MIXING, "op5_licenses": _LICENSES, "op10_exact_dedup": _EXACT}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": _LINES, "op4_mixing": _MIXING, "op5_licenses": _LICENSES, "op10_exact_dedup": _EXACT,
+}
