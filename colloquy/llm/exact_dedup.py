@@ -33,7 +33,9 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Texts are narrowed down by length, then by length and a hash of the first
     ``PREFIX_BYTES`` bytes; only rows that still share both are compared by the
     digest of the whole text. The text itself is read in one scan and never
-    shuffled: the steps work on rows of 56 bytes, written once.
+    shuffled: the steps work on rows of 56 bytes, written once. The groups are
+    written before rows meet them again, so that Spark can split that join where
+    one group is large.
 
     Returns ``doc_id, keep_id, group_size, kept, text_sha256`` for every row.
     Null text equals empty text. A null id is smaller than any other and stays
@@ -45,9 +47,9 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     close = rows.join(by_length, "length", "left_semi")
     by_head = materialize(_shared(close, ["length", "head"]), "heads")
     close = rows.join(by_head, ["length", "head"], "left_semi")
-    groups = (
+    groups = materialize(
         close.groupBy("length", "head", "digest")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups",
     )
     columns = ["doc_id", "digest", "keep_id", "group_size"]
     grouped = close.join(groups, ["length", "head", "digest"]).select(*columns)
