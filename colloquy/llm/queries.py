@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import exact_dedup, licenses, line_dedup, mixing
+from colloquy.llm import decontaminate, exact_dedup, licenses, line_dedup, mixing, toxicity
 from colloquy.llm.common import documents
 
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of ``benchmark`` found in ``documents``."""
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 code points or more that five documents hold."""
     done = line_dedup.dedup_lines(documents(spark, sf_dir))
@@ -31,13 +36,30 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
+    """The chain low quality, toxic, fitted on ``labels``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.fit_chain(documents(spark, sf_dir), labels)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities of every document, and whether it is rejected as toxic."""
+    scored = toxicity.score_toxicity(documents(spark, sf_dir), toxicity_chain(spark, sf_dir))
+    return scored.select("doc_id", "toxicity.*").select(
+        "doc_id", F.col("low_quality").alias("p_low_quality"), F.col("toxic").alias("p_toxic"),
+        (F.col("toxic") >= 0.5).alias("rejected"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts of ``documents``."""
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_line_dedup, op4_mixing, op5_licenses, op10_exact_dedup)
+    f.__name__: f for f in (
+        op1_decontamination, op3_line_dedup, op4_mixing, op5_licenses, op8_toxicity, op10_exact_dedup,
+    )
 }
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
