@@ -105,7 +105,7 @@ def scan_licenses(
         .where(F.length("piece") >= min((len(x) for x in known.values()), default=0))
         .withColumn("sentence", normalised(F.col("piece")))
         .where(F.length("sentence") <= longest)
-        .join(table, "sentence")
+        .join(F.broadcast(table), "sentence")
         .groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "sentence_id")))["sentence_id"].alias("found"))
     )
     names = F.array_compact(F.array(*[F.when(in_order(F.col("found"), rule), F.lit(name)) for name, rule in rules]))
