@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, exact_dedup, licenses, line_dedup, mixing, toxicity
+from colloquy.llm import decontaminate, exact_dedup, licenses, line_dedup, mixing, near_dedup, toxicity
 from colloquy.llm.common import documents
 
 SEED = 17
@@ -36,6 +36,11 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of ``documents``."""
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
     """The chain low quality, toxic, fitted on ``labels``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
@@ -58,7 +63,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_decontamination, op3_line_dedup, op4_mixing, op5_licenses, op8_toxicity, op10_exact_dedup,
+        op1_decontamination, op3_line_dedup, op4_mixing, op5_licenses, op7_near_dedup, op8_toxicity,
+        op10_exact_dedup,
     )
 }
 
@@ -81,6 +87,26 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+_NEAR = rf"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM tokens
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), named AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN named USING (doc_id) LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
 _UNIFORM = "(('0x' || substr(md5({0}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
 
 _MIXING = f"""
@@ -139,5 +165,6 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 ORACLES: dict[str, str] = {
-    "op3_line_dedup": _LINES, "op4_mixing": _MIXING, "op5_licenses": _LICENSES, "op10_exact_dedup": _EXACT,
+    "op3_line_dedup": _LINES, "op4_mixing": _MIXING, "op5_licenses": _LICENSES,
+    "op7_near_dedup": _NEAR, "op10_exact_dedup": _EXACT,
 }
