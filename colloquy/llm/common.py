@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -72,5 +72,15 @@ def slices(sizes: Sequence[int], most: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def documents(spark, sf_dir: str) -> DataFrame:
+def modest_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python 1,000 rows at a time, unless the session already chose another number.
+
+    With Spark's own 10,000 rows, a batch of long texts takes most of an executor's memory.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, "1000")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

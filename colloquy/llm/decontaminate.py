@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.llm.common import modest_batches
+
 ERROR_RATE = 0.05
 #: Characters of test items that are searched for together; more items take more passes over the documents.
 BLOCK_CHARS = 1_000_000
@@ -117,6 +119,7 @@ def leak_finders(
     there are. Items without text are left out.
     """
     spark = benchmark.sparkSession
+    modest_batches(spark)
     known = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where(F.length(F.trim("text")) > 0)
     size = known.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = max(1, -(-size // block_chars))

@@ -12,7 +12,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import SPACES, whole_text
+from colloquy.llm.common import SPACES, modest_batches, whole_text
 from colloquy.session import materialize
 
 SHARDS = 64
@@ -182,6 +182,7 @@ def dedup_lines(
     counts as one empty line and becomes empty. Rows with one id are one
     document; rows with a null id are one document too, smaller than any other.
     """
+    modest_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     bits = filter_bits(docs, text, most_bits)
     filter_ = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, text, min_chars, bits))
@@ -193,10 +194,10 @@ def dedup_lines(
         marked.where(F.size("_line_suspects") > 0)
         .select("_line_doc", F.explode("_line_suspects").alias("_line_key")), "suspects",
     )
-    repeated = (
+    repeated = materialize(
         suspected.groupBy("_line_key", "_line_doc").agg(F.lit(1).alias("_one"))
         .groupBy("_line_key").agg(F.count(F.lit(1)).alias("_docs"), F.max("_line_doc").alias("_keeper"))
-        .where(F.col("_docs") >= min_docs).drop("_docs")
+        .where(F.col("_docs") >= min_docs).drop("_docs"), "repeated",
     )
     drops = (
         suspected.join(repeated, "_line_key")

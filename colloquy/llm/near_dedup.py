@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import mixed, runs, slices, stable_hash, whole_text, words
+from colloquy.llm.common import mixed, modest_batches, runs, slices, stable_hash, whole_text, words
 from colloquy.llm.components import connected_components
 from colloquy.session import materialize
 
@@ -244,6 +244,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     with one id but different texts stay apart unless they are similar. Other
     columns are not read.
     """
+    modest_batches(docs.sparkSession)
     signed = materialize(signed_documents(docs, doc_id, text), "signed")
     nodes = signed.where("n > 0").groupBy("node").agg(F.first("keys").alias("keys"))
     lists = materialize(prefix_lists(nodes), "lists")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.common import uniform, whole_text
+from colloquy.llm.common import modest_batches, uniform, whole_text
 from colloquy.session import materialize
 
 #: Labelled rows that a model is fitted on, at most about; drawn by a hash of the id.
@@ -129,6 +129,7 @@ def fit_chain(
     null in any category are left out; equal texts count once, with the majority
     of their labels. Without labelled rows every probability is near 0.
     """
+    modest_batches(docs.sparkSession)
     rows = labelled_rows(docs, labels, categories, fit_rows, doc_id, text)
     chosen = sorted({word for category in categories for word in telling_words(rows, category, most_words)})
     places = {word: i for i, word in enumerate(chosen)}
@@ -176,6 +177,7 @@ def score_column(chain: Chain, spark: SparkSession, text: str = "text") -> Colum
     Whole texts are read in one pass without a shuffle; the chain sent along has
     a fixed size.
     """
+    modest_batches(spark)
     shared = spark.sparkContext.broadcast(chain)
 
     @F.pandas_udf("struct<" + ", ".join(f"{c}: double" for c in chain.categories) + ">")
