@@ -226,7 +226,7 @@ def closing_pairs(stars: DataFrame, bodies: DataFrame, components: DataFrame) ->
     return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def grouped_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Groups of documents connected by links of similarity 0.75 or more over five-word shingles.
 
     Equal texts are one node. Each node is posted under the values of 32 MinHash
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     exact bound (see :func:`closing_pairs`), so groups of thousands of copies
     cost rows in proportion.
 
-    Returns ``doc_id, n_shingles, component_id, kept`` for every row. The
+    Returns ``doc_id, node, n_shingles, component_id, kept`` for every row. The
     component is named by its smallest id. A text without words has no shingle
     and is linked with nothing, not even its copies; null counts as empty. A null
     id is never the name of a component, unless no row of it has an id. Rows
@@ -271,13 +271,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def _labelled(signed: DataFrame, components: DataFrame) -> DataFrame:
     rows = signed.select("doc_id", "node", "n")
-    with_words = rows.where("n > 0").join(components, "node", "left").select(
-        "doc_id", "n", F.coalesce("component", "node").alias("component"),
+    with_words = rows.where("n > 0").join(components, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
     )
     names = materialize(with_words.groupBy("component").agg(F.min("doc_id").alias("component_id")), "names")
-    named = with_words.join(names, "component").select("doc_id", "n", "component_id")
-    alone = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    named = with_words.join(names, "component").select("doc_id", "node", "n", "component_id")
+    alone = rows.where("n = 0").select("doc_id", "node", "n", F.col("doc_id").alias("component_id"))
     return named.unionByName(alone).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id",
+        "doc_id", "node", F.col("n").alias("n_shingles"), "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row (see :func:`grouped_documents`)."""
+    return grouped_documents(docs, doc_id, text).drop("node")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each near-duplicate group the rows with its smallest id, as they are.
+
+    Only the ids of rows to drop are joined back; rows with one id and one text
+    stay or go together.
+    """
+    grouped = grouped_documents(docs, doc_id, text)
+    dropped = materialize(
+        grouped.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node")).distinct(),
+        "dropped",
+    )
+    return docs.join(dropped, F.col(doc_id).eqNullSafe(F.col("_gone_id")) & (_node(text) == F.col("_gone_node")), "left_anti")
