@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, exact_dedup, licenses, line_dedup, mixing, near_dedup, toxicity
+from colloquy.llm import decontaminate, exact_dedup, language, licenses, line_dedup, mixing, near_dedup, toxicity
 from colloquy.llm.common import documents
 
 SEED = 17
@@ -36,6 +36,19 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def held_out(doc_id: str, folds: int) -> Column:
+    """Whether the CRC-32 of the id as text is divisible by ``folds``."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    docs = documents(spark, sf_dir)
+    model = language.fit_languages(docs.where(~held_out("doc_id", 5)))
+    found = language.predict_languages(docs, model)
+    return found.select("doc_id", held_out("doc_id", 5).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents``."""
     return near_dedup.near_duplicates(documents(spark, sf_dir))
@@ -63,8 +76,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_decontamination, op3_line_dedup, op4_mixing, op5_licenses, op7_near_dedup, op8_toxicity,
-        op10_exact_dedup,
+        op1_decontamination, op3_line_dedup, op4_mixing, op5_licenses, op6_language, op7_near_dedup,
+        op8_toxicity, op10_exact_dedup,
     )
 }
 
