@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, exact_dedup, language, licenses, line_dedup, mixing, near_dedup, toxicity
+from colloquy.llm import decontaminate, exact_dedup, language, licenses, line_dedup, lm_score, mixing, near_dedup, toxicity
 from colloquy.llm.common import documents
 
 SEED = 17
@@ -69,6 +69,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and backoff scores of every document, learned from nine tenths of them."""
+    scored = lm_score.score_documents(documents(spark, sf_dir), ~held_out("doc_id", 10))
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts of ``documents``."""
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
@@ -77,7 +85,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op3_line_dedup, op4_mixing, op5_licenses, op6_language, op7_near_dedup,
-        op8_toxicity, op10_exact_dedup,
+        op8_toxicity, op9_lm_score, op10_exact_dedup,
     )
 }
 
