@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -75,7 +75,7 @@ def prefix_lists(nodes: DataFrame) -> DataFrame:
     Coordinates that no other text has are counted but need no list.
     """
     postings = nodes.select("node", F.explode("keys").alias("key"))
-    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     ordered = (
         postings.join(sizes, "key")
         .groupBy("node").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("common"))
@@ -94,8 +94,8 @@ def _matches(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def first_pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of short lists with enough matches, and the stars of long lists with the matches of each ray.
+def first_pairs(lists: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of short lists with ``least`` matches, and the stars of long lists with the matches of each ray.
 
     The hub of a long list is the member whose coordinates are the commonest:
     the one nearest to the middle of a group of copies.
@@ -104,13 +104,13 @@ def first_pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = short.select("key", F.col("node").alias("a"), F.col("keys").alias("keys_a"))
     right = short.select("key", F.col("node").alias("b"), F.col("keys").alias("keys_b"))
     pairs = (
-        left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (_matches("keys_a", "keys_b") >= MATCHES))
+        left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (_matches("keys_a", "keys_b") >= least))
         .select("a", "b").distinct()
     )
     long_lists = lists.where(F.col("size") > SHORT_LIST)
-    hubs = (
+    hubs = materialize(
         long_lists.groupBy("key").agg(F.max(F.struct("score", "node", "keys")).alias("top"))
-        .select("key", F.col("top.node").alias("hub"), F.col("top.keys").alias("hub_keys"))
+        .select("key", F.col("top.node").alias("hub"), F.col("top.keys").alias("hub_keys")), "hubs",
     )
     stars = long_lists.join(hubs, "key").select("key", "hub", "node", "keys", _matches("keys", "hub_keys").alias("matches"))
     return pairs, stars
@@ -163,7 +163,7 @@ def _rests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
-def closing_pairs(stars: DataFrame, bodies: DataFrame, components: DataFrame) -> DataFrame:
+def closing_pairs(stars: DataFrame, bodies: DataFrame, components: DataFrame, least: int) -> DataFrame:
     """Pairs of long lists that the stars leave open and that may still be similar enough.
 
     A list is open where its texts belong to several components. Texts near the
@@ -175,17 +175,17 @@ def closing_pairs(stars: DataFrame, bodies: DataFrame, components: DataFrame) ->
     with the whole list by matches. Nothing that can be linked is left out.
     """
     placed = stars.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    near = placed.where(F.col("matches") >= MATCHES).select("hub", "node", "component").distinct()
-    main = (
+    near = placed.where(F.col("matches") >= least).select("hub", "node", "component").distinct()
+    main = materialize(
         near.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("rows"))
         .groupBy("hub").agg(F.max(F.struct("rows", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1").drop("parts")
+        .where("parts > 1").drop("parts"), "main",
     )
     near = materialize(near.join(main, "hub"), "near")
     first = Window.partitionBy("hub").orderBy(F.xxhash64("node"), "node")
-    core = (
+    core = materialize(
         near.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= CORE_TEXTS)
-        .join(bodies, "node").select("hub", "text").groupBy("hub").applyInPandas(_core, "hub binary, core binary")
+        .join(bodies, "node").select("hub", "text").groupBy("hub").applyInPandas(_core, "hub binary, core binary"), "core",
     )
     measured = materialize(
         near.join(core, "hub").join(bodies, "node").select("hub", "node", "component", "text", "core")
@@ -214,18 +214,41 @@ def closing_pairs(stars: DataFrame, bodies: DataFrame, components: DataFrame) ->
     other = side("b")
     sized = odd.join(other, (odd["hub"] == other["hub"]) & (odd["n_b"] == other["n_b"])
                      & (F.col("component_a") != F.col("component_b")) & (7 * inside >= 3 * (odd["n_a"] + other["n_b"])))
-    far = placed.where(F.col("matches") < MATCHES).select(
+    far = placed.where(F.col("matches") < least).select(
         "key", F.col("node").alias("node_a"), F.col("keys").alias("keys_a"), F.col("component").alias("component_a"),
     )
     members = placed.select(
         "key", F.col("node").alias("node_b"), F.col("keys").alias("keys_b"), F.col("component").alias("component_b"),
     )
     distant = far.join(members, (far["key"] == members["key"]) & (F.col("component_a") != F.col("component_b"))
-                       & (_matches("keys_a", "keys_b") >= MATCHES))
+                       & (_matches("keys_a", "keys_b") >= least))
     found = sharing.unionByName(sized.select("node_a", "node_b")).unionByName(distant.select("node_a", "node_b"))
     return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
+def linked_components(lists: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], least: int) -> DataFrame:
+    """``node, component`` of all texts that have a link of similarity 0.75 or more.
+
+    ``lists`` has ``key, size, node, score, keys``; texts that share a list and
+    at least ``least`` of their keys are confirmed on whole shingle sets.
+    ``bodies_of`` gives ``node, text`` for a table of wanted nodes. Lists of up
+    to ``SHORT_LIST`` texts give all their pairs, longer ones a star and what
+    :func:`closing_pairs` adds.
+    """
+    pairs, stars = first_pairs(lists, least)
+    pairs, stars = materialize(pairs, "pairs"), materialize(stars, "stars")
+    rays = stars.where((F.col("matches") >= least) & (F.col("hub") != F.col("node")))
+    tested = materialize(pairs.unionByName(
+        rays.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    ).distinct(), "tested")
+    wanted = tested.select(F.explode(F.array("a", "b")).alias("node")).unionByName(stars.select("node")).distinct()
+    bodies = materialize(bodies_of(wanted), "bodies")
+    links = materialize(confirmed(tested, bodies), "links")
+    closing = materialize(closing_pairs(stars, bodies, connected_components(links), least), "closing")
+    more = materialize(confirmed(closing.join(tested, ["a", "b"], "left_anti"), bodies), "links")
+    return connected_components(links.unionByName(more))
+
+
 def grouped_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Groups of documents connected by links of similarity 0.75 or more over five-word shingles.
 
@@ -248,25 +271,12 @@ def grouped_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     signed = materialize(signed_documents(docs, doc_id, text), "signed")
     nodes = signed.where("n > 0").groupBy("node").agg(F.first("keys").alias("keys"))
     lists = materialize(prefix_lists(nodes), "lists")
-    pairs, stars = first_pairs(lists)
-    pairs, stars = materialize(pairs, "pairs"), materialize(stars, "stars")
-    rays = stars.where((F.col("matches") >= MATCHES) & (F.col("hub") != F.col("node")))
-    tested = pairs.unionByName(
-        rays.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    ).distinct()
-    tested = materialize(tested, "tested")
-    wanted = (
-        tested.select(F.explode(F.array("a", "b")).alias("node"))
-        .unionByName(stars.select("node")).distinct()
-    )
-    bodies = materialize(
-        docs.select(_node(text).alias("node"), whole_text(text).alias("text"))
-        .join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "bodies",
-    )
-    links = materialize(confirmed(tested, bodies), "links")
-    closing = materialize(closing_pairs(stars, bodies, connected_components(links)), "closing")
-    more = materialize(confirmed(closing.join(tested, ["a", "b"], "left_anti"), bodies), "links")
-    return _labelled(signed, connected_components(links.unionByName(more)))
+
+    def bodies_of(wanted: DataFrame) -> DataFrame:
+        texts = docs.select(_node(text).alias("node"), whole_text(text).alias("text"))
+        return texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+    return _labelled(signed, linked_components(lists, bodies_of, MATCHES))
 
 
 def _labelled(signed: DataFrame, components: DataFrame) -> DataFrame:

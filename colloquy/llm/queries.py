@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, exact_dedup, language, licenses, line_dedup, lm_score, mixing, near_dedup, toxicity
+from colloquy.llm import decontaminate, exact_dedup, language, licenses, line_dedup, lm_score, mixing, near_dedup, substring_dedup, toxicity
 from colloquy.llm.common import documents
 
 SEED = 17
@@ -19,6 +19,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of ``documents`` that stand in more than one of them."""
+    return substring_dedup.repeated_passages(documents(spark, sf_dir))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 code points or more that five documents hold."""
     done = line_dedup.dedup_lines(documents(spark, sf_dir))
@@ -84,7 +89,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_decontamination, op3_line_dedup, op4_mixing, op5_licenses, op6_language, op7_near_dedup,
+        op1_decontamination, op2_substring_dedup, op3_line_dedup, op4_mixing, op5_licenses, op6_language, op7_near_dedup,
         op8_toxicity, op9_lm_score, op10_exact_dedup,
     )
 }
