@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"\p{L}\p{N}_"
-BLANK = r"\s\p{Z}"
+BLANK = r"\s\p{Z}\x85\x1C-\x1F"
 
 # Classes are tried from left to right, so common characters come first.
 NOT_WORD_OR_BLANK = f"[^a-z {WORD}{BLANK}]"

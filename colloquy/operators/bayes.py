@@ -1,0 +1,111 @@
+"""Multinomial naive Bayes over TF-IDF weights, in closed form as long tables.
+
+Nothing of the model passes through the driver: counts, weights and smoothing
+are group-bys over ``(label, term)`` rows, and scoring is one join on the term.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from colloquy.functions import text as T
+from colloquy.operators.frames import count_rows
+from colloquy.session import materialize
+
+MIN_DF = 2
+
+
+@dataclass(frozen=True)
+class BayesModel:
+    """``terms``: term, idf, and per label the log of its smoothed weight; ``labels``: one row with what all rows need."""
+
+    terms: DataFrame
+    labels: DataFrame
+
+
+def _counts(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    tokens = T.ngrams_1_2(T.model_tokens(F.coalesce(F.col(text), F.lit(""))))
+    return df.select(F.col(row_id).alias("row"), F.explode(tokens).alias("term")).groupBy("row", "term").agg(count_rows().alias("tf"))
+
+
+def _unit(weighted: DataFrame) -> DataFrame:
+    """Weights scaled to unit length per row."""
+    norms = weighted.groupBy("row").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return weighted.join(norms, "row").withColumn("w", F.col("raw") / F.col("norm")).drop("raw", "norm")
+
+
+def fit(train: DataFrame, row_id: str = "doc_id", text: str = "text", label: str = "label", min_df: int = MIN_DF) -> BayesModel:
+    """Class and term weights with one added to each; terms of fewer than ``min_df`` rows are left out.
+
+    Rows without a label are not learned from. Ids must be unique.
+    """
+    rows = train.where(F.col(label).isNotNull())
+    counts = materialize(_counts(rows, row_id, text), "term-counts")
+    n = rows.count()
+    idf = (
+        counts.groupBy("term").agg(count_rows().alias("df")).where(F.col("df") >= min_df)
+        .select("term", (F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    )
+    idf = materialize(idf, "idf")
+    weights = _unit(counts.join(idf, "term").select("row", "term", (F.col("tf") * F.col("idf")).alias("raw")))
+    owners = rows.select(F.col(row_id).alias("row"), F.col(label).alias("label"))
+    sums = materialize(
+        weights.join(owners, "row").groupBy("term", "label").agg(F.sum("w").alias("total")), "class-terms"
+    )
+    terms = sums.groupBy("term").agg(
+        F.map_from_entries(F.collect_list(F.struct("label", F.log1p("total").alias("log")))).alias("logs")
+    ).join(idf, "term")
+    vocabulary = idf.count()
+    classes = (
+        owners.groupBy("label").agg(count_rows().alias("rows"))
+        .join(sums.groupBy("label").agg(F.sum("total").alias("total")), "label", "left")
+        .select(F.struct(
+            "label", F.log(F.col("rows") / n).alias("prior"),
+            F.log(F.coalesce("total", F.lit(0.0)) + vocabulary).alias("mass"),
+        ).alias("class"))
+    )
+    labels = classes.agg(F.array_sort(F.collect_list("class")).alias("classes"))
+    return BayesModel(materialize(terms, "bayes-terms"), materialize(labels, "bayes-labels"))
+
+
+def predict(model: BayesModel, df: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Add ``pred`` and ``confidence``, the probability of the best label; the first label wins a tie.
+
+    The label table is one row, read as a scalar. Texts without a known term get
+    the most frequent label.
+    """
+    classes = model.labels.select("classes").scalar()
+    weights = _unit(
+        _counts(df, row_id, text).join(model.terms, "term")
+        .select("row", "term", "logs", (F.col("tf") * F.col("idf")).alias("raw"))
+    )
+    parts = weights.select("row", "w", F.explode("logs").alias("label", "log")).groupBy("row", "label").agg(
+        F.sum(F.col("w") * F.col("log")).alias("part")
+    )
+    sums = weights.groupBy("row").agg(F.sum("w").alias("all_w")).join(
+        parts.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("label", "part"))).alias("parts")), "row"
+    )
+    scored = df.join(sums, df[row_id] == sums["row"], "left").withColumn("_classes", classes)
+    logs = F.transform("_classes", lambda c: F.struct(
+        (c["prior"] - c["mass"] * F.coalesce("all_w", F.lit(0.0)) + F.coalesce(F.element_at("parts", c["label"]), F.lit(0.0))).alias("score"),
+        c["label"].alias("label"),
+    ))
+    best = F.reduce("_scores", F.element_at("_scores", 1), lambda a, b: F.when(F.round(b["score"], 10) > F.round(a["score"], 10), b).otherwise(a))
+    total = F.aggregate("_scores", F.lit(0.0), lambda acc, s: acc + F.exp(s["score"] - F.col("_best.score")))
+    return (
+        scored.withColumn("_scores", logs).withColumn("_best", best)
+        .select(*df.columns, F.col("_best.label").alias("pred"), (1.0 / total).alias("confidence"))
+    )
+
+
+def scorer(model: BayesModel, row_id: str = "message_id", text: str = "message") -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``emotion`` and ``confidence`` to message rows."""
+    def apply(df: DataFrame) -> DataFrame:
+        keep = [c for c in df.columns if c not in ("emotion", "confidence")]
+        return predict(model, df.select(*keep), row_id, text).withColumnRenamed("pred", "emotion")
+
+    return apply

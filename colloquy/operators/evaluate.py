@@ -79,19 +79,22 @@ def per_class_report(preds: DataFrame) -> DataFrame:
     )
 
 
-def overall_metrics(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Accuracy, and macro and weighted precision, recall and F1."""
+def overall_metrics(preds: DataFrame, by: Sequence[str] = (), digits: int | None = 4) -> DataFrame:
+    """Accuracy, and macro and weighted precision, recall and F1; unrounded with ``digits=None``."""
     s = F.col("support")
 
+    def shown(value: Column) -> Column:
+        return value if digits is None else F.round(value, digits)
+
     def weighted(c: str) -> Column:
-        return F.round(F.sum(F.col(c) * s) / F.sum(s), 4)
+        return shown(F.sum(F.col(c) * s) / F.sum(s))
 
     return _per_class(preds, by).groupBy(*by).agg(
         F.sum("support").alias("n"),
-        F.round(F.sum("hits") / F.sum(s), 4).alias("accuracy"),
-        F.round(F.avg("precision"), 4).alias("macro_precision"),
-        F.round(F.avg("recall"), 4).alias("macro_recall"),
-        F.round(F.avg("f1"), 4).alias("macro_f1"),
+        shown(F.sum("hits") / F.sum(s)).alias("accuracy"),
+        shown(F.avg("precision")).alias("macro_precision"),
+        shown(F.avg("recall")).alias("macro_recall"),
+        shown(F.avg("f1")).alias("macro_f1"),
         weighted("precision").alias("weighted_precision"),
         weighted("recall").alias("weighted_recall"),
         weighted("f1").alias("weighted_f1"),

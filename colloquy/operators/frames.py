@@ -7,6 +7,7 @@ one task. The helpers here give the same results with bounded groups.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -100,19 +101,23 @@ def describe(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFra
     """Count, mean, sample deviation, min, quartiles and max, one row per metric.
 
     One shuffle carries (group, metric, distinct value, count) rows; everything
-    else is computed from those counts. Measures live on a fixed grid (lengths,
+    else, the few means first, is computed from those counts. Measures live on a fixed grid (lengths,
     rounded scores), which bounds the distinct values of a group.
     """
     metrics = F.array(*[
         F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values
     ])
     long = df.select(*by, F.inline(metrics))
-    counted = value_counts(long, [*by, "metric"], "value")
+    keys = [*by, "metric"]
+    counted = value_counts(long, keys, "value")
     n = F.sum("_n")
     total = F.sum(F.col("value") * F.col("_n"))
-    squares = F.sum(F.col("value") * F.col("value") * F.col("_n"))
-    spread = F.when(n > 1, F.sqrt(F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0))))
-    return counted.groupBy(*by, "metric").agg(
+    # Squares of distances from the mean: squares of large values would cancel.
+    means = counted.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg((total / n).alias("_mean"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    away = F.col("value") - F.col("_mean")
+    spread = F.when(n > 1, F.sqrt(F.sum(away * away * F.col("_n")) / (n - 1)))
+    return counted.join(means, same).groupBy(*by, "metric").agg(
         n.alias("count"),
         F.round(total / n, 4).alias("mean"),
         F.round(spread, 4).alias("std"),

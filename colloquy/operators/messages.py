@@ -162,14 +162,29 @@ def score_messages(
     scorer: Callable[[DataFrame], DataFrame] | None = None,
     candidates: Sequence[str] = (),
     fold_quotes: bool = False,
+    memory: int = C.MEMORY_TURNS,
 ) -> DataFrame:
-    """Validate, route, score and answer messages; rejected rows are left out.
-
-    ``scorer`` adds ``emotion`` and ``confidence`` and sees normal rows only:
-    elevated ones are answered before any model runs. Without a scorer both
-    columns must already be there.
+    """Validate, remember, route, score and answer messages; rejected rows are left out.
+
+    Rejected messages are never stored, so the history of a message holds
+    accepted ones only. It is built where ``df`` has the stored ``response`` of
+    its rows and generated replies are to be checked against it. ``scorer`` adds
+    ``emotion`` and ``confidence`` and sees normal rows only: elevated ones are
+    answered before any model runs. Without a scorer both columns must already be
+    there.
     """
-    routed = route(accepted(validate_messages(df)), fold_quotes)
+    rows = accepted(validate_messages(df))
+    if candidates and memory and "response" in df.columns:
+        rows = with_history(rows, memory)
+    return answer(rows, scorer, candidates, fold_quotes)
+
+
+def answer(
+    accepted_rows: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None = None, candidates: Sequence[str] = (),
+    fold_quotes: bool = False,
+) -> DataFrame:
+    """Route, score and answer accepted messages, against ``history`` where they have it."""
+    routed = route(accepted_rows, fold_quotes)
     if scorer is None:
         return apply_policy(routed, candidates)
     calm = scorer(routed.where(F.col("risk_level") == C.NORMAL))
@@ -179,6 +194,16 @@ def score_messages(
     return apply_policy(calm.unionByName(elevated), candidates)
 
 
+def stored_messages(scored: DataFrame, model_version: str, latency_ms: Column) -> DataFrame:
+    """Rows of the message table from scored messages."""
+    return scored.select(
+        "message_id", "session_id", "message", "response", F.col("ts").cast("timestamp").alias("timestamp"),
+        F.col("emotion").alias("predicted_emotion"), F.col("confidence").cast("double").alias("confidence"),
+        "intent", "risk_level", "response_type", F.lit(model_version).alias("model_version"),
+        F.round(latency_ms.cast("double"), 2).alias("latency_ms"),
+    )
+
+
 def hybrid_route(
     df: DataFrame, matches: DataFrame, scorer: Callable[[DataFrame], DataFrame], limit: int = C.MAX_INPUT_CHARS
 ) -> DataFrame:

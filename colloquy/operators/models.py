@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
-from colloquy.functions.constants import FOLDS
+from colloquy.functions.constants import FOLDS, SPLIT_SEED
 from colloquy.operators import evaluate, split
 from colloquy.session import materialize
 
@@ -30,10 +30,12 @@ BAYES = "TF-IDF + Multinomial Naive Bayes"
 MODELS = (LOGREG, SVM, BAYES)
 
 MIN_DF = 2
-VOCABULARY_LIMIT = 1 << 22
-MAX_ITER = 1000
+#: Labelled rows a model is fitted on, at most about; drawn by a seeded hash of the row id.
+FIT_ROWS = 200_000
+#: Fits end when they converge to TOLERANCE, or after so many iterations.
+MAX_ITER, TOLERANCE = 1000, 1e-4
 PARALLEL_FITS = 4
-ROWS_PER_TASK = 4096
+_ALL_TERMS = 2**31 - 1
 
 
 def with_terms(df: DataFrame) -> DataFrame:
@@ -41,13 +43,22 @@ def with_terms(df: DataFrame) -> DataFrame:
     return df.withColumn("terms", T.ngrams_1_2(T.model_tokens("text")))
 
 
-def fit_counts(df: DataFrame, min_df: int = MIN_DF, vocabulary: int = VOCABULARY_LIMIT) -> Model:
-    """Term counts over all terms found in at least ``min_df`` texts.
+def fit_sample(df: DataFrame, fit_rows: int = FIT_ROWS, seed: int = SPLIT_SEED, row_id: str = "doc_id") -> DataFrame:
+    """About ``fit_rows`` rows, chosen by a seeded hash; all rows if there are no more."""
+    rows = df.count()
+    if rows <= fit_rows:
+        return df
+    position = F.conv(F.substring(split.seeded_hash(F.col(row_id).cast("string"), seed), 1, 8), 16, 10).cast("long")
+    return df.where(position < int(fit_rows / rows * (1 << 32)))
 
-    Every model needs the vocabulary on the driver too; ``vocabulary`` is the
-    number of terms it may hold, most frequent first.
+
+def fit_counts(df: DataFrame, min_df: int = MIN_DF) -> Model:
+    """Counts of all terms found in at least ``min_df`` of the rows.
+
+    The vocabulary is on the driver and in every task; the number of rows that a
+    model is fitted on (``FIT_ROWS``) bounds it.
     """
-    return CountVectorizer(inputCol="terms", outputCol="tf", minDF=min_df, vocabSize=vocabulary).fit(df)
+    return CountVectorizer(inputCol="terms", outputCol="tf", minDF=min_df, vocabSize=_ALL_TERMS).fit(df)
 
 
 def fit_weights(counted: DataFrame) -> list[Model]:
@@ -69,31 +80,38 @@ def classifier(name: str, rows: int, max_iter: int = MAX_ITER) -> Estimator:
     strength = 1.0 / max(rows, 1)
     if name == LOGREG:
         return LogisticRegression(
-            featuresCol="features", labelCol="target", family="multinomial", maxIter=max_iter, regParam=strength
+            featuresCol="features", labelCol="target", family="multinomial", maxIter=max_iter, tol=TOLERANCE,
+            regParam=strength,
         )
     if name == SVM:
-        svm = LinearSVC(maxIter=max_iter, regParam=strength)
+        svm = LinearSVC(maxIter=max_iter, tol=TOLERANCE, regParam=strength)
         return OneVsRest(classifier=svm, featuresCol="features", labelCol="target", parallelism=PARALLEL_FITS)
     if name == BAYES:
         return NaiveBayes(featuresCol="features", labelCol="target", modelType="multinomial", smoothing=1.0)
     raise ValueError(f"unknown model {name!r}")
 
 
-def fit_models(train: DataFrame, names: Sequence[str] = MODELS, max_iter: int = MAX_ITER) -> dict[str, PipelineModel]:
+def fit_models(
+    train: DataFrame, names: Sequence[str] = MODELS, max_iter: int = MAX_ITER, fit_rows: int = FIT_ROWS,
+    tasks: int | None = None, row_id: str = "doc_id",
+) -> dict[str, PipelineModel]:
     """Fit the named models on one set of features, fitted on the same rows.
 
+    Each task returns a gradient as long as the vocabulary; ``tasks`` sets how
+    many there are, else the partitions of the input do.
+
     Only the sparse counts are kept between passes; they are smaller than the
     texts, unlike the n-gram arrays they come from.
     """
+    train = fit_sample(train, fit_rows, row_id=row_id)
     terms = with_terms(train).select("terms", "label")
     labels = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc").fit(train)
     counts = fit_counts(terms)
     counted = labels.transform(counts.transform(terms)).select("tf", "target").persist(StorageLevel.MEMORY_AND_DISK)
     rows = counted.count()
     weights = fit_weights(counted)
-    # Each task returns a gradient as long as the vocabulary: few rows, few tasks.
-    tasks = max(1, min(counted.rdd.getNumPartitions(), -(-rows // ROWS_PER_TASK)))
-    ready = PipelineModel(stages=weights).transform(counted).select("features", "target").coalesce(tasks)
+    ready = PipelineModel(stages=weights).transform(counted).select("features", "target")
+    ready = ready.coalesce(tasks) if tasks else ready
     names_back = IndexToString(inputCol="prediction", outputCol="pred", labels=list(labels.labels))
     try:
         return {
@@ -158,7 +176,7 @@ def cross_validate(
     together = parts[0]
     for part in parts[1:]:
         together = together.unionByName(part)
-    return materialize(evaluate.overall_metrics(together, ["model", "fold"]), "fold-metrics")
+    return materialize(evaluate.overall_metrics(together, ["model", "fold"], digits=None), "fold-metrics")
 
 
 def best_name(summary: DataFrame) -> str:

@@ -135,6 +135,20 @@ def session_report(log: DataFrame, id_col: str = "event_id") -> DataFrame:
     return session_summary(log).join(labels, "session_id", "left")
 
 
+def session_detail(log: DataFrame, session_id: str, id_col: str = "event_id") -> DataFrame:
+    """All of one session in a row: report, transition counts and the timeline in order.
+
+    The filter reaches the scan, and the timeline is as long as that session.
+    """
+    rows = log.where(F.col("session_id") == session_id)
+    moves = session_transitions(rows, id_col).groupBy("session_id").agg(
+        F.array_sort(F.collect_list(F.struct("from_emotion", "to_emotion", "n"))).alias("transitions")
+    )
+    steps = F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), id_col, "emotion", "confidence")
+    line = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(steps)).alias("timeline"))
+    return session_report(rows, id_col).join(moves, "session_id", "left").join(line, "session_id", "left")
+
+
 def confidence_by_type(log: DataFrame) -> DataFrame:
     """Confidence statistics per response type."""
     return frames.describe(log, ["response_type"], ["confidence"])

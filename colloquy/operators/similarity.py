@@ -35,6 +35,11 @@ SEED_TEXTS = 4
 SLACK = 1e-9
 
 
+def _key() -> Column:
+    """Texts are compared in lower case; a missing one counts as empty."""
+    return F.coalesce(F.lower("text"), F.lit(""))
+
+
 def _distinct_bank(bank: DataFrame, key: Column) -> DataFrame:
     """Equal stored texts as one row: lowest position, number of copies."""
     return (
@@ -95,7 +100,7 @@ def tfidf_postings(bank: DataFrame) -> DataFrame:
     Weights are tf * (ln((1+n)/(1+df)) + 1), scaled to unit length per text.
     Copies count towards n and df.
     """
-    spread = _distinct_bank(bank, F.lower("text")).select(
+    spread = _distinct_bank(bank, _key()).select(
         F.col("bank_pos").alias("bid"), "copies",
         F.explode(T.ngrams_1_2(T.model_tokens("btext"))).alias("term"),
     )
@@ -112,8 +117,8 @@ def tfidf_postings(bank: DataFrame) -> DataFrame:
 def tfidf_weights(bank: DataFrame) -> DataFrame:
     """TF-IDF weight of every term of every stored text."""
     postings = tfidf_postings(bank).select(F.col("bid").alias("rep_pos"), "term", "df", "w")
-    texts = bank.withColumn("btext", F.lower("text"))
-    owners = _distinct_bank(bank, F.lower("text")).select("btext", F.col("bank_pos").alias("rep_pos"))
+    texts = bank.withColumn("btext", _key())
+    owners = _distinct_bank(bank, _key()).select("btext", F.col("bank_pos").alias("rep_pos"))
     return (
         texts.join(owners, "btext").join(postings, "rep_pos")
         .select("bank_pos", "term", "df", "w")
@@ -149,7 +154,7 @@ def tfidf_best(queries: DataFrame, bank: DataFrame) -> DataFrame:
 
     Adds ``bank_pos`` and ``score`` to the query rows.
     """
-    key = F.lower("text")
+    key = _key()
     postings = materialize(tfidf_postings(bank), "postings")
     vocabulary = postings.groupBy("term").agg(
         F.first("df").alias("df"), F.first("idf").alias("idf"), F.max("w").alias("top_w")
@@ -230,7 +235,7 @@ def _jaccard() -> Column:
 
 def jaccard_best(queries: DataFrame, bank: DataFrame) -> DataFrame:
     """Best stored text per query by Jaccard similarity of lower-case word sets."""
-    key = F.lower("text")
+    key = _key()
     stored, asked, postings, terms = _token_sides(bank, queries, key, T.token_set("btext"), T.token_set("qtext"))
     seeds = _seeds(terms.where(F.col("df") > 0), postings, F.col("bsize").asc())
     bound = (
@@ -278,7 +283,7 @@ def char_best(queries: DataFrame, bank: DataFrame) -> DataFrame:
     The ratio is at most twice the shared characters over both lengths, which
     gives the prefix and a second, cheap test before the Python comparison.
     """
-    key = F.lower("text")
+    key = _key()
     stored, asked, postings, terms = _token_sides(bank, queries, key, _char_bag("btext"), _char_bag("qtext"))
     # Shared rare words, not shared characters, point at similar texts.
     stored_words = stored.select("bid", F.size("btokens").alias("bsize"), F.explode(T.token_set("btext")).alias("term"))
@@ -311,10 +316,13 @@ def char_best(queries: DataFrame, bank: DataFrame) -> DataFrame:
 # --- What to do with the scores --------------------------------------------------------------
 
 def best_match(scored: DataFrame, bank: DataFrame, threshold: float) -> DataFrame:
-    """Attach the label and reply of the best stored text and the decision."""
+    """Attach the label and reply of the best stored text and the decision.
+
+    Every query keeps its row; an empty bank matches none.
+    """
     stored = bank.select("bank_pos", F.col("label").alias("matched_label"), F.col("reply").alias("stored_reply"))
-    hit = F.round("score", 10) >= threshold
-    return scored.join(stored, "bank_pos").withColumns({
+    hit = F.coalesce(F.round("score", 10) >= threshold, F.lit(False)) & F.col("bank_pos").isNotNull()
+    return scored.join(stored, "bank_pos", "left").withColumns({
         "matched": hit,
         "matched_label": F.when(hit, F.col("matched_label")),
         "stored_reply": F.when(hit, F.col("stored_reply")),
@@ -334,8 +342,8 @@ def threshold_sweep(scored: DataFrame, bank: DataFrame) -> DataFrame:
     levels = F.array(*[F.lit(t) for t in THRESHOLDS])
     cleared = F.size(F.filter(levels, lambda t: F.round(F.col("score"), 10) >= t))
     counts = (
-        scored.join(stored, "bank_pos")
-        .groupBy(cleared.alias("cleared"), (F.col("label") == F.col("bank_label")).alias("right"))
+        scored.join(stored, "bank_pos", "left")
+        .groupBy(cleared.alias("cleared"), F.coalesce(F.col("label") == F.col("bank_label"), F.lit(False)).alias("right"))
         .agg(count_rows().alias("n"))
     )
     steps = counts.select("cleared", "right", "n", F.posexplode(levels).alias("step", "threshold"))

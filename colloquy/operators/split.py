@@ -11,12 +11,16 @@ from colloquy.operators import frames
 from colloquy.operators.frames import count_rows
 
 
-
 def seeded_hash(key: Column, seed: int = SPLIT_SEED) -> Column:
     """The shuffle order: an MD5 of seed and key."""
     return F.md5(F.concat(F.lit(str(seed)), key))
 
 
+def text_key(text: str = "text") -> Column:
+    """Digest of the normalized text; missing text counts as empty."""
+    return F.md5(F.coalesce(T.normalize(text), F.lit("")))
+
+
 def _held(fraction: float) -> Column:
     """True for the lowest ``ceil(fraction * size)`` ranks of a stratum."""
     return F.col("rank") <= F.ceil(F.lit(fraction) * F.col("size"))
@@ -29,7 +33,7 @@ def text_groups(df: DataFrame, text: str = "text", label: str = "label", row_id:
     """
     first = F.min(F.when(F.col(label).isNotNull(), F.struct(row_id, label)))
     return (
-        df.select(F.md5(T.normalize(text)).alias("text_key"), row_id, label)
+        df.select(text_key(text).alias("text_key"), row_id, label)
         .groupBy("text_key").agg(first[label].alias("group_label"), count_rows().alias("copies"))
     )
 
@@ -43,7 +47,7 @@ def group_split(
     ``exact`` takes precisely ``ceil(fraction * n)`` groups per label. Without
     it a hash threshold decides, which needs no ranking or join at all.
     """
-    keyed = df.withColumn("text_key", F.md5(T.normalize(text)))
+    keyed = df.withColumn("text_key", text_key(text))
     if not exact:
         position = F.conv(F.substring(seeded_hash(F.col("text_key"), seed), 1, 8), 16, 10).cast("long")
         held = position < F.lit(int(fraction * (1 << 32)))
@@ -58,14 +62,14 @@ def group_split(
 def split_overlap(split: DataFrame, text: str = "text") -> DataFrame:
     """Normalized texts on both sides; empty for a leak-free split."""
     def side(name: str) -> DataFrame:
-        return split.where(F.col("split") == name).select(F.md5(T.normalize(text)).alias("text_key"))
+        return split.where(F.col("split") == name).select(text_key(text).alias("text_key"))
 
     return side("train").intersect(side("evaluation"))
 
 
 def rows_on_side(df: DataFrame, groups: DataFrame, text: str = "text") -> DataFrame:
     """Rows whose normalized text is among the chosen groups."""
-    return df.withColumn("text_key", F.md5(T.normalize(text))).join(groups, "text_key", "left_semi")
+    return df.withColumn("text_key", text_key(text)).join(groups, "text_key", "left_semi")
 
 
 def split_distribution(split: DataFrame, label: str = "label") -> DataFrame:

@@ -7,6 +7,7 @@ all query/bank pairs), not the way the Spark jobs are laid out.
 from __future__ import annotations
 
 from colloquy.functions import constants as C
+from colloquy.operators.evaluate import STATUS_CV, STATUS_HELD_OUT, STATUS_PENDING
 from colloquy.sources.derived import NOISY_LABELS, OVER_LONG, PHRASES
 
 ORACLES: dict[str, str] = {}
@@ -21,11 +22,11 @@ def _list(values) -> str:
 
 
 def _strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+    return rf"regexp_replace({x}, '^[\s\p{{Z}}\x0b\x1c-\x1f\x85]+|[\s\p{{Z}}\x0b\x1c-\x1f\x85]+$', '', 'g')"
 
 
 def _bare(x: str) -> str:
-    return rf"regexp_replace(regexp_replace({x}, '[^\p{{L}}\p{{N}}_\s\p{{Z}}]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g')"
+    return rf"regexp_replace(regexp_replace({x}, '[^\p{{L}}\p{{N}}_\s\p{{Z}}\x0b\x1c-\x1f\x85]', '', 'g'), '[\s\p{{Z}}\x0b\x1c-\x1f\x85]+', ' ', 'g')"
 
 
 def _normalize(x: str) -> str:
@@ -37,7 +38,7 @@ def _normalize_strict(x: str) -> str:
 
 
 def _words(x: str) -> str:
-    return rf"list_filter(regexp_split_to_array({x}, '[\s\p{{Z}}]+'), lambda w: w <> '')"
+    return rf"list_filter(regexp_split_to_array({x}, '[\s\p{{Z}}\x0b\x1c-\x1f\x85]+'), lambda w: w <> '')"
 
 
 def _word_count(x: str) -> str:
@@ -45,7 +46,7 @@ def _word_count(x: str) -> str:
 
 
 def _audit_tokens(x: str) -> str:
-    return _words(rf"regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s\p{{Z}}'']', ' ', 'g')")
+    return _words(rf"regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s\p{{Z}}\x0b\x1c-\x1f\x85'']', ' ', 'g')")
 
 
 def _model_tokens(x: str) -> str:
@@ -89,7 +90,7 @@ raw_msgs AS (
   SELECT conv_id, conv_id * 100 + turn AS message_id, 's' || CAST(conv_id // 5 AS VARCHAR) AS session_id,
     TIMESTAMP '2024-01-01' + to_minutes(conv_id * 60 + turn // 4) AS ts,
     CASE WHEN k = 12 THEN NULL WHEN k = 13 THEN '   ' WHEN k = 11 THEN repeat({_text(OVER_LONG[0])}, {OVER_LONG[1]})
-      ELSE {_list(PHRASES)}[k + 1] || ' ' || substr(text, 1, 40) END AS message,
+      ELSE {_list(PHRASES)}[k + 1] || ' ' || text END AS message,
     {_list(C.LABELS)}[(conv_id + turn) % 7 + 1] AS emotion,
     (conv_id * 37 + turn * 11) % 100 / 100 AS confidence, reply
   FROM users LEFT JOIN answers USING (conv_id, turn)),
@@ -125,7 +126,7 @@ _PREDS = """preds AS (
     CASE WHEN doc_id % 7 = 0 THEN 'en' WHEN doc_id % 11 = 0 THEN 'fr' ELSE lang END AS pred FROM documents)"""
 _BANK = """bank AS (
   SELECT item_id AS bank_pos, text, 'c' || CAST(item_id % 5 AS VARCHAR) AS label,
-    'Stored reply ' || CAST(item_id AS VARCHAR) AS reply FROM benchmark WHERE item_id % 2 = 0)"""
+    'Stored reply ' || CAST(item_id AS VARCHAR) AS reply FROM benchmark)"""
 _ASKED = """asked AS (
   SELECT item_id AS query_id, 'c' || CAST(item_id % 5 AS VARCHAR) AS label,
     array_to_string(list_filter(string_split(text, ' '), lambda w, i: (i + item_id) % (2 + item_id % 6) <> 0), ' ') AS text
@@ -245,30 +246,29 @@ ORACLES["detect_intent"] = _ctes(_MSGS, _VALID) + f"SELECT message_id, {_INTENT}
 
 _HISTORY = f"""past AS (
   SELECT *, list({{'id': message_id, 'm': message, 'r': response}}) {_over_sessions('ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING')} AS history
-  FROM msgs)"""
+  FROM valid)"""
 _REPLY_OK = (
     f"coalesce(length(response) BETWEEN {C.REPLY_MIN_CHARS} AND {C.REPLY_MAX_CHARS} "
     f"AND NOT {_any(f'lower(response)', C.BANNED_PHRASES)} "
     f"AND coalesce(lower({_strip('response')}) <> lower({_strip('message')}), true) "
     "AND len(list_filter(coalesce(history, []), lambda h: lower(h.r) = lower(response))) = 0, false)"
 )
-ORACLES["reply_validation"] = _ctes(_MSGS, _HISTORY) + (
-    f"SELECT message_id, {_REPLY_OK} AS reply_valid FROM past WHERE candidate_reply IS NOT NULL AND message IS NOT NULL"
+ORACLES["reply_validation"] = _ctes(_MSGS, _VALID, _HISTORY) + (
+    f"SELECT message_id, {_REPLY_OK} AS reply_valid FROM past WHERE candidate_reply IS NOT NULL"
 )
 ORACLES["confidence_tiers"] = _ctes(_LOG) + """
 SELECT CASE WHEN confidence IS NULL THEN NULL WHEN confidence < 0.5 THEN 'clarify'
   WHEN confidence < 0.8 THEN 'cautious' ELSE 'clear' END AS stance, count(*) AS n FROM log GROUP BY 1"""
 
 _ROUTED = f"""routed AS (
-  SELECT * REPLACE ({_strip('message')} AS message) FROM past
-  WHERE NOT {_blank('message')} AND length({_strip('message')}) <= {C.MAX_INPUT_CHARS}),
+  SELECT * FROM past),
 judged AS (
   SELECT *, {_level()} AS risk_level, {_INTENT} AS intent, {_REPLY_OK} AS ok FROM routed)"""
 _SAFE_REPLY = "CASE risk_level " + " ".join(f"WHEN {_text(k)} THEN {_text(v)}" for k, v in C.SAFETY_REPLIES.items()) + " END"
 _PRACTICAL = f"{_list(C.PRACTICAL_REPLIES)}[{_pick(2)} + 1]"
 _LOW = f"{_list(C.LOW_CONFIDENCE_REPLIES)}[{_pick(2)} + 1]"
 _LABELLED = _template("emotion", C.REPLIES, C.LOW_CONFIDENCE_REPLIES)
-ORACLES["response_policy"] = _ctes(_MSGS, _HISTORY, _ROUTED) + f"""
+ORACLES["response_policy"] = _ctes(_MSGS, _VALID, _HISTORY, _ROUTED) + f"""
 SELECT message_id, risk_level, intent,
   CASE WHEN risk_level <> 'normal' THEN 'safety_override' WHEN intent = 'practical_need' THEN 'practical_support'
     WHEN candidate_reply IS NULL THEN 'ollama_unavailable' WHEN ok THEN 'ollama_generated'
@@ -278,6 +278,12 @@ SELECT message_id, risk_level, intent,
   CASE WHEN risk_level <> 'normal' THEN {_SAFE_REPLY} WHEN intent = 'practical_need' THEN {_PRACTICAL}
     WHEN ok THEN response WHEN confidence < {C.LOW_CONFIDENCE} THEN {_LOW} ELSE {_LABELLED} END AS response
 FROM judged"""
+ORACLES["stored_messages"] = (
+    _ctes(_MSGS, _VALID, _HISTORY, _ROUTED) + f"""
+SELECT p.message_id, session_id, message, p.response, {_time('ts')} AS timestamp, p.emotion AS predicted_emotion, p.confidence,
+  p.intent, p.risk_level, p.response_type, 'v1' AS model_version, round(length(message) / 10, 2) AS latency_ms
+FROM judged JOIN ({ORACLES["response_policy"].split(_ctes(_MSGS, _VALID, _HISTORY, _ROUTED))[1]}) p USING (message_id)"""
+)
 _TEMPLATES_ONLY = _ctes(_MSGS, _VALID, f"judged AS (SELECT *, {_level()} AS risk_level, {_INTENT} AS intent FROM valid)") + f"""
 SELECT message_id,
   CASE WHEN risk_level <> 'normal' THEN 'safety_override' WHEN intent = 'practical_need' THEN 'practical_support'
@@ -288,7 +294,7 @@ FROM judged"""
 ORACLES["response_policy_templates_only"] = _TEMPLATES_ONLY
 ORACLES["stream_scoring"] = _TEMPLATES_ONLY
 ORACLES["stream_quarantine"] = _ctes(_MSGS) + f"SELECT message_id, {_REASON} AS reason FROM msgs WHERE {_REASON} IS NOT NULL"
-ORACLES["session_context"] = _ctes(_MSGS, _HISTORY) + rf"""
+ORACLES["session_context"] = _ctes(_MSGS, _VALID, _HISTORY) + rf"""
 SELECT message_id,
   CASE WHEN len(coalesce(history, [])) = 0 THEN '(none)' ELSE array_to_string(list_transform(history,
     lambda h: 'User: ' || coalesce(h.m, 'None') || chr(10) || 'Assistant: ' || coalesce(h.r, 'None')), chr(10)) END AS transcript,
@@ -302,7 +308,7 @@ SELECT CASE emotion WHEN 'click' THEN 'joy' WHEN 'view' THEN 'surprise' WHEN 'pu
 ORACLES["session_last_n"] = _ctes(_MSGS) + f"""
 SELECT session_id, message_id, {_time('ts')} AS ts FROM msgs
 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, message_id DESC) <= {C.MEMORY_TURNS}"""
-ORACLES["message_history"] = _ctes(_MSGS, _HISTORY) + """
+ORACLES["message_history"] = _ctes(_MSGS, _VALID, _HISTORY) + """
 SELECT message_id, session_id, coalesce(array_to_string(list_transform(history, lambda h: CAST(h.id AS VARCHAR)), ','), '') AS history_ids FROM past"""
 ORACLES["feedback_accept"] = _ctes(_MSGS, _FEEDBACK) + """
 SELECT * FROM feedback WHERE helpful IN (0, 1) AND message_id IN (SELECT message_id FROM msgs)"""
@@ -575,5 +581,75 @@ ORACLES["best_score_stats_jaccard"] = _ctes(*_BY_JACCARD) + _STATS
 ORACLES["stream_session_partials"] = _ctes(_LOG) + """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, session_id, emotion, count(*) AS n, count(confidence) AS n_confidence,
   round(sum(confidence), 4) AS sum_confidence, CAST(sum(CASE WHEN confidence < 0.45 THEN 1 WHEN confidence IS NOT NULL THEN 0 END) AS BIGINT) AS n_uncertain
-FROM log WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM log) - INTERVAL 1 HOUR GROUP BY 1, 2, 3"""
+FROM log GROUP BY 1, 2, 3"""
 ORACLES["stream_once_per_message"] = _ctes(_LOG) + "SELECT event_id, session_id FROM log"
+
+ORACLES["stream_session_totals"] = _ctes(_LOG, _LABEL_COUNTS) + f"""
+SELECT s.*, d.dominant_emotion FROM ({ORACLES["session_summary"].split(_ctes(_LOG))[1]}) s LEFT JOIN (
+  SELECT session_id, emotion AS dominant_emotion FROM counts
+  QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC, first_ts, first_event) = 1) d USING (session_id)"""
+
+# --- Models ----------------------------------------------------------------------------------
+
+_BAYES = f"""train AS (SELECT doc_id, label, text FROM marked WHERE split = 'train'),
+held AS (SELECT doc_id, label, text FROM marked WHERE split = 'evaluation'),
+train_tf AS (SELECT doc_id, term, count(*) AS tf FROM (
+  SELECT doc_id, unnest({_ngrams('t')}) AS term FROM (SELECT doc_id, {_model_tokens('text')} AS t FROM train)) GROUP BY 1, 2),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM train)) / (1 + count(*))) + 1 AS idf FROM train_tf GROUP BY 1 HAVING count(*) >= 2),
+train_w AS (SELECT doc_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS w FROM train_tf JOIN idf USING (term)),
+class_terms AS (SELECT label, term, sum(w) AS total FROM train_w JOIN train USING (doc_id) GROUP BY 1, 2),
+classes AS (SELECT label, ln(count(*) / (SELECT count(*) FROM train)) AS prior FROM train GROUP BY 1),
+masses AS (SELECT c.label, prior, ln(coalesce((SELECT sum(total) FROM class_terms k WHERE k.label = c.label), 0) + (SELECT count(*) FROM idf)) AS mass FROM classes c),
+held_tf AS (SELECT doc_id, term, count(*) AS tf FROM (
+  SELECT doc_id, unnest({_ngrams('t')}) AS term FROM (SELECT doc_id, {_model_tokens('text')} AS t FROM held)) GROUP BY 1, 2),
+held_w AS (SELECT doc_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS w FROM held_tf JOIN idf USING (term)),
+joint AS (SELECT h.doc_id, m.label AS cls, m.prior
+    + coalesce((SELECT sum(w.w * (ln(coalesce(k.total, 0) + 1) - m.mass)) FROM held_w w LEFT JOIN class_terms k
+        ON k.term = w.term AND k.label = m.label WHERE w.doc_id = h.doc_id), 0) AS score FROM held h, masses m),
+preds AS (SELECT j.doc_id, h.label, arg_max(j.cls, round(score, 10)) AS pred, 1 / sum(exp(score - top)) AS confidence
+  FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS top FROM joint) j JOIN held h USING (doc_id) GROUP BY 1, 2)"""
+_MARKED = _split_ctes(_CLEAN).removeprefix("WITH ").rstrip()
+ORACLES["predict_nb"] = _ctes(_MARKED, _BAYES) + "SELECT doc_id, pred, round(confidence, 4) AS confidence FROM preds"
+ORACLES["train_nb"] = ORACLES["overall_metrics"].replace(_PREDS, f"{_MARKED},\n{_BAYES.replace('classes AS', 'priors AS').replace('FROM classes c', 'FROM priors c')}")
+
+_FOLD_ROWS = """models AS (
+  SELECT 'first' AS model, doc_id % 5 AS fold, label, pred FROM preds
+  UNION ALL SELECT 'second', doc_id % 5, label, CASE WHEN doc_id % 13 = 0 THEN 'de' ELSE label END FROM preds),
+names AS (SELECT DISTINCT model, fold, label AS name FROM models UNION SELECT DISTINCT model, fold, pred FROM models),
+counted AS (SELECT n.model, n.fold, n.name, count(*) FILTER (m.label = n.name) AS support, count(*) FILTER (m.pred = n.name) AS predicted,
+  count(*) FILTER (m.label = n.name AND m.pred = n.name) AS hits FROM names n JOIN models m ON m.model = n.model AND m.fold = n.fold GROUP BY 1, 2, 3),
+rates AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE hits / predicted END AS p, CASE WHEN support = 0 THEN 0.0 ELSE hits / support END AS r FROM counted),
+scored AS (SELECT *, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f FROM rates),
+folds AS (SELECT model, fold, sum(hits) / sum(support) AS accuracy, avg(f) AS macro_f1, sum(f * support) / sum(support) AS weighted_f1,
+  avg(p) AS macro_precision, avg(r) AS macro_recall FROM scored GROUP BY 1, 2),
+long AS (UNPIVOT folds ON accuracy, macro_f1, weighted_f1, macro_precision, macro_recall INTO NAME metric VALUE score),
+summary AS (SELECT model, metric, round(avg(score), 4) AS mean, round(stddev_pop(score), 4) AS std,
+  string_agg(printf('%.4f', round(score, 4)), ',' ORDER BY fold) AS fold_scores FROM long GROUP BY 1, 2)"""
+ORACLES["fold_summary"] = _ctes(_PREDS, _FOLD_ROWS) + "SELECT * FROM summary"
+ORACLES["model_selection"] = _ctes(_PREDS, _FOLD_ROWS) + """
+SELECT model, mean, std FROM summary WHERE metric = 'weighted_f1' ORDER BY mean DESC, std, model LIMIT 1"""
+_COMPARED = """SELECT model, max(mean) FILTER (metric = 'accuracy') AS accuracy, max(mean) FILTER (metric = 'macro_f1') AS macro_f1,
+  max(mean) FILTER (metric = 'weighted_f1') AS weighted_f1, max(std) FILTER (metric = 'accuracy') AS accuracy_std,
+  max(std) FILTER (metric = 'macro_f1') AS macro_f1_std, max(std) FILTER (metric = 'weighted_f1') AS weighted_f1_std,
+  {status} AS status FROM summary GROUP BY 1"""
+ORACLES["model_comparison"] = _ctes(_PREDS, _FOLD_ROWS) + _COMPARED.format(status=_text(STATUS_CV)) + f"""
+UNION ALL SELECT 'Fine-tuned transformer', NULL, NULL, NULL, NULL, NULL, NULL, {_text(STATUS_PENDING)}"""
+ORACLES["model_comparison_held_out"] = _ctes(_PREDS, _FOLD_ROWS, _CLASSES) + _COMPARED.format(status=_text(STATUS_CV)) + f"""
+UNION ALL SELECT 'chosen', round(sum(hits) / sum(support), 4), round(avg(f), 4), round(sum(f * support) / sum(support), 4),
+  NULL, NULL, NULL, {_text(STATUS_HELD_OUT)} FROM classes"""
+
+# --- Storage ---------------------------------------------------------------------------------
+
+ORACLES["split_round_trip"] = f"SELECT split, label, count(*) AS n FROM ({ORACLES['row_split']}) GROUP BY 1, 2"
+ORACLES["log_round_trip"] = _ctes(_LOG) + f"""
+SELECT session_id, {_time('ts')} AS timestamp, input_length, similarity AS faq_similarity_score, emotion AS predicted_emotion,
+  confidence AS classifier_confidence, response_type, latency_seconds FROM log"""
+ORACLES["feedback_round_trip"] = f"""
+SELECT message_id, helpful, '2024-02-05 00:00:00.000000' AS timestamp FROM ({ORACLES["feedback_accept"]})"""
+ORACLES["delete_session_rewrite"] = _ctes(_MSGS, _VALID) + """
+SELECT message_id, session_id, (SELECT count(*) FROM valid WHERE session_id = 's3') AS deleted_messages FROM valid WHERE session_id <> 's3'"""
+ORACLES["retention_rewrite"] = _ctes(_MSGS, _VALID) + """
+SELECT message_id, (SELECT count(*) FROM valid WHERE ts < TIMESTAMP '2024-01-01 08:00:00') AS deleted_messages
+FROM valid WHERE ts >= TIMESTAMP '2024-01-01 08:00:00'"""
+ORACLES["metrics_round_trip"] = _ctes(*_BY_COSINE, _SWEEP, f"choice AS ({_CHOICE})") + """
+SELECT query_id, score >= (SELECT threshold FROM choice) AS matched, (SELECT threshold FROM choice) AS threshold FROM best"""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import constants as C
 from colloquy.functions import rules as R
 from colloquy.functions import text as T
-from colloquy.operators import audit, evaluate, frames, messages, models, sessions, similarity, split
+from colloquy.operators import audit, bayes, evaluate, frames, messages, models, sessions, similarity, split
 from colloquy.session import scratch_path
 from colloquy.sources import derived as D
 from colloquy.sources import tables
@@ -26,7 +26,6 @@ QUERIES: dict[str, Query] = {}
 SESSION_SHOWN = "s3"
 CLOCK = "2024-02-05 00:00:00"
 MATCH_THRESHOLD = 0.6
-SMALL_MAX_ITER = 20
 AUDITED = ["text", "label"]
 T_SPLIT = "doc_id long, text string, label string, split string"
 
@@ -159,7 +158,7 @@ def detect_intent(spark, sf):
 
 @query
 def reply_validation(spark, sf):
-    rows = messages.with_history(D.msgs(spark, sf)).where(F.col("candidate_reply").isNotNull() & F.col("message").isNotNull())
+    rows = messages.with_history(_accepted(spark, sf)).where(F.col("candidate_reply").isNotNull())
     return messages.check_replies(rows).select("message_id", "reply_valid")
 
 
@@ -170,9 +169,7 @@ def confidence_tiers(spark, sf):
 
 @query
 def response_policy(spark, sf):
-    rows = messages.with_history(D.msgs(spark, sf))
-    routed = messages.route(messages.accepted(messages.validate_messages(rows)))
-    return messages.apply_policy(routed).select(
+    return messages.score_messages(D.msgs(spark, sf), candidates=["candidate_reply"]).select(
         "message_id", "risk_level", "intent", "response_type", "emotion",
         F.round("confidence", 4).alias("confidence"), "response",
     )
@@ -185,10 +182,20 @@ def response_policy_templates_only(spark, sf):
 
 @query
 def session_context(spark, sf):
-    rows = messages.with_context(messages.with_history(D.msgs(spark, sf)))
+    rows = messages.with_context(messages.with_history(_accepted(spark, sf)))
     return rows.select("message_id", "transcript", "stance", "confidence_text", "emotion")
 
 
+@query
+def stored_messages(spark, sf):
+    """Message-table rows, written below the shared folder by day and read back."""
+    scored = messages.score_messages(D.msgs(spark, sf), candidates=["candidate_reply"])
+    path = scratch_path(spark, "messages")
+    tables.append_messages(messages.stored_messages(scored, "v1", F.length("message") / 10), path)
+    rows = tables.read_table(spark, path, tables.MESSAGES).drop("dt")
+    return rows.withColumn("timestamp", shown("timestamp")).withColumn("confidence", F.round("confidence", 4))
+
+
 @query
 def label_remap(spark, sf):
     mapping = {"click": "joy", "view": "surprise", "purchase": "joy", "fear": "fear"}
@@ -205,7 +212,7 @@ def session_last_n(spark, sf):
 
 @query
 def message_history(spark, sf):
-    rows = messages.with_history(D.msgs(spark, sf))
+    rows = messages.with_history(_accepted(spark, sf))
     ids = F.transform("history", lambda h: h["message_id"].cast("string"))
     return rows.select("message_id", "session_id", F.array_join(ids, ",").alias("history_ids"))
 
@@ -478,6 +485,13 @@ def session_transitions(spark, sf):
     return sessions.session_transitions(D.log(spark, sf))
 
 
+@query
+def session_report(spark, sf):
+    """Summary, dominant label, label map, transitions and timeline of one session."""
+    rows = sessions.session_detail(D.log(spark, sf), "u3")
+    return rows.withColumns({c: F.to_json(c) for c in ("emotion_distribution", "transitions", "timeline")})
+
+
 @query
 def session_timeline(spark, sf):
     return sessions.session_timeline(D.log(spark, sf)).withColumn("ts", shown())
@@ -489,10 +503,6 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return D.bank_queries(spark, sf), D.bank(spark, sf)
 
 
-def _first_chars(df: DataFrame) -> DataFrame:
-    return df.withColumn("text", F.substring("text", 1, 150))
-
-
 @query
 def tfidf_weights(spark, sf):
     return similarity.tfidf_weights(D.bank(spark, sf)).withColumn("w", F.round("w", 4))
@@ -559,84 +569,97 @@ def threshold_choice_jaccard(spark, sf):
 def hybrid_route(spark, sf):
     asked, stored = _sides(spark, sf)
     found = similarity.best_match(similarity.tfidf_best(asked, stored), stored, MATCH_THRESHOLD)
-    model = models.fit_models(stored, [models.BAYES])[models.BAYES]
+    model = bayes.fit(stored, row_id="bank_pos")
     rows = asked.withColumn("session_id", F.concat(F.lit("q"), "query_id"))
-    return messages.hybrid_route(rows, found, models.scorer(model, "text"))
+    return messages.hybrid_route(rows, found, bayes.scorer(model, "query_id", "text"))
 
 
 # --- Models ----------------------------------------------------------------------------------
 
-_SPLITS: dict[tuple[str, str], str] = {}
-
-
 def _train_and_eval(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The split as a stored table, which every fit of the session reads."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _SPLITS:
-        path = scratch_path(spark, "split")
-        tables.write_split(split.group_split(D.corpus_clean(spark, sf)).drop("text_key"), path)
-        _SPLITS[key] = path
-    sides = tables.read_table(spark, _SPLITS[key], T_SPLIT)
+    """The two sides of the split, stored once for the passes of one query."""
+    path = scratch_path(spark, "split")
+    tables.write_split(split.group_split(D.corpus_clean(spark, sf)).drop("text_key"), path)
+    sides = tables.read_table(spark, path, T_SPLIT)
     return sides.where("split = 'train'"), sides.where("split = 'evaluation'")
 
 
-def _held_out(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    train, held = _train_and_eval(spark, sf)
-    model = models.fit_models(train, [name], SMALL_MAX_ITER)[name]
-    return models.predict(model, held)
+def _held_out(train: DataFrame, held: DataFrame, name: str) -> DataFrame:
+    return models.predict(models.fit_models(train, [name])[name], held)
 
 
 @query
 def train_logreg(spark, sf):
-    return evaluate.overall_metrics(_held_out(spark, sf, models.LOGREG))
+    return evaluate.overall_metrics(_held_out(*_train_and_eval(spark, sf), models.LOGREG))
 
 
 @query
 def train_svm(spark, sf):
-    return evaluate.overall_metrics(_held_out(spark, sf, models.SVM))
+    return evaluate.overall_metrics(_held_out(*_train_and_eval(spark, sf), models.SVM))
 
 
 @query
 def train_nb(spark, sf):
-    return evaluate.overall_metrics(_held_out(spark, sf, models.BAYES))
+    train, held = _train_and_eval(spark, sf)
+    return evaluate.overall_metrics(bayes.predict(bayes.fit(train), held))
+
+
+@query
+def predict_nb(spark, sf):
+    train, held = _train_and_eval(spark, sf)
+    return bayes.predict(bayes.fit(train), held).select("doc_id", "pred", F.round("confidence", 4).alias("confidence"))
 
 
 @query
 def score_confidence(spark, sf):
-    return _held_out(spark, sf, models.SVM).select("doc_id", "label", "pred", F.round("confidence", 4).alias("confidence"))
+    scored = _held_out(*_train_and_eval(spark, sf), models.SVM)
+    return scored.select("doc_id", "label", "pred", F.round("confidence", 4).alias("confidence"))
 
 
-_FOLD_METRICS: dict[tuple[str, str], DataFrame] = {}
+@query
+def cv_summary(spark, sf):
+    return evaluate.cv_summary(models.cross_validate(_train_and_eval(spark, sf)[0]))
+
+
+@query
+def holdout_eval(spark, sf):
+    """Cross-validate, choose the best model, and judge it on rows no fit has seen."""
+    train, held = _train_and_eval(spark, sf)
+    name = models.best_name(evaluate.cv_summary(models.cross_validate(train)))
+    return evaluate.overall_metrics(_held_out(train, held, name)).withColumn("model", F.lit(name))
 
 
-def _cv(spark: SparkSession, sf: str) -> DataFrame:
-    """Cross-validation results; later steps of a session read the stored table."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _FOLD_METRICS:
-        train, _ = _train_and_eval(spark, sf)
-        _FOLD_METRICS[key] = models.cross_validate(train, max_iter=SMALL_MAX_ITER)
-    return evaluate.cv_summary(_FOLD_METRICS[key])
+def _fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of two stand-in models, which err on different documents, in five folds."""
+    rows = D.preds(spark, sf).withColumn("fold", (F.col("doc_id") % 5).cast("int"))
+    first = rows.withColumn("model", F.lit("first"))
+    second = rows.withColumn("model", F.lit("second")).withColumn(
+        "pred", F.when(F.col("doc_id") % 13 == 0, "de").otherwise(F.col("label"))
+    )
+    return evaluate.overall_metrics(first.unionByName(second), ["model", "fold"], digits=None)
 
 
 @query
-def cv_summary(spark, sf):
-    return _cv(spark, sf)
+def fold_summary(spark, sf):
+    rows = evaluate.cv_summary(_fold_metrics(spark, sf))
+    shown_scores = F.transform("fold_scores", lambda x: F.format_string("%.4f", x))
+    return rows.withColumn("fold_scores", F.array_join(shown_scores, ","))
 
 
 @query
 def model_selection(spark, sf):
-    return evaluate.select_model(_cv(spark, sf))
+    return evaluate.select_model(evaluate.cv_summary(_fold_metrics(spark, sf)))
 
 
 @query
 def model_comparison(spark, sf):
-    return evaluate.comparison_table(_cv(spark, sf), None, "Fine-tuned transformer")
+    return evaluate.comparison_table(evaluate.cv_summary(_fold_metrics(spark, sf)), None, "Fine-tuned transformer")
 
 
 @query
-def holdout_eval(spark, sf):
-    name = models.best_name(_cv(spark, sf))
-    return evaluate.overall_metrics(_held_out(spark, sf, name)).withColumn("model", F.lit(name))
+def model_comparison_held_out(spark, sf):
+    held = evaluate.overall_metrics(D.preds(spark, sf)).withColumn("model", F.lit("chosen"))
+    return evaluate.comparison_table(evaluate.cv_summary(_fold_metrics(spark, sf)), held, None)
 
 
 # --- Streams ---------------------------------------------------------------------------------
@@ -654,32 +677,121 @@ def _run(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-@query
-def stream_scoring(spark, sf):
+def _score_messages_stream(spark: SparkSession, sf: str) -> tuple[str, str]:
     schema = D.load(spark, sf, "conversations").schema
     turns = jobs.read_stream(spark, sf, schema, "conversations.parquet").where(F.col("role") == "user")
-    scored, _ = jobs.score_stream(turns.select(*D.message_columns()))
-    return _run(scored.select("message_id", "response_type", "response"), "scored")
+    scored, rejected = scratch_path(spark, "scored"), scratch_path(spark, "rejected")
+    jobs.score_to(turns.select(*D.message_columns()), scored, rejected, scratch_path(spark, "state")).awaitTermination()
+    return scored, rejected
+
+
+@query
+def stream_scoring(spark, sf):
+    scored, _ = _score_messages_stream(spark, sf)
+    return tables.read_table(spark, scored).select("message_id", "response_type", "response")
 
 
 @query
 def stream_quarantine(spark, sf):
-    schema = D.load(spark, sf, "conversations").schema
-    turns = jobs.read_stream(spark, sf, schema, "conversations.parquet").where(F.col("role") == "user")
-    _, rejected = jobs.score_stream(turns.select(*D.message_columns()))
-    return _run(rejected.select("message_id", "reason"), "quarantine")
+    _, rejected = _score_messages_stream(spark, sf)
+    return tables.read_table(spark, rejected).select("message_id", "reason")
+
+
+def _partials(spark: SparkSession, sf: str) -> DataFrame:
+    partials = jobs.session_partials(_events_stream(spark, sf))
+    path = scratch_path(spark, "partials")
+    jobs.update_table(partials, path, scratch_path(spark, "partials-state")).awaitTermination()
+    return jobs.latest(spark, path, partials.schema, ["day", "session_id", "emotion"])
 
 
 @query
 def stream_session_partials(spark, sf):
-    partials = _run(jobs.session_partials(_events_stream(spark, sf)), "partials")
-    return partials.select(
+    return _partials(spark, sf).select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), "session_id", "emotion", "n", "n_confidence",
         F.round("sum_confidence", 4).alias("sum_confidence"), "n_uncertain",
     )
 
 
+@query
+def stream_session_totals(spark, sf):
+    """Live session analytics: all days of the stream, the open one included, added up."""
+    return jobs.merge_partials(_partials(spark, sf))
+
+
 @query
 def stream_once_per_message(spark, sf):
+    """Every event arrives twice and is stored once."""
     rows = _events_stream(spark, sf)
-    return _run(jobs.once_per_message(rows, key="event_id").select("event_id", "session_id"), "once")
+    return _run(jobs.once_per_message(rows.unionByName(rows), key="event_id").select("event_id", "session_id"), "once")
+
+
+# --- Storage ---------------------------------------------------------------------------------
+
+@query
+def split_round_trip(spark, sf):
+    path = scratch_path(spark, "sides")
+    tables.write_split(split.row_split(D.corpus_clean(spark, sf)).select("doc_id", "label", "split"), path)
+    sides = tables.read_table(spark, path, "doc_id long, label string, split string")
+    return sides.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def log_round_trip(spark, sf):
+    path = scratch_path(spark, "log")
+    rows = D.log(spark, sf).select(
+        "session_id", F.col("ts").cast("timestamp").alias("timestamp"), F.col("input_length"),
+        F.col("similarity").alias("faq_similarity_score"), F.col("emotion").alias("predicted_emotion"),
+        F.col("confidence").alias("classifier_confidence"), "response_type", "latency_seconds",
+    )
+    for kind in ("fallback", "faq_match", "classifier_generated", "validation_error"):
+        tables.append_log(rows.where(F.col("response_type") == kind), path)
+    stored = tables.read_table(spark, path, tables.LOG)
+    return stored.withColumn("timestamp", shown("timestamp"))
+
+
+@query
+def feedback_round_trip(spark, sf):
+    path = scratch_path(spark, "feedback")
+    votes = messages.feedback_accept(D.feedback(spark, sf), D.msgs(spark, sf))
+    tables.append_feedback(votes.withColumn("timestamp", F.lit(CLOCK).cast("timestamp")), path)
+    return tables.read_table(spark, path, tables.FEEDBACK).select("message_id", "helpful", shown("timestamp"))
+
+
+def _message_table(spark: SparkSession, sf: str) -> str:
+    path = scratch_path(spark, "messages")
+    scored = messages.score_messages(D.msgs(spark, sf), candidates=["candidate_reply"])
+    tables.append_messages(messages.stored_messages(scored, "v1", F.lit(0.0)), path)
+    return path
+
+
+@query
+def delete_session_rewrite(spark, sf):
+    """The message table without one session, written anew; the count of deleted rows stands in every row."""
+    path, out = _message_table(spark, sf), scratch_path(spark, "kept")
+    gone = tables.rewrite_where(spark, path, out, F.col("session_id") != SESSION_SHOWN, tables.MESSAGES)
+    rows = tables.read_table(spark, out, tables.MESSAGES)
+    return rows.select("message_id", "session_id", F.lit(gone).cast("long").alias("deleted_messages"))
+
+
+@query
+def retention_rewrite(spark, sf):
+    """The message table without old rows, written anew, with the count of deleted rows."""
+    path, out = _message_table(spark, sf), scratch_path(spark, "kept")
+    cutoff = F.lit("2024-01-01 08:00:00").cast("timestamp")
+    gone = tables.rewrite_where(spark, path, out, F.col("timestamp") >= cutoff, tables.MESSAGES)
+    rows = tables.read_table(spark, out, tables.MESSAGES)
+    return rows.select("message_id", F.lit(gone).cast("long").alias("deleted_messages"))
+
+
+@query
+def metrics_round_trip(spark, sf):
+    """The threshold choice stored as a document, and the threshold read back from it by the router."""
+    path = scratch_path(spark, "choice")
+    chosen = threshold_choice(spark, sf).select(
+        F.create_map(F.lit("tfidf"), F.struct("threshold")).alias("chosen_thresholds")
+    )
+    tables.write_document(chosen, path)
+    asked, stored = _sides(spark, sf)
+    threshold = tables.chosen_threshold(spark, path, "tfidf")
+    found = similarity.best_match(similarity.tfidf_best(asked, stored), stored, threshold)
+    return found.select("query_id", "matched", F.lit(threshold).alias("threshold"))

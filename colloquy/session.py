@@ -35,12 +35,16 @@ def build_session(app: str = "colloquy", master: str | None = None, **extra: str
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (tests, local mode) is a temporary folder
-    made, once per session.
+    Only when the setting is absent in local mode (tests) is a temporary folder
+    made, once per session; on a cluster its absence is an error, because
+    executors would each write to a disk of their own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = getattr(spark, "_colloquy_dir", None)
     if made is None:
         made = tempfile.mkdtemp(prefix="run-", dir="/tmp")

@@ -36,7 +36,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.spread(load(spark, sf_dir, "documents"), "doc_id")
+    return load(spark, sf_dir, "documents")
 
 
 def _by_position(values: tuple[str, ...], index: Column) -> Column:
@@ -50,7 +50,7 @@ def user_message(conv: Column, turn: Column, text: Column) -> Column:
         F.when(k == 12, F.lit(None).cast("string"))
         .when(k == 13, F.lit("   "))
         .when(k == 11, F.lit(OVER_LONG[0] * OVER_LONG[1]))
-        .otherwise(F.concat(opening, F.lit(" "), F.substring(text, 1, 40)))
+        .otherwise(F.concat(opening, F.lit(" "), text))
     )
 
 
@@ -154,10 +154,10 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored texts: the even benchmark rows."""
+    """Stored texts: every benchmark row."""
     item = F.col("item_id")
     return (
-        load(spark, sf_dir, "benchmark").where(item % 2 == 0)
+        load(spark, sf_dir, "benchmark")
         .select(
             item.alias("bank_pos"), "text",
             F.concat(F.lit("c"), (item % 5).cast("string")).alias("label"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,17 +50,20 @@ CHOSEN = T.StructType([
 ])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, null_value: str = "") -> DataFrame:
-    """CSV with a header, quoted commas and quoted line breaks."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("nullValue", null_value)
-        .csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, null_value: str = "", multi_line: bool = True) -> DataFrame:
+    """CSV with a header and quoted commas, columns found by their header names and cast to ``schema``.
+
+    The header must hold exactly the names of ``schema``, in any order. Quoted
+    line breaks need ``multi_line``, with which a file is read by one task; a
+    table without free text should turn it off, and large corpora be converted to
+    Parquet once.
+    """
+    rows = (
+        spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
+        .option("nullValue", null_value).csv(path)
     )
+    named = require_columns(rows, tuple(schema.fieldNames()))
+    return named.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +71,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, LOG)
+    return read_csv(spark, path, LOG, multi_line=False)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -77,20 +80,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
-FEW_PARTITIONS = 32
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal a small input over the idle cores.
-
-    A single small file gives one task, however heavy the text work on it is.
-    Inputs of more than a few partitions, as at scale, are left as they are.
-    """
-    parts = df.rdd.getNumPartitions()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if parts < min(cores, FEW_PARTITIONS) else df
-
-
 def require_columns(df: DataFrame, expected: tuple[str, ...] = CORPUS_COLUMNS) -> DataFrame:
     """Fail unless the columns are exactly the expected set."""
     if set(df.columns) != set(expected):
@@ -116,6 +105,23 @@ def append_messages(df: DataFrame, path: str) -> None:
     )
 
 
+def append_feedback(df: DataFrame, path: str) -> None:
+    """Append accepted votes."""
+    df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FEEDBACK.fields]).write.mode("append").parquet(path)
+
+
+def rewrite_where(spark: SparkSession, path: str, out: str, keep: Column, schema: T.StructType) -> int:
+    """Write the rows of a day-partitioned table that ``keep`` holds for to ``out``; the number of rows left out.
+
+    The old table stays untouched until the caller points readers at the new
+    one, so a job that fails half-way loses nothing.
+    """
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("dt", T.DateType())])).parquet(path)
+    kept = F.coalesce(keep, F.lit(False))
+    rows.where(kept).write.partitionBy("dt").parquet(out)
+    return rows.where(~kept).count()
+
+
 def write_document(df: DataFrame, path: str) -> None:
     """A small nested result as JSON, one document per row."""
     df.write.mode("overwrite").json(path)

@@ -37,14 +37,53 @@ def append_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def score_stream(stream: DataFrame, scorer=None, candidates=()) -> tuple[DataFrame, DataFrame]:
-    """Scored messages and quarantined messages of a stream.
+def update_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write what each batch changed, open groups included, below ``path``.
 
-    History needs ordered state, so streamed replies are checked without it.
+    A batch that runs again overwrites its own folder, so results count once.
     """
-    scored = messages.score_messages(stream, scorer, candidates)
-    rejected = messages.quarantined(messages.validate_messages(stream))
-    return scored, rejected
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        .foreachBatch(put).trigger(availableNow=True).start()
+    )
+
+
+def latest(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The newest state of each group that :func:`update_table` wrote."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    newest = F.max_by(F.struct(*schema.fieldNames()), "batch").alias("row")
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(newest).select("row.*")
+
+
+def score_to(
+    stream: DataFrame, scored_path: str, rejected_path: str, checkpoint: str, scorer=None, candidates=(),
+    stored: DataFrame | None = None,
+) -> StreamingQuery:
+    """Score a stream of messages and quarantine the rejected ones, in one pass over the source.
+
+    Each batch is scored by the batch operator. Replies are checked against the
+    history in ``stored`` (accepted earlier messages with their responses) and in
+    the batch itself. A batch that runs again overwrites its own two folders.
+    """
+    def put(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        checked = messages.validate_messages(rows)
+        fresh = messages.accepted(checked)
+        if stored is not None:
+            columns = fresh.columns
+            known = fresh.select("message_id")
+            earlier = stored.join(known, "message_id", "left_anti").join(fresh.select("session_id").distinct(), "session_id", "left_semi")
+            together = messages.with_history(fresh.unionByName(earlier.select(*columns)))
+            fresh = together.join(known, "message_id", "left_semi")
+        answered = messages.answer(fresh, scorer, candidates)
+        answered.drop("history").write.mode("overwrite").parquet(f"{scored_path}/batch={batch_id}")
+        messages.quarantined(checked).write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
+        rows.unpersist()
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def once_per_message(stream: DataFrame, delay: str = "1 hour", key: str = "message_id") -> DataFrame:
@@ -55,9 +94,10 @@ def once_per_message(stream: DataFrame, delay: str = "1 hour", key: str = "messa
 def session_partials(stream: DataFrame, delay: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Per session, label and day: counts that can be added up later.
 
-    The watermark closes a day, its rows are emitted once and its state is
-    dropped, so state does not grow with the age of the stream. The first-seen
-    time keeps the tie-break of the dominant label.
+    In update mode (:func:`update_table`) every change of a day comes out, the
+    open day included. The watermark closes a day and drops its state, so state
+    does not grow with the age of the stream. The first-seen time keeps the
+    tie-break of the dominant label.
     """
     confidence = F.col("confidence")
     return (

@@ -1,0 +1,27 @@
+import math
+
+import pytest
+
+from colloquy.operators import bayes
+
+ROWS = [(0, "sun sun day", "a"), (1, "sun day off", "a"), (2, "rain day", "b"), (3, "rain off", "b"), (4, None, "b"), (5, "rain", None)]
+
+
+def test_closed_form(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, label string")
+    model = bayes.fit(df)
+    logs = {r.term: dict(r.logs) for r in model.terms.collect()}
+    assert set(logs) == {"sun", "day", "off", "rain", "sun day"}
+    n, df_of = 5, {"sun": 2, "day": 3, "off": 2, "rain": 2, "sun day": 2}
+    idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df_of.items()}
+
+    def unit(counts):
+        raw = {t: c * idf[t] for t, c in counts.items()}
+        size = math.sqrt(sum(x * x for x in raw.values()))
+        return {t: x / size for t, x in raw.items()}
+
+    first, second = unit({"sun": 2, "day": 1, "sun day": 1}), unit({"sun": 1, "day": 1, "off": 1, "sun day": 1})
+    assert logs["sun"]["a"] == pytest.approx(math.log1p(first["sun"] + second["sun"]))
+    got = {r.doc_id: r for r in bayes.predict(model, df).collect()}
+    assert [got[i].pred for i in range(4)] == ["a", "a", "b", "b"] and len(got) == 6
+    assert got[4].pred == "b" and got[4].confidence == pytest.approx(3 / 5)

@@ -95,3 +95,13 @@ def test_no_all_pairs_in_the_plan(spark, texts):
     for measure in (S.tfidf_best, S.jaccard_best, S.char_best):
         plan = measure(q, b)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_queries_without_text_and_empty_banks_keep_their_rows(spark):
+    asked = spark.createDataFrame([(1, None, "a"), (2, "red fox", "a")], "query_id long, text string, label string")
+    bank = spark.createDataFrame([(1, "red fox jumps", "a", "r"), (2, None, "b", "s")], "bank_pos long, text string, label string, reply string")
+    for best in (S.tfidf_best, S.jaccard_best):
+        got = {r.query_id: r for r in best(asked, bank).collect()}
+        assert got[1].score == 0.0 and got[2].score > 0 and got[2].bank_pos == 1
+        none = S.best_match(best(asked, bank.limit(0)), bank.limit(0), 0.6).collect()
+        assert len(none) == 2 and not any(r.matched for r in none)

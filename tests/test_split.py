@@ -73,3 +73,9 @@ def test_membership(corpus):
     out = S.group_split(corpus)
     keys = out.where("split = 'evaluation'").select("text_key").distinct()
     assert S.rows_on_side(corpus, keys).count() == out.where(F.col("split") == "evaluation").count()
+
+
+def test_rows_without_text_keep_a_side(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, "x y", "a"), (3, None, "b"), (4, "", "a")], "doc_id long, text string, label string")
+    rows = {r.doc_id: r.split for r in S.group_split(df).collect()}
+    assert len(rows) == 4 and rows[1] == rows[3] == rows[4]

@@ -25,15 +25,30 @@ def chat(spark, tmp_path):
     return df, jobs.read_stream(spark, str(tmp_path / "in"), df.schema, files_per_trigger=1)
 
 
-def test_stream_equals_batch(chat, tmp_path):
+def test_stream_equals_batch(chat, spark, tmp_path):
     df, stream = chat
-    scored, rejected = jobs.score_stream(stream)
-    got = {tuple(r) for r in run(scored, tmp_path, "scored").collect()}
-    assert got == {tuple(r) for r in messages.score_messages(df).collect()}
-    bad = {r.message_id for r in run(rejected, tmp_path, "bad").collect()}
+    paths = [str(tmp_path / name) for name in ("scored", "rejected", "state")]
+    jobs.score_to(stream, *paths).awaitTermination()
+    want = messages.score_messages(df)
+    got = {tuple(r) for r in spark.read.parquet(paths[0]).select(*want.columns).collect()}
+    assert got == {tuple(r) for r in want.collect()}
+    bad = {r.message_id for r in spark.read.parquet(paths[1]).collect()}
     assert bad == {i for i in range(70) if i % 7 in (3, 4, 5)} and len(got) + len(bad) == 70
 
 
+def test_streamed_replies_are_checked_against_history(spark, tmp_path):
+    said = "I hear you and I am listening."
+    schema = MESSAGE + ", candidate_reply string, response string"
+    rows = spark.createDataFrame([(2, "s", AT + timedelta(minutes=1), "hello", "joy", 0.9, said, said)], schema)
+    rows.write.parquet(str(tmp_path / "in"))
+    stored = spark.createDataFrame([(1, "s", AT, "hi", "joy", 0.9, said, said)], schema)
+    for name, known, kind in (("with", stored, "ollama_validation_fallback"), ("without", stored.limit(0), "ollama_generated")):
+        stream = jobs.read_stream(spark, str(tmp_path / "in"), rows.schema)
+        paths = [str(tmp_path / f"{name}-{x}") for x in ("scored", "rejected", "state")]
+        jobs.score_to(stream, *paths, candidates=["candidate_reply"], stored=known).awaitTermination()
+        assert [r.response_type for r in spark.read.parquet(paths[0]).collect()] == [kind]
+
+
 def test_repeats_are_dropped(chat, spark, tmp_path):
     df, _ = chat
     df.limit(20).write.mode("append").parquet(str(tmp_path / "in"))
@@ -48,15 +63,17 @@ def test_partials_add_up_to_batch(spark, tmp_path):
         for i in range(24 * 6)
     ]
     schema = "event_id long, session_id string, ts timestamp, emotion string, confidence double"
-    # A last far-off row moves the watermark past all other days.
-    df = spark.createDataFrame(rows + [(9999, "end", AT + timedelta(days=30), "a", 0.5)], schema)
+    df = spark.createDataFrame(rows, schema)
     for day in range(0, 7):
         low = AT + timedelta(days=day)
         df.where((F.col("ts") >= low) & (F.col("ts") < low + timedelta(days=1 if day < 6 else 99))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = jobs.read_stream(spark, str(tmp_path / "in"), df.schema)
-    partials = run(jobs.session_partials(stream), tmp_path, "partials")
-    got = {tuple(r) for r in jobs.merge_partials(partials).collect()}
-    real = df.where("session_id <> 'end'")
+    partials = jobs.session_partials(stream)
+    path = str(tmp_path / "partials")
+    jobs.update_table(partials, path, str(tmp_path / "state")).awaitTermination()
+    newest = jobs.latest(spark, path, partials.schema, ["day", "session_id", "emotion"])
+    got = {tuple(r) for r in jobs.merge_partials(newest).collect()}
+    real = df
     want = {
         tuple(r) for r in sessions.session_summary(real)
         .join(sessions.session_dominant(real).select("session_id", "dominant_emotion"), "session_id")

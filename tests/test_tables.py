@@ -89,7 +89,32 @@ def test_shared_folder_is_read_from_the_session(spark):
     assert shared_dir(spark) == shared_dir(spark) and materialize(spark.range(5), "t").count() == 5
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    assert tables.spread(spark.range(100, numPartitions=1), "id").rdd.getNumPartitions() == 4
-    many = spark.range(100, numPartitions=8)
-    assert tables.spread(many, "id") is many
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "swapped.csv"
+    path.write_text('bot_response,user_input,emotion_label\n"a, b",hello,joy\n')
+    row = tables.read_corpus(spark, str(path)).first()
+    assert (row.user_input, row.emotion_label, row.bot_response) == ("hello", "joy", "a, b")
+    path.write_text("bot_response,user_input\nx,y\n")
+    with pytest.raises(ValueError):
+        tables.read_corpus(spark, str(path))
+
+
+def test_rewrite_counts_what_it_leaves_out(spark, tmp_path):
+    rows = spark.range(10).selectExpr("id message_id", "concat('s', id % 2) session_id", "timestamp'2024-01-01' timestamp")
+    full = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in tables.MESSAGES.fields])
+    tables.append_messages(full, str(tmp_path / "old"))
+    gone = tables.rewrite_where(spark, str(tmp_path / "old"), str(tmp_path / "new"), F.col("session_id") != "s1", tables.MESSAGES)
+    assert gone == 5 and tables.read_table(spark, str(tmp_path / "new"), tables.MESSAGES).count() == 5
+    assert "dt" not in tables.MESSAGES.fieldNames()
+
+
+def test_no_local_folder_on_a_cluster():
+    class Far:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Far())
