@@ -269,12 +269,15 @@ def grouped_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     modest_batches(docs.sparkSession)
     signed = materialize(signed_documents(docs, doc_id, text), "signed")
-    nodes = signed.where("n > 0").groupBy("node").agg(F.first("keys").alias("keys"))
+    nodes = signed.where("n > 0").groupBy("node").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("first_id"))
     lists = materialize(prefix_lists(nodes), "lists")
 
     def bodies_of(wanted: DataFrame) -> DataFrame:
-        texts = docs.select(_node(text).alias("node"), whole_text(text).alias("text"))
-        return texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        # One row of each text, found by text and id together, so that copies are not gathered in one task.
+        places = nodes.join(wanted, "node", "left_semi").select(F.col("node").alias("_node"), "first_id")
+        texts = docs.select(_node(text).alias("node"), whole_text(text).alias("text"), F.col(doc_id).alias("_id"))
+        one = texts.join(places, (F.col("node") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("first_id")), "left_semi")
+        return one.groupBy("node").agg(F.first("text").alias("text"))
 
     return _labelled(signed, linked_components(lists, bodies_of, MATCHES))
 
