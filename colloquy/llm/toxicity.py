@@ -158,11 +158,14 @@ def fit_chain(
         weights.append(np.array(model.coefficients.toArray()))
         biases.append(float(np.clip(model.intercept, -30, 30)))
         if i + 1 < len(categories):
-            parts = [
-                learner.fit(data.where(F.col("fold") != fold)).transform(data.where(F.col("fold") == fold))
-                .select("key", vector_to_array("probability")[1].alias("_p"))
-                for fold in range(FOLDS) if not data.where(F.col("fold") != fold).isEmpty()
-            ]
+            parts = []
+            for fold in range(FOLDS):
+                others = data.where(F.col("fold") != fold)
+                own = model if others.isEmpty() else learner.fit(others)
+                parts.append(
+                    own.transform(data.where(F.col("fold") == fold))
+                    .select("key", F.element_at(vector_to_array("probability"), -1).alias("_p"))
+                )
             unseen = materialize(reduce(DataFrame.unionByName, parts), "unseen")
             rows = (
                 rows.join(unseen, "key")
