@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,8 @@ WORDS = 5
 COORDINATES, MATCHES = 32, 12
 #: Coordinate lists of up to so many texts give all their pairs; longer ones are compared through a hub.
 SHORT_LIST = 8
+#: Hubs that a long list may have before what is far from all of them is compared text by text.
+HUBS = 4
 #: Texts of a hub's group that its core is taken from, and how many of them must hold a shingle of the core.
 CORE_TEXTS, CORE_LEAST = 32, 2
 _SEEDS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64))
@@ -94,26 +96,42 @@ def _matches(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def first_pairs(lists: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of short lists with ``least`` matches, and the stars of long lists with the matches of each ray.
-
-    The hub of a long list is the member whose coordinates are the commonest:
-    the one nearest to the middle of a group of copies.
-    """
+def short_pairs(lists: DataFrame, least: int) -> DataFrame:
+    """Pairs of short lists with at least ``least`` matches."""
     short = lists.where(F.col("size") <= SHORT_LIST)
     left = short.select("key", F.col("node").alias("a"), F.col("keys").alias("keys_a"))
     right = short.select("key", F.col("node").alias("b"), F.col("keys").alias("keys_b"))
-    pairs = (
+    return (
         left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (_matches("keys_a", "keys_b") >= least))
         .select("a", "b").distinct()
     )
-    long_lists = lists.where(F.col("size") > SHORT_LIST)
-    hubs = materialize(
-        long_lists.groupBy("key").agg(F.max(F.struct("score", "node", "keys")).alias("top"))
-        .select("key", F.col("top.node").alias("hub"), F.col("top.keys").alias("hub_keys")), "hubs",
+
+
+def stars(lists: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Hubs of long lists: ``key, hub, node, level`` of the texts near one, and ``key, node, keys, levels`` of all texts.
+
+    The first hub of a list is the member whose coordinates are the commonest,
+    the one nearest to the middle of a group of copies. Where members are far
+    from it (fewer than ``least`` matches), one of those is the next hub of the
+    list, and so on ``HUBS`` times; every hub is held against the whole list.
+    ``levels`` are the hubs of its list that a text is near.
+    """
+    members = materialize(lists.where(F.col("size") > SHORT_LIST).select("key", "node", "score", "keys"), "members")
+    left, near = members, []
+    for level in range(HUBS):
+        hubs = materialize(
+            left.groupBy("key").agg(F.max(F.struct("score", "node", "keys")).alias("top"))
+            .select("key", F.col("top.node").alias("hub"), F.col("top.keys").alias("hub_keys")), "hubs",
+        )
+        rays = members.join(hubs, "key").where(_matches("keys", "hub_keys") >= least)
+        near.append(rays.select("key", "hub", "node", F.lit(level).alias("level")))
+        left = materialize(left.join(hubs, "key").where(_matches("keys", "hub_keys") < least).drop("hub", "hub_keys"), "far")
+    near = materialize(reduce(DataFrame.unionByName, near), "near")
+    levels = materialize(near.groupBy("key", "node").agg(F.collect_set("level").alias("levels")), "levels")
+    placed = members.join(levels, ["key", "node"], "left").select(
+        "key", "node", "keys", F.coalesce("levels", F.array().cast("array<int>")).alias("levels"),
     )
-    stars = long_lists.join(hubs, "key").select("key", "hub", "node", "keys", _matches("keys", "hub_keys").alias("matches"))
-    return pairs, stars
+    return near, materialize(placed, "placed")
 
 
 @lru_cache(maxsize=64)
@@ -163,7 +181,7 @@ def _rests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
-def closing_pairs(stars: DataFrame, bodies: DataFrame, components: DataFrame, least: int) -> DataFrame:
+def closing_pairs(rays: DataFrame, placed: DataFrame, bodies: DataFrame, components: DataFrame, least: int) -> DataFrame:
     """Pairs of long lists that the stars leave open and that may still be similar enough.
 
     A list is open where its texts belong to several components. Texts near the
@@ -171,11 +189,14 @@ def closing_pairs(stars: DataFrame, bodies: DataFrame, components: DataFrame, le
     share: two texts can have at most ``min(inside) + common rest`` shingles in
     common, ``rest`` being what lies outside the core. So only pairs from two
     components are kept that share enough of their rests, or that differ so much
-    in size that the core alone might do. Texts far from a hub are compared
-    with the whole list by matches. Nothing that can be linked is left out.
+    in size that the core alone might do. Two texts of a list that are near no
+    hub in common are compared by matches. Nothing that can be linked is left
+    out.
     """
-    placed = stars.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    near = placed.where(F.col("matches") >= least).select("hub", "node", "component").distinct()
+    def with_component(df: DataFrame) -> DataFrame:
+        return df.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    near = with_component(rays.select("hub", "node").distinct())
     main = materialize(
         near.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("rows"))
         .groupBy("hub").agg(F.max(F.struct("rows", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
@@ -214,14 +235,17 @@ def closing_pairs(stars: DataFrame, bodies: DataFrame, components: DataFrame, le
     other = side("b")
     sized = odd.join(other, (odd["hub"] == other["hub"]) & (odd["n_b"] == other["n_b"])
                      & (F.col("component_a") != F.col("component_b")) & (7 * inside >= 3 * (odd["n_a"] + other["n_b"])))
-    far = placed.where(F.col("matches") < least).select(
-        "key", F.col("node").alias("node_a"), F.col("keys").alias("keys_a"), F.col("component").alias("component_a"),
-    )
-    members = placed.select(
-        "key", F.col("node").alias("node_b"), F.col("keys").alias("keys_b"), F.col("component").alias("component_b"),
+    placed = materialize(with_component(placed), "placed")
+
+    def member(name: str) -> DataFrame:
+        return placed.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "keys", "component", "levels")])
+
+    far, other_member = member("a").where(~F.array_contains("levels_a", 0)), member("b")
+    distant = far.join(
+        other_member,
+        (far["key"] == other_member["key"]) & (F.col("component_a") != F.col("component_b"))
+        & ~F.arrays_overlap("levels_a", "levels_b") & (_matches("keys_a", "keys_b") >= least),
     )
-    distant = far.join(members, (far["key"] == members["key"]) & (F.col("component_a") != F.col("component_b"))
-                       & (_matches("keys_a", "keys_b") >= least))
     found = sharing.unionByName(sized.select("node_a", "node_b")).unionByName(distant.select("node_a", "node_b"))
     return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
@@ -235,16 +259,16 @@ def linked_components(lists: DataFrame, bodies_of: Callable[[DataFrame], DataFra
     to ``SHORT_LIST`` texts give all their pairs, longer ones a star and what
     :func:`closing_pairs` adds.
     """
-    pairs, stars = first_pairs(lists, least)
-    pairs, stars = materialize(pairs, "pairs"), materialize(stars, "stars")
-    rays = stars.where((F.col("matches") >= least) & (F.col("hub") != F.col("node")))
-    tested = materialize(pairs.unionByName(
-        rays.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    ).distinct(), "tested")
-    wanted = tested.select(F.explode(F.array("a", "b")).alias("node")).unionByName(stars.select("node")).distinct()
+    pairs = materialize(short_pairs(lists, least), "pairs")
+    rays, placed = stars(lists, least)
+    tested = pairs.unionByName(
+        rays.where(F.col("hub") != F.col("node")).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    )
+    tested = materialize(tested.distinct(), "tested")
+    wanted = tested.select(F.explode(F.array("a", "b")).alias("node")).unionByName(placed.select("node")).distinct()
     bodies = materialize(bodies_of(wanted), "bodies")
     links = materialize(confirmed(tested, bodies), "links")
-    closing = materialize(closing_pairs(stars, bodies, connected_components(links), least), "closing")
+    closing = materialize(closing_pairs(rays, placed, bodies, connected_components(links), least), "closing")
     more = materialize(confirmed(closing.join(tested, ["a", "b"], "left_anti"), bodies), "links")
     return connected_components(links.unionByName(more))
 
