@@ -45,32 +45,63 @@ def grams(tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]
     return keys
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Equal ranges of the hashed keys, so that buckets follow the order of keys."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+def _spare_bits(buckets: int) -> np.uint64:
+    """Low bits that keys do without, so that a key's offset in its bucket has 48 bits.
 
+    Buckets grow with the corpus, and a bucket keeps its size; so the chance that
+    two n-grams share a key stays near one in 10^9.
+    """
+    return np.uint64(max(0, 16 - (int(buckets).bit_length() - 1)))
+
+
+def _cut(keys: np.ndarray, buckets: int) -> list[tuple[int, slice, bytes]]:
+    """Equal ranges of sorted short keys: bucket, place in ``keys``, and 6 bytes of offset for each key."""
+    spare = _spare_bits(buckets)
+    starts = np.array([-(-(i << 32) // buckets) for i in range(buckets)], dtype=np.uint64) << (np.uint64(32) - spare)
+    places = [*np.searchsorted(keys, starts).tolist(), len(keys)]
+    out = []
+    for i, (a, b) in enumerate(zip(places, places[1:])):
+        if b > a:
+            offsets = (keys[a:b] - starts[i]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            out.append((i, slice(a, b), offsets.tobytes()))
+    return out
+
+
+def _offsets(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts as one byte each, those from 255 on as 255 and again in full at the end; most counts are small."""
+    large = counts[counts >= 255].astype("<u8").tobytes()
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large
+
+
+def _counts(packed: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(packed, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(packed, "<u8", offset=n).astype(np.int64)
+    return counts
 
-def _block_keys(group: pd.DataFrame, order: int):
+
+def _block_keys(group: pd.DataFrame, order: int, buckets: int):
+    """Tokens of a block, its distinct short keys in order, and for each n-gram length the place of each token's key."""
     tokens, sizes = token_hashes(group["text"].tolist())
     by_length = grams(tokens, sizes, order)
-    return tokens, sizes, by_length, np.unique(np.concatenate(by_length))
+    keys, at = np.unique(np.concatenate(by_length) >> _spare_bits(buckets), return_inverse=True)
+    return tokens, sizes, [own != 0 for own in by_length], keys, np.split(at, order)
 
 
 def _counted(order: int, buckets: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """For one block, its distinct n-grams with their counts in training texts, cut into buckets."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        _, sizes, by_length, keys = _block_keys(group, order)
+        _, sizes, present, keys, places = _block_keys(group, order, buckets)
         learned = np.repeat(group["train"].to_numpy(dtype=bool), sizes)
-        counts = np.zeros(len(keys), dtype=np.uint32)
-        for own in by_length:
-            found, times = np.unique(own[learned & (own != 0)], return_counts=True)
-            counts[np.searchsorted(keys, found)] += times.astype(np.uint32)
-        cuts = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
-        rows = [
-            (int(group["block"].iloc[0]), i, keys[a:b].tobytes(), counts[a:b].tobytes())
-            for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a
-        ]
+        seen = np.concatenate([at[learned & own] for at, own in zip(places, present)])
+        counts = np.bincount(seen, minlength=len(keys))
+        rows = [(int(group["block"].iloc[0]), i, offsets, _small(counts[own])) for i, own, offsets in _cut(keys, buckets)]
         return pd.DataFrame(rows, columns=["block", "bucket", "keys", "counts"])
 
     return run
@@ -78,16 +109,18 @@ def _counted(order: int, buckets: int) -> Callable[[pd.DataFrame], pd.DataFrame]
 
 def _summed(group: pd.DataFrame) -> pd.DataFrame:
     """For one bucket, the counts of its n-grams over all blocks, given back to each block in its own order."""
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in group["keys"]])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group["counts"]])
+    sizes = [len(x) // 6 for x in group["keys"]]
+    keys = np.concatenate([_offsets(x) for x in group["keys"]])
+    counts = np.concatenate([_counts(x, n) for x, n in zip(group["counts"], sizes)])
     _, at = np.unique(keys, return_inverse=True)
-    totals = np.bincount(at, weights=counts)[at].astype(np.uint32)
-    ends = np.cumsum([len(x) // 8 for x in group["keys"]])
-    parts = [part.tobytes() for part in np.split(totals, ends[:-1])]
-    return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "totals": parts})
+    totals = np.bincount(at, weights=counts).astype(np.int64)[at]
+    parts = [_small(part) for part in np.split(totals, np.cumsum(sizes)[:-1])]
+    return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "n": sizes, "totals": parts})
 
 
-def _scored(order: int, mass: float, tokens_seen: int, types_seen: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _scored(
+    order: int, buckets: int, mass: float, tokens_seen: int, types_seen: int,
+) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """Walk the automaton over the texts of one block, all of them at once.
 
     The state before a token is its longest context. The arc of a seen n-gram
@@ -97,18 +130,18 @@ def _scored(order: int, mass: float, tokens_seen: int, types_seen: int) -> Calla
     root = tokens_seen + ADDED * (types_seen + 1)
 
     def run(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        tokens, sizes, by_length, keys = _block_keys(group, order)
-        totals = np.concatenate([np.frombuffer(x, np.uint32) for x in answers.sort_values("bucket")["totals"]])
+        tokens, sizes, present, _, places = _block_keys(group, order, buckets)
+        answers = answers.sort_values("bucket")
+        totals = np.concatenate([_counts(x, n) for x, n in zip(answers["totals"], answers["n"])])
         document = np.repeat(np.arange(len(sizes)), sizes)
         predicted = np.ones(len(tokens), dtype=bool)
         predicted[np.cumsum(sizes) - sizes] = False
-        seen = [np.where(own != 0, totals[np.searchsorted(keys, own)], 0) for own in by_length]
+        seen = [np.where(own, totals[at], 0) for at, own in zip(places, present)]
         base = (seen[0] + ADDED) / root
         chance = base
         for n in range(1, order):
             context = np.concatenate([[0], seen[n - 1][:-1]])
-            has_context = by_length[n] != 0
-            chance = np.where(has_context, (seen[n] + mass * chance) / (context + mass), chance)
+            chance = np.where(present[n], (seen[n] + mass * chance) / (context + mass), chance)
 
         def total(values: np.ndarray) -> np.ndarray:
             return np.bincount(document[predicted], weights=values[predicted], minlength=len(sizes))
@@ -122,18 +155,31 @@ def _scored(order: int, mass: float, tokens_seen: int, types_seen: int) -> Calla
     return run
 
 
-def _words_seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    found, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for batch in batches:
-        for part in slices(batch["text"].str.len().tolist(), BLOCK_BYTES):
-            tokens, _ = token_hashes(batch["text"].iloc[part].tolist())
-            own, counts = np.unique(tokens[tokens != _START], return_counts=True)
-            found, at = np.unique(np.concatenate([found, own]), return_inverse=True)
-            times = np.bincount(at, weights=np.concatenate([times, counts])).astype(np.int64)
-            if len(found) > 2_000_000:
-                yield pd.DataFrame({"word": found.view(np.int64), "n": times})
-                found, times = found[:0], times[:0]
-    yield pd.DataFrame({"word": found.view(np.int64), "n": times})
+def _words_seen(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per task, the distinct tokens of training texts by bucket, and (bucket -1) how many tokens there are."""
+
+    def rows_of(found: np.ndarray, n: int) -> pd.DataFrame:
+        rows = [(i, offsets, 0) for i, _, offsets in _cut(np.unique(found >> _spare_bits(buckets)), buckets)]
+        return pd.DataFrame([*rows, (-1, b"", n)], columns=["bucket", "words", "tokens"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, n = np.zeros(0, np.uint64), 0
+        for batch in batches:
+            for part in slices(batch["text"].str.len().tolist(), BLOCK_BYTES):
+                tokens, sizes = token_hashes(batch["text"].iloc[part].tolist())
+                n += len(tokens) - len(sizes)
+                found = np.union1d(found, mixed(tokens[tokens != _START]))
+                if len(found) > 2_000_000:
+                    yield rows_of(found, n)
+                    found, n = found[:0], 0
+        yield rows_of(found, n)
+
+    return run
+
+
+def _types(group: pd.DataFrame) -> pd.DataFrame:
+    words_ = np.concatenate([_offsets(x) for x in group["words"]])
+    return pd.DataFrame({"types": [len(np.unique(words_))], "tokens": [int(group["tokens"].sum())]})
 
 
 def score_documents(
@@ -152,7 +198,7 @@ def score_documents(
     ranges; a bucket adds them up and gives every block the totals it asked for;
     then each block walks its texts from left to right. Blocks and buckets grow
     in number, not in size. A word or pair that is everywhere costs one key per
-    block. N-grams are known by 64-bit hashes.
+    block. N-grams are known by hashes of 55 bits and more.
 
     Returns ``doc_id, train, n_tokens, n_known`` (tokens seen in training),
     ``train_tokens, base_score`` (unigrams with 0.1 added) and ``score``. Null
@@ -164,19 +210,22 @@ def score_documents(
         F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"),
         row_key(doc_id, text).alias("key"),
     )
-    seen = base.where("train").select("text").mapInPandas(_words_seen, "word bigint, n bigint")
-    seen = seen.groupBy("word").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types")).first()
     size = base.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     parts = max(1, -(-size // BLOCK_BYTES))
+    words_seen = base.where("train").select("text").mapInPandas(_words_seen(parts), "bucket bigint, words binary, tokens bigint")
+    seen = (
+        words_seen.groupBy("bucket").applyInPandas(_types, "types bigint, tokens bigint")
+        .agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
+    )
+    tokens_seen, types_seen = seen.tokens or 0, seen.types or 0
     blocks = base.select("doc_id", "text", "train", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("block"))
     counted = blocks.groupBy("block").applyInPandas(
         _counted(order, parts), "block bigint, bucket bigint, keys binary, counts binary"
     )
-    totals = counted.groupBy("bucket").applyInPandas(_summed, "block bigint, bucket bigint, totals binary")
+    totals = counted.groupBy("bucket").applyInPandas(_summed, "block bigint, bucket bigint, n bigint, totals binary")
     id_type = docs.schema[doc_id].dataType.simpleString()
-    tokens_seen = seen.tokens or 0
     scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(
-        _scored(order, mass, tokens_seen, seen.types or 0),
+        _scored(order, parts, mass, tokens_seen, types_seen),
         f"doc_id {id_type}, train boolean, n_tokens long, n_known long, base_score double, score double",
     )
     return scored.withColumn("train_tokens", F.lit(tokens_seen).cast("long"))
