@@ -11,6 +11,7 @@ from colloquy.functions import text as T
 from colloquy.functions.constants import LABELS, LONG_QUANTILE, SHORT_WORDS
 from colloquy.operators import frames
 from colloquy.operators.frames import count_rows
+from colloquy.session import materialize
 
 
 
@@ -140,9 +141,14 @@ def _word_counts(df: DataFrame, text: str) -> DataFrame:
     return frames.value_counts(df.select(T.word_count(text).alias("word_count")), [], "word_count")
 
 
+def _long_threshold(counts: DataFrame) -> Column:
+    """The 95 % quantile of counted lengths as a scalar subquery."""
+    return counts.agg(frames.quantile("word_count", LONG_QUANTILE).alias("q")).scalar()
+
+
 def long_threshold(df: DataFrame, text: str = "text") -> Column:
     """The 95 % quantile of word counts as a scalar subquery."""
-    return _word_counts(df, text).agg(frames.quantile("word_count", LONG_QUANTILE).alias("q")).scalar()
+    return _long_threshold(_word_counts(df, text))
 
 
 def length_outliers(df: DataFrame, text: str = "text") -> DataFrame:
@@ -151,9 +157,9 @@ def length_outliers(df: DataFrame, text: str = "text") -> DataFrame:
     Blank rows have zero words, so ``word_count < 2`` already covers them; rows
     without text are reported by :func:`missing_and_blank`.
     """
-    counts = _word_counts(df, text)
+    counts = materialize(_word_counts(df, text), "lengths")
     wc = F.col("word_count")
-    rows = counts.withColumn("long_words", long_threshold(df, text))
+    rows = counts.withColumn("long_words", _long_threshold(counts))
     return rows.agg(
         F.coalesce(F.sum(F.when(wc <= SHORT_WORDS, F.col("_n"))), F.lit(0)).alias("short_rows"),
         F.round(F.max("long_words"), 1).alias("long_words"),
@@ -225,40 +231,47 @@ def label_set_diff(df: DataFrame, expected: Sequence[str] = LABELS, label: str =
     )
 
 
-def _joined(df: DataFrame, column: str) -> Column:
-    """Sorted values of a small column as one comma-separated scalar."""
-    return df.agg(F.array_join(F.array_sort(F.collect_set(column)), ",").alias("v")).scalar()
-
-
 def validate_corpus(
     df: DataFrame, columns: Sequence[str], text: str = "text", label: str = "label",
     expected: Sequence[str] = LABELS,
 ) -> DataFrame:
-    """One-row report with a ``passed`` flag; duplicates alone do not fail it."""
+    """One-row report with a ``passed`` flag; duplicates alone do not fail it.
+
+    The corpus is read once: every row gives its digests, its label and whether
+    anything in it is blank, and all of the report comes from the counts of
+    those.
+    """
     any_blank = F.lit(False)
     for c in columns:
         any_blank = any_blank | T.is_blank(F.col(c).cast("string"))
-    rows = df.agg(count_rows().alias("v")).scalar()
-    blanks = df.agg(F.coalesce(F.sum(any_blank.cast("long")), F.lit(0)).alias("v")).scalar()
 
-    def repeats(key: Column) -> Column:
-        groups = df.select(key.alias("key")).groupBy("key").agg(count_rows().alias("n"))
-        return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("v")).scalar()
+    def fact(kind: str, key: Column, of: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.cast("binary").alias("key"), of.cast("string").alias("label"))
 
-    strict = T.digest(T.normalize_strict(text))
-    conflicts = (
-        df.select(strict.alias("key"), label).groupBy("key")
-        .agg(F.countDistinct(label).alias("n")).where(F.col("n") > 1).agg(count_rows().alias("v")).scalar()
+    none = F.lit(None).cast("string")
+    facts = F.array(
+        fact("row", T.row_digest(list(columns)), none), fact("text", T.digest(T.normalize_strict(text)), F.col(label)),
+        fact("label", F.lit(None).cast("string"), F.col(label)), fact("blank", any_blank.cast("string"), none),
     )
-    labels = label_set_diff(df, expected, label)
-    report = df.sparkSession.range(1).select(
-        rows.alias("rows"),
-        blanks.alias("missing_or_blank_rows"),
-        repeats(T.row_digest(list(columns))).alias("exact_duplicate_rows"),
-        repeats(strict).alias("normalized_duplicate_rows"),
-        _joined(labels.where("kind = 'unexpected'"), "label").alias("invalid_labels"),
-        _joined(labels.where("kind = 'missing'"), "label").alias("missing_labels"),
-        conflicts.alias("conflicting_texts"),
+    counted = df.select(F.inline(facts)).groupBy("kind", "key", "label").agg(count_rows().alias("n"))
+    keys = counted.groupBy("kind", "key").agg(
+        F.sum("n").alias("n"), F.count("label").alias("labels"),
+        F.collect_set(F.when(F.col("kind") == "label", F.col("label"))).alias("found"),
+    )
+
+    def total(kind: str, value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0)).cast("long")
+
+    known = F.array(*[F.lit(x) for x in expected])
+    found = F.flatten(F.collect_list(F.when(F.col("kind") == "label", F.col("found"))))
+    report = keys.agg(
+        total("blank", F.col("n")).alias("rows"),
+        total("blank", F.when(F.col("key") == F.lit("true").cast("binary"), F.col("n"))).alias("missing_or_blank_rows"),
+        total("row", F.col("n") - 1).alias("exact_duplicate_rows"),
+        total("text", F.col("n") - 1).alias("normalized_duplicate_rows"),
+        F.array_join(F.array_sort(F.array_except(found, known)), ",").alias("invalid_labels"),
+        F.array_join(F.array_sort(F.array_except(known, found)), ",").alias("missing_labels"),
+        total("text", (F.col("labels") > 1).cast("long")).alias("conflicting_texts"),
     )
     return report.withColumn(
         "passed",

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
-from colloquy.functions.constants import SHORT_WORDS, STATUS_CV, STATUS_HELD_OUT, STATUS_PENDING
-from colloquy.operators import audit
+from colloquy.functions.constants import LONG_QUANTILE, SHORT_WORDS, STATUS_CV, STATUS_HELD_OUT, STATUS_PENDING
+from colloquy.operators import frames
 from colloquy.operators.frames import count_rows
+from colloquy.session import materialize
 
 
 
@@ -116,19 +117,26 @@ def imbalance_report(preds: DataFrame) -> DataFrame:
 
 
 def error_by_length(preds: DataFrame) -> DataFrame:
-    """Errors in total, among short rows, and among the longest rows."""
-    rows = preds.select(
-        (F.col("label") != F.col("pred")).alias("wrong"), T.word_count("text").alias("word_count")
-    ).withColumn("long_words", audit.long_threshold(preds))
+    """Errors in total, among short rows, and among the longest rows.
+
+    Texts are tokenized once; everything comes from one count per length and
+    outcome.
+    """
     wrong, wc = F.col("wrong"), F.col("word_count")
+    counted = materialize(
+        preds.select((F.col("label") != F.col("pred")).alias("wrong"), T.word_count("text").alias("word_count"))
+        .groupBy("wrong", "word_count").agg(count_rows().alias("_n")), "lengths",
+    )
+    long_words = counted.where(wc.isNotNull()).agg(frames.quantile("word_count", LONG_QUANTILE).alias("q")).scalar()
 
     def count(condition: Column) -> Column:
-        return F.coalesce(F.sum(condition.cast("long")), F.lit(0))
+        return F.coalesce(F.sum(F.when(condition, F.col("_n"))), F.lit(0))
 
-    return rows.agg(
-        count_rows().alias("n"),
+    rows = count(F.lit(True))
+    return counted.withColumn("long_words", long_words).agg(
+        rows.alias("n"),
         count(wrong).alias("n_errors"),
-        F.round(F.try_divide(100 * count(wrong), count_rows()), 2).alias("error_pct"),
+        F.round(F.try_divide(100 * count(wrong), rows), 2).alias("error_pct"),
         count(wrong & (wc <= SHORT_WORDS)).alias("short_errors"),
         count(wrong & (wc >= F.col("long_words"))).alias("long_errors"),
     )

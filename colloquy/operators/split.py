@@ -9,6 +9,7 @@ from colloquy.functions import text as T
 from colloquy.functions.constants import EVAL_FRACTION, FOLDS, SPLIT_SEED, VALIDATION_FRACTION
 from colloquy.operators import frames
 from colloquy.operators.frames import count_rows
+from colloquy.session import materialize
 
 
 def seeded_hash(key: Column, seed: int = SPLIT_SEED) -> Column:
@@ -52,7 +53,8 @@ def group_split(
         position = F.conv(F.substring(seeded_hash(F.col("text_key"), seed), 1, 8), 16, 10).cast("long")
         held = position < F.lit(int(fraction * (1 << 32)))
         return keyed.withColumn("split", F.when(held, "evaluation").otherwise("train"))
-    groups = text_groups(df, text, label, row_id).withColumn("_h", seeded_hash(F.col("text_key"), seed))
+    # Written once: the ranking reads its narrow input twice.
+    groups = materialize(text_groups(df, text, label, row_id).withColumn("_h", seeded_hash(F.col("text_key"), seed)), "groups")
     sides = frames.hash_rank(groups, "group_label", "_h").select(
         "text_key", F.when(_held(fraction), "evaluation").otherwise("train").alias("split")
     )

@@ -612,6 +612,29 @@ _MARKED = _split_ctes(_CLEAN).removeprefix("WITH ").rstrip()
 ORACLES["predict_nb"] = _ctes(_MARKED, _BAYES) + "SELECT doc_id, pred, round(confidence, 4) AS confidence FROM preds"
 ORACLES["train_nb"] = ORACLES["overall_metrics"].replace(_PREDS, f"{_MARKED},\n{_BAYES.replace('classes AS', 'priors AS').replace('FROM classes c', 'FROM priors c')}")
 
+_BANK_BAYES = _BAYES.replace(
+    "train AS (SELECT doc_id, label, text FROM marked WHERE split = 'train')", "train AS (SELECT bank_pos AS doc_id, label, text FROM bank)"
+).replace(
+    "held AS (SELECT doc_id, label, text FROM marked WHERE split = 'evaluation')",
+    f"held AS (SELECT query_id AS doc_id, '' AS label, {_strip('text')} AS text FROM asked)",
+).replace("idf AS (SELECT", "nb_idf AS (SELECT").replace("JOIN idf", "JOIN nb_idf").replace("FROM idf", "FROM nb_idf")
+_PICKED = f"{_list([C.FALLBACK_REPLY])}[1]"
+_ROUTE_REPLY = "CASE p.pred " + " ".join(
+    f"WHEN {_text(k)} THEN {_list(v)}[{_pick(len(v), chr(39) + 'q' + chr(39) + ' || q.query_id || ' + chr(39) + ':' + chr(39) + ' || t')} + 1]"
+    for k, v in C.ROUTE_REPLIES.items()
+) + f" ELSE {_PICKED} END"
+ORACLES["hybrid_route"] = _ctes(*_BY_COSINE, _BANK_BAYES, f"""checked AS (
+  SELECT q.query_id, {_strip('q.text')} AS t, {_blank('q.text')} AS blank, length({_strip('q.text')}) > {C.MAX_INPUT_CHARS} AS too_long,
+    round(b.score, 4) AS similarity, b.score >= 0.6 AS matched, s.label AS matched_label, s.reply AS stored_reply
+  FROM asked q JOIN best b USING (query_id) JOIN bank s ON s.bank_pos = b.bank_pos)""") + f"""
+SELECT q.query_id, 'q' || q.query_id AS session_id, CASE WHEN blank OR too_long THEN NULL ELSE similarity END AS similarity,
+  CASE WHEN blank OR too_long THEN NULL WHEN matched THEN matched_label ELSE p.pred END AS emotion,
+  CASE WHEN blank OR too_long THEN NULL WHEN matched THEN similarity ELSE round(p.confidence, 4) END AS confidence,
+  CASE WHEN blank OR too_long THEN {_text(C.VALIDATION_ERROR)} WHEN matched THEN {_text(C.STORED_MATCH)} ELSE {_text(C.CLASSIFIED)} END AS response_type,
+  CASE WHEN blank THEN {_text(C.ROUTE_EMPTY_MESSAGE)} WHEN too_long THEN {_text(C.ROUTE_LONG_MESSAGE.format(limit=C.MAX_INPUT_CHARS))}
+    WHEN matched THEN stored_reply ELSE {_ROUTE_REPLY} END AS response
+FROM checked q LEFT JOIN preds p ON p.doc_id = q.query_id"""
+
 _FOLD_ROWS = """models AS (
   SELECT 'first' AS model, doc_id % 5 AS fold, label, pred FROM preds
   UNION ALL SELECT 'second', doc_id % 5, label, CASE WHEN doc_id % 13 = 0 THEN 'de' ELSE label END FROM preds),
