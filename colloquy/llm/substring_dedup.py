@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import mixed, modest_batches, row_key, runs, stable_hash, whole_text
+from colloquy.llm.common import mixed, modest_batches, row_key, runs, slices, stable_hash, whole_text
 from colloquy.llm.components import connected_components
 from colloquy.llm.near_dedup import WORDS, linked_components
 from colloquy.session import materialize
@@ -33,52 +33,98 @@ BANDS = bands_for(0.75)
 _SEEDS = mixed(np.arange(101, 101 + BANDS * BAND_ROWS, dtype=np.uint64))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of the MinHash signature of a shingle set."""
-    least = np.array([mixed(found ^ seed).min() for seed in _SEEDS]).reshape(BANDS, BAND_ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in least.T:
-        key = mixed(key + column)
+def _bands(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each run of shingles that begins at ``starts``, one 64-bit key for each band of its MinHash signature."""
+    least = np.stack([np.minimum.reduceat(mixed(hashes ^ seed), starts) for seed in _SEEDS], axis=1)
+    least = least.reshape(len(starts), BANDS, BAND_ROWS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), least.shape[:2])
+    for row in range(BAND_ROWS):
+        key = mixed(key + least[:, :, row])
     return key.view(np.int64)
 
 
-def anchors(shingle_hashes: np.ndarray) -> np.ndarray:
-    """Places that hold the least hash of some ``SPAN`` neighbouring shingles, and whose passage lies in the text.
+def _anchors(hashes: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """Places that hold the least hash of some ``SPAN`` neighbouring shingles of one text; the first of equals.
 
-    A place depends on nothing but the words around it, so copies have the same ones wherever they stand.
+    ``alive`` says where ``SPAN`` shingles from a place on belong to one text. A
+    place depends on nothing but the words around it, so copies have the same
+    ones wherever they stand. Minima of longer and longer windows are made from
+    two shorter ones each.
     """
+    bits = np.uint64(max(1, int(len(hashes)).bit_length()))
+    order = ((hashes >> bits) << bits) | np.arange(len(hashes), dtype=np.uint64)
+    width, least = 1, order
+    while width < SPAN:
+        step = min(width, SPAN - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    least = least[alive[:len(least)]]
+    return np.unique(least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def _run_hash(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words from each place on."""
+    total = np.full(len(at), np.uint64(n))
+    for j in range(n):
+        total = mixed(total) + hashes[at + j]
+    return mixed(total).view(np.int64)
+
+
+def parts_of(texts: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Long paragraphs (``text, at, n_words, digest, bands``) and anchored passages (without bands) of some texts.
+
+    ``text`` is the number of the text, ``at`` the place of the first word in it.
+    """
+    lines = [[line.encode().lower().split() for line in text.split("\n")] for text in texts]
+    hashes = stable_hash([word for text in lines for line in text for word in line])
+    per_text = np.array([sum(map(len, text)) for text in lines], dtype=np.int64)
+    text_start = np.cumsum(per_text) - per_text
+    line_size = np.array([len(line) for text in lines for line in text], dtype=np.int64)
+    line_start = np.cumsum(line_size) - line_size
+    line_text = np.repeat(np.arange(len(lines)), [len(text) for text in lines])
+    fives = runs(hashes, WORDS)
+
+    long_lines = np.flatnonzero(line_size >= PARAGRAPH_WORDS)
+    first, size = line_start[long_lines], line_size[long_lines]
+    owner = line_text[long_lines]
+    paragraphs = pd.DataFrame({"text": owner, "at": first - text_start[owner], "n_words": size})
+    if len(long_lines):
+        counts = size - WORDS + 1
+        begins = np.cumsum(counts) - counts
+        within = np.arange(counts.sum()) - np.repeat(begins, counts)
+        paragraphs["bands"] = list(_bands(fives[np.repeat(first, counts) + within], begins))
+        order = mixed(fives[np.repeat(first, counts) + within] + mixed(within.astype(np.uint64)))
+        paragraphs["digest"] = mixed(np.add.reduceat(order, begins) + size.astype(np.uint64)).view(np.int64)
+
     before = PASSAGE_WORDS // 2
-    if len(shingle_hashes) < SPAN:
-        return np.zeros(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(mixed(shingle_hashes), SPAN)
-    places = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    last = len(shingle_hashes) + WORDS - 1 - (PASSAGE_WORDS - before)
-    return places[(places >= before) & (places <= last)] - before
-
-
-def parts_of(text: str) -> list[tuple[int, int, int, np.ndarray | None]]:
-    """``(word place, words, digest, bands)`` of long paragraphs, and the same without bands of anchored passages."""
-    lines = [line.encode().lower().split() for line in text.split("\n")]
-    hashes = stable_hash([word for line in lines for word in line])
-    found, start = [], 0
-    for line in lines:
-        if len(line) >= PARAGRAPH_WORDS:
-            own = hashes[start:start + len(line)]
-            found.append((start, len(line), int(runs(own, len(line)).view(np.int64)[0]), bands(np.unique(runs(own, WORDS)))))
-        start += len(line)
-    passages = runs(hashes, PASSAGE_WORDS)
-    for at in anchors(runs(hashes, WORDS)):
-        found.append((int(at), PASSAGE_WORDS, int(passages[at].view(np.int64)), None))
-    return found
+    text_of = np.repeat(np.arange(len(lines)), per_text)
+    reach = SPAN + WORDS - 2
+    alive = np.zeros(len(fives), dtype=bool)
+    if len(hashes) > reach:
+        alive[:len(hashes) - reach] = text_of[:-reach] == text_of[reach:]
+    at = _anchors(mixed(fives), alive) if alive.any() else np.zeros(0, np.int64)
+    at = at - before
+    at = at[(at >= 0) & (at + PASSAGE_WORDS <= len(hashes))]
+    owner = text_of[at + before]
+    inside = (at >= text_start[owner]) & (at + PASSAGE_WORDS <= text_start[owner] + per_text[owner])
+    at, owner = at[inside], owner[inside]
+    passages = pd.DataFrame({
+        "text": owner, "at": at - text_start[owner], "n_words": PASSAGE_WORDS, "digest": _run_hash(hashes, at, PASSAGE_WORDS),
+    })
+    return paragraphs, passages
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [
-            (key, doc_id, *part) for key, doc_id, text in zip(batch["key"], batch["doc_id"], batch["text"])
-            for part in parts_of(text)
-        ]
-        yield pd.DataFrame(rows, columns=["key", "doc_id", "at", "n_words", "digest", "bands"])
+        for part in slices(batch["text"].str.len().tolist(), _BLOCK):
+            block = batch.iloc[part]
+            keys, ids = block["key"].to_numpy(dtype=object), block["doc_id"].array
+            for found in parts_of(block["text"].tolist()):
+                if len(found):
+                    own = found.pop("text").to_numpy()
+                    found.insert(0, "doc_id", ids.take(own))
+                    found.insert(0, "key", keys[own])
+                    yield found if "bands" in found else found.assign(bands=None)
 
 
 def _paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,15 +203,16 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         parts.join(marked, "digest").select("key", "doc_id", "at", "n_words", "digest").distinct(), "repeated"
     )
     in_order = Window.partitionBy("key").orderBy("at", "n_words", "digest")
-    chained = repeated.select(
-        F.col("digest").alias("b"), "at",
-        F.lag("digest").over(in_order).alias("a"),
-        F.max(F.col("at") + F.col("n_words")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("reach"),
-    ).where(F.col("at") < F.col("reach")).select("a", "b")
+    reach = F.max(F.col("at") + F.col("n_words")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    stretches = repeated.withColumn("_new", F.coalesce((F.col("at") >= reach).cast("int"), F.lit(0))).withColumn(
+        "_stretch", F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    )
+    head = F.min("digest").over(Window.partitionBy("key", "_stretch"))
+    together = stretches.select(head.alias("a"), F.col("digest").alias("b"))
     first = materialize(similar.groupBy("cluster").agg(F.min("digest").alias("a")), "first")
     alike = similar.join(first, "cluster").select("a", F.col("digest").alias("b"))
     own = marked.select(F.col("digest").alias("a"), F.col("digest").alias("b"))
-    clusters = connected_components(chained.unionByName(alike).unionByName(own).distinct())
+    clusters = connected_components(together.unionByName(alike).unionByName(own).distinct())
     placed = repeated.join(clusters.withColumnRenamed("node", "digest"), "digest")
     per_document = materialize(
         placed.groupBy("component", "key").agg(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import decontaminate, line_dedup, near_dedup, substring_dedup
 from colloquy.llm.common import stable_hash
+from colloquy.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -208,8 +209,30 @@ def test_every_long_copy_holds_an_anchored_passage():
     for _ in range(200):
         passage = words(rng, size)
         texts = [" ".join(words(rng, rng.randint(0, 60)) + passage + words(rng, rng.randint(0, 60))) for _ in range(2)]
-        a, b = ({part[2] for part in substring_dedup.parts_of(t) if part[3] is None} for t in texts)
+        a, b = (set(substring_dedup.parts_of([t])[1]["digest"]) for t in texts)
         assert a & b
+    together = substring_dedup.parts_of(texts * 3)[1]
+    assert together.groupby("text")["digest"].apply(set).tolist() == [
+        set(substring_dedup.parts_of([t])[1]["digest"]) for t in texts * 3
+    ]
+
+
+def test_components(spark):
+    rng = random.Random(11)
+    pairs = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1700)] + [(i, i + 1) for i in range(5000, 5400)] + [(9000, 9000)]
+    parent = {x: x for pair in pairs for x in pair}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    links = spark.createDataFrame(pairs, "a long, b long")
+    assert {tuple(r) for r in connected_components(links).collect()} == {(x, find(x)) for x in parent}
+    assert connected_components(links.limit(0)).count() == 0
 
 
 def test_bands_reach_the_recall():
