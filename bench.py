@@ -20,7 +20,7 @@ HEADLINE = (
     "token_frequency", "top_tokens", "length_outliers", "box_stats",
     "group_split", "stratified_folds", "overall_metrics", "error_by_length",
     "safety_routing", "response_policy", "message_history", "feedback_accept",
-    "tfidf_cosine_top1", "jaccard_top1", "char_similarity_top1", "threshold_choice", "train_nb",
+    "tfidf_cosine_top1", "jaccard_top1", "char_similarity_top1", "threshold_choice", "hybrid_route", "train_nb",
 )
 RUNS = 2
 

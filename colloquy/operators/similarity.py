@@ -9,7 +9,9 @@ measures share one exact scheme:
 3. A stored text can only reach that bound if it shares one of the query's
    rarer terms: the most common terms together cannot add up to it. Only the
    rarer ones (the prefix) are joined with the postings of the bank.
-4. The candidates are scored exactly and the best one is kept.
+4. The candidates are scored exactly and the best one is kept. For the cosine
+   the prefix already gives a partial score; only pairs that the common terms
+   could still lift to the bound are finished.
 
 Step 2 may look at any subset of the bank without changing the answer, because
 step 3 finds everything that could beat the bound.
@@ -43,16 +45,16 @@ def _key() -> Column:
 def _distinct_bank(bank: DataFrame, key: Column) -> DataFrame:
     """Equal stored texts as one row: lowest position, number of copies."""
     return (
-        bank.select("bank_pos", key.alias("btext"))
-        .groupBy("btext").agg(F.min("bank_pos").alias("bank_pos"), count_rows().alias("copies"))
+        bank.select("bank_pos", key.alias("btext"), T.digest(key).alias("bkey"))
+        .groupBy("bkey").agg(F.min("bank_pos").alias("bank_pos"), count_rows().alias("copies"), F.first("btext").alias("btext"))
     )
 
 
 def _distinct_queries(queries: DataFrame, key: Column) -> DataFrame:
     """Equal query texts as one row, identified by the lowest query id."""
     return (
-        queries.select("query_id", key.alias("qtext"))
-        .groupBy("qtext").agg(F.min("query_id").alias("qid"))
+        queries.select("query_id", key.alias("qtext"), T.digest(key).alias("qkey"))
+        .groupBy("qkey").agg(F.min("query_id").alias("qid"), F.first("qtext").alias("qtext"))
     )
 
 
@@ -85,11 +87,11 @@ def _back_to_rows(queries: DataFrame, key: Column, distinct: DataFrame, best: Da
     """
     first = bank.agg(F.min("bank_pos").alias("p")).scalar()
     found = distinct.join(best, "qid", "left").select(
-        "qtext",
+        "qkey",
         F.coalesce("bank_pos", first).alias("bank_pos"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
-    return queries.withColumn("qtext", key).join(found, "qtext").drop("qtext")
+    return queries.withColumn("qkey", T.digest(key)).join(found, "qkey").drop("qkey")
 
 
 # --- TF-IDF cosine ---------------------------------------------------------------------------
@@ -117,10 +119,10 @@ def tfidf_postings(bank: DataFrame) -> DataFrame:
 def tfidf_weights(bank: DataFrame) -> DataFrame:
     """TF-IDF weight of every term of every stored text."""
     postings = tfidf_postings(bank).select(F.col("bid").alias("rep_pos"), "term", "df", "w")
-    texts = bank.withColumn("btext", _key())
-    owners = _distinct_bank(bank, _key()).select("btext", F.col("bank_pos").alias("rep_pos"))
+    texts = bank.select("bank_pos", T.digest(_key()).alias("bkey"))
+    owners = _distinct_bank(bank, _key()).select("bkey", F.col("bank_pos").alias("rep_pos"))
     return (
-        texts.join(owners, "btext").join(postings, "rep_pos")
+        texts.join(owners, "bkey").join(postings, "rep_pos")
         .select("bank_pos", "term", "df", "w")
     )
 
@@ -174,12 +176,29 @@ def tfidf_best(queries: DataFrame, bank: DataFrame) -> DataFrame:
         F.sum(F.col("w") * F.col("top_w")).over(up_to),
         F.sqrt(F.sum(F.col("w") * F.col("w")).over(up_to)),
     )
-    prefix = (
+    limit = F.coalesce("bound", F.lit(0.0)) - SLACK
+    marked = materialize(
         terms.join(bound, "qid", "left").withColumn("reach", reach)
-        .where(F.col("reach") >= F.coalesce("bound", F.lit(0.0)) - SLACK)
+        .select("qid", "term", F.col("w").alias("qw"), "bound", "reach", (F.col("reach") >= limit).alias("in_prefix")), "prefix",
+    )
+    rest = marked.where(~F.col("in_prefix"))
+    # One row per pair: what the prefix terms give, kept only if the common terms could still lift it to the bound.
+    begun = (
+        marked.where("in_prefix").join(postings.select("term", "bid", "w"), "term")
+        .groupBy("qid", "bid", "bound").agg(F.sum(F.col("qw") * F.col("w")).alias("part"))
+        .join(rest.groupBy("qid").agg(F.max("reach").alias("rest")), "qid", "left")
+        .where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= limit).select("qid", "bid", "part")
+    )
+    begun = materialize(begun, "begun")
+    added = (
+        begun.select("qid", "bid").join(rest.select("qid", "term", "qw"), "qid")
+        .join(postings.select("bid", "term", "w"), ["bid", "term"])
+        .groupBy("qid", "bid").agg(F.sum(F.col("qw") * F.col("w")).alias("more"))
+    )
+    scored = begun.join(added, ["qid", "bid"], "left").select(
+        "qid", F.col("bid").alias("bank_pos"), (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score")
     )
-    pairs = prefix.select("qid", "term").join(postings.select("term", "bid"), "term").select("qid", "bid").distinct()
-    best = _best(_cosines(pairs, terms, postings))
+    best = _best(scored)
     return _back_to_rows(queries, key, distinct, best, bank)
 
 
@@ -249,7 +268,7 @@ def jaccard_best(queries: DataFrame, bank: DataFrame) -> DataFrame:
     widest = F.when(b > 0, q / b + SLACK).otherwise(F.lit(float("inf")))
     pairs = _prefix_pairs(bounded, postings, needed, widest)
     best = _best(_with_sides(pairs, asked, stored).withColumn("score", _jaccard()))
-    return _back_to_rows(queries, key, asked.select("qid", "qtext"), best, bank)
+    return _back_to_rows(queries, key, asked.select("qid", "qkey"), best, bank)
 
 
 # --- Character similarity --------------------------------------------------------------------
@@ -310,7 +329,7 @@ def char_best(queries: DataFrame, bank: DataFrame) -> DataFrame:
     possible = 2 * shared / (F.size("qtokens") + F.size("btokens"))
     hopeful = sides.where(possible >= F.coalesce("bound", F.lit(0.0)) - SLACK)
     best = _best(hopeful.withColumn("score", ratio))
-    return _back_to_rows(queries, key, asked.select("qid", "qtext"), best, bank)
+    return _back_to_rows(queries, key, asked.select("qid", "qkey"), best, bank)
 
 
 # --- What to do with the scores --------------------------------------------------------------
