@@ -273,16 +273,10 @@ def jaccard_best(queries: DataFrame, bank: DataFrame) -> DataFrame:
 
 # --- Character similarity --------------------------------------------------------------------
 
-def _char_bag(c: str) -> Column:
-    """Characters numbered per occurrence, so that a bag becomes a set."""
-    chars = F.filter(F.split(F.col(c), ""), lambda x: x != "")
-    return F.flatten(F.transform(
-        F.array_distinct(chars),
-        lambda x: F.transform(
-            F.sequence(F.lit(1), F.size(F.filter(chars, lambda y: y == x))),
-            lambda i: F.concat(x, i.cast("string")),
-        ),
-    ))
+GRAM = 3
+CHAR_MINIMUM = 0.9
+#: At or below this ratio a pair of texts need not share a single gram.
+LEAST_MINIMUM = 1 - 1 / (2 * GRAM)
 
 
 @F.pandas_udf(DoubleType())
@@ -296,40 +290,97 @@ def _sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[
         yield pd.Series(scores, dtype="float64")
 
 
-def char_best(queries: DataFrame, bank: DataFrame) -> DataFrame:
-    """Best stored text per query by matching-block character similarity.
+def _gram_counts(texts: DataFrame, name: str, text: str, size: str) -> DataFrame:
+    """``name, size, gram, count`` of the three-character pieces of each text."""
+    grams = F.transform(F.sequence(F.lit(1), F.col(size) - GRAM + 1), lambda i: F.substring(text, i, GRAM))
+    return (
+        texts.where(F.col(size) >= GRAM).select(name, size, F.explode(grams).alias("gram"))
+        .groupBy(name, size, "gram").agg(count_rows().alias("n"))
+    )
+
+
+def _needed(q: Column, b: Column, minimum: float) -> Column:
+    """Grams that texts of ``q`` and ``b`` characters share at least when their ratio reaches ``minimum``.
+
+    The ratio counts characters matched in order, so at most ``(1 - minimum) *
+    (q + b)`` insertions and deletions lie between the texts, and each of them
+    touches ``GRAM`` grams of the longer one.
+    """
+    return F.greatest(q, b) - GRAM + 1 - GRAM * F.floor((1 - minimum) * (q + b) + SLACK)
 
-    The ratio is at most twice the shared characters over both lengths, which
-    gives the prefix and a second, cheap test before the Python comparison.
+
+def char_candidates(asked: DataFrame, stored: DataFrame, minimum: float) -> DataFrame:
+    """``qid, bid`` of all pairs that share as many grams as a ratio of ``minimum`` needs.
+
+    Grams are met rare ones first: the commonest grams of a query, which
+    together cannot make up what any stored text would need, are left out of the
+    join and only counted for pairs that the others leave open. Pairs of texts
+    so short that they need no gram are met by a shared character.
+    """
+    q_grams = materialize(_gram_counts(asked, "qid", "qtext", "q"), "query-grams")
+    b_grams = materialize(_gram_counts(stored, "bid", "btext", "b"), "bank-grams")
+    frequency = b_grams.groupBy("gram").agg(count_rows().alias("df"))
+    q, b = F.col("q"), F.col("b")
+    # The need is least for the longest or the shortest stored text that can reach the ratio.
+    longest, shortest = F.floor(q * (2 - minimum) / minimum + SLACK), F.ceil(q * minimum / (2 - minimum) - SLACK)
+    least = F.least(_needed(q, longest, minimum), _needed(q, shortest, minimum), _needed(q, q, minimum))
+    common_first = W.partitionBy("qid").orderBy(F.col("df").desc(), F.col("gram").desc())
+    ranked = materialize(
+        q_grams.join(frequency, "gram")
+        .withColumn("upto", F.sum("n").over(common_first.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        .select("qid", "q", "gram", "n", (F.col("upto") >= F.greatest(least, F.lit(1))).alias("in_prefix"),
+                F.when(F.col("upto") < F.greatest(least, F.lit(1)), F.col("n")).otherwise(0).alias("rest")), "ranked-grams",
+    )
+    rests = ranked.groupBy("qid").agg(F.sum("rest").alias("rest"))
+    other = b_grams.select("bid", "b", "gram", F.col("n").alias("m"))
+    begun = (
+        ranked.where("in_prefix").join(other, "gram").where(b.between(shortest, longest))
+        .groupBy("qid", "bid", "q", "b").agg(F.sum(F.least("n", "m")).alias("part"))
+        .join(rests, "qid").where(F.col("part") + F.col("rest") >= _needed(q, b, minimum))
+    )
+    begun = materialize(begun, "begun-grams")
+    added = (
+        begun.select("qid", "bid").join(ranked.where(~F.col("in_prefix")).select("qid", "gram", "n"), "qid")
+        .join(other.select("bid", "gram", "m"), ["bid", "gram"])
+        .groupBy("qid", "bid").agg(F.sum(F.least("n", "m")).alias("more"))
+    )
+    by_grams = (
+        begun.join(added, ["qid", "bid"], "left")
+        .where(F.col("part") + F.coalesce("more", F.lit(0)) >= _needed(q, b, minimum)).select("qid", "bid")
+    )
+    few = int(GRAM / (1 - 2 * GRAM * (1 - minimum)))
+    chars = [
+        side.where(F.col(size) <= few).select(name, size, F.explode(F.array_distinct(F.split(text, ""))).alias("ch"))
+        for side, name, text, size in ((asked, "qid", "qtext", "q"), (stored, "bid", "btext", "b"))
+    ]
+    by_chars = chars[0].join(chars[1], "ch").where((F.col("ch") != "") & (_needed(q, b, minimum) <= 0)).select("qid", "bid")
+    return by_grams.unionByName(by_chars).distinct()
+
+
+def char_best(queries: DataFrame, bank: DataFrame, minimum: float = CHAR_MINIMUM) -> DataFrame:
+    """Best stored text per query by matching-block character similarity, where it reaches ``minimum``.
+
+    ``minimum`` is the threshold a match must have anyway; queries without such
+    a text keep their row with null ``bank_pos`` and ``score``. Only pairs that
+    pass the count of shared grams are compared in Python. An empty text matches
+    only an empty one, with a score of 1.
     """
+    if minimum <= LEAST_MINIMUM:
+        raise ValueError(f"minimum must be above {LEAST_MINIMUM:.3f}")
     key = _key()
-    stored, asked, postings, terms = _token_sides(bank, queries, key, _char_bag("btext"), _char_bag("qtext"))
-    # Shared rare words, not shared characters, point at similar texts.
-    stored_words = stored.select("bid", F.size("btokens").alias("bsize"), F.explode(T.token_set("btext")).alias("term"))
-    asked_words = asked.select("qid", F.explode(T.token_set("qtext")).alias("term")).join(
-        stored_words.groupBy("term").agg(count_rows().alias("df")), "term"
-    )
-    seeds = _seeds(asked_words, stored_words, F.col("bsize").asc())
-    ratio = _sequence_ratio("qtext", "btext")
-    bound = materialize(
-        _with_sides(seeds, asked, stored).withColumn("score", ratio)
-        .groupBy("qid").agg(F.max("score").alias("bound")), "char-bound"
-    )
-    # 2*shared/(q+b) >= r with shared <= b gives shared >= r*q/(2-r).
-    bounded = terms.join(bound, "qid", "left")
-    r, q = F.coalesce("bound", F.lit(0.0)), F.col("qsize")
-    needed = F.greatest(F.ceil(r * q / (2 - r) - SLACK), F.lit(1))
-    widest = F.when(r > 0, q * (2 - r) / r + SLACK).otherwise(F.lit(float("inf")))
-    pairs = _prefix_pairs(bounded, postings, needed, widest)
-    # Pairs are small but dear to compare: keep them spread over all tasks.
-    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.repartition(tasks, "qid", "bid")
-    sides = _with_sides(pairs, asked, stored).join(bound, "qid", "left")
-    shared = F.size(F.array_intersect("qtokens", "btokens"))
-    possible = 2 * shared / (F.size("qtokens") + F.size("btokens"))
-    hopeful = sides.where(possible >= F.coalesce("bound", F.lit(0.0)) - SLACK)
-    best = _best(hopeful.withColumn("score", ratio))
-    return _back_to_rows(queries, key, asked.select("qid", "qkey"), best, bank)
+    stored = materialize(
+        _distinct_bank(bank, key).select(F.col("bank_pos").alias("bid"), "btext", F.length("btext").alias("b")), "bank-texts"
+    )
+    asked = materialize(_distinct_queries(queries, key).withColumn("q", F.length("qtext")), "query-texts")
+    pairs = char_candidates(asked, stored, minimum)
+    blank = asked.where("q = 0").select("qid", "q").join(stored.where("b = 0").select("bid", "b"), F.col("q") == F.col("b"))
+    compared = (
+        pairs.unionByName(blank.select("qid", "bid")).join(asked, "qid").join(stored, "bid")
+        .withColumn("score", _sequence_ratio("qtext", "btext")).where(F.round("score", 10) >= minimum)
+    )
+    best = _best(compared.withColumnRenamed("bid", "bank_pos"))
+    found = asked.select("qid", "qkey").join(best, "qid", "left").select("qkey", "bank_pos", "score")
+    return queries.withColumn("qkey", T.digest(key)).join(found, "qkey").drop("qkey")
 
 
 # --- What to do with the scores --------------------------------------------------------------

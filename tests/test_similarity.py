@@ -7,6 +7,8 @@ import re
 import pytest
 
 from colloquy.operators import similarity as S
+from colloquy.sources import derived as D
+from pyspark.sql import functions as F
 
 WORDS = "the of and a feel sad happy today work home never always river stone light dark why can you".split()
 
@@ -57,7 +59,7 @@ def texts():
 
 
 @pytest.mark.parametrize("measure, brute", [
-    (S.tfidf_best, brute_tfidf), (S.jaccard_best, brute_jaccard), (S.char_best, brute_chars),
+    (S.tfidf_best, brute_tfidf), (S.jaccard_best, brute_jaccard),
 ])
 def test_best_equals_all_pairs(spark, texts, measure, brute):
     queries, bank = texts
@@ -72,6 +74,35 @@ def test_best_equals_all_pairs(spark, texts, measure, brute):
         assert got[i][0] == rounded.index(best), (i, queries[i])
 
 
+@pytest.mark.parametrize("minimum", [0.85, 0.9])
+def test_characters_equal_all_pairs_from_the_minimum_on(spark, minimum):
+    rng = random.Random(12)
+    bank = ["".join(rng.choices("abcde ", k=rng.randint(0, 40))) for _ in range(60)] + ["", "a", "ab", "abc", "abab", "x" * 30]
+    queries = []
+    for text in bank:
+        for _ in range(3):
+            chars = list(text)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(chars) + 1)
+                chars[at:at + rng.randint(0, 1)] = rng.choices("abcde", k=rng.randint(0, 2))
+            queries.append("".join(chars))
+    q = spark.createDataFrame(list(enumerate(queries)), "query_id long, text string")
+    b = spark.createDataFrame(list(enumerate(bank)), "bank_pos long, text string")
+    got = {r.query_id: (r.bank_pos, r.score) for r in S.char_best(q, b, minimum).collect()}
+    assert len(got) == len(queries)
+    for i, scores in enumerate(brute_chars(queries, bank)):
+        rounded = [round(x, 10) for x in scores]
+        best = max(rounded)
+        assert got[i] == ((rounded.index(best), pytest.approx(best, abs=1e-9)) if best >= minimum else (None, None)), queries[i]
+
+
+def test_few_pairs_are_compared(spark):
+    sf = "/root/testdata/sf0.1"
+    asked = D.bank_queries(spark, sf).select(F.col("query_id").alias("qid"), F.lower("text").alias("qtext"), F.length("text").alias("q"))
+    stored = D.bank(spark, sf).select(F.col("bank_pos").alias("bid"), F.lower("text").alias("btext"), F.length("text").alias("b"))
+    assert S.char_candidates(asked, stored, 0.9).count() < 0.05 * asked.count() * stored.count()
+
+
 def test_sweep_and_choice(spark):
     scored = spark.createDataFrame([(1, "a", 0, 0.95), (2, "a", 1, 0.55), (3, "b", 1, 0.30), (4, "b", 0, 0.0)],
                                    "query_id long, label string, bank_pos long, score double")
