@@ -24,6 +24,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     ).cast("binary")))
 
 
+def id_text(doc_id: str = "doc_id") -> Column:
+    """The id as text: in pandas, integers beside a null would turn into floats and lose digits."""
+    return F.col(doc_id).cast("string")
+
+
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) that depends only on ``parts``: 52 bits of their MD5 digest."""
     digest = F.md5(F.concat_ws("|", *parts).cast("binary"))

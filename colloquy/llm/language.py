@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import modest_batches, uniform, whole_text
+from colloquy.llm.common import id_text, modest_batches, uniform, whole_text
 
 #: For each language, so many passages of so many characters make its dictionary; drawn by a hash of id and text.
 PASSAGES, PASSAGE_CHARS = 256, 500
@@ -117,6 +117,6 @@ def predict_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_
             found = pd.DataFrame(rows, columns=["lang_pred", "score", "accepted"])
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), found], axis=1)
 
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return base.mapInPandas(run, f"doc_id {id_type}, lang_pred string, score double, accepted boolean")
+    base = docs.select(id_text(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = base.mapInPandas(run, "doc_id string, lang_pred string, score double, accepted boolean")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))

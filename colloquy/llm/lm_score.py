@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import mixed, modest_batches, row_key, slices, stable_hash, whole_text, words
+from colloquy.llm.common import id_text, mixed, modest_batches, row_key, slices, stable_hash, whole_text, words
 
 ORDER = 2
 #: Added to each token's count at the root of the automaton.
@@ -207,7 +207,7 @@ def score_documents(
     """
     modest_batches(docs.sparkSession)
     base = docs.select(
-        F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"),
+        id_text(doc_id).alias("doc_id"), whole_text(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"),
         row_key(doc_id, text).alias("key"),
     )
     size = base.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
@@ -223,9 +223,10 @@ def score_documents(
         _counted(order, parts), "block bigint, bucket bigint, keys binary, counts binary"
     )
     totals = counted.groupBy("bucket").applyInPandas(_summed, "block bigint, bucket bigint, n bigint, totals binary")
-    id_type = docs.schema[doc_id].dataType.simpleString()
     scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(
         _scored(order, parts, mass, tokens_seen, types_seen),
-        f"doc_id {id_type}, train boolean, n_tokens long, n_known long, base_score double, score double",
+        "doc_id string, train boolean, n_tokens long, n_known long, base_score double, score double",
     )
-    return scored.withColumn("train_tokens", F.lit(tokens_seen).cast("long"))
+    return scored.withColumns({
+        "doc_id": F.col("doc_id").cast(docs.schema[doc_id].dataType), "train_tokens": F.lit(tokens_seen).cast("long"),
+    })

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import mixed, modest_batches, runs, slices, stable_hash, whole_text, words
+from colloquy.llm.common import id_text, mixed, modest_batches, runs, slices, stable_hash, whole_text, words
 from colloquy.llm.components import connected_components
 from colloquy.session import materialize
 
@@ -59,9 +59,9 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def signed_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row per document: id, 16-byte digest of its text, size of its shingle set, signature keys."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), _node(text).alias("node"), whole_text(text).alias("text"))
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    return base.mapInPandas(_signed, f"doc_id {id_type}, node binary, n long, keys array<bigint>")
+    base = docs.select(id_text(doc_id).alias("doc_id"), _node(text).alias("node"), whole_text(text).alias("text"))
+    signed = base.mapInPandas(_signed, "doc_id string, node binary, n long, keys array<bigint>")
+    return signed.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
 
 
 def _node(text: str) -> Column:

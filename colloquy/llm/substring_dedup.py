@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import mixed, modest_batches, row_key, runs, slices, stable_hash, whole_text
+from colloquy.llm.common import id_text, mixed, modest_batches, row_key, runs, slices, stable_hash, whole_text
 from colloquy.llm.components import connected_components
 from colloquy.llm.near_dedup import WORDS, linked_components
 from colloquy.session import materialize
@@ -186,12 +186,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     modest_batches(docs.sparkSession)
     base = docs.select(
-        row_key(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")
+        row_key(doc_id, text).alias("key"), id_text(doc_id).alias("doc_id"), whole_text(text).alias("text")
     )
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    parts = materialize(base.mapInPandas(
-        _parts, f"key binary, doc_id {id_type}, at long, n_words long, digest long, bands array<bigint>"
-    ), "parts")
+    found = base.mapInPandas(_parts, "key binary, doc_id string, at long, n_words long, digest long, bands array<bigint>")
+    parts = materialize(found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType)), "parts")
     paragraphs = parts.where(F.col("bands").isNotNull())
     similar = materialize(similar_paragraphs(base, paragraphs), "similar")
     again = (

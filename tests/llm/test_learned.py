@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.llm import language, lm_score, queries, toxicity
+from colloquy.llm import language, lm_score, near_dedup, queries, substring_dedup, toxicity
 from colloquy.llm.common import documents
 
 SF = "/root/testdata/sf0.01"
@@ -89,6 +89,18 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     assert row.s > row.b
 
 
+def test_large_ids_beside_null_ids_keep_their_digits(spark):
+    big = 2**62 + 1
+    docs = spark.createDataFrame([(big, "one two three"), (None, "four five")], "doc_id long, text string").coalesce(1)
+    model = language.fit_languages(docs.withColumn("lang", F.lit("en")))
+    for df in (
+        language.predict_languages(docs, model), lm_score.score_documents(docs, F.lit(True)), near_dedup.near_duplicates(docs),
+        substring_dedup.repeated_passages(docs.unionByName(docs.select("doc_id", F.repeat(F.concat("text", F.lit(" word ")), 60).alias("text")))),
+    ):
+        assert df.schema["doc_id"].dataType.simpleString() == "bigint"
+        assert {r.doc_id for r in df.collect()} <= {big, None}
+
+
 def labelled(spark):
     rng = random.Random(7)
     rows = []
