@@ -176,41 +176,67 @@ def _rests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             inside.append(len(own) - len(rest))
             rests.append(rest.view(np.int64))
         yield pd.DataFrame({
-            "hub": batch["hub"], "node": batch["node"], "component": batch["component"],
-            "n": sizes, "inside": inside, "rest": rests,
+            "hub": batch["hub"], "node": batch["node"], "n": sizes, "inside": inside, "rest": rests,
         })
 
 
-def closing_pairs(rays: DataFrame, placed: DataFrame, bodies: DataFrame, components: DataFrame, least: int) -> DataFrame:
-    """Pairs of long lists that the stars leave open and that may still be similar enough.
+def _placed_in(df: DataFrame, components: DataFrame) -> DataFrame:
+    return df.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    A list is open where its texts belong to several components. Texts near the
-    hub are measured against a core, the shingles that several of its group
-    share: two texts can have at most ``min(inside) + common rest`` shingles in
-    common, ``rest`` being what lies outside the core. So only pairs from two
-    components are kept that share enough of their rests, or that differ so much
-    in size that the core alone might do. Two texts of a list that are near no
-    hub in common are compared by matches. Nothing that can be linked is left
-    out.
-    """
-    def with_component(df: DataFrame) -> DataFrame:
-        return df.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    near = with_component(rays.select("hub", "node").distinct())
-    main = materialize(
-        near.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("rows"))
-        .groupBy("hub").agg(F.max(F.struct("rows", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1").drop("parts"), "main",
+def measured_groups(rays: DataFrame, bodies: DataFrame, components: DataFrame) -> DataFrame:
+    """``hub, node, n, inside, rest`` of the texts near a hub whose group falls into several components.
+
+    The core of a group are the shingles that at least ``CORE_LEAST`` of some of
+    its texts share; ``inside`` counts a text's shingles in it, ``rest`` lists
+    the others.
+    """
+    near = _placed_in(rays.select("hub", "node").distinct(), components)
+    open_hubs = materialize(
+        near.groupBy("hub", "component").agg(F.lit(1).alias("_one"))
+        .groupBy("hub").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("hub"), "open",
     )
-    near = materialize(near.join(main, "hub"), "near")
+    near = materialize(near.join(open_hubs, "hub").select("hub", "node"), "near")
     first = Window.partitionBy("hub").orderBy(F.xxhash64("node"), "node")
     core = materialize(
         near.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= CORE_TEXTS)
         .join(bodies, "node").select("hub", "text").groupBy("hub").applyInPandas(_core, "hub binary, core binary"), "core",
     )
-    measured = materialize(
-        near.join(core, "hub").join(bodies, "node").select("hub", "node", "component", "text", "core")
-        .mapInPandas(_rests, "hub binary, node binary, component binary, n long, inside long, rest array<bigint>"), "rests",
+    return materialize(
+        near.join(core, "hub").join(bodies, "node").select("hub", "node", "text", "core")
+        .mapInPandas(_rests, "hub binary, node binary, n long, inside long, rest array<bigint>"), "rests",
+    )
+
+
+def core_stars(measured: DataFrame) -> DataFrame:
+    """Pairs of each group's text nearest to its core with all others that can be similar to it."""
+    middle = materialize(
+        measured.groupBy("hub").agg(F.max(F.struct(
+            (F.col("inside") / F.col("n")).alias("share"), F.col("inside").alias("inside_m"), F.col("n").alias("n_m"),
+            F.col("node").alias("middle"),
+        )).alias("top")).select("hub", "top.*"), "middle",
+    )
+    common = F.least("inside", "inside_m") + F.least(F.col("n") - F.col("inside"), F.col("n_m") - F.col("inside_m"))
+    return (
+        measured.drop("rest").join(middle, "hub")
+        .where((F.col("node") != F.col("middle")) & (7 * common >= 3 * (F.col("n") + F.col("n_m"))))
+        .select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).distinct()
+    )
+
+
+def closing_pairs(measured: DataFrame, placed: DataFrame, components: DataFrame, least: int) -> DataFrame:
+    """Pairs of long lists that the stars leave open and that may still be similar enough.
+
+    Two texts of a group can have at most ``min(inside) + common rest`` shingles
+    in common. So only pairs from two components are kept that share enough of
+    their rests, or that differ so much in size that the core alone might do. Two
+    texts of a list that are near no hub in common are compared by matches.
+    Nothing that can be linked is left out.
+    """
+    measured = materialize(_placed_in(measured, components), "measured")
+    main = materialize(
+        measured.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("rows"))
+        .groupBy("hub").agg(F.max(F.struct("rows", "component"))["component"].alias("main")), "main",
     )
 
     def side(name: str, *more: str) -> DataFrame:
@@ -235,7 +261,7 @@ def closing_pairs(rays: DataFrame, placed: DataFrame, bodies: DataFrame, compone
     other = side("b")
     sized = odd.join(other, (odd["hub"] == other["hub"]) & (odd["n_b"] == other["n_b"])
                      & (F.col("component_a") != F.col("component_b")) & (7 * inside >= 3 * (odd["n_a"] + other["n_b"])))
-    placed = materialize(with_component(placed), "placed")
+    placed = materialize(_placed_in(placed, components), "placed")
 
     def member(name: str) -> DataFrame:
         return placed.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "keys", "component", "levels")])
@@ -268,8 +294,13 @@ def linked_components(lists: DataFrame, bodies_of: Callable[[DataFrame], DataFra
     wanted = tested.select(F.explode(F.array("a", "b")).alias("node")).unionByName(placed.select("node")).distinct()
     bodies = materialize(bodies_of(wanted), "bodies")
     links = materialize(confirmed(tested, bodies), "links")
-    closing = materialize(closing_pairs(rays, placed, bodies, connected_components(links), least), "closing")
-    more = materialize(confirmed(closing.join(tested, ["a", "b"], "left_anti"), bodies), "links")
+    measured = measured_groups(rays, bodies, connected_components(links))
+    second = materialize(core_stars(measured).join(tested, ["a", "b"], "left_anti"), "second")
+    links = materialize(links.unionByName(confirmed(second, bodies)), "links")
+    tested = tested.unionByName(second)
+    closing = closing_pairs(measured, placed, connected_components(links), least)
+    closing = materialize(closing.join(tested, ["a", "b"], "left_anti"), "closing")
+    more = materialize(confirmed(closing, bodies), "links")
     return connected_components(links.unionByName(more))
 
 

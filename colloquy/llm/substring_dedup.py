@@ -111,7 +111,8 @@ def parts_of(texts: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
     passages = pd.DataFrame({
         "text": owner, "at": at - text_start[owner], "n_words": PASSAGE_WORDS, "digest": _run_hash(hashes, at, PASSAGE_WORDS),
     })
-    return paragraphs, passages
+    # A text that repeats a few words has the same passage at very many places; one of them stands for all.
+    return paragraphs, passages.drop_duplicates(["text", "digest"])
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
