@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import uniform, whole_text
+from colloquy.session import materialize
 
 #: Words reserved for the result.
 COPY, POSITION = "copy_no", "shuffle_key"
@@ -74,9 +75,9 @@ def mix_sources(
     a hash of id, copy and seed. A run again gives the same rows.
 
     Counts per source combine before their shuffle. The table of sources is
-    joined on the source; Spark broadcasts it when it is small by its own measure
-    and else splits the hot source. One full shuffle of the texts remains: the
-    global order asked for.
+    written, so that Spark knows its size when it plans the join: it broadcasts
+    a small one and else shuffles and splits the hot source. One full shuffle of
+    the texts remains: the global order asked for.
 
     Returns the columns of ``docs`` with ``copy_no`` (from 1) and
     ``shuffle_key``; columns of those names in ``docs`` give way. Rows with a
@@ -85,7 +86,7 @@ def mix_sources(
     table gives an empty table.
     """
     columns = [c for c in docs.columns if c not in (COPY, POSITION)]
-    rates = source_rates(docs, weights, total_repetitions, source)
+    rates = materialize(source_rates(docs, weights, total_repetitions, source), "rates")
     name = F.coalesce(F.col(doc_id).cast("string"), F.md5(whole_text(text).cast("binary")))
     rates = rates.withColumnRenamed("_source", "_mix_source").withColumnRenamed("_steps", "_mix_steps")
     counted = (
