@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -55,7 +56,10 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC0-1.0", ("cc0",)),
     ("Proprietary", ("rights",)),
 )
-SENTENCE_END = r"[.!?;:]+\s+|[.!?;:]+$|\n+"
+#: Where a sentence may begin or end, and no known one goes on: sentence ends and blank lines, with marks in them or not.
+HARD_END = r"[.!?]+(?:\s+|$)|\n[^\p{L}\p{N}]*\n"
+#: Where a sentence may begin or end, or go on: line ends and inner stops.
+SOFT_END = r"[.!?;:]+(?:\s+|$)|\n"
 
 
 def normalised(sentence: Column) -> Column:
@@ -63,13 +67,31 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
+def marked(text: Column) -> Column:
+    """Normalised words with ``|`` where a sentence may end or go on, and ``#`` where it must end."""
+    text = F.regexp_replace(F.translate(text, "|#", "  "), HARD_END, "#")
+    text = F.regexp_replace(F.lower(F.regexp_replace(text, SOFT_END, "|")), r"[^\p{L}\p{N}|#]+", " ")
+    return F.concat(F.lit("#"), text, F.lit("#"))
+
+
+def known_sentence(known: Sequence[str]) -> str:
+    """Pattern of the longest known sentence that begins at a mark and ends at one; its words may be on several lines."""
+    longest_first = sorted(set(known), key=lambda x: (-len(x), x))
+    return "[|#] ?(?=(" + "|".join("[ |]+".join(map(re.escape, x.split())) for x in longest_first) + ") ?[|#])"
+
+
 def in_order(found: Column, rule: Sequence[str]) -> Column:
-    """Whether the names of ``rule`` occur in the array ``found`` in that order."""
+    """Whether the names of ``rule`` occur in the array ``found`` of places and names, one after the other."""
     names = F.array(*[F.lit(x) for x in rule])
-    at = F.aggregate(
-        found, F.lit(0), lambda done, x: done + F.when(F.coalesce(F.get(names, done) == x, F.lit(False)), 1).otherwise(0)
-    )
-    return at == len(rule)
+    start = F.struct(F.lit(0).alias("done"), F.lit(-1).alias("last"))
+
+    def step(state: Column, x: Column) -> Column:
+        next_one = F.coalesce((F.get(names, state["done"]) == x["sentence_id"]) & (x["at"] > state["last"]), F.lit(False))
+        return F.struct(
+            (state["done"] + next_one.cast("int")).alias("done"), F.when(next_one, x["at"]).otherwise(state["last"]).alias("last"),
+        )
+
+    return F.aggregate(found, start, step)["done"] == len(rule)
 
 
 def scan_licenses(
@@ -81,10 +103,14 @@ def scan_licenses(
 ) -> DataFrame:
     """Licences whose sentences a document holds in the order of a rule.
 
-    Whole texts are cut at sentence ends and line ends, sentences are normalised
-    and joined with the known ones; only those that are found are shuffled, to
-    put the sequence of a document together. The list of known sentences is a
-    parameter of a fixed size, and the only side that may be broadcast.
+    Whole texts are normalised, with marks at sentence ends, inner stops and line
+    ends. A known sentence is found where its words, and no others, stand between
+    two marks; single line ends, comment signs and inner stops (``;`` and ``:``)
+    may be among them, a blank line or a sentence end may not. Each place gives
+    the longest one; those that begin like it and end at a mark in it are found
+    too. Only what is found is joined and shuffled, to put the sequence of a
+    document together. The list of known sentences is a parameter of a fixed
+    size, and the only side that may be broadcast.
 
     Returns for each distinct row of id and text: ``doc_id, n_sentences`` (known
     ones found), ``sentence_ids`` (comma-separated, in order) and ``licenses``
@@ -94,23 +120,26 @@ def scan_licenses(
     known = dict(SENTENCES if sentences is None else sentences)
     rules = RULES if rules is None else rules
     spark = docs.sparkSession
+    nested = [
+        (long, text_, name) for long in known.values() for name, text_ in known.items() if f"{long} ".startswith(f"{text_} ")
+    ]
     table = spark.createDataFrame(
-        [(text_, name) for name, text_ in known.items()],
-        T.StructType([T.StructField("sentence", T.StringType()), T.StructField("sentence_id", T.StringType())]),
+        sorted(set(nested)), T.StructType([T.StructField(x, T.StringType()) for x in ("longest", "sentence", "sentence_id")]),
     )
     base = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), whole_text(text).alias("body"))
-    longest = max((len(x) for x in known.values()), default=0)
+    places = F.regexp_extract_all(marked(F.col("body")), F.lit(known_sentence(list(known.values()))), F.lit(1))
     found = (
-        base.select("key", F.posexplode(F.split("body", SENTENCE_END)).alias("at", "piece"))
-        .where(F.length("piece") >= min((len(x) for x in known.values()), default=0))
-        .withColumn("sentence", normalised(F.col("piece")))
-        .where(F.length("sentence") <= longest)
-        .join(F.broadcast(table), "sentence")
-        .groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "sentence_id")))["sentence_id"].alias("found"))
+        base.select("key", F.posexplode(places).alias("at", "piece"))
+        .withColumn("piece", F.regexp_replace("piece", r" ?\|[ |]*", "|"))
+        .withColumn("longest", F.translate("piece", "|", " "))
+        .join(F.broadcast(table), "longest")
+        .where(F.substr("piece", F.length("sentence") + 1, F.lit(1)).isin("", "|"))
+        .groupBy("key")
+        .agg(F.array_sort(F.collect_set(F.struct("at", F.length("sentence").alias("length"), "sentence_id"))).alias("found"))
     )
     names = F.array_compact(F.array(*[F.when(in_order(F.col("found"), rule), F.lit(name)) for name, rule in rules]))
     decided = found.select(
-        "key", "found", F.concat_ws(",", F.array_sort(F.array_distinct(names))).alias("names"),
+        "key", F.col("found")["sentence_id"].alias("found"), F.concat_ws(",", F.array_sort(F.array_distinct(names))).alias("names"),
     )
     return (
         base.select("doc_id", "key").distinct().join(decided, "key", "left")

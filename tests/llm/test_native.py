@@ -106,3 +106,69 @@ def test_no_python_on_the_main_path(docs):
     for df in (exact_dedup.exact_dedup(docs), mixing.mix_sources(docs), licenses.scan_licenses(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+MIT = '''The MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+'''
+GPL = '''This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+'''
+APACHE = '''Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+'''
+
+
+def _commented(text, sign):
+    return "".join(f"{sign} {line}".rstrip() + "\n" for line in text.splitlines())
+
+
+def test_wrapped_licences(spark):
+    rows = [
+        (1, MIT, "MIT", "mit.grant,mit.notice,mit.warranty"), (2, GPL, "GPL-3.0-or-later", "gpl.free,gpl.hope,gpl.see"),
+        (3, APACHE, "Apache-2.0", "apache.header,apache.use,apache.obtain,apache.basis"),
+        (4, "/*\n" + _commented(APACHE, " *") + " */\nint x;", "Apache-2.0", "apache.header,apache.use,apache.obtain,apache.basis"),
+        (5, _commented(GPL, "#") + "|#|", "GPL-3.0-or-later", "gpl.free,gpl.hope,gpl.see"),
+        (6, MIT.replace("\n", "\r\n"), "MIT", "mit.grant,mit.notice,mit.warranty"),
+        (7, " ".join(GPL.split()), "GPL-3.0-or-later", "gpl.free,gpl.hope,gpl.see"),
+        (8, "MIT\n\nLicense. All rights.\nReserved", "", ""), (9, "Not all rights\nreserved", "", ""),
+        (10, "Notice:\nlicensed under the Apache License, Version 2.0\n(the \"License\"); all rights\nreserved", "Apache-2.0,Proprietary",
+         "apache.licensed,apache.header,rights"),
+        (11, "MIT License\nreleased under\nthe MIT License\nin 2020", "MIT", "mit.name,mit.released"),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.licenses, r.sentence_ids) for r in licenses.scan_licenses(docs).collect()}
+    assert got == {(i, names, ids) for i, _, names, ids in rows}
