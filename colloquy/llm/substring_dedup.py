@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import id_text, mixed, modest_batches, row_key, runs, slices, stable_hash, whole_text
@@ -111,8 +112,20 @@ def parts_of(texts: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
     passages = pd.DataFrame({
         "text": owner, "at": at - text_start[owner], "n_words": PASSAGE_WORDS, "digest": _run_hash(hashes, at, PASSAGE_WORDS),
     })
-    # A text that repeats a few words has the same passage at very many places; one of them stands for all.
-    return paragraphs, passages.drop_duplicates(["text", "digest"])
+    return paragraphs, _united(passages)
+
+
+def _united(passages: pd.DataFrame) -> pd.DataFrame:
+    """Places of one passage that overlap in one text, as one: a text that repeats a few words has it at very many."""
+    passages = passages.sort_values(["text", "digest", "at"], ignore_index=True)
+    before = passages.shift()
+    apart = (passages["text"] != before["text"]) | (passages["digest"] != before["digest"])
+    apart |= passages["at"] >= before["at"] + before["n_words"]
+    first = np.flatnonzero(apart.to_numpy(dtype=bool))
+    last = np.append(first[1:], len(passages))[:len(first)] - 1
+    out = passages.iloc[first].copy()
+    out["n_words"] = passages["at"].to_numpy()[last] + passages["n_words"].to_numpy()[last] - out["at"].to_numpy()
+    return out
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,65 +178,119 @@ def similar_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return nodes.join(linked, "node").select("digest", F.col("component").alias("cluster"))
 
 
+def _minus(start: int, end: int, kept: list[tuple[int, int]], ends: list[int]) -> list[tuple[int, int]]:
+    """What is left of a span without the kept ones, which are in order and apart; ``ends`` are theirs."""
+    left = []
+    for a, b in kept[bisect_right(ends, start):]:
+        if a >= end:
+            break
+        if a > start:
+            left.append((start, a))
+        start = max(start, b)
+    return left + [(start, end)] * (start < end)
+
+
+def stretches_of(places: list[tuple]) -> list[tuple]:
+    """``(start, end, head, n_docs, removed, units)`` of one document, from ``(at, end, unit, holders, n_docs, kept)``.
+
+    Overlapping places of units with the same holders are one stretch. What the
+    document keeps for others is taken out of what is removed from it; a stretch
+    of which nothing is left to remove stays.
+    """
+    stretches: list[list] = []
+    for at, end, unit, holders, n_docs, kept in sorted(places, key=lambda x: (x[3], x[0])):
+        if stretches and stretches[-1][3] == holders and at < stretches[-1][1]:
+            stretches[-1][1] = max(end, stretches[-1][1])
+            stretches[-1][2].add(unit)
+        else:
+            stretches.append([at, end, {unit}, holders, n_docs, kept])
+    own: list[tuple[int, int]] = []
+    for start, end in sorted((x[0], x[1]) for x in stretches if x[5]):
+        if own and start <= own[-1][1]:
+            own[-1] = (own[-1][0], max(end, own[-1][1]))
+        else:
+            own.append((start, end))
+    ends, rows = [end for _, end in own], []
+    for start, end, units, _, n_docs, kept in stretches:
+        left = [] if kept else _minus(start, end, own, ends)
+        for i, (a, b) in enumerate(left or [(start, end)]):
+            rows.append((a, b, min(units), n_docs, bool(left), [] if i else sorted(units)))
+    return rows
+
+
+def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["doc_id", "start_word", "end_word", "head", "n_docs", "removed", "units"]
+    for batch in batches:
+        rows = [
+            (doc_id, *row)
+            for doc_id, places in zip(batch["doc_id"].array, batch["places"])
+            for row in stretches_of([tuple(place.values()) for place in places])
+        ]
+        yield pd.DataFrame(rows, columns=columns)
+
+
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Passages that stand in more than one document, with the clusters to remove them by.
+    """Passages that stand in more than one document, with the spans to remove.
 
     Paragraphs (lines of 50 words or more) are banded by MinHash, with as many
     bands of two coordinates as find a pair at 0.75 with probability 0.999;
     paragraphs that collide are confirmed by the Jaccard similarity of their
     whole five-word shingle sets. Copies inside other text are found by passages
     of 24 words at anchored places: any copy of 51 words or more holds one.
-    Equal passages are one; passages of one document that overlap or lie in one
-    paragraph belong together, and so do similar paragraphs; clusters are the
-    components of that. Counts and smallest places combine before each shuffle,
-    and a passage of very many documents is linked to one representative only.
-
-    Returns one row per document and cluster: ``doc_id, cluster`` (16 hex
-    digits), ``start_word, end_word`` (from the first to the last repeated word),
-    ``n_docs`` of the cluster and ``removed``: false for the smallest id, whose
-    copy stays. Documents without repeats give no row. Rows with one id and one
-    text are one document, and so are not repeats of each other; a null id
-    counts as larger than any other. Null and empty texts have no passage.
+
+    Each passage, and each component of similar paragraphs, is kept by its holder
+    of the smallest id and removed from the others. Passages that overlap and
+    have the same holders are one cluster, so a span holds repeated words only.
+    What a document keeps for one passage is not removed from it for another:
+    every removed passage stays whole with its keeper (a similar paragraph in the
+    keeper's words). Holders are counted on the map side before each shuffle.
+
+    Returns one row per document and stretch, all places of it: ``doc_id,
+    cluster`` (16 hex digits), ``start_word, end_word``, ``n_docs`` that hold the
+    cluster and ``removed``. A stretch that is kept in part gives a row for each
+    part to remove; one that is kept as a whole has false, as with the keeper.
+    Documents without repeats give no row. Rows with one id and one text are one
+    document, and so are not repeats of each other; a null id counts as larger
+    than any other. Null and empty texts have no passage.
     """
     modest_batches(docs.sparkSession)
     base = docs.select(
         row_key(doc_id, text).alias("key"), id_text(doc_id).alias("doc_id"), whole_text(text).alias("text")
     )
+    kind = docs.schema[doc_id].dataType
     found = base.mapInPandas(_parts, "key binary, doc_id string, at long, n_words long, digest long, bands array<bigint>")
-    parts = materialize(found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType)), "parts")
+    parts = materialize(found.withColumn("doc_id", F.col("doc_id").cast(kind)), "parts")
     paragraphs = parts.where(F.col("bands").isNotNull())
     similar = materialize(similar_paragraphs(base, paragraphs), "similar")
+    first = materialize(similar.groupBy("cluster").agg(F.min("digest").alias("unit")), "first")
+    alike = similar.join(first, "cluster").select("digest", "unit")
     again = (
         parts.groupBy("digest").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-        .where("low <> high").select("digest")
+        .where("low <> high").select("digest", F.col("digest").alias("unit"))
     )
-    marked = materialize(similar.select("digest").unionByName(again).distinct(), "marked")
+    marked = alike.unionByName(again.join(similar, "digest", "left_anti"))
+    marked = materialize(marked, "marked")
     repeated = materialize(
-        parts.join(marked, "digest").select("key", "doc_id", "at", "n_words", "digest").distinct(), "repeated"
-    )
-    in_order = Window.partitionBy("key").orderBy("at", "n_words", "digest")
-    reach = F.max(F.col("at") + F.col("n_words")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    stretches = repeated.withColumn("_new", F.coalesce((F.col("at") >= reach).cast("int"), F.lit(0))).withColumn(
-        "_stretch", F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        parts.join(marked, "digest").select("key", "doc_id", "at", (F.col("at") + F.col("n_words")).alias("end"), "unit").distinct(),
+        "repeated",
     )
-    head = F.min("digest").over(Window.partitionBy("key", "_stretch"))
-    together = stretches.select(head.alias("a"), F.col("digest").alias("b"))
-    first = materialize(similar.groupBy("cluster").agg(F.min("digest").alias("a")), "first")
-    alike = similar.join(first, "cluster").select("a", F.col("digest").alias("b"))
-    own = marked.select(F.col("digest").alias("a"), F.col("digest").alias("b"))
-    clusters = connected_components(together.unionByName(alike).unionByName(own).distinct())
-    placed = repeated.join(clusters.withColumnRenamed("node", "digest"), "digest")
-    per_document = materialize(
-        placed.groupBy("component", "key").agg(
-            F.first("doc_id").alias("doc_id"), F.min("at").alias("start_word"), F.max(F.col("at") + F.col("n_words")).alias("end_word"),
-        ), "passages",
+    one = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "key")
+    held = repeated.groupBy("unit", "key").agg(F.first("doc_id").alias("doc_id")).groupBy("unit").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.min(one)["key"].alias("keeper"), F.bit_xor(F.xxhash64("key")).alias("all")
     )
     holders = materialize(
-        per_document.groupBy("component").agg(
-            F.count(F.lit(1)).alias("n_docs"), F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "key"))["key"].alias("keeper")
-        ), "holders",
+        held.where("n_docs > 1").select("unit", "n_docs", "keeper", F.xxhash64("n_docs", "keeper", "all").alias("holders")), "holders"
+    )
+    placed = repeated.join(holders, "unit").groupBy("key").agg(
+        F.first("doc_id").cast("string").alias("doc_id"),
+        F.collect_list(F.struct("at", "end", "unit", "holders", "n_docs", (F.col("key") == F.col("keeper")).alias("kept"))).alias("places"),
     )
-    return per_document.join(holders, "component").where("n_docs > 1").select(
-        "doc_id", F.lower(F.lpad(F.hex("component"), 16, "0")).alias("cluster"), "start_word", "end_word", "n_docs",
-        (F.col("key") != F.col("keeper")).alias("removed"),
+    stretches = materialize(placed.select("doc_id", "places").mapInPandas(
+        _stretches,
+        "doc_id string, start_word long, end_word long, head long, n_docs long, removed boolean, units array<bigint>",
+    ), "stretches")
+    clusters = connected_components(stretches.select(F.col("head").alias("a"), F.explode("units").alias("b")).distinct())
+    return stretches.join(clusters, F.col("head") == F.col("node")).select(
+        F.col("doc_id").cast(kind).alias("doc_id"), F.lower(F.lpad(F.hex("component"), 16, "0")).alias("cluster"),
+        "start_word", "end_word", "n_docs", "removed",
     )

@@ -237,3 +237,39 @@ def test_components(spark):
 
 def test_bands_reach_the_recall():
     assert 1 - (1 - 0.75**2) ** substring_dedup.BANDS >= substring_dedup.RECALL
+
+
+def removed_words(rows):
+    gone = defaultdict(set)
+    for r in rows:
+        if r.removed:
+            gone[r.doc_id].update(range(r.start_word, r.end_word))
+    return gone
+
+
+def test_spans_hold_repeated_words_only_and_every_passage_stays(spark):
+    rng = random.Random(21)
+    header, footer = words(rng, 60), words(rng, 60)
+    own = {i: words(rng, 40) for i in range(1, 6)}
+    texts = {i: header + own[i] + footer for i in own} | {i: header + footer for i in (6, 7)}
+    x, y = words(rng, 90), words(rng, 90)
+    y = x[60:] + y[60:] + words(rng, 60)  # the last words of X are the first of Y
+    texts |= {11: words(rng, 30) + x + words(rng, 30), 12: x + y[30:], 13: words(rng, 30) + y + words(rng, 30)}
+    twice = words(rng, 60)
+    texts |= {21: words(rng, 5) + twice, 22: twice + words(rng, 45) + twice}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = substring_dedup.repeated_passages(docs).collect()
+    gone = removed_words(got)
+    assert not any(gone[i] & set(range(60, 100)) for i in own)
+    assert all(gone[i] & set(range(60)) and gone[i] & set(range(100, 160)) for i in range(2, 6)) and not gone[1]
+    assert gone[22] & set(range(60)) and gone[22] & set(range(105, 165)) and not gone[22] & set(range(60, 105))
+    # Every passage that some document loses stands whole, with nothing taken out of it, in another.
+    kept = set()
+    for i, t in texts.items():
+        kept |= {tuple(t[a:a + 24]) for a in range(len(t) - 23) if not gone[i] & set(range(a, a + 24))}
+    parts = {i: substring_dedup.parts_of([" ".join(t)])[1] for i, t in texts.items()}
+    for i, found in parts.items():
+        for at in found["at"]:
+            if set(range(at, at + 24)) <= gone[i]:
+                assert tuple(texts[i][at:at + 24]) in kept
+    assert gone[12] and gone[13]
