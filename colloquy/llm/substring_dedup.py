@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import id_text, mixed, modest_batches, row_key, runs, slices, stable_hash, whole_text
@@ -16,8 +16,6 @@ from colloquy.llm.components import connected_components
 from colloquy.llm.near_dedup import WORDS, linked_components
 from colloquy.session import materialize
 
-#: Words that a paragraph must have to be compared as a whole.
-PARAGRAPH_WORDS = 50
 #: Words of an anchored passage. One anchor falls into any ``SPAN`` shingles, so every copy of
 #: ``PASSAGE_WORDS + SPAN - 1`` words (51) or more holds an anchored passage as a whole.
 PASSAGE_WORDS, SPAN = 24, 28
@@ -71,10 +69,25 @@ def _run_hash(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return mixed(total).view(np.int64)
 
 
+def _lines_and_blocks(start: np.ndarray, size: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, words and text of each line, and of each block of two lines or more that no blank line parts."""
+    written = np.flatnonzero(size > 0)
+    begins = np.ones(len(written), dtype=bool)
+    begins[1:] = (np.diff(written) > 1) | (np.diff(text[written]) > 0)
+    at = np.flatnonzero(begins)
+    lines = np.diff(np.append(at, len(written)))
+    words_of = np.add.reduceat(size[written], at) if len(at) else at
+    blocks, words_of = written[at[lines > 1]], words_of[lines > 1]
+    both, sizes = np.concatenate([written, blocks]), np.concatenate([size[written], words_of])
+    enough = sizes >= WORDS
+    return start[both[enough]], sizes[enough], text[both[enough]]
+
+
 def parts_of(texts: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Long paragraphs (``text, at, n_words, digest, bands``) and anchored passages (without bands) of some texts.
+    """Paragraphs (``text, at, n_words, digest, bands``) and anchored passages (without bands) of some texts.
 
-    ``text`` is the number of the text, ``at`` the place of the first word in it.
+    Paragraphs are lines, and blocks of several lines between blank ones, of a
+    shingle or more; the same words are one digest on one line or on many. ``text`` is the number of the text, ``at`` the place of the first word in it.
     """
     lines = [[line.encode().lower().split() for line in text.split("\n")] for text in texts]
     hashes = stable_hash([word for text in lines for line in text for word in line])
@@ -85,11 +98,9 @@ def parts_of(texts: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
     line_text = np.repeat(np.arange(len(lines)), [len(text) for text in lines])
     fives = runs(hashes, WORDS)
 
-    long_lines = np.flatnonzero(line_size >= PARAGRAPH_WORDS)
-    first, size = line_start[long_lines], line_size[long_lines]
-    owner = line_text[long_lines]
+    first, size, owner = _lines_and_blocks(line_start, line_size, line_text)
     paragraphs = pd.DataFrame({"text": owner, "at": first - text_start[owner], "n_words": size})
-    if len(long_lines):
+    if len(first):
         counts = size - WORDS + 1
         begins = np.cumsum(counts) - counts
         within = np.arange(counts.sum()) - np.repeat(begins, counts)
@@ -160,11 +171,12 @@ def similar_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """``digest, cluster`` of paragraphs that are linked with a different one."""
     nodes = paragraphs.groupBy("digest").agg(F.first("bands").alias("keys"), F.min(F.struct("key", "at", "n_words")).alias("place"))
     nodes = materialize(nodes.withColumn("node", _name()), "paragraphs")
-    postings = nodes.select("node", "keys", F.explode("keys").alias("key"))
+    postings = nodes.select("node", F.explode("keys").alias("key"))
     sizes = materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    lists = postings.join(sizes, "key")
-    scores = lists.groupBy("node").agg(F.sum("size").alias("score"))
-    lists = materialize(lists.join(scores, "node"), "lists")
+    # Most paragraphs share no band: the signatures follow only those that do.
+    shared = materialize(postings.join(sizes, "key"), "shared")
+    scores = shared.groupBy("node").agg(F.sum("size").alias("score"))
+    lists = materialize(shared.join(scores.join(nodes.select("node", "keys"), "node"), "node"), "lists")
 
     def bodies_of(wanted: DataFrame) -> DataFrame:
         places = (
@@ -232,14 +244,15 @@ def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Passages that stand in more than one document, with the spans to remove.
 
-    Paragraphs (lines of 50 words or more) are banded by MinHash, with as many
-    bands of two coordinates as find a pair at 0.75 with probability 0.999;
+    Paragraphs (lines, and blocks of lines between blank ones, of five words or
+    more) are banded by MinHash, equal ones once, with as many bands of two coordinates as find a pair at 0.75 with probability 0.999;
     paragraphs that collide are confirmed by the Jaccard similarity of their
     whole five-word shingle sets. Copies inside other text are found by passages
     of 24 words at anchored places: any copy of 51 words or more holds one.
 
-    Each passage, and each component of similar paragraphs, is kept by its holder
-    of the smallest id and removed from the others. Passages that overlap and
+    Each component of similar paragraphs is kept by its holder of the smallest id
+    and removed from the others; so is each passage, not counting places inside a
+    similar paragraph that is removed. Passages that overlap and
     have the same holders are one cluster, so a span holds repeated words only.
     What a document keeps for one passage is not removed from it for another:
     every removed passage stays whole with its keeper (a similar paragraph in the
@@ -266,22 +279,29 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     alike = similar.join(first, "cluster").select("digest", "unit")
     again = (
         parts.groupBy("digest").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-        .where("low <> high").select("digest", F.col("digest").alias("unit"))
+        .where("low <> high").select("digest", F.col("digest").alias("unit"), F.lit(False).alias("similar"))
     )
-    marked = alike.unionByName(again.join(similar, "digest", "left_anti"))
+    marked = alike.withColumn("similar", F.lit(True)).unionByName(again.join(similar, "digest", "left_anti"))
     marked = materialize(marked, "marked")
     repeated = materialize(
-        parts.join(marked, "digest").select("key", "doc_id", "at", (F.col("at") + F.col("n_words")).alias("end"), "unit").distinct(),
+        parts.join(marked, "digest").select("key", "doc_id", "at", (F.col("at") + F.col("n_words")).alias("end"), "unit", "similar").distinct(),
         "repeated",
     )
     one = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "key")
-    held = repeated.groupBy("unit", "key").agg(F.first("doc_id").alias("doc_id")).groupBy("unit").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.min(one)["key"].alias("keeper"), F.bit_xor(F.xxhash64("key")).alias("all")
-    )
-    holders = materialize(
-        held.where("n_docs > 1").select("unit", "n_docs", "keeper", F.xxhash64("n_docs", "keeper", "all").alias("holders")), "holders"
-    )
-    placed = repeated.join(holders, "unit").groupBy("key").agg(
+
+    def holders_of(places: DataFrame, name: str) -> DataFrame:
+        held = places.groupBy("unit", "key").agg(F.first("doc_id").alias("doc_id")).groupBy("unit").agg(
+            F.count(F.lit(1)).alias("n_docs"), F.min(one)["key"].alias("keeper"), F.bit_xor(F.xxhash64("key")).alias("all")
+        )
+        held = held.where("n_docs > 1").select("unit", "n_docs", "keeper", F.xxhash64("n_docs", "keeper", "all").alias("holders"))
+        return materialize(held, name)
+
+    keepers = holders_of(repeated.where("similar"), "keepers").select("unit", "keeper")
+    gone = F.max(F.when(F.col("key") != F.col("keeper"), F.col("end"))).over(Window.partitionBy("key").orderBy("at"))
+    live = repeated.join(keepers, "unit", "left").withColumn("gone", gone)
+    live = materialize(live.where(F.col("similar") | F.coalesce(F.col("gone") < F.col("end"), F.lit(True))).drop("keeper", "gone"), "live")
+    holders = holders_of(live, "holders")
+    placed = live.join(holders, "unit").groupBy("key").agg(
         F.first("doc_id").cast("string").alias("doc_id"),
         F.collect_list(F.struct("at", "end", "unit", "holders", "n_docs", (F.col("key") == F.col("keeper")).alias("kept"))).alias("places"),
     )

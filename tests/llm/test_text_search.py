@@ -273,3 +273,20 @@ def test_spans_hold_repeated_words_only_and_every_passage_stays(spark):
             if set(range(at, at + 24)) <= gone[i]:
                 assert tuple(texts[i][at:at + 24]) in kept
     assert gone[12] and gone[13]
+
+
+def test_short_and_wrapped_paragraphs_are_compared(spark):
+    rng = random.Random(22)
+    line, block, five = words(rng, 45), words(rng, 48), words(rng, 5)
+    other, edited_block = [*line], [*block]
+    other[22], edited_block[24] = "changed", "changed"
+    wrapped = "\n".join(" ".join(block[a:a + 8]) for a in range(0, 48, 8))
+    rewrapped = "\n".join(" ".join(edited_block[a:a + 11]) for a in range(0, 48, 11))
+
+    def within(text):
+        return "\n\n".join([" ".join(words(rng, 20)), text, " ".join(words(rng, 20))])
+
+    texts = [" ".join(line), " ".join(other), wrapped, rewrapped, " ".join(edited_block), " ".join(five), " ".join(five)]
+    docs = spark.createDataFrame([(i, within(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    gone = removed_words(substring_dedup.repeated_passages(docs).collect())
+    assert gone == {1: set(range(20, 65)), 3: set(range(20, 68)), 4: set(range(20, 68)), 6: set(range(20, 25))}
