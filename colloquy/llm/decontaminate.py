@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Callable
@@ -19,8 +21,8 @@ ERROR_RATE = 0.05
 #: Characters of test items that are searched for together; more items take more passes over the documents.
 BLOCK_CHARS = 1_000_000
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
-#: In a Python worker: the automaton of the block of items in use.
-_automaton: dict[int, ahocorasick.Automaton] = {}
+#: In a Python worker: the automaton of the block of items in use, by the digest of the block.
+_automaton: dict[bytes, ahocorasick.Automaton] = {}
 
 
 def normalized(text: str | None) -> str:
@@ -93,7 +95,12 @@ def find_items(text: str | None, items: list[tuple], automaton: ahocorasick.Auto
     return found
 
 
-def _built(block_id: int, items: list[tuple]) -> ahocorasick.Automaton:
+def block_of(items: list[tuple]) -> tuple[bytes, list[tuple]]:
+    """Items with a digest of all of them in their order; workers outlive a job, so an address does not tell blocks apart."""
+    return hashlib.sha256(pickle.dumps(items)).digest(), items
+
+
+def _built(block_id: bytes, items: list[tuple]) -> ahocorasick.Automaton:
     if block_id not in _automaton:
         _automaton.clear()
         known: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
@@ -133,7 +140,7 @@ def leak_finders(
         items = [(row.item_id, item, int(len(item) * error_rate)) for row in rows if (item := normalized(row.text))]
         if not items:
             continue
-        shared = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast(block_of(items))
         finders.append(_finder(shared, result))
     return finders
 
@@ -141,8 +148,8 @@ def leak_finders(
 def _finder(shared: Broadcast, result: T.DataType) -> Callable[[Column], Column]:
     @F.pandas_udf(result)
     def finder(texts: pd.Series) -> pd.Series:
-        items = shared.value
-        automaton = _built(id(items), items)
+        block_id, items = shared.value
+        automaton = _built(block_id, items)
         return pd.Series([find_items(text, items, automaton) for text in texts])
 
     return finder

@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,3 +292,12 @@ def test_short_and_wrapped_paragraphs_are_compared(spark):
     docs = spark.createDataFrame([(i, within(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     gone = removed_words(substring_dedup.repeated_passages(docs).collect())
     assert gone == {1: set(range(20, 65)), 3: set(range(20, 68)), 4: set(range(20, 68)), 6: set(range(20, 25))}
+
+
+def test_an_automaton_belongs_to_its_items(spark):
+    kind = "array<struct<item_id:bigint,distance:int,start:int,end:int>>"
+    items = []
+    for text in ("the first of two items", "another item at the same address"):
+        items[:] = [(1, text, 0)]
+        finder = decontaminate._finder(SimpleNamespace(value=decontaminate.block_of(items)), kind)
+        assert list(finder.func(pd.Series([f"x {text} y"])))[0] == [(1, 0, 2, 2 + len(text))]
