@@ -1,4 +1,4 @@
-"""Language-model scores by a weighted backoff automaton whose arcs are counted over the whole corpus."""
+"""Language-model scores by interpolated n-gram counts over the whole corpus, equal to those of a backoff automaton."""
 
 from __future__ import annotations
 
@@ -121,10 +121,10 @@ def _summed(group: pd.DataFrame) -> pd.DataFrame:
 def _scored(
     order: int, buckets: int, mass: float, tokens_seen: int, types_seen: int,
 ) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Walk the automaton over the texts of one block, all of them at once.
+    """Scores of the texts of one block, all tokens at once.
 
-    The state before a token is its longest context. The arc of a seen n-gram
-    and the failure arcs down to the root give
+    No state is carried. What an automaton would give by the arc of a seen n-gram
+    and the failure arcs from the longest context down to the root is computed as
     ``p(w | context) = (c(context w) + mass * p(w | shorter)) / (c(context) + mass)``.
     """
     root = tokens_seen + ADDED * (types_seen + 1)
@@ -196,7 +196,7 @@ def score_documents(
     are dealt by hash into blocks of about ``BLOCK_BYTES``; a block sends its
     distinct n-grams, with its own training counts, to buckets of equal key
     ranges; a bucket adds them up and gives every block the totals it asked for;
-    then each block walks its texts from left to right. Blocks and buckets grow
+    then each block scores its texts. Blocks and buckets grow
     in number, not in size. A word or pair that is everywhere costs one key per
     block. N-grams are known by hashes of 55 bits and more.
 
