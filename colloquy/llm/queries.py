@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, exact_dedup, language, licenses, line_dedup, lm_score, mixing, near_dedup, substring_dedup, toxicity
+from colloquy.llm import (
+    chat, collocations, decontaminate, exact_dedup, language, licenses, line_dedup, lm_score, mixing, near_dedup, substring_dedup,
+    toxicity, vector_codes,
+)
 from colloquy.llm.common import documents
+from colloquy.session import materialize
 
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,10 +91,34 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations`` and one of control strings, formatted, and what reading them back gives."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    awkward = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"),
+    )
+    return chat.digest_formatted(chat.format_conversations(turns.unionByName(awkward)), ordered=True)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 phrases of each language of ``documents``."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all ``embeddings`` and their errors."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    books = vector_codes.fit_codebooks(rows)
+    coded = materialize(vector_codes.encode(rows, books).select("vec_id", "label", "code", "error"), "vector-codes")
+    done = vector_codes.with_label_error(coded)
+    return done.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_substring_dedup, op3_line_dedup, op4_mixing, op5_licenses, op6_language, op7_near_dedup,
-        op8_toxicity, op9_lm_score, op10_exact_dedup,
+        op8_toxicity, op9_lm_score, op10_exact_dedup, op11_chat_format, op12_collocations, op13_vector_codes,
     )
 }
 
@@ -190,7 +218,92 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+_CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(14 + length(regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g')) + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')))::BIGINT
+    AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+_PHRASES = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece,
+         regexp_extract_all(unnest(regexp_split_to_array({_FOLD.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents
+), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+counted AS (
+  {" UNION ALL ".join(f"""SELECT lang, {k} AS size, phrase, count(*) AS f FROM (
+    SELECT lang, unnest(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) AS phrase
+    FROM pieces WHERE len(w) >= {k}) GROUP BY lang, phrase HAVING count(*) >= 100""" for k in range(1, 6))}
+), parts AS (SELECT *, string_split(phrase, ' ') AS w FROM counted),
+cuts AS (
+  SELECT p.lang, p.phrase, p.size, k, p.f AS a, l.f AS l, r.f AS r, t.n,
+         ((1000::HUGEINT * p.f * t.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM parts WHERE size > 1) p
+  JOIN counted l ON l.lang = p.lang AND l.phrase = array_to_string(p.w[1:k], ' ')
+  JOIN counted r ON r.lang = p.lang AND r.phrase = array_to_string(p.w[k + 1:], ' ')
+  JOIN totals t ON t.lang = p.lang
+), weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM weakest c WHERE NOT EXISTS (
+    SELECT 1 FROM counted x WHERE x.lang = c.lang AND x.size > c.size AND x.f >= c.a AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+def _code_rounds() -> str:
+    """Codebooks after each round of assignment and means, and the last assignment."""
+    steps = []
+    for r in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""near{r} AS (
+  SELECT vec_id, row_no, part, entry, distance FROM (
+    SELECT v.vec_id, v.row_no, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x))::BIGINT AS distance
+    FROM cells v JOIN books{r} b ON b.part = v.part AND b.place = v.place GROUP BY v.vec_id, v.row_no, v.part, b.entry)
+  QUALIFY row_number() OVER (PARTITION BY row_no, part ORDER BY distance, entry) = 1
+)""")
+        if r < vector_codes.ROUNDS:
+            steps.append(f"""books{r + 1} AS (
+  SELECT b.part, b.entry, b.place, coalesce(m.x, b.x) AS x FROM books{r} b LEFT JOIN (
+    SELECT part, entry, place, ((s - ((s % c) + c) % c) // c)::BIGINT AS x FROM (
+      SELECT n.part, n.entry, v.place, sum(v.x)::HUGEINT AS s, count(*)::HUGEINT AS c
+      FROM near{r} n JOIN cells v ON v.row_no = n.row_no AND v.part = n.part GROUP BY n.part, n.entry, v.place)
+  ) m ON m.part = b.part AND m.entry = b.entry AND m.place = b.place
+)""")
+    return ",\n".join(steps)
+
+
+_CODES = f"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS row_no, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cells AS (
+  SELECT row_no, vec_id, (i - 1) // (len(embedding) // {vector_codes.PARTS}) AS part, (i - 1) % (len(embedding) // {vector_codes.PARTS}) AS place,
+         floor({vector_codes.SCALE} * embedding[i]::DOUBLE)::BIGINT AS x
+  FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM vectors)
+), books0 AS (
+  SELECT part, entry, place, x FROM cells JOIN (
+    SELECT row_no, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM vectors ORDER BY vec_id LIMIT {vector_codes.ENTRIES}) USING (row_no)
+),
+{_code_rounds()}
+SELECT v.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY v.label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) FROM books{vector_codes.ROUNDS}) AS codebooks_sha256
+FROM vectors v JOIN (
+  SELECT row_no, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY part) AS code, sum(distance)::BIGINT AS error
+  FROM near{vector_codes.ROUNDS} GROUP BY row_no
+) c USING (row_no)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_line_dedup": _LINES, "op4_mixing": _MIXING, "op5_licenses": _LICENSES,
     "op7_near_dedup": _NEAR, "op10_exact_dedup": _EXACT,
+    "op11_chat_format": _CHAT, "op12_collocations": _PHRASES, "op13_vector_codes": _CODES,
 }
