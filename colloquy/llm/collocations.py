@@ -1,16 +1,20 @@
 """Phrases that occur together more often than their parts would by chance.
 
-Counting goes up one word at a time. Frequent words get ids by rank, the most
-frequent first; neighbouring ids are pairs, frequent pairs get ids by rank again,
-and neighbouring pairs that overlap are phrases of three words, and so on.
-
-Pairs are counted in tiles of ``TILE`` x ``TILE`` ids. As ids are ranks, a
-few tiles hold most pairs: those are counted in a dense array that is addressed
-by the pair itself, with one ``bincount``; the pairs of all other tiles are
-sorted and counted as runs.
-
-Texts are read once and kept as blocks of local word numbers. A block is told only
-the ids of its own words and pairs, so no vocabulary is ever held as a whole.
+Texts are read once and kept as blocks: the words of a block, ranked by their
+frequency in it, and the text as a sequence of those ranks. Counting goes up one
+word at a time. Neighbouring ranks are pairs; the pairs that may be frequent are
+ranked in turn, and neighbouring ranks of overlapping pairs are phrases of three
+words, and so on.
+
+Pairs are counted in tiles of ``TILE`` x ``TILE`` ranks. A few tiles hold most
+pairs: those are counted in a dense array that is addressed by the pair itself,
+with one ``bincount``; the pairs of all other tiles are sorted and counted as
+runs. What blocks count is added up by Spark, with the words themselves as key.
+
+Before a block grows phrases of ``k`` words it drops those of ``k - 1`` words that
+are rare in the whole corpus, by a Bloom filter of the frequent ones. Only such
+filters, of a bounded size, go to the executors; a false hit costs a few rows and
+changes no count.
 """
 
 from __future__ import annotations
@@ -19,20 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import whole_text
+from colloquy.llm.common import mixed, stable_hash, whole_text
 from colloquy.session import materialize
 
 LEAST_COUNT, LONGEST = 100, 5
 #: Bytes of text in a block; a longer text makes a longer block, of four bytes a word.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
+#: So many input partitions of blocks are counted by one task: what it counts more than once leaves it as one row.
+BLOCK_PARTITIONS = 4
 #: Longer texts are cut into words by so many bytes at a time.
 SLICE_BYTES = 1 << 20
-#: Side of a tile in ids, and the pairs from which on a tile is counted densely.
+#: Side of a tile in ranks, and the pairs from which on a tile is counted densely.
 TILE, DENSE_PAIRS = 512, 1 << 13
+#: Filters have about 16 bits for each frequent phrase, at most 64 MB; fuller ones let more rare phrases pass.
+LEAST_BITS, MOST_BITS, SHARDS, PROBES = 1 << 16, 1 << 29, 64, 4
 BREAK = -1
 UNKNOWN = "und"
 
@@ -91,56 +100,118 @@ class _Block:
 
 
 def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
-    """``block, lang, words, counts, ids``: the texts, packed by language as they come."""
+    """``lang, n_words, words, counts, ids``: the texts, packed by language as they come, the last three compressed.
+
+    A block ends at ``block_bytes`` of text; when all open blocks together have twice that, the largest ends.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
-        open_blocks: dict[str, _Block] = {}
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal made
-            for lang, block in open_blocks.items():
-                words, counts, ids = block.row()
-                if not words:
-                    continue
+        opened: dict[str, _Block] = {}
+        size = 0
+
+        def close(lang: str) -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            block = opened.pop(lang)
+            size -= block.size
+            words, counts, ids = block.row()
+            if words:
+                packed = [zstandard.compress(x, 1) for x in (b" ".join(words), counts.astype(np.int64).tobytes(), ids.tobytes())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{part}-{made}"]), pa.array([lang]), pa.array([words], pa.list_(pa.binary())),
-                     pa.array([counts], pa.list_(pa.int64())), pa.array([ids.tobytes()], pa.binary())],
-                    names=["block", "lang", "words", "counts", "ids"],
+                    [pa.array([lang]), pa.array([int(counts.sum())], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)],
+                    names=["lang", "n_words", "words", "counts", "ids"],
                 )
-                made += 1
-            open_blocks.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
-                open_blocks.setdefault(lang.as_py(), _Block()).add(text.as_py())
-                if sum(b.size for b in open_blocks.values()) >= block_bytes:
-                    yield from close()
-        yield from close()
+                lang, text = lang.as_py(), text.as_py()
+                block = opened.setdefault(lang, _Block())
+                block.add(text)
+                size += len(text)
+                if block.size >= block_bytes:
+                    yield from close(lang)
+                elif size >= 2 * block_bytes:
+                    yield from close(max(opened, key=lambda x: opened[x].size))
+        for lang in list(opened):
+            yield from close(lang)
 
-    return texts.mapInArrow(run, "block string, lang string, words array<binary>, counts array<long>, ids binary")
+    return texts.mapInArrow(run, "lang string, n_words long, words binary, counts binary, ids binary")
 
 
-# --- Ranks -----------------------------------------------------------------------------------
+def _unpacked(rows: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+    """Language, words, their counts and the sequence of each block, one block at a time."""
+    for i in range(rows.num_rows):
+        words, counts, ids = (zstandard.decompress(rows.column(c)[i].as_py()) for c in ("words", "counts", "ids"))
+        yield rows.column("lang")[i].as_py(), words.split(b" "), np.frombuffer(counts, np.int64), np.frombuffer(ids, np.int32)
 
-def with_rank(frequent: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Add ``id``, 0 for the first row of the order, without gaps.
 
-    Rows are sorted in ranges and numbered within each; the ranges' sizes, one
-    row each, are added up. No task sees all rows.
-    """
-    place = F.monotonically_increasing_id()
-    sorted_rows = materialize(
-        frequent.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumn("_place", place).withColumn("_range", F.shiftrightunsigned("_place", 33)), name,
-    )
-    sizes = sorted_rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return materialize(
-        sorted_rows.join(starts, "_range")
-        .withColumn("id", F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_range", "_place", "_start"),
-        f"{name}-ids",
-    )
+def _rows_of(lang: str, phrases: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for start in range(0, len(n), 1 << 16):
+        part = phrases[start:start + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), part, pa.array(n[start:start + (1 << 16)])], names=["lang", "phrase", "n"])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, phrase, n`` of the words of each block."""
+    for batch in batches:
+        for lang, words, counts, _ in _unpacked(batch):
+            yield from _rows_of(lang, pa.array(words, pa.binary()), counts)
+
+
+# --- Filters of frequent phrases -------------------------------------------------------------
+
+def _hashes(words: np.ndarray, phrases: np.ndarray, lang: str) -> np.ndarray:
+    """One hash for each row of ``phrases``, which are places in ``words``, the hashes of words."""
+    total = np.full(len(phrases), stable_hash([lang.encode()])[0])
+    for column in phrases.T:
+        total = mixed(total) + words[column]
+    return mixed(total)
+
+
+def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Filter bits of each hash, one row per hash; all bits of a hash lie in one shard."""
+    width = np.uint64(bits // SHARDS)
+    shard = (hashes >> np.uint64(58)) * width
+    again = mixed(hashes)
+    return np.stack([shard + ((hashes + np.uint64(i) * again) & (width - np.uint64(1))) for i in range(PROBES)], axis=1).astype(np.int64)
+
+
+def _held(filter_: bytes, hashes: np.ndarray) -> np.ndarray:
+    packed = np.frombuffer(filter_, np.uint8)
+    at = _positions(hashes, len(packed) * 8)
+    return ((packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+
+
+def _filter_of(frequent: DataFrame, size: int, rows: int, most_bits: int) -> bytes:
+    """A Bloom filter of ``lang, phrase`` rows of ``size`` words; its shards are made by tasks."""
+    bits = LEAST_BITS
+    while bits < min(most_bits, 16 * rows):
+        bits *= 2
+    width = bits // SHARDS
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            words = stable_hash([w for phrase in batch.column(1).to_pylist() for w in phrase.split(b" ")])
+            places = np.arange(len(words)).reshape(len(langs), size)
+            for lang in sorted(set(langs)):
+                at = np.unique(_positions(_hashes(words, places[[x == lang for x in langs]], lang), bits))
+                shards = np.unique(at // width)
+                own = [(at[(at >= s * width) & (at < (s + 1) * width)] - s * width).astype(np.uint32).tobytes() for s in shards]
+                yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(own, pa.binary())], names=["shard", "at"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for shard, at in zip(batch.column(0).to_pylist(), batch.column(1)):
+                shards.setdefault(shard, np.zeros(width, bool))[np.frombuffer(at.as_py(), np.uint32)] = True
+        for shard, flags in shards.items():
+            packed = np.packbits(flags, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([packed], pa.binary())], names=["shard", "bits"])
+
+    parts = frequent.select("lang", "phrase").mapInArrow(sent, "shard int, at binary").repartition("shard")
+    whole = bytearray(bits // 8)
+    for row in parts.mapInArrow(merged, "shard int, bits binary").toLocalIterator():
+        whole[row.shard * width // 8:(row.shard + 1) * width // 8] = row.bits
+    return bytes(whole)
 
 
 # --- Pairs in tiles --------------------------------------------------------------------------
@@ -152,9 +223,8 @@ def count_pairs(ids: np.ndarray, tile: int = TILE, dense_pairs: int = DENSE_PAIR
     a, b = a[both], b[both]
     if not len(a):
         return a, b, a
-    rows, columns = a // tile, b // tile
-    side = int(columns.max()) + 1
-    tiles, member, sizes = np.unique(rows * side + columns, return_inverse=True, return_counts=True)
+    side = int(b.max()) // tile + 1
+    tiles, member, sizes = np.unique(a // tile * side + b // tile, return_inverse=True, return_counts=True)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for k in np.flatnonzero(sizes >= dense_pairs):
         row, column = divmod(int(tiles[k]), side)
@@ -172,22 +242,6 @@ def count_pairs(ids: np.ndarray, tile: int = TILE, dense_pairs: int = DENSE_PAIR
     return tuple(np.concatenate(c).astype(np.int64) for c in zip(*found))
 
 
-def _pairs(blocks: DataFrame) -> DataFrame:
-    """``block, a, b, n``: what each block counts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, ids in zip(batch.column(0), batch.column(1)):
-                a, b, n = count_pairs(np.frombuffer(ids.as_py(), dtype=np.int64))
-                for start in range(0, len(a), 1 << 16):
-                    cut = slice(start, start + (1 << 16))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block.as_py()] * len(a[cut])), pa.array(a[cut]), pa.array(b[cut]), pa.array(n[cut])],
-                        names=["block", "a", "b", "n"],
-                    )
-
-    return blocks.select("block", "ids").mapInArrow(run, "block string, a long, b long, n long")
-
-
 def compact(ids: np.ndarray) -> np.ndarray:
     """The sequence without ids that have no neighbour, and with one break for several."""
     known = np.concatenate(([False], ids >= 0, [False]))
@@ -197,95 +251,79 @@ def compact(ids: np.ndarray) -> np.ndarray:
     return ids[~again]
 
 
-def _renamed(blocks: DataFrame, names: DataFrame, step) -> DataFrame:
-    """Blocks with the ids that ``names`` (``block`` and columns of equal length) give them; blocks without any go."""
-    columns = [c for c in names.columns if c != "block"]
-    told = names.groupBy("block").agg(*[F.collect_list(F.struct(*columns)).alias("told")])
+def ranked_pairs(ids: np.ndarray, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence of neighbouring pairs, named by rank of frequency, and the words of each.
+
+    ``phrases`` has the words of each id; two neighbours overlap in all words but the first and the last.
+    """
+    both = (ids[:-1] >= 0) & (ids[1:] >= 0)
+    codes, member, counts = np.unique(ids[:-1][both] * len(phrases) + ids[1:][both], return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(codes), dtype=np.int64)
+    rank[order] = np.arange(len(codes))
+    new = np.full(len(ids) - 1 if len(ids) else 0, BREAK, dtype=np.int64)
+    new[both] = rank[member]
+    first, second = codes[order] // max(len(phrases), 1), codes[order] % max(len(phrases), 1)
+    return new, np.concatenate((phrases[first], phrases[second][:, -1:]), axis=1)
+
+
+def grow(words: list[bytes], lang: str, ids: np.ndarray, filters: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of one word more than there are filters, as places in ``words``, and their counts in a block."""
+    hashes = stable_hash(words)
+    phrases = np.arange(len(words))[:, None]
+    for size, filter_ in enumerate(filters, 1):
+        if size > 1:
+            ids, phrases = ranked_pairs(ids, phrases)
+        kept = _held(filter_, _hashes(hashes, phrases, lang))
+        rank = np.append(np.where(kept, np.cumsum(kept) - 1, BREAK), BREAK)
+        ids, phrases = compact(rank[ids]), phrases[kept]
+    a, b, n = count_pairs(ids)
+    return np.concatenate((phrases[a], phrases[b][:, -1:]), axis=1), n
+
+
+def _grown(blocks: DataFrame, filters: list[bytes]) -> DataFrame:
+    """``lang, phrase, n``: what each block counts of phrases of one word more than there are filters."""
+    spark = blocks.sparkSession
+    shared = spark.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, ids, known in zip(batch.column("block"), batch.column("ids"), batch.column("told")):
-                table = known.values
-                values = {c: table.field(c).to_numpy(zero_copy_only=False) for c in columns}
-                new = compact(step(ids.as_py(), values).astype(np.int64))
-                if len(new) > 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block.as_py()]), pa.array([new.tobytes()], pa.binary())], names=["block", "ids"],
-                    )
-
-    # A block is a row of some megabytes: few go to Python at once.
-    return blocks.select("block", "ids").join(told, "block").mapInArrow(run, "block string, ids binary")
-
-
-def _by_word(ids: bytes, told: dict[str, np.ndarray]) -> np.ndarray:
-    local = np.frombuffer(ids, dtype=np.int32)
-    table = np.full(int(max(local.max(initial=0), told["place"].max(initial=0))) + 2, BREAK, dtype=np.int64)
-    table[told["place"]] = told["id"]
-    return table[local]
-
-
-def _by_pair(ids: bytes, told: dict[str, np.ndarray]) -> np.ndarray:
-    local = np.frombuffer(ids, dtype=np.int64)
-    a, b = local[:-1], local[1:]
-    order = np.lexsort((told["b"], told["a"]))
-    left, right, names = told["a"][order], told["b"][order], told["id"][order]
-    # The place of a pair: first its run of equal ``a``, then ``b`` within, as one number over local ranks of both.
-    heads, rank_a = np.unique(left, return_inverse=True)
-    tails, rank_b = np.unique(right, return_inverse=True)
-    codes = rank_a * len(tails) + rank_b
-    at_a, at_b = np.searchsorted(heads, a), np.searchsorted(tails, b)
-    at_a[at_a == len(heads)], at_b[at_b == len(tails)] = 0, 0
-    known = (heads[at_a] == a) & (tails[at_b] == b)
-    wanted = at_a * len(tails) + at_b
-    at = np.searchsorted(codes, wanted)
-    at[at == len(codes)] = 0
-    return np.where(known & (codes[at] == wanted), names[at], BREAK)
+            for lang, words, _, ids in _unpacked(batch):
+                places, n = grow(words, lang, ids.astype(np.int64), shared.value)
+                known = pa.array(words, pa.binary())
+                for start in range(0, len(n), 1 << 16):
+                    columns = places[start:start + (1 << 16)].T
+                    phrases = pc.binary_join_element_wise(*[known.take(pa.array(column)) for column in columns], b" ")
+                    yield from _rows_of(lang, phrases, n[start:start + (1 << 16)])
+
+    few = max(blocks.rdd.getNumPartitions() // BLOCK_PARTITIONS, spark.sparkContext.defaultParallelism)
+    return blocks.coalesce(few).mapInArrow(run, "lang string, phrase binary, n long")
 
 
 # --- Phrases ---------------------------------------------------------------------------------
 
 def frequent_phrases(
     docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, lang: str = "lang", text: str = "text",
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES, most_bits: int = MOST_BITS,
 ) -> tuple[list[DataFrame], DataFrame]:
-    """Tables of phrases of 1, 2, ... words that occur ``least`` times in their language, and ``lang, n_words``.
-
-    A phrase has ``id, lang, phrase, last`` (its last word), ``f``, and the counts
-    of its beginnings and endings (``heads``, ``tails``: of 1, 2, ... words less than
-    the whole); from two words on ``a, b``, the ids of the phrase without its
-    last and without its first word.
-    """
+    """Tables ``lang, phrase, f`` of phrases of 1, 2, ... words that occur ``least`` times in their language, and ``lang, n_words``."""
     texts = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), whole_text(text).cast("binary").alias("text"),
     )
     blocks = materialize(_blocks(texts, block_bytes), "word-blocks")
-    seen = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select(
-        "block", "lang", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"),
-    )
-    totals = blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("n"))
-    n_words = materialize(totals.groupBy("lang").agg(F.sum("n").alias("n_words")), "language-words")
-    frequent = seen.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = with_rank(frequent, [F.col("f").desc(), F.col("lang"), F.col("word")], "frequent-words")
-    none = F.array().cast("array<long>")
-    spelt = F.decode("word", "UTF-8")
-    levels = [words.select("id", "lang", spelt.alias("phrase"), spelt.alias("last"), "f", none.alias("heads"), none.alias("tails"))]
-    told = seen.select("block", "lang", "word", "place").join(words.select("lang", "word", "id"), ["lang", "word"])
-    state = materialize(_renamed(blocks, told.select("block", "place", "id"), _by_word), "blocks-1")
-    for size in range(2, longest + 1):
-        counted = materialize(_pairs(state), f"pairs-{size}")
-        pairs = counted.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        ranked = with_rank(pairs, [F.col("f").desc(), F.col("a"), F.col("b")], f"frequent-pairs-{size}")
-        shorter = levels[-1]
-        begin = shorter.select(F.col("id").alias("a"), "lang", F.col("phrase").alias("_begin"), F.concat("heads", F.array("f")).alias("heads"))
-        end = shorter.select(F.col("id").alias("b"), "last", F.concat("tails", F.array("f")).alias("tails"))
-        levels.append(materialize(
-            ranked.join(begin, "a").join(end, "b")
-            .select("id", "lang", F.concat("_begin", F.lit(" "), "last").alias("phrase"), "last", "f", "heads", "tails", "a", "b"),
-            f"phrases-{size}",
-        ))
+    n_words = materialize(blocks.groupBy("lang").agg(F.sum("n_words").alias("n_words")), "language-words")
+    counted = blocks.mapInArrow(_words, "lang string, phrase binary, n long")
+    levels: list[DataFrame] = []
+    filters: list[bytes] = []
+    for size in range(1, longest + 1):
+        frequent = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        levels.append(materialize(frequent, f"phrases-{size}"))
+        rows = levels[-1].count()
+        if not rows:
+            break
         if size < longest:
-            told = counted.select("block", "a", "b").join(ranked.select("a", "b", "id"), ["a", "b"])
-            state = materialize(_renamed(state, told, _by_pair), f"blocks-{size}")
+            filters.append(_filter_of(levels[-1], size, rows, most_bits))
+            counted = _grown(blocks, list(filters))
     return levels, n_words
 
 
@@ -306,17 +344,22 @@ def _weakest_cut(size: int) -> Column:
     return F.array_min(F.array(*cuts))
 
 
+def _less(size: int, side: int) -> Column:
+    """A phrase of ``size`` words without its last word (``side`` 1) or its first (-1)."""
+    return F.substring_index("phrase", " ", side * (size - 1))
+
+
 def collocations(
     docs: DataFrame, top: int | None = 2000, least: int = LEAST_COUNT, longest: int = LONGEST, lang: str = "lang", text: str = "text",
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES, most_bits: int = MOST_BITS,
 ) -> DataFrame:
     """The best-scored phrases of 2 to ``longest`` words of each language: ``lang, rank, phrase, a, l, r, n, score``.
 
     A phrase's score is ``1000 * a * n / (l * r)``, rounded down, at the cut into
     two parts where that is lowest: ``a``, ``l`` and ``r`` count the phrase and
     the parts, ``n`` all words of the language. A phrase that lies inside a
-    longer one with the same count is left out; a longer one with one more word then has that count, too, so
-    only those are looked up.
+    longer one with the same count is left out; a longer one with one more word then has that count, too, so only those are
+    looked up.
 
     Order: score and ``a`` falling, then phrase in byte order; ``top=None`` gives all.
     A-Z are lower-cased; texts are cut into pieces at ``.,;:!?`` and line ends,
@@ -324,18 +367,33 @@ def collocations(
     a language belong to ``und``, repeated rows count each time. No rows, or none frequent
     enough, give an empty table. Other columns are not read.
     """
-    levels, n_words = frequent_phrases(docs, least, longest, lang, text, block_bytes)
+    levels, n_words = frequent_phrases(docs, least, longest, lang, text, block_bytes, most_bits)
+    levels = [level.withColumn("phrase", F.col("phrase").cast("string")) for level in levels]
+    none = F.array().cast("array<long>")
+    known = levels[0].withColumns({"heads": none, "tails": none})
     parts = []
-    for size in range(2, longest + 1):
-        level = levels[size - 1]
-        if size < longest:
+    for size in range(2, len(levels) + 1):
+        # The counts of all beginnings and endings, from those of the two phrases of one word less.
+        shorter = known.select("lang", F.col("phrase").alias("_part"), F.concat("heads", F.array("f")).alias("_heads"),
+                               F.concat("tails", F.array("f")).alias("_tails"))
+        known = materialize(
+            levels[size - 1].withColumns({"_begin": _less(size, 1), "_end": _less(size, -1)})
+            .join(shorter.select("lang", F.col("_part").alias("_begin"), F.col("_heads").alias("heads")), ["lang", "_begin"])
+            .join(shorter.select("lang", F.col("_part").alias("_end"), F.col("_tails").alias("tails")), ["lang", "_end"])
+            .select("lang", "phrase", "f", "heads", "tails"), f"parts-{size}",
+        )
+        level = known
+        if size < len(levels):
             longer = levels[size]
-            around = longer.select(F.col("a").alias("id"), "f").unionByName(longer.select(F.col("b").alias("id"), "f"))
-            held = around.groupBy("id").agg(F.max("f").alias("_around"))
-            level = level.join(held, "id", "left").where(F.coalesce("_around", F.lit(0)) < F.col("f"))
+            around = longer.select("lang", F.explode(F.array(_less(size + 1, 1), _less(size + 1, -1))).alias("phrase"), "f")
+            held = around.groupBy("lang", "phrase").agg(F.max("f").alias("_around"))
+            level = level.join(held, ["lang", "phrase"], "left").where(F.coalesce("_around", F.lit(0)) < F.col("f"))
         parts.append(level.join(n_words, "lang").select(
             "lang", "phrase", F.col("f").alias("a"), F.col("n_words").alias("n"), _weakest_cut(size).alias("cut"),
         ))
+    if not parts:
+        cut = F.lit(None).cast("struct<score:bigint,k:int,l:bigint,r:bigint>")
+        parts = [levels[0].where("false").select("lang", "phrase", F.col("f").alias("a"), F.col("f").alias("n"), cut.alias("cut"))]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)

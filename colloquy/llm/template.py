@@ -264,21 +264,22 @@ _FOR = re.compile(r"for\s+([A-Za-z]\w*)\s+in\s(.+)", re.DOTALL | re.ASCII)
 
 def parse(source: str) -> tuple:
     """The syntax tree: a tuple of nodes."""
-    parts = iter(_TAG.split(source))
+    parts = iter(enumerate(_TAG.split(source)))
 
     def block(ends: tuple[str, ...], depth: int) -> tuple[tuple, str]:
         if depth > MOST_DEPTH:
             raise TemplateError("blocks are nested too deeply")
         nodes: list = []
-        for part in parts:
+        for place, part in parts:
             inner = part[2:-2].strip()
-            if part.startswith("{#"):
+            if place % 2 == 0:
+                if "{{" in part or "{%" in part:
+                    raise TemplateError(f"a tag is not closed in {part[:40]!r}")
+                nodes.append(Text(part))
+            elif part.startswith("{#"):
                 continue
-            if part.startswith("{{"):
+            elif part.startswith("{{"):
                 nodes.append(Output(_expression(inner)))
-            elif not part.startswith("{%"):
-                if part:
-                    nodes.append(Text(part))
             elif inner.split(None, 1)[:1] and inner.split(None, 1)[0] in ends:
                 return tuple(nodes), inner
             elif match := _FOR.fullmatch(inner):
