@@ -19,9 +19,12 @@ step 3 finds everything that could beat the bound.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -274,9 +277,12 @@ def jaccard_best(queries: DataFrame, bank: DataFrame) -> DataFrame:
 # --- Character similarity --------------------------------------------------------------------
 
 GRAM = 3
-CHAR_MINIMUM = 0.9
-#: At or below this ratio a pair of texts need not share a single gram.
-LEAST_MINIMUM = 1 - 1 / (2 * GRAM)
+#: Pairs with this ratio or a higher one are found by shared grams.
+NEAR = 0.9
+#: What the grams leave open is looked for in rounds: pairs whose ratio may reach the first bound, then the next, then all.
+BOUNDS = (0.5, 0.25, 0.0)
+#: Characters of each side that are compared at once.
+SLICE_CHARS = 1 << 14
 
 
 @F.pandas_udf(DoubleType())
@@ -299,31 +305,44 @@ def _gram_counts(texts: DataFrame, name: str, text: str, size: str) -> DataFrame
     )
 
 
-def _needed(q: Column, b: Column, minimum: float) -> Column:
-    """Grams that texts of ``q`` and ``b`` characters share at least when their ratio reaches ``minimum``.
+def _needed(q: Column, b: Column) -> Column:
+    """Grams that texts of ``q`` and ``b`` characters share at least when their ratio reaches ``NEAR``.
 
-    The ratio counts characters matched in order, so at most ``(1 - minimum) *
+    The ratio counts characters matched in order, so at most ``(1 - NEAR) *
     (q + b)`` insertions and deletions lie between the texts, and each of them
     touches ``GRAM`` grams of the longer one.
     """
-    return F.greatest(q, b) - GRAM + 1 - GRAM * F.floor((1 - minimum) * (q + b) + SLACK)
+    return F.greatest(q, b) - GRAM + 1 - GRAM * F.floor((1 - NEAR) * (q + b) + SLACK)
 
 
-def char_candidates(asked: DataFrame, stored: DataFrame, minimum: float) -> DataFrame:
-    """``qid, bid`` of all pairs that share as many grams as a ratio of ``minimum`` needs.
+def _with_deletions(side: DataFrame, name: str, text: str, size: str) -> DataFrame:
+    """``name, size, key``: short texts, and what is left of them without one character."""
+    less = F.transform(
+        F.sequence(F.lit(1), F.col(size)),
+        lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.col(size))),
+    )
+    # From 10 characters a pair on, one may be missing; a text that needs no gram has five at most.
+    return side.where(F.col(size).between(1, 2 * GRAM)).select(
+        name, size, F.explode(F.array_distinct(F.concat(F.array(text), less))).alias("key")
+    )
+
+
+def char_candidates(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """``qid, bid`` of all pairs that share as many grams as a ratio of ``NEAR`` needs.
 
     Grams are met rare ones first: the commonest grams of a query, which
     together cannot make up what any stored text would need, are left out of the
     join and only counted for pairs that the others leave open. Pairs of texts
-    so short that they need no gram are met by a shared character.
+    so short that they need no gram differ by one character at most and meet
+    by what is left without it.
     """
     q_grams = materialize(_gram_counts(asked, "qid", "qtext", "q"), "query-grams")
     b_grams = materialize(_gram_counts(stored, "bid", "btext", "b"), "bank-grams")
     frequency = b_grams.groupBy("gram").agg(count_rows().alias("df"))
     q, b = F.col("q"), F.col("b")
     # The need is least for the longest or the shortest stored text that can reach the ratio.
-    longest, shortest = F.floor(q * (2 - minimum) / minimum + SLACK), F.ceil(q * minimum / (2 - minimum) - SLACK)
-    least = F.least(_needed(q, longest, minimum), _needed(q, shortest, minimum), _needed(q, q, minimum))
+    longest, shortest = F.floor(q * (2 - NEAR) / NEAR + SLACK), F.ceil(q * NEAR / (2 - NEAR) - SLACK)
+    least = F.least(_needed(q, longest), _needed(q, shortest), _needed(q, q))
     common_first = W.partitionBy("qid").orderBy(F.col("df").desc(), F.col("gram").desc())
     ranked = materialize(
         q_grams.join(frequency, "gram")
@@ -336,7 +355,7 @@ def char_candidates(asked: DataFrame, stored: DataFrame, minimum: float) -> Data
     begun = (
         ranked.where("in_prefix").join(other, "gram").where(b.between(shortest, longest))
         .groupBy("qid", "bid", "q", "b").agg(F.sum(F.least("n", "m")).alias("part"))
-        .join(rests, "qid").where(F.col("part") + F.col("rest") >= _needed(q, b, minimum))
+        .join(rests, "qid").where(F.col("part") + F.col("rest") >= _needed(q, b))
     )
     begun = materialize(begun, "begun-grams")
     added = (
@@ -346,41 +365,160 @@ def char_candidates(asked: DataFrame, stored: DataFrame, minimum: float) -> Data
     )
     by_grams = (
         begun.join(added, ["qid", "bid"], "left")
-        .where(F.col("part") + F.coalesce("more", F.lit(0)) >= _needed(q, b, minimum)).select("qid", "bid")
-    )
-    few = int(GRAM / (1 - 2 * GRAM * (1 - minimum)))
-    chars = [
-        side.where(F.col(size) <= few).select(name, size, F.explode(F.array_distinct(F.split(text, ""))).alias("ch"))
-        for side, name, text, size in ((asked, "qid", "qtext", "q"), (stored, "bid", "btext", "b"))
-    ]
-    by_chars = chars[0].join(chars[1], "ch").where((F.col("ch") != "") & (_needed(q, b, minimum) <= 0)).select("qid", "bid")
+        .where(F.col("part") + F.coalesce("more", F.lit(0)) >= _needed(q, b)).select("qid", "bid")
+    )
+    short = _with_deletions(asked, "qid", "qtext", "q").join(_with_deletions(stored, "bid", "btext", "b"), "key")
+    by_chars = short.where((_needed(q, b) <= 0) & (F.abs(q - b) <= 1)).select("qid", "bid")
     return by_grams.unionByName(by_chars).distinct()
 
 
-def char_best(queries: DataFrame, bank: DataFrame, minimum: float = CHAR_MINIMUM) -> DataFrame:
-    """Best stored text per query by matching-block character similarity, where it reaches ``minimum``.
-
-    ``minimum`` is the threshold a match must have anyway; queries without such
-    a text keep their row with null ``bank_pos`` and ``score``. Only pairs that
-    pass the count of shared grams are compared in Python. An empty text matches
-    only an empty one, with a score of 1.
+def overlaps(asked: list[str], stored: list[str]) -> np.ndarray:
+    """Characters that each pair of texts has in common, counted with repeats: no ratio matches more of them."""
+    counts = [Counter(t) for t in asked], [Counter(t) for t in stored]
+    shared = set().union(*counts[0]) & set().union(*counts[1])
+    total = np.zeros((len(asked), len(stored)), dtype=np.int64)
+    for ch in shared:
+        a, b = (np.array([c[ch] for c in side]) for side in counts)
+        total += np.minimum(a[:, None], b[None, :])
+    return total
+
+
+class _InOrder:
+    """Longest common subsequence with one text, in bit-parallel steps: matching blocks are such a subsequence."""
+
+    def __init__(self, text: str):
+        self.size, self.masks = len(text), {}
+        for i, ch in enumerate(text):
+            self.masks[ch] = self.masks.get(ch, 0) | 1 << i
+
+    def common(self, other: str) -> int:
+        full = (1 << self.size) - 1
+        left = full
+        for ch in other:
+            hit = left & self.masks.get(ch, 0)
+            left = (left + hit | left - hit) & full
+        return self.size - left.bit_count()
+
+
+class Comparer:
+    """Best ratios of queries over a slice of stored texts, each query's most promising texts first."""
+
+    def __init__(self, bids: list[int], stored: list[str]):
+        self.bids, self.stored, self.compared = np.array(bids), stored, 0
+        self.sizes = np.array([len(t) for t in stored])
+        self.matchers: dict[int, SequenceMatcher] = {}
+
+    def _ratio(self, text: str, i: int) -> float:
+        if i not in self.matchers:
+            self.matchers[i] = SequenceMatcher(None, "", self.stored[i])
+        matcher = self.matchers[i]
+        matcher.set_seq1(text)
+        self.compared += 1
+        return matcher.ratio()
+
+    def best(self, text: str, shared: np.ndarray, known: float, bound: float, done: float) -> tuple[float, int] | None:
+        """Highest ratio and its lowest position, if it is at least ``known``.
+
+        Only pairs that may reach ``bound`` are looked at, and not those that
+        might have reached ``done``: an earlier round has compared them.
+        """
+        limit = 2.0 * shared / np.maximum(len(text) + self.sizes, 1)
+        order = np.lexsort((self.bids, -limit))
+        best, at, in_order = known, None, _InOrder(text)
+        for i in order:
+            if limit[i] <= 0 or limit[i] < max(best, bound) - SLACK:
+                break
+            reach = 2.0 * in_order.common(self.stored[i]) / (len(text) + self.sizes[i])
+            if reach < max(best, bound) - SLACK or reach >= done:
+                continue
+            ratio = round(self._ratio(text, i), 10)
+            if ratio > best or ratio == best and (at is None or self.bids[i] < at):
+                best, at = ratio, int(self.bids[i])
+        return None if at is None else (best, at)
+
+
+def _searched(bound: float, done: float):
+    """Rows of a block of queries beside a slice of the bank to ``qid, bank_pos, score``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for queries, stored in zip(batch["queries"], batch["stored"]):
+                queries, stored = list(queries), list(stored)
+                comparer = Comparer([s["bid"] for s in stored], [s["btext"] for s in stored])
+                shared = overlaps([x["qtext"] for x in queries], comparer.stored)
+                for x, row in zip(queries, shared):
+                    hit = comparer.best(x["qtext"], row, x["known"], bound, done)
+                    if hit and hit[0] > 0:
+                        found.append((x["qid"], hit[1], hit[0]))
+            yield pd.DataFrame(found, columns=["qid", "bank_pos", "score"]).astype({"qid": "int64", "bank_pos": "int64", "score": "float64"})
+
+    return run
+
+
+def _sliced(texts: DataFrame, size: str, key: str, row: list[str], alias: str) -> tuple[DataFrame, int]:
+    """``slice, alias``: the texts dealt into slices of about ``SLICE_CHARS`` characters, and their number."""
+    chars = texts.agg(F.sum(F.col(size) + 1).alias("n")).first().n or 0
+    n = max(1, math.ceil(chars / SLICE_CHARS))
+    slices = texts.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("slice")).agg(
+        F.collect_list(F.struct(*row)).alias(alias)
+    )
+    return slices, n
+
+
+def _search(asked: DataFrame, stored: DataFrame, found: DataFrame) -> DataFrame:
+    """``qid, bank_pos, score``: the best of ``found`` and of all stored texts, for every query that shares a character with one.
+
+    Queries that ``found`` has at ``NEAR`` or above are done. The others are
+    held against the bank in rounds of falling bounds, block by slice. Two upper
+    bounds come before a comparison: the common characters, then the longest common
+    subsequence. A query leaves after the round whose bound its best ratio reaches.
+    """
+    spark = asked.sparkSession
+    slices, n_slices = _sliced(stored, "b", "btext", ["bid", "btext"], "stored")
+    slices = materialize(slices, "bank-slices")
+    done = NEAR
+    for bound in BOUNDS:
+        open_queries = asked.join(found.where(F.col("score") >= done).select("qid"), "qid", "left_anti").join(
+            found.select("qid", F.col("score").alias("known")), "qid", "left").fillna(0.0, ["known"])
+        blocks, n_blocks = _sliced(open_queries.where("q > 0"), "q", "qtext", ["qid", "qtext", "known"], "queries")
+        blocks = materialize(blocks, "query-blocks")
+        if blocks.isEmpty():
+            break
+        tasks = min(n_blocks * n_slices, 8 * spark.sparkContext.defaultParallelism)
+        pairs = blocks.select("queries", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("slice")).join(slices, "slice")
+        # Nothing is known to have been compared before the first of these rounds.
+        compared = 2.0 if bound == BOUNDS[0] else done
+        better = pairs.repartition(tasks).select("queries", "stored").mapInPandas(
+            _searched(bound, compared), "qid long, bank_pos long, score double"
+        )
+        found = materialize(_best(found.select("qid", "bank_pos", "score").unionByName(better)), "found")
+        done = bound
+    return found
+
+
+def char_best(queries: DataFrame, bank: DataFrame) -> DataFrame:
+    """Best stored text per query by matching-block character similarity.
+
+    Adds ``bank_pos`` and ``score``; the lowest position wins a tie, and a query that shares
+    no character with any text scores 0, like in the other measures. An empty
+    text matches only an empty one, with a score of 1. Ids are integers.
+
+    Pairs at ``NEAR`` or above are found by a join on shared grams; only what
+    that leaves open is searched (:func:`_search`).
     """
-    if minimum <= LEAST_MINIMUM:
-        raise ValueError(f"minimum must be above {LEAST_MINIMUM:.3f}")
     key = _key()
     stored = materialize(
         _distinct_bank(bank, key).select(F.col("bank_pos").alias("bid"), "btext", F.length("btext").alias("b")), "bank-texts"
     )
     asked = materialize(_distinct_queries(queries, key).withColumn("q", F.length("qtext")), "query-texts")
-    pairs = char_candidates(asked, stored, minimum)
+    pairs = char_candidates(asked, stored)
     blank = asked.where("q = 0").select("qid", "q").join(stored.where("b = 0").select("bid", "b"), F.col("q") == F.col("b"))
     compared = (
         pairs.unionByName(blank.select("qid", "bid")).join(asked, "qid").join(stored, "bid")
-        .withColumn("score", _sequence_ratio("qtext", "btext")).where(F.round("score", 10) >= minimum)
+        .withColumn("score", _sequence_ratio("qtext", "btext"))
     )
-    best = _best(compared.withColumnRenamed("bid", "bank_pos"))
-    found = asked.select("qid", "qkey").join(best, "qid", "left").select("qkey", "bank_pos", "score")
-    return queries.withColumn("qkey", T.digest(key)).join(found, "qkey").drop("qkey")
+    found = materialize(_best(compared.withColumnRenamed("bid", "bank_pos")), "near-texts")
+    return _back_to_rows(queries, key, asked.select("qid", "qkey"), _search(asked, stored, found), bank)
 
 
 # --- What to do with the scores --------------------------------------------------------------

@@ -545,6 +545,12 @@ def threshold_sweep_jaccard(spark, sf):
     return similarity.threshold_sweep(similarity.jaccard_best(asked, stored), stored)
 
 
+@query
+def threshold_sweep_char(spark, sf):
+    asked, stored = _sides(spark, sf)
+    return similarity.threshold_sweep(similarity.char_best(asked, stored), stored)
+
+
 @query
 def best_score_stats(spark, sf):
     return similarity.best_score_stats(similarity.tfidf_best(*_sides(spark, sf)))
@@ -555,6 +561,11 @@ def best_score_stats_jaccard(spark, sf):
     return similarity.best_score_stats(similarity.jaccard_best(*_sides(spark, sf)))
 
 
+@query
+def best_score_stats_char(spark, sf):
+    return similarity.best_score_stats(similarity.char_best(*_sides(spark, sf)))
+
+
 @query
 def threshold_choice(spark, sf):
     return similarity.choose_threshold(threshold_sweep(spark, sf))
@@ -565,6 +576,11 @@ def threshold_choice_jaccard(spark, sf):
     return similarity.choose_threshold(threshold_sweep_jaccard(spark, sf))
 
 
+@query
+def threshold_choice_char(spark, sf):
+    return similarity.choose_threshold(threshold_sweep_char(spark, sf))
+
+
 @query
 def hybrid_route(spark, sf):
     asked, stored = _sides(spark, sf)

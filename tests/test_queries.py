@@ -33,6 +33,6 @@ def test_query_equals_sql(spark, con, sf, name):
     assert compare(df, con, ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", ["char_similarity_top1", "session_report"])
+@pytest.mark.parametrize("name", ["char_similarity_top1", "threshold_sweep_char", "best_score_stats_char", "threshold_choice_char", "session_report"])
 def test_rows_only(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0

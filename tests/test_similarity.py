@@ -74,33 +74,74 @@ def test_best_equals_all_pairs(spark, texts, measure, brute):
         assert got[i][0] == rounded.index(best), (i, queries[i])
 
 
-@pytest.mark.parametrize("minimum", [0.85, 0.9])
-def test_characters_equal_all_pairs_from_the_minimum_on(spark, minimum):
+def _char_texts():
     rng = random.Random(12)
     bank = ["".join(rng.choices("abcde ", k=rng.randint(0, 40))) for _ in range(60)] + ["", "a", "ab", "abc", "abab", "x" * 30]
+    # From 200 characters on the common ones start no match.
+    bank += [" ".join(rng.choices(WORDS, k=50)) + "qz"[i % 2] for i in range(6)]
     queries = []
     for text in bank:
-        for _ in range(3):
+        for edits in (rng.randint(0, 3), rng.randint(0, 3), len(text) // 3, len(text)):
             chars = list(text)
-            for _ in range(rng.randint(0, 3)):
+            for _ in range(edits):
                 at = rng.randrange(len(chars) + 1)
                 chars[at:at + rng.randint(0, 1)] = rng.choices("abcde", k=rng.randint(0, 2))
             queries.append("".join(chars))
+    return queries + ["qqzz", "zebra", "ZZZ", "", "0123", "abc" * 40], bank
+
+
+@pytest.mark.parametrize("slice_chars", [1 << 14, 150])
+def test_characters_equal_all_pairs(spark, monkeypatch, slice_chars):
+    monkeypatch.setattr(S, "SLICE_CHARS", slice_chars)
+    queries, bank = _char_texts()
     q = spark.createDataFrame(list(enumerate(queries)), "query_id long, text string")
     b = spark.createDataFrame(list(enumerate(bank)), "bank_pos long, text string")
-    got = {r.query_id: (r.bank_pos, r.score) for r in S.char_best(q, b, minimum).collect()}
+    got = {r.query_id: (r.bank_pos, r.score) for r in S.char_best(q, b).collect()}
     assert len(got) == len(queries)
+    levels = set()
     for i, scores in enumerate(brute_chars(queries, bank)):
         rounded = [round(x, 10) for x in scores]
-        best = max(rounded)
-        assert got[i] == ((rounded.index(best), pytest.approx(best, abs=1e-9)) if best >= minimum else (None, None)), queries[i]
+        assert got[i] == (rounded.index(max(rounded)), pytest.approx(max(rounded), abs=1e-9)), queries[i]
+        levels.add(int(10 * max(rounded)))
+    assert min(levels) == 0 and len(levels & {1, 2, 3}) > 1 and levels >= {4, 5, 6, 7, 8, 9, 10}
+
+
+def test_character_sweep_equals_all_pairs(spark, sf):
+    asked, stored = D.bank_queries(spark, sf), D.bank(spark, sf)
+    rows, bank = asked.collect(), sorted(stored.collect(), key=lambda r: r.bank_pos)
+    best = []
+    for row, scores in zip(rows, brute_chars([r.text for r in rows], [r.text for r in bank])):
+        rounded = [round(x, 10) for x in scores]
+        best.append((max(rounded), bank[rounded.index(max(rounded))].label == row.label))
+    scored = S.char_best(asked, stored)
+    for row in S.threshold_sweep(scored, stored).collect():
+        hits = [right for score, right in best if score >= row.threshold]
+        assert (row.n_matched, row.unmatched_rate) == (len(hits), round(1 - len(hits) / len(best), 4))
+        assert row.match_accuracy == (round(sum(hits) / len(hits), 4) if hits else None)
+    stats = S.best_score_stats(scored).first()
+    scores = [s for s, _ in best]
+    assert stats.mean_best_score == pytest.approx(sum(scores) / len(scores), abs=1e-4) and stats.min_best_score == round(min(scores), 4)
+
+
+def _candidates(spark, queries, bank):
+    asked = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(queries)], "qid long, qtext string, q int")
+    stored = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(bank)], "bid long, btext string, b int")
+    return S.char_candidates(asked, stored).count()
 
 
 def test_few_pairs_are_compared(spark):
     sf = "/root/testdata/sf0.1"
-    asked = D.bank_queries(spark, sf).select(F.col("query_id").alias("qid"), F.lower("text").alias("qtext"), F.length("text").alias("q"))
-    stored = D.bank(spark, sf).select(F.col("bank_pos").alias("bid"), F.lower("text").alias("btext"), F.length("text").alias("b"))
-    assert S.char_candidates(asked, stored, 0.9).count() < 0.05 * asked.count() * stored.count()
+    queries, bank = ([r.text.lower() for r in side(spark, sf).collect()] for side in (D.bank_queries, D.bank))
+    assert _candidates(spark, queries, bank) < 0.05 * len(queries) * len(bank)
+    rng = random.Random(2)
+    short = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(2000)] for _ in range(2)]
+    assert _candidates(spark, *short) < 4000
+    comparer = S.Comparer(list(range(2000)), short[1])
+    for text, shared in zip(short[0][:50], S.overlaps(short[0][:50], short[1])):
+        want = max(round(SequenceMatcher(None, text, b).ratio(), 10) for b in short[1])
+        assert comparer.best(text, shared, 0.0, 0.0, 2.0)[0] == want
+    # The bounds leave a small part of the pairs.
+    assert comparer.compared < 0.05 * 50 * 2000
 
 
 def test_sweep_and_choice(spark):
@@ -131,8 +172,9 @@ def test_no_all_pairs_in_the_plan(spark, texts):
 def test_queries_without_text_and_empty_banks_keep_their_rows(spark):
     asked = spark.createDataFrame([(1, None, "a"), (2, "red fox", "a")], "query_id long, text string, label string")
     bank = spark.createDataFrame([(1, "red fox jumps", "a", "r"), (2, None, "b", "s")], "bank_pos long, text string, label string, reply string")
-    for best in (S.tfidf_best, S.jaccard_best):
+    for best in (S.tfidf_best, S.jaccard_best, S.char_best):
         got = {r.query_id: r for r in best(asked, bank).collect()}
-        assert got[1].score == 0.0 and got[2].score > 0 and got[2].bank_pos == 1
+        # By characters a missing text equals a missing text; the other measures see nothing shared.
+        assert got[1].score == (1.0 if best is S.char_best else 0.0) and got[2].score > 0 and got[2].bank_pos == 1
         none = S.best_match(best(asked, bank.limit(0)), bank.limit(0), 0.6).collect()
         assert len(none) == 2 and not any(r.matched for r in none)
