@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from colloquy.functions import constants as C
 from colloquy.operators.evaluate import STATUS_CV, STATUS_HELD_OUT, STATUS_PENDING
+from colloquy.operators.linear import STEPS
+from colloquy.operators.models import BAYES, LOGREG, SVM
 from colloquy.sources.derived import NOISY_LABELS, OVER_LONG, PHRASES
 
 ORACLES: dict[str, str] = {}
@@ -635,10 +637,101 @@ SELECT q.query_id, 'q' || q.query_id AS session_id, CASE WHEN blank OR too_long
     WHEN matched THEN stored_reply ELSE {_ROUTE_REPLY} END AS response
 FROM checked q LEFT JOIN preds p ON p.doc_id = q.query_id"""
 
-_FOLD_ROWS = """models AS (
+
+
+def _learned(p: str, source: str, models: str, names: tuple[str, ...]) -> list[str]:
+    """Weights ``{p}w_<model>`` and intercepts ``{p}b_<model>`` from rows of ``source``; model ``g`` learns from folds other than ``g``."""
+    parts = [f"""{p}rows AS MATERIALIZED (SELECT doc_id, label, text, fold FROM {source} WHERE label IS NOT NULL),
+{p}inst AS (SELECT unnest({models}) AS g), {p}cls AS (SELECT DISTINCT label FROM {p}rows),
+{p}sizes AS MATERIALIZED (SELECT g, count(*) AS n FROM {p}inst, {p}rows WHERE fold <> g GROUP BY g),
+{p}tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (
+  SELECT doc_id, unnest({_ngrams('t')}) AS term FROM (SELECT doc_id, {_model_tokens('text')} AS t FROM {p}rows)) GROUP BY 1, 2),
+{p}idf AS MATERIALIZED (SELECT g, term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf
+  FROM {p}tf JOIN {p}rows USING (doc_id) JOIN {p}sizes ON fold <> g GROUP BY g, term HAVING count(*) >= 2),
+{p}x AS MATERIALIZED (SELECT g, doc_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY g, doc_id)) AS x
+  FROM {p}tf JOIN {p}idf USING (term)),
+{p}seen AS MATERIALIZED (SELECT g, doc_id, term, x, label AS y FROM {p}x JOIN {p}rows USING (doc_id) WHERE fold <> g),
+{p}mean AS (SELECT g, term, sum(x) / any_value(n) AS s FROM {p}seen JOIN {p}sizes USING (g) GROUP BY 1, 2),
+{p}curve AS MATERIALIZED (SELECT g, any_value(n) AS n, max(product) AS rho FROM (
+  SELECT g, doc_id, sum(x * s) AS product FROM {p}seen JOIN {p}mean USING (g, term) GROUP BY 1, 2) JOIN {p}sizes USING (g) GROUP BY g)"""]
+    for name in names:
+        parts.append(_bayes_weights(p) if name == "nb" else _descended(p, name))
+    return parts
+
+
+def _bayes_weights(p: str) -> str:
+    return f"""{p}totals AS (SELECT g, y AS label, term, sum(x) AS total FROM {p}seen GROUP BY 1, 2, 3),
+{p}mass AS (SELECT i.g, c.label, ln(coalesce((SELECT sum(total) FROM {p}totals t WHERE t.g = i.g AND t.label = c.label), 0)
+  + (SELECT count(*) FROM {p}idf d WHERE d.g = i.g)) AS mass FROM {p}inst i, {p}cls c),
+{p}w_nb AS MATERIALIZED (SELECT m.g, d.term, m.label, ln(1 + coalesce(t.total, 0)) - m.mass AS w
+  FROM {p}mass m JOIN {p}idf d USING (g) LEFT JOIN {p}totals t ON t.g = m.g AND t.label = m.label AND t.term = d.term),
+{p}b_nb AS (SELECT g, label, ln(count(*) / any_value(n)) AS b FROM {p}rows JOIN {p}sizes ON fold <> g GROUP BY 1, 2)"""
+
+
+def _descended(p: str, name: str) -> str:
+    """The steps of gradient descent with momentum, one after the other."""
+    q = f"{p}{name}_"
+    if name == "lr":
+        bend, shrink = 1.0, "1.0"
+        pull = f"""SELECT g, doc_id, label, exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY g, doc_id) - (y = label)::INT AS c
+    FROM (SELECT *, max(z) OVER (PARTITION BY g, doc_id) AS top FROM (SELECT m.*, m + ahead AS z FROM {q}m{{t}} m JOIN {q}b{{t}} USING (g, label)))"""
+    else:
+        bend, shrink = 4.0, "(1 - 1.0 / (4.0 + 1.0 / n) / n)"
+        pull = f"""SELECT g, doc_id, label, -2.0 * side * greatest(0.0, 1.0 - side * z) AS c FROM (
+    SELECT g, doc_id, label, m + ahead AS z, CASE WHEN y = label THEN 1.0 ELSE -1.0 END AS side FROM {q}m{{t}} JOIN {q}b{{t}} USING (g, label))"""
+    step, bias_step = f"(1.0 / ({bend} * rho + 1.0 / n))", f"(1.0 / ({bend} + 1.0 / n))"
+    parts = [f"""{q}w0 AS MATERIALIZED (SELECT g, term, label, 0.0::DOUBLE AS w, 0.0::DOUBLE AS v FROM {p}idf, {p}cls),
+{q}b0 AS MATERIALIZED (SELECT g, label, 0.0::DOUBLE AS b, 0.0::DOUBLE AS ahead FROM {p}inst, {p}cls)"""]
+    for t in range(STEPS):
+        keep = t / (t + 3.0)
+        parts.append(f"""{q}m{t} AS MATERIALIZED (SELECT s.g, doc_id, y, w.label, sum(x * v) AS m
+  FROM {p}seen s JOIN {q}w{t} w ON w.g = s.g AND w.term = s.term GROUP BY 1, 2, 3, 4),
+{q}c{t} AS MATERIALIZED ({pull.format(t=t)}),
+{q}d{t} AS MATERIALIZED (SELECT s.g, term, c.label, sum(x * c) AS d FROM {p}seen s JOIN {q}c{t} c ON c.g = s.g AND c.doc_id = s.doc_id GROUP BY 1, 2, 3),
+{q}w{t + 1} AS MATERIALIZED (SELECT g, term, label, new AS w, new + {keep!r} * (new - w) AS v FROM (
+  SELECT w.g, w.term, w.label, w.w, v * (1 - {step} / n) - coalesce(d, 0) * {step} / n AS new
+  FROM {q}w{t} w JOIN {p}curve USING (g) LEFT JOIN {q}d{t} d ON d.g = w.g AND d.term = w.term AND d.label = w.label)),
+{q}b{t + 1} AS MATERIALIZED (SELECT g, label, new AS b, new + {keep!r} * (new - b) AS ahead FROM (
+  SELECT b.g, b.label, b.b, ahead * {shrink} - coalesce(d, 0) * {bias_step} / n AS new FROM {q}b{t} b JOIN {p}curve USING (g)
+  LEFT JOIN (SELECT g, label, sum(c) AS d FROM {q}c{t} GROUP BY 1, 2) d ON d.g = b.g AND d.label = b.label))""")
+    parts.append(f"{p}w_{name} AS (SELECT g, term, label, w FROM {q}w{STEPS}), {p}b_{name} AS (SELECT g, label, b FROM {q}b{STEPS})")
+    return ",\n".join(parts)
+
+
+def _decided(name: str, p: str, model: str, rows: str, vectors: str) -> str:
+    """``name``: doc_id, label, g, pred, confidence of ``rows`` (doc_id, label, g)."""
+    return f"""{name} AS (SELECT doc_id, y AS label, g, arg_min(label, place) AS pred, 1 / sum(exp(score - top)) AS confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 10) DESC, label) AS place, max(score) OVER (PARTITION BY doc_id) AS top FROM (
+    SELECT r.doc_id, r.label AS y, r.g, b.label, any_value(b.b) + coalesce(sum(x.x * w.w), 0) AS score
+    FROM {rows} r JOIN {p}b_{model} b ON b.g = r.g LEFT JOIN {vectors} x ON x.doc_id = r.doc_id AND x.g = r.g
+    LEFT JOIN {p}w_{model} w ON w.g = x.g AND w.term = x.term AND w.label = b.label
+    WHERE x.term IS NULL OR w.term IS NOT NULL GROUP BY 1, 2, 3, 4)) GROUP BY 1, 2, 3)"""
+
+
+_HELD = f"""t_source AS (SELECT doc_id, label, text, -1 AS fold FROM marked WHERE split = 'train'),
+held AS (SELECT doc_id, label, text, 0 AS g FROM marked WHERE split = 'evaluation'),
+held_tf AS (SELECT doc_id, term, count(*) AS tf FROM (
+  SELECT doc_id, unnest({_ngrams('t')}) AS term FROM (SELECT doc_id, {_model_tokens('text')} AS t FROM held)) GROUP BY 1, 2)"""
+_HELD_X = """held_x AS MATERIALIZED (SELECT g, doc_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS x
+  FROM held_tf JOIN t_idf USING (term))"""
+
+
+def _judged(*names: str) -> list[str]:
+    """The held-out side judged by models of the training side: ``preds_<model>``."""
+    learned = _learned("t_", "t_source", "[0]", names)
+    return [_MARKED, _HELD, *learned, _HELD_X, *[_decided(f"preds_{x}", "t_", x, "held", "held_x") for x in names]]
+
+
+_METRICS = ORACLES["overall_metrics"].removeprefix(_ctes(_PREDS, _CLASSES))
+ORACLES["score_confidence"] = _ctes(*_judged("svm")) + "SELECT doc_id, label, pred, round(confidence, 4) AS confidence FROM preds_svm"
+ORACLES["predict_logreg"] = _ctes(*_judged("lr")) + "SELECT doc_id, pred, round(confidence, 4) AS confidence FROM preds_lr"
+for _query, _model in (("train_svm", "svm"), ("train_logreg", "lr")):
+    ORACLES[_query] = _ctes(*_judged(_model), f"preds AS (SELECT * FROM preds_{_model})", _CLASSES) + _METRICS
+
+_STAND_INS = """models AS (
   SELECT 'first' AS model, doc_id % 5 AS fold, label, pred FROM preds
-  UNION ALL SELECT 'second', doc_id % 5, label, CASE WHEN doc_id % 13 = 0 THEN 'de' ELSE label END FROM preds),
-names AS (SELECT DISTINCT model, fold, label AS name FROM models UNION SELECT DISTINCT model, fold, pred FROM models),
+  UNION ALL SELECT 'second', doc_id % 5, label, CASE WHEN doc_id % 13 = 0 THEN 'de' ELSE label END FROM preds)"""
+_SUMMARY = """names AS (SELECT DISTINCT model, fold, label AS name FROM models UNION SELECT DISTINCT model, fold, pred FROM models),
 counted AS (SELECT n.model, n.fold, n.name, count(*) FILTER (m.label = n.name) AS support, count(*) FILTER (m.pred = n.name) AS predicted,
   count(*) FILTER (m.label = n.name AND m.pred = n.name) AS hits FROM names n JOIN models m ON m.model = n.model AND m.fold = n.fold GROUP BY 1, 2, 3),
 rates AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE hits / predicted END AS p, CASE WHEN support = 0 THEN 0.0 ELSE hits / support END AS r FROM counted),
@@ -648,16 +741,36 @@ folds AS (SELECT model, fold, sum(hits) / sum(support) AS accuracy, avg(f) AS ma
 long AS (UNPIVOT folds ON accuracy, macro_f1, weighted_f1, macro_precision, macro_recall INTO NAME metric VALUE score),
 summary AS (SELECT model, metric, round(avg(score), 4) AS mean, round(stddev_pop(score), 4) AS std,
   string_agg(printf('%.4f', round(score, 4)), ',' ORDER BY fold) AS fold_scores FROM long GROUP BY 1, 2)"""
-ORACLES["fold_summary"] = _ctes(_PREDS, _FOLD_ROWS) + "SELECT * FROM summary"
-ORACLES["model_selection"] = _ctes(_PREDS, _FOLD_ROWS) + """
+ORACLES["fold_summary"] = _ctes(_PREDS, _STAND_INS, _SUMMARY) + "SELECT * FROM summary"
+ORACLES["model_selection_stand_in"] = _ctes(_PREDS, _STAND_INS, _SUMMARY) + """
 SELECT model, mean, std FROM summary WHERE metric = 'weighted_f1' ORDER BY mean DESC, std, model LIMIT 1"""
 _COMPARED = """SELECT model, max(mean) FILTER (metric = 'accuracy') AS accuracy, max(mean) FILTER (metric = 'macro_f1') AS macro_f1,
   max(mean) FILTER (metric = 'weighted_f1') AS weighted_f1, max(std) FILTER (metric = 'accuracy') AS accuracy_std,
   max(std) FILTER (metric = 'macro_f1') AS macro_f1_std, max(std) FILTER (metric = 'weighted_f1') AS weighted_f1_std,
   {status} AS status FROM summary GROUP BY 1"""
-ORACLES["model_comparison"] = _ctes(_PREDS, _FOLD_ROWS) + _COMPARED.format(status=_text(STATUS_CV)) + f"""
+ORACLES["model_comparison_stand_in"] = _ctes(_PREDS, _STAND_INS, _SUMMARY) + _COMPARED.format(status=_text(STATUS_CV)) + f"""
+UNION ALL SELECT 'Fine-tuned transformer', NULL, NULL, NULL, NULL, NULL, NULL, {_text(STATUS_PENDING)}"""
+_NAMES = {"lr": LOGREG, "svm": SVM, "nb": BAYES}
+_CROSS = [
+    _MARKED, "f_train AS (SELECT doc_id, label, text FROM marked WHERE split = 'train')",
+    f"f_source AS (SELECT doc_id, label, text, ({_ROW_RANK} - 1) % {C.FOLDS} AS fold FROM f_train)",
+    *_learned("f_", "f_source", f"range(0, {C.FOLDS})", tuple(_NAMES)),
+    "f_rows_g AS (SELECT doc_id, label, fold AS g FROM f_rows)", *[_decided(f"f_{x}", "f_", x, "f_rows_g", "f_x") for x in _NAMES],
+    "models AS (" + " UNION ALL ".join(f"SELECT {_text(name)} AS model, g AS fold, label, pred FROM f_{x}" for x, name in _NAMES.items()) + ")",
+    _SUMMARY,
+]
+_CHOSEN = "chosen AS (SELECT model, mean, std FROM summary WHERE metric = 'weighted_f1' ORDER BY mean DESC, std, model LIMIT 1)"
+ORACLES["cv_summary"] = _ctes(*_CROSS) + "SELECT * FROM summary"
+ORACLES["model_selection"] = _ctes(*_CROSS, _CHOSEN) + "SELECT * FROM chosen"
+ORACLES["model_comparison"] = _ctes(*_CROSS) + _COMPARED.format(status=_text(STATUS_CV)) + f"""
 UNION ALL SELECT 'Fine-tuned transformer', NULL, NULL, NULL, NULL, NULL, NULL, {_text(STATUS_PENDING)}"""
-ORACLES["model_comparison_held_out"] = _ctes(_PREDS, _FOLD_ROWS, _CLASSES) + _COMPARED.format(status=_text(STATUS_CV)) + f"""
+ORACLES["holdout_eval"] = _ctes(
+    *_CROSS, _CHOSEN, *_judged(*_NAMES)[1:],
+    "preds AS (" + " UNION ALL ".join(
+        f"SELECT doc_id, label, pred FROM preds_{x} WHERE (SELECT model FROM chosen) = {_text(name)}" for x, name in _NAMES.items()) + ")",
+    _CLASSES,
+) + _METRICS.replace("\nSELECT ", "\nSELECT (SELECT model FROM chosen) AS model, ", 1)
+ORACLES["model_comparison_held_out"] = _ctes(_PREDS, _STAND_INS, _SUMMARY, _CLASSES) + _COMPARED.format(status=_text(STATUS_CV)) + f"""
 UNION ALL SELECT 'chosen', round(sum(hits) / sum(support), 4), round(avg(f), 4), round(sum(f * support) / sum(support), 4),
   NULL, NULL, NULL, {_text(STATUS_HELD_OUT)} FROM classes"""
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import constants as C
 from colloquy.functions import rules as R
 from colloquy.functions import text as T
-from colloquy.operators import audit, bayes, evaluate, frames, messages, models, sessions, similarity, split
+from colloquy.operators import audit, evaluate, frames, linear, messages, models, sessions, similarity, split
 from colloquy.session import scratch_path
 from colloquy.sources import derived as D
 from colloquy.sources import tables
@@ -585,9 +585,9 @@ def threshold_choice_char(spark, sf):
 def hybrid_route(spark, sf):
     asked, stored = _sides(spark, sf)
     found = similarity.best_match(similarity.tfidf_best(asked, stored), stored, MATCH_THRESHOLD)
-    model = bayes.fit(stored, row_id="bank_pos")
+    model = linear.fit(stored, row_id="bank_pos")
     rows = asked.withColumn("session_id", F.concat(F.lit("q"), "query_id"))
-    return messages.hybrid_route(rows, found, bayes.scorer(model, "query_id", "text"))
+    return messages.hybrid_route(rows, found, linear.scorer(model, "query_id", "text"))
 
 
 # --- Models ----------------------------------------------------------------------------------
@@ -600,49 +600,73 @@ def _train_and_eval(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     return sides.where("split = 'train'"), sides.where("split = 'evaluation'")
 
 
-def _held_out(train: DataFrame, held: DataFrame, name: str) -> DataFrame:
-    return models.predict(models.fit_models(train, [name])[name], held)
+def _held_out(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    train, held = _train_and_eval(spark, sf)
+    return linear.predict(linear.fit(train, name), held)
 
 
 @query
 def train_logreg(spark, sf):
-    return evaluate.overall_metrics(_held_out(*_train_and_eval(spark, sf), models.LOGREG))
+    return evaluate.overall_metrics(_held_out(spark, sf, models.LOGREG))
 
 
 @query
 def train_svm(spark, sf):
-    return evaluate.overall_metrics(_held_out(*_train_and_eval(spark, sf), models.SVM))
+    return evaluate.overall_metrics(_held_out(spark, sf, models.SVM))
 
 
 @query
 def train_nb(spark, sf):
-    train, held = _train_and_eval(spark, sf)
-    return evaluate.overall_metrics(bayes.predict(bayes.fit(train), held))
+    return evaluate.overall_metrics(_held_out(spark, sf, models.BAYES))
 
 
 @query
 def predict_nb(spark, sf):
-    train, held = _train_and_eval(spark, sf)
-    return bayes.predict(bayes.fit(train), held).select("doc_id", "pred", F.round("confidence", 4).alias("confidence"))
+    return _held_out(spark, sf, models.BAYES).select("doc_id", "pred", F.round("confidence", 4).alias("confidence"))
+
+
+@query
+def predict_logreg(spark, sf):
+    return _held_out(spark, sf, models.LOGREG).select("doc_id", "pred", F.round("confidence", 4).alias("confidence"))
 
 
 @query
 def score_confidence(spark, sf):
-    scored = _held_out(*_train_and_eval(spark, sf), models.SVM)
+    scored = _held_out(spark, sf, models.SVM)
     return scored.select("doc_id", "label", "pred", F.round("confidence", 4).alias("confidence"))
 
 
+def _shown_folds(summary: DataFrame) -> DataFrame:
+    shown_scores = F.transform("fold_scores", lambda x: F.format_string("%.4f", x))
+    return summary.withColumn("fold_scores", F.array_join(shown_scores, ","))
+
+
+def _cross_validated(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.cv_summary(linear.cross_validate(_train_and_eval(spark, sf)[0]))
+
+
 @query
 def cv_summary(spark, sf):
-    return evaluate.cv_summary(models.cross_validate(_train_and_eval(spark, sf)[0]))
+    """Three models in five folds of the training side."""
+    return _shown_folds(_cross_validated(spark, sf))
 
 
 @query
 def holdout_eval(spark, sf):
     """Cross-validate, choose the best model, and judge it on rows no fit has seen."""
     train, held = _train_and_eval(spark, sf)
-    name = models.best_name(evaluate.cv_summary(models.cross_validate(train)))
-    return evaluate.overall_metrics(_held_out(train, held, name)).withColumn("model", F.lit(name))
+    name = models.best_name(evaluate.cv_summary(linear.cross_validate(train)))
+    return evaluate.overall_metrics(linear.predict(linear.fit(train, name), held)).withColumn("model", F.lit(name))
+
+
+@query
+def model_selection(spark, sf):
+    return evaluate.select_model(_cross_validated(spark, sf))
+
+
+@query
+def model_comparison(spark, sf):
+    return evaluate.comparison_table(_cross_validated(spark, sf), None, "Fine-tuned transformer")
 
 
 def _fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -657,18 +681,16 @@ def _fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fold_summary(spark, sf):
-    rows = evaluate.cv_summary(_fold_metrics(spark, sf))
-    shown_scores = F.transform("fold_scores", lambda x: F.format_string("%.4f", x))
-    return rows.withColumn("fold_scores", F.array_join(shown_scores, ","))
+    return _shown_folds(evaluate.cv_summary(_fold_metrics(spark, sf)))
 
 
 @query
-def model_selection(spark, sf):
+def model_selection_stand_in(spark, sf):
     return evaluate.select_model(evaluate.cv_summary(_fold_metrics(spark, sf)))
 
 
 @query
-def model_comparison(spark, sf):
+def model_comparison_stand_in(spark, sf):
     return evaluate.comparison_table(evaluate.cv_summary(_fold_metrics(spark, sf)), None, "Fine-tuned transformer")
 
 
