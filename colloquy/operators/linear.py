@@ -136,23 +136,39 @@ def _bayes(p: _Prepared) -> Weights:
     return p.idf.join(totals, "term", "left").select("term", F.array(*weights).alias("w")), bias
 
 
-def _pull(kind: str, p: _Prepared, bias: Sequence[float]) -> Column:
-    """How far each margin of a row is from what its label asks for, per model and label; 0 where a model does not learn from the row."""
-    out = []
-    for g in range(p.models):
-        cells = [i for i, (model, _) in enumerate(p.cells) if model == g]
-        margins = [F.col(f"m{i}") + F.lit(bias[i]) for i in cells]
-        top = F.greatest(*margins) if len(margins) > 1 else margins[0]
-        total = reduce(lambda a, b: a + b, [F.exp(m - top) for m in margins])
-        for k, m in enumerate(margins):
-            right = F.col("y") == k
-            if kind == LOGREG:
-                pull = F.exp(m - top) / total - right.cast("double")
-            else:
-                side = F.when(right, 1.0).otherwise(-1.0)
-                pull = -2.0 * side * F.greatest(F.lit(0.0), 1.0 - side * m)
-            out.append(F.when((F.col("fold") != g) & F.col("known")[g], pull).otherwise(0.0))
-    return F.array(*out)
+def _given(p: _Prepared, values: Sequence[float]) -> Column:
+    """Numbers that change from step to step, as a one-row table: literals would make Spark compile every step anew."""
+    listed = ", ".join(f"CAST('{v!r}' AS DOUBLE)" for v in values)
+    return p.items.sparkSession.sql(f"SELECT col1 AS given FROM VALUES (array({listed}))").scalar()
+
+
+def _pulls(kind: str, p: _Prepared, margins: DataFrame) -> DataFrame:
+    """``row, c``: how far each margin of a row is from what its label asks for; 0 where a model does not learn from the row.
+
+    Sums and exponentials of a model are columns of their own, so that the generated code names them once.
+    """
+    models = range(p.models)
+    out = margins.withColumns({
+        f"z{g}": F.array(*[F.col(f"m{i}") + F.col("ahead")[i] for i, (model, _) in enumerate(p.cells) if model == g]) for g in models
+    })
+    if kind == LOGREG:
+        out = out.withColumns({f"e{g}": _shares(F.col(f"z{g}")) for g in models})
+        out = out.withColumns({f"s{g}": F.aggregate(f"e{g}", F.lit(0.0), lambda a, b: a + b) for g in models})
+    cells = []
+    for g, k in p.cells:
+        right = F.col("y") == k
+        side, z = F.when(right, 1.0).otherwise(-1.0), F.col(f"z{g}")[k]
+        if kind == LOGREG:
+            pull = F.col(f"e{g}")[k] / F.col(f"s{g}") - right.cast("double")
+        else:
+            pull = -2.0 * side * F.greatest(F.lit(0.0), 1.0 - side * z)
+        cells.append(F.when((F.col("fold") != g) & F.col("known")[g], pull).otherwise(0.0))
+    return out.select("row", F.array(*cells).alias("c")).where(F.exists("c", lambda v: v != 0))
+
+
+def _shares(margins: Column) -> Column:
+    """Exponentials of the margins, the largest shifted to 1."""
+    return F.transform(margins, lambda m: F.exp(m - F.array_max(margins)))
 
 
 def _curvature(p: _Prepared) -> list[float]:
@@ -194,16 +210,16 @@ def _descend(kind: str, p: _Prepared, steps: int, curvature: Sequence[float]) ->
         margins = long.groupBy("row", "fold", "y", "known").agg(*[
             F.sum(F.col("x")[g] * F.col("v")[i]).alias(f"m{i}") for i, (g, _) in enumerate(p.cells)
         ])
-        pulls = margins.select("row", _pull(kind, p, ahead).alias("c")).where(F.exists("c", lambda v: v != 0))
-        pulls = materialize(pulls, "pulls")
+        pulls = materialize(_pulls(kind, p, margins.withColumn("ahead", _given(p, ahead))), "pulls")
         sums = pulls.agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(size)]).first()
         gradient = p.items.select("row", "items").join(pulls, "row").select("c", F.inline("items")).groupBy("term").agg(*[
             F.sum(F.col("x")[g] * F.col("c")[i]).alias(f"g{i}") for i, (g, _) in enumerate(p.cells)
         ])
         keep = step / (step + 3.0)
         moved = [F.col("v")[i] * shrink[i] - F.coalesce(f"g{i}", F.lit(0.0)) * (length[i] / n[i]) for i in range(size)]
-        weights = weights.join(gradient, "term", "left").select("term", F.col("w").alias("old"), F.array(*moved).alias("w")).select(
-            "term", "w", F.zip_with("w", "old", lambda new, old: new + keep * (new - old)).alias("v"),
+        weights = weights.join(gradient, "term", "left").select(
+            "term", F.col("w").alias("old"), F.array(*moved).alias("w"), _given(p, [keep])[0].alias("keep")).select(
+            "term", "w", F.zip_with("w", "old", lambda new, old: new + F.col("keep") * (new - old)).alias("v"),
         )
         weights = materialize(weights, "weights")
         new = [b * bias_shrink[i] - (sums[i] or 0.0) * bias_length[i] / n[i] for i, b in enumerate(ahead)]
