@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colloquy.session import materialize
+
 CHUNK = "_chunk"
 CARRIED = "_carried"
 HASH_DIGITS = 3
@@ -97,12 +99,58 @@ def quantile(value: str, q: float) -> Column:
     return F.percentile(value, F.lit(q), F.col("_n"))
 
 
-def describe(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    """Equality of key columns, nulls included, with their prefixed namesakes."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys], F.lit(True))
+
+
+def ranked_quantiles(counted: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
+    """``keys, quantile, q``: exact linear-interpolated quantiles of a :func:`value_counts` frame.
+
+    For measures with any number of distinct values. Those are sorted in ranges, over all
+    groups; the rows of each range are counted, which tells the range that holds a
+    wanted rank, and only those ranges are read again to find the value there. No task
+    holds more than one range, and no group is gathered.
+    """
+    sorted_values = materialize(
+        counted.select(*keys, value, "_n").repartitionByRange(*keys, value)
+        .sortWithinPartitions(*keys, value).withColumn("_range", F.spark_partition_id()), "sorted-values",
+    )
+    sizes = sorted_values.groupBy(*keys, "_range").agg(F.sum("_n").alias("_rows"))
+    line = W.partitionBy(*keys).orderBy("_range")
+    starts = sizes.withColumns({
+        "_before": F.coalesce(F.sum("_rows").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+        "_total": F.sum("_rows").over(W.partitionBy(*keys)),
+    })
+    wanted = F.array(*[F.lit(float(q)) for q in quantiles])
+    place = F.col("quantile") * (F.col("_total") - 1)
+    targets = (
+        starts.select(*keys, "_range", "_before", "_rows", "_total", F.explode(wanted).alias("quantile"))
+        .select("*", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("_rank"), place.alias("_place"))
+        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_rows")))
+    )
+    targets = materialize(targets, "wanted-ranks").select(
+        *[F.col(k).alias(f"_t{k}") for k in keys], F.col("_range").alias("_t_range"), "quantile", "_rank", "_place", "_before",
+    )
+    ranges = targets.select(*[f"_t{k}" for k in keys], "_t_range").distinct()
+    read = sorted_values.join(ranges, _same([*keys, "_range"], "_t"), "left_semi").withColumn(
+        "_upto", F.sum("_n").over(W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
+    )
+    found = read.join(targets, _same([*keys, "_range"], "_t")).where(
+        (F.col("_rank") >= F.col("_before") + F.col("_upto") - F.col("_n")) & (F.col("_rank") < F.col("_before") + F.col("_upto"))
+    )
+    part = F.col("_place") - F.floor("_place")
+    share = F.when(F.col("_rank") == F.floor("_place"), 1.0 - part).otherwise(part)
+    return found.groupBy(*keys, "quantile").agg(F.sum(F.col(value) * share).alias("q"))
+
+
+def describe(df: DataFrame, by: Sequence[str], values: Sequence[str], continuous: bool = False) -> DataFrame:
     """Count, mean, sample deviation, min, quartiles and max, one row per metric.
 
     One shuffle carries (group, metric, distinct value, count) rows; everything
-    else, the few means first, is computed from those counts. Measures live on a fixed grid (lengths,
-    rounded scores), which bounds the distinct values of a group.
+    else, the few means first, is computed from those counts. Measures on a fixed grid (lengths,
+    rounded scores) have few distinct values in a group, and a task holds those; for ``continuous``
+    ones the quartiles are found by rank (:func:`ranked_quantiles`).
     """
     metrics = F.array(*[
         F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values
@@ -110,23 +158,30 @@ def describe(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFra
     long = df.select(*by, F.inline(metrics))
     keys = [*by, "metric"]
     counted = value_counts(long, keys, "value")
+    counted = materialize(counted, "value-counts") if continuous else counted
     n = F.sum("_n")
     total = F.sum(F.col("value") * F.col("_n"))
     # Squares of distances from the mean: squares of large values would cancel.
     means = counted.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg((total / n).alias("_mean"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    same = _same(keys, "_")
     away = F.col("value") - F.col("_mean")
     spread = F.when(n > 1, F.sqrt(F.sum(away * away * F.col("_n")) / (n - 1)))
-    return counted.join(means, same).groupBy(*by, "metric").agg(
+    moments = [
         n.alias("count"),
         F.round(total / n, 4).alias("mean"),
         F.round(spread, 4).alias("std"),
         F.round(F.min("value"), 4).alias("min"),
-        F.round(quantile("value", 0.25), 4).alias("p25"),
-        F.round(quantile("value", 0.50), 4).alias("p50"),
-        F.round(quantile("value", 0.75), 4).alias("p75"),
-        F.round(F.max("value"), 4).alias("max"),
+    ]
+    most = F.round(F.max("value"), 4).alias("max")
+    quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    rows = counted.join(means, same).groupBy(*by, "metric")
+    if not continuous:
+        return rows.agg(*moments, *[F.round(quantile("value", q), 4).alias(name) for name, q in quartiles.items()], most)
+    found = ranked_quantiles(counted, keys, "value", list(quartiles.values())).groupBy(*[F.col(k).alias(f"_q{k}") for k in keys]).agg(
+        *[F.round(F.max(F.when(F.col("quantile") == q, F.col("q"))), 4).alias(name) for name, q in quartiles.items()]
     )
+    columns = [*keys, "count", "mean", "std", "min", *quartiles, "max"]
+    return rows.agg(*moments, most).join(found, _same(keys, "_q")).select(*columns)
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

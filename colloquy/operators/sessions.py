@@ -151,4 +151,4 @@ def session_detail(log: DataFrame, session_id: str, id_col: str = "event_id") ->
 
 def confidence_by_type(log: DataFrame) -> DataFrame:
     """Confidence statistics per response type."""
-    return frames.describe(log, ["response_type"], ["confidence"])
+    return frames.describe(log, ["response_type"], ["confidence"], continuous=True)

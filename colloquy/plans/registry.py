@@ -445,7 +445,7 @@ def routing_rates(spark, sf):
 
 @query
 def describe_log(spark, sf):
-    return frames.describe(D.log(spark, sf), [], ["latency_seconds", "confidence", "input_length"])
+    return frames.describe(D.log(spark, sf), [], ["latency_seconds", "confidence", "input_length"], continuous=True)
 
 
 @query
