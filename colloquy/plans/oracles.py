@@ -146,7 +146,7 @@ def _over_sessions(frame: str) -> str:
 # --- Scans -----------------------------------------------------------------------------------
 
 ORACLES["corpus_scan"] = (
-    "SELECT d.doc_id, d.text, d.lang AS label, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+    "SELECT d.doc_id, d.text, d.lang AS label, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 )
 ORACLES["log_scan"] = _ctes(_LOG) + f"SELECT * REPLACE ({_time('ts')} AS ts) FROM log"
 ORACLES["session_messages"] = _ctes(_MSGS) + (

@@ -44,7 +44,7 @@ def shown(ts: str = "ts") -> Column:
 @query
 def corpus_scan(spark, sf):
     quality = D.load(spark, sf, "labels").select("doc_id", "quality")
-    return D.corpus_clean(spark, sf).join(quality, "doc_id").select("doc_id", "text", "label", "quality")
+    return D.corpus_clean(spark, sf).join(quality, "doc_id", "left").select("doc_id", "text", "label", "quality")
 
 
 @query
