@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+from collections import OrderedDict
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +80,46 @@ def slices(sizes: Sequence[int], most: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+def release_memory() -> None:
+    """Give memory that this process no longer uses back to the system.
+
+    Python workers are reused from task to task; without this each keeps the most it ever needed.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task, in a worker whose unused memory is given back before and after."""
+    def tidied(batches: Iterator) -> Iterator:
+        release_memory()
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return tidied
+
+
+class Recent:
+    """Arrays by key, the least recently used ones left out beyond ``most`` bytes."""
+
+    def __init__(self, make: Callable[..., np.ndarray], most: int):
+        self.make, self.most, self.held, self.size = make, most, OrderedDict(), 0
+
+    def __call__(self, key: bytes, *args) -> np.ndarray:
+        if key in self.held:
+            self.held.move_to_end(key)
+            return self.held[key]
+        made = self.held[key] = self.make(*args)
+        self.size += made.nbytes
+        while self.size > self.most and len(self.held) > 1:
+            self.size -= self.held.popitem(last=False)[1].nbytes
+        return made
+
+
 def modest_batches(spark: SparkSession) -> None:
     """Hand whole texts to Python 1,000 rows at a time, unless the session already chose another number.
 

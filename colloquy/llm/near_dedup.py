@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import id_text, mixed, modest_batches, runs, slices, stable_hash, whole_text, words
+from colloquy.llm.common import (
+    Recent, id_text, mixed, modest_batches, runs, slices, stable_hash, tidy, whole_text, words,
+)
 from colloquy.llm.components import connected_components
 from colloquy.session import materialize
 
@@ -25,8 +27,8 @@ HUBS = 4
 #: Texts of a hub's group that its core is taken from, and how many of them must hold a shingle of the core.
 CORE_TEXTS, CORE_LEAST = 32, 2
 _SEEDS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64))
-#: Text handled at once in a task, in characters.
-_BLOCK = 4_000_000
+#: Text handled at once in a task, in characters, and bytes of shingle sets kept for the next pairs of a task.
+_BLOCK, _KEPT = 1_000_000, 16_000_000
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -60,7 +62,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def signed_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row per document: id, 16-byte digest of its text, size of its shingle set, signature keys."""
     base = docs.select(id_text(doc_id).alias("doc_id"), _node(text).alias("node"), whole_text(text).alias("text"))
-    signed = base.mapInPandas(_signed, "doc_id string, node binary, n long, keys array<bigint>")
+    signed = base.mapInPandas(tidy(_signed), "doc_id string, node binary, n long, keys array<bigint>")
     return signed.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
 
 
@@ -134,16 +136,12 @@ def stars(lists: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     return near, materialize(placed, "placed")
 
 
-@lru_cache(maxsize=64)
-def _recent(text: str) -> np.ndarray:
-    return shingles(text)
-
-
 def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    recent = Recent(shingles, _KEPT)
     for batch in batches:
         sizes = []
-        for a, b in zip(batch["text_a"], batch["text_b"]):
-            own, other = _recent(a), _recent(b)
+        for a, b, text_a, text_b in batch[["a", "b", "text_a", "text_b"]].itertuples(index=False):
+            own, other = recent(a, text_a), recent(b, text_b)
             sizes.append((len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other)))
         both, n_a, n_b = zip(*sizes) if sizes else ((), (), ())
         yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "both": both, "n_a": n_a, "n_b": n_b})
@@ -156,7 +154,7 @@ def confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
         .join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    counted = texts.mapInPandas(_overlaps, "a binary, b binary, both long, n_a long, n_b long")
+    counted = texts.mapInPandas(tidy(_overlaps), "a binary, b binary, both long, n_a long, n_b long")
     return counted.where("100 * both >= 75 * (n_a + n_b - both)").select("a", "b")
 
 
@@ -167,10 +165,11 @@ def _core(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _rests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    recent = Recent(shingles, _KEPT)
     for batch in batches:
         inside, rests, sizes = [], [], []
-        for text, core in zip(batch["text"], batch["core"]):
-            own = _recent(text)
+        for node, text, core in zip(batch["node"], batch["text"], batch["core"]):
+            own = recent(node, text)
             rest = np.setdiff1d(own, np.frombuffer(core, np.uint64), assume_unique=True)
             sizes.append(len(own))
             inside.append(len(own) - len(rest))
@@ -204,7 +203,7 @@ def measured_groups(rays: DataFrame, bodies: DataFrame, components: DataFrame) -
     )
     return materialize(
         near.join(core, "hub").join(bodies, "node").select("hub", "node", "text", "core")
-        .mapInPandas(_rests, "hub binary, node binary, n long, inside long, rest array<bigint>"), "rests",
+        .mapInPandas(tidy(_rests), "hub binary, node binary, n long, inside long, rest array<bigint>"), "rests",
     )
 
 
