@@ -24,31 +24,39 @@ def count_rows() -> Column:
     return F.count(F.lit(1))
 
 
-def with_carry(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, n: int
-) -> DataFrame:
-    """Cut each key into chunks and carry up to ``n`` earlier rows into each.
-
-    ``chunk`` must never decrease along ``order`` (an hour or a day of the
-    ordering timestamp). The result has the input columns plus ``_chunk`` and
-    ``_carried``; a window over ``(keys, _chunk)`` with a frame of at most ``n``
-    preceding rows gives, on rows with ``_carried = false``, what a window over
-    ``keys`` alone would give. Only ``n`` rows per chunk meet in one group per
-    key.
+def with_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, parts: int | None = None) -> DataFrame:
+    """Cut the rows, in order, into ranges and carry up to ``n`` earlier rows of a key into each.
+
+    Rows are partitioned by ranges of ``(keys, order)``, so a key of any size and
+    any spread over time falls into as many ranges as its rows need. Only the first
+    and the last key of a range can go on in another one; their last ``n`` rows
+    there are the edge rows handed on, ``2 n`` a range at most. The result has the
+    input columns plus ``_chunk`` and ``_carried``; a window over ``(keys, _chunk)``
+    with a frame of at most ``n`` preceding rows gives, on rows with
+    ``_carried = false``, what a window over ``keys`` alone would give. Null keys
+    are one key. ``parts`` fixes the number of ranges; else the shuffle settings do.
     """
     columns = df.columns
-    cut = df.withColumn(CHUNK, chunk)
+    line = [*keys, *order]
+    ranged = df.repartitionByRange(parts, *line) if parts else df.repartitionByRange(*line)
+    # Written, because bounds are sampled: every reader must see the same ranges.
+    cut = materialize(ranged.withColumn(CHUNK, F.spark_partition_id()), "ranges")
+    key = F.struct(*keys)
+    ends = cut.groupBy(F.col(CHUNK).alias("_range")).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    at_edge = cut.join(ends, F.col(CHUNK) == F.col("_range")).where(
+        key.eqNullSafe(F.col("_first")) | key.eqNullSafe(F.col("_last"))
+    )
     newest_first = [F.col(c).desc() for c in order]
     tails = (
-        cut.withColumn("_back", F.row_number().over(W.partitionBy(*keys, CHUNK).orderBy(*newest_first)))
+        at_edge.withColumn("_back", F.row_number().over(W.partitionBy(*keys, CHUNK).orderBy(*newest_first)))
         .where(F.col("_back") <= n)
     )
-    line = W.partitionBy(*keys).orderBy(*order)
-    previous_chunk = F.lag(CHUNK).over(line)
+    along = W.partitionBy(*keys).orderBy(*order)
+    previous = F.lag(CHUNK).over(along)
     heads = (
         tails
-        .withColumn("_before", F.collect_list(F.struct(*columns)).over(line.rowsBetween(-n, -1)))
-        .withColumn("_starts", previous_chunk.isNotNull() & (previous_chunk != F.col(CHUNK)))
+        .withColumn("_before", F.collect_list(F.struct(*columns)).over(along.rowsBetween(-n, -1)))
+        .withColumn("_starts", previous.isNotNull() & (previous != F.col(CHUNK)))
         .where("_starts")
         .select(CHUNK, F.inline("_before"))
     )

@@ -66,13 +66,12 @@ def session_last_n(df: DataFrame, n: int | None = C.MEMORY_TURNS) -> DataFrame:
     return df.withColumn("_r", newest).where(F.col("_r") <= n).drop("_r")
 
 
-def with_history(df: DataFrame, n: int = C.MEMORY_TURNS, chunk: Column | None = None) -> DataFrame:
+def with_history(df: DataFrame, n: int = C.MEMORY_TURNS, parts: int | None = None) -> DataFrame:
     """Add ``history``: the ``n`` earlier turns of the session, oldest first.
 
-    Sessions are cut by hour with ``n`` rows carried over each cut.
+    Sessions are cut into ranges of rows, with ``n`` rows carried over each cut.
     """
-    chunk = F.date_trunc("hour", "ts") if chunk is None else chunk
-    cut = frames.with_carry(df, SESSION, ORDER, chunk, n)
+    cut = frames.with_carry(df, SESSION, ORDER, n, parts)
     window = frames.chunk_window(SESSION, ORDER).rowsBetween(-n, -1)
     turns = F.collect_list(F.struct("message_id", "message", "response")).over(window)
     return cut.withColumn("history", turns).where(~F.col(frames.CARRIED)).drop(frames.CARRIED, frames.CHUNK)

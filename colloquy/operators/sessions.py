@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.constants import LOW_CONFIDENCE
@@ -43,17 +43,14 @@ def routing_rates(log: DataFrame) -> DataFrame:
     )
 
 
-def label_pairs(
-    log: DataFrame, id_col: str = "event_id", chunk: Column | None = None
-) -> DataFrame:
+def label_pairs(log: DataFrame, id_col: str = "event_id", parts: int | None = None) -> DataFrame:
     """Consecutive labels inside each session, nulls removed beforehand.
 
-    Sessions are cut by hour, and one row is carried over each cut, so a very
-    long session is spread over many tasks.
+    Sessions are cut into ranges of rows, and one row is carried over each cut, so
+    a very long session is spread over many tasks.
     """
     known = log.where(F.col("emotion").isNotNull()).select("session_id", "ts", id_col, "emotion")
-    chunk = F.date_trunc("hour", "ts") if chunk is None else chunk
-    cut = frames.with_carry(known, SESSION, _order(id_col), chunk, 1)
+    cut = frames.with_carry(known, SESSION, _order(id_col), 1, parts)
     before = F.lag("emotion").over(frames.chunk_window(SESSION, _order(id_col)))
     return (
         cut.withColumn("from_emotion", before)

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from colloquy.operators import frames, messages
 from colloquy.operators import sessions as S
 
 AT = datetime(2024, 1, 1)
@@ -57,6 +58,28 @@ def test_one_huge_session(spark):
     }
 
 
+@pytest.mark.parametrize("step", [timedelta(0), timedelta(days=36)], ids=["one moment", "a century"])
+def test_hot_session_is_spread_by_rows(spark, step):
+    said = [(i, "hot" if i % 10 else [None, "b", "zz"][i // 10 % 3], AT + step * i, f"m{i}", f"r{i}") for i in range(1000)]
+    df = spark.createDataFrame(said, "message_id long, session_id string, ts timestamp, message string, response string")
+    cut = frames.with_carry(df, ["session_id"], ["ts", "message_id"], 3, parts=8).where("not _carried").groupBy("_chunk").count()
+    sizes = [r["count"] for r in cut.collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 1000 / 8
+    got = {r.message_id: [h.message_id for h in r.history] for r in messages.with_history(df, 3, parts=8).collect()}
+    own = {}
+    for i, session, *_ in said:
+        assert got[i] == own.setdefault(session, [])[-3:]
+        own[session].append(i)
+    assert len(got) == 1000
+
+
+def test_history_longer_than_a_range(spark):
+    df = spark.range(40).selectExpr(
+        "id message_id", "'s' session_id", "timestamp'2024-01-01' ts", "string(id) message", "string(id) response")
+    got = {r.message_id: len(r.history) for r in messages.with_history(df, 12, parts=20).collect()}
+    assert got == {i: min(i, 12) for i in range(40)}
+
+
 def test_empty_log(log):
     none = log.where("false")
     assert S.emotion_transitions(none).count() == 0
