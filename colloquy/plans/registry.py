@@ -7,6 +7,7 @@ results compare across engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -804,20 +805,19 @@ def _message_table(spark: SparkSession, sf: str) -> str:
 
 @query
 def delete_session_rewrite(spark, sf):
-    """The message table without one session, written anew; the count of deleted rows stands in every row."""
-    path, out = _message_table(spark, sf), scratch_path(spark, "kept")
-    gone = tables.rewrite_where(spark, path, out, F.col("session_id") != SESSION_SHOWN, tables.MESSAGES)
-    rows = tables.read_table(spark, out, tables.MESSAGES)
+    """The message table after one session's deletion in place; the count of deleted rows stands in every row."""
+    path = _message_table(spark, sf)
+    gone = tables.delete_where(spark, path, F.col("session_id") == SESSION_SHOWN, tables.MESSAGES)
+    rows = tables.read_table(spark, path, tables.MESSAGES)
     return rows.select("message_id", "session_id", F.lit(gone).cast("long").alias("deleted_messages"))
 
 
 @query
 def retention_rewrite(spark, sf):
-    """The message table without old rows, written anew, with the count of deleted rows."""
-    path, out = _message_table(spark, sf), scratch_path(spark, "kept")
-    cutoff = F.lit("2024-01-01 08:00:00").cast("timestamp")
-    gone = tables.rewrite_where(spark, path, out, F.col("timestamp") >= cutoff, tables.MESSAGES)
-    rows = tables.read_table(spark, out, tables.MESSAGES)
+    """The message table after old days and rows were dropped in place, with the count of deleted rows."""
+    path = _message_table(spark, sf)
+    gone = tables.drop_days_before(spark, path, datetime(2024, 1, 1, 8), tables.MESSAGES)
+    rows = tables.read_table(spark, path, tables.MESSAGES)
     return rows.select("message_id", F.lit(gone).cast("long").alias("deleted_messages"))
 
 

@@ -1,5 +1,6 @@
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,70 @@ def test_rewrite_counts_what_it_leaves_out(spark, tmp_path):
     assert "dt" not in tables.MESSAGES.fieldNames()
 
 
+@pytest.fixture()
+def by_day(spark, tmp_path):
+    """Forty rows over four days and without a time; session ``s1`` on days 2 and 3, all of day 3."""
+    path = str(tmp_path / "messages")
+    rows = spark.range(40).selectExpr(
+        "id message_id", "case when id % 5 = 2 then 's1' when id % 5 = 1 and id % 2 = 0 then 's1' else 's0' end session_id",
+        "case when id % 5 < 4 then timestamp'2024-01-01 10:00:00' + make_dt_interval(id % 5) + make_dt_interval(0, id div 10) end timestamp",
+    )
+    full = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in tables.MESSAGES.fields])
+    tables.append_messages(full, path)
+    return path, [tuple(r) for r in rows.collect()]
+
+
+def files(path):
+    return {str(f): f.stat().st_mtime_ns for f in Path(path).rglob("dt=*/*.parquet")}
+
+
+def ids(spark, path):
+    return {r.message_id for r in tables.read_table(spark, path, tables.MESSAGES).collect()}
+
+
+def test_delete_touches_only_the_days_that_hold_the_session(spark, by_day):
+    path, rows = by_day
+    before = files(path)
+    gone = tables.delete_where(spark, path, F.col("session_id") == "s1", tables.MESSAGES)
+    assert gone == sum(r[1] == "s1" for r in rows) and ids(spark, path) == {r[0] for r in rows if r[1] != "s1"}
+    after = files(path)
+    same = [f for f in before if "dt=2024-01-02" not in f and "dt=2024-01-03" not in f]
+    assert same and all(before[f] == after[f] for f in same)
+    assert not [f for f in after if "dt=2024-01-03" in f] and not list(Path(path, "_staged").iterdir())
+    assert tables.delete_where(spark, path, F.col("session_id") == "s1", tables.MESSAGES) == 0 and files(path) == after
+
+
+def test_delete_rows_without_a_day(spark, by_day):
+    path, rows = by_day
+    gone = tables.delete_where(spark, path, F.col("timestamp").isNull() & (F.col("message_id") < 20), tables.MESSAGES)
+    assert gone == 4 and ids(spark, path) == {r[0] for r in rows if r[2] or r[0] >= 20}
+
+
+def test_retention_drops_old_days_and_keeps_new_files(spark, by_day):
+    path, rows = by_day
+    before, cutoff = files(path), datetime(2024, 1, 2, 12)
+    gone = tables.drop_days_before(spark, path, cutoff, tables.MESSAGES)
+    kept = {r[0] for r in rows if r[2] is None or r[2] >= cutoff}
+    assert ids(spark, path) == kept and gone == len(rows) - len(kept)
+    same = [f for f in before if "dt=2024-01-01" not in f and "dt=2024-01-02" not in f]
+    assert same and all(before[f] == files(path)[f] for f in same) and not Path(path, "dt=2024-01-01").exists()
+
+
+def test_interrupted_deletion_is_thrown_away_or_completed(spark, by_day, monkeypatch):
+    path, rows = by_day
+    # Staged to the end, but not put in place: readers see the old table, the next call completes it.
+    with monkeypatch.context() as patched:
+        calls = []
+        real = tables.finish_rewrites
+        patched.setattr(tables, "finish_rewrites", lambda *a: calls.append(a) or (real(*a) if len(calls) == 1 else None))
+        tables.delete_where(spark, path, F.col("session_id") == "s1", tables.MESSAGES)
+    assert len(ids(spark, path)) == 40
+    # Staged half-way: thrown away.
+    spark.createDataFrame([], tables.MESSAGES).write.parquet(f"{path}/_staged/half/rows")
+    tables.finish_rewrites(spark, path, tables.MESSAGES)
+    assert ids(spark, path) == {r[0] for r in rows if r[1] != "s1"} and not list(Path(path, "_staged").iterdir())
+
+
 def test_no_local_folder_on_a_cluster():
     class Far:
         class conf:
