@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.functions.constants import LOW_CONFIDENCE
@@ -43,20 +46,51 @@ def routing_rates(log: DataFrame) -> DataFrame:
     )
 
 
-def label_pairs(log: DataFrame, id_col: str = "event_id", parts: int | None = None) -> DataFrame:
-    """Consecutive labels inside each session, nulls removed beforehand.
+def label_pairs(
+    log: DataFrame, id_col: str = "event_id", parts: int | None = None, keys: Sequence[str] = ("session_id",),
+) -> DataFrame:
+    """Consecutive labels inside each session (or group of other ``keys``), nulls removed beforehand.
 
     Sessions are cut into ranges of rows, and one row is carried over each cut, so
     a very long session is spread over many tasks.
     """
-    known = log.where(F.col("emotion").isNotNull()).select("session_id", "ts", id_col, "emotion")
-    cut = frames.with_carry(known, SESSION, _order(id_col), 1, parts)
-    before = F.lag("emotion").over(frames.chunk_window(SESSION, _order(id_col)))
+    known = log.where(F.col("emotion").isNotNull()).select(*keys, "ts", id_col, "emotion")
+    cut = frames.with_carry(known, keys, _order(id_col), 1, parts)
+    before = F.lag("emotion").over(frames.chunk_window(keys, _order(id_col)))
     return (
         cut.withColumn("from_emotion", before)
         .where(~F.col(frames.CARRIED) & F.col("from_emotion").isNotNull())
-        .select("session_id", "ts", id_col, "from_emotion", F.col("emotion").alias("to_emotion"))
+        .select(*keys, "ts", id_col, "from_emotion", F.col("emotion").alias("to_emotion"))
+    )
+
+
+def transition_segments(rows: DataFrame, id_col: str = "event_id") -> DataFrame:
+    """``session_id, day, first_emotion, last_emotion, pairs``: what is needed to add up transitions over days.
+
+    ``rows`` has ``session_id, day, ts, emotion`` and the id. A segment is as small as
+    the number of label pairs, however long its day is.
+    """
+    keys, place = ["session_id", "day"], F.struct("ts", id_col)
+    ends = rows.where(F.col("emotion").isNotNull()).groupBy(*keys).agg(
+        F.min_by("emotion", place).alias("first_emotion"), F.max_by("emotion", place).alias("last_emotion"),
+    )
+    counts = label_pairs(rows, id_col, keys=keys).groupBy(*keys, "from_emotion", "to_emotion").agg(frames.count_rows().alias("n"))
+    pairs = counts.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+        F.collect_list(F.struct("from_emotion", "to_emotion", "n")).alias("pairs")
+    )
+    same = F.col("session_id").eqNullSafe(F.col("_session_id")) & F.col("day").eqNullSafe(F.col("_day"))
+    return ends.join(pairs, same, "left").select(*keys, "first_emotion", "last_emotion", "pairs")
+
+
+def merge_segments(segments: DataFrame) -> DataFrame:
+    """Transition counts per session: those inside the days, and one at each seam between two days."""
+    before = F.lag("last_emotion").over(W.partitionBy("session_id").orderBy("day"))
+    seams = (
+        segments.select("session_id", before.alias("from_emotion"), F.col("first_emotion").alias("to_emotion"))
+        .where("from_emotion IS NOT NULL").withColumn("n", F.lit(1).cast("long"))
     )
+    inside = segments.select("session_id", F.inline("pairs"))
+    return inside.unionByName(seams).groupBy("session_id", "from_emotion", "to_emotion").agg(F.sum("n").alias("n"))
 
 
 def emotion_transitions(log: DataFrame, id_col: str = "event_id") -> DataFrame:

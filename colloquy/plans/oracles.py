@@ -586,6 +586,9 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, session_id, emotion,
 FROM log GROUP BY 1, 2, 3"""
 ORACLES["stream_once_per_message"] = _ctes(_LOG) + "SELECT event_id, session_id FROM log"
 
+ORACLES["stream_append_new"] = ORACLES["stream_once_per_message"]
+ORACLES["stream_session_transitions"] = ORACLES["session_transitions"]
+
 ORACLES["stream_session_totals"] = _ctes(_LOG, _LABEL_COUNTS) + f"""
 SELECT s.*, d.dominant_emotion FROM ({ORACLES["session_summary"].split(_ctes(_LOG))[1]}) s LEFT JOIN (
   SELECT session_id, emotion AS dominant_emotion FROM counts

@@ -764,6 +764,26 @@ def stream_once_per_message(spark, sf):
     return _run(jobs.once_per_message(rows.unionByName(rows), key="event_id").select("event_id", "session_id"), "once")
 
 
+@query
+def stream_append_new(spark, sf):
+    """The events arrive in two batches, the second one all repeats, and are stored once."""
+    path, state = scratch_path(spark, "new"), scratch_path(spark, "new-state")
+    source = scratch_path(spark, "arrivals")
+    rows = D.log(spark, sf).select("event_id", "session_id")
+    for _ in range(2):
+        rows.write.mode("append").parquet(source)
+        jobs.append_new(jobs.read_stream(spark, source, rows.schema), path, state, "event_id").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query
+def stream_session_transitions(spark, sf):
+    """Transitions of live sessions, seams between days included."""
+    path = scratch_path(spark, "moves")
+    jobs.transitions_table(_events_stream(spark, sf), path, scratch_path(spark, "moves-state")).awaitTermination()
+    return jobs.live_transitions(spark, path)
+
+
 # --- Storage ---------------------------------------------------------------------------------
 
 @query

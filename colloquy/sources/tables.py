@@ -134,7 +134,7 @@ def _by_day(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("dt", T.DateType())])
 
 
-class _Folder:
+class Folder:
     """Listing, testing and deleting below a path, in whatever file system holds it."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -159,7 +159,7 @@ def finish_rewrites(spark: SparkSession, path: str, schema: T.StructType) -> Non
     A job that dies while it stages has changed nothing, and one that dies later is completed
     by the next call: every step may be repeated.
     """
-    folder = _Folder(spark, path)
+    folder = Folder(spark, path)
     for name in folder.names(STAGED):
         staged = f"{STAGED}/{name}"
         if folder.exists(f"{staged}/days/_SUCCESS"):
@@ -216,7 +216,7 @@ def drop_days_before(spark: SparkSession, path: str, cutoff: datetime, schema: T
     dropped = rows.where(old).count()
     same_day = F.col("dt") == F.lit(cutoff.date())
     rewritten = delete_where(spark, path, same_day & (F.col(ts) < F.lit(cutoff)), schema)
-    folder = _Folder(spark, path)
+    folder = Folder(spark, path)
     for name in folder.names():
         day = name.removeprefix("dt=")
         if name != day and day != _NO_DAY and date.fromisoformat(day) < cutoff.date():

@@ -12,7 +12,20 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from colloquy.functions.constants import LOW_CONFIDENCE
-from colloquy.operators import messages
+from colloquy.operators import messages, sessions
+from colloquy.sources.tables import Folder
+
+SEGMENT = T.StructType([
+    T.StructField("session_id", T.StringType()),
+    T.StructField("day", T.DateType()),
+    T.StructField("first_emotion", T.StringType()),
+    T.StructField("last_emotion", T.StringType()),
+    T.StructField("pairs", T.ArrayType(T.StructType([
+        T.StructField("from_emotion", T.StringType()),
+        T.StructField("to_emotion", T.StringType()),
+        T.StructField("n", T.LongType()),
+    ]))),
+])
 
 
 def read_stream(
@@ -37,13 +50,26 @@ def append_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def update_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+#: Folder of folded batches inside a table of changes; readers skip names that begin with an underscore.
+FOLDED = "_folded"
+
+
+def update_table(
+    df: DataFrame, path: str, checkpoint: str, keys: list[str] | None = None, fold_every: int = 100,
+) -> StreamingQuery:
     """Write what each batch changed, open groups included, below ``path``.
 
-    A batch that runs again overwrites its own folder, so results count once.
+    A batch that runs again overwrites its own folder, so results count once. With
+    ``keys``, every ``fold_every`` batches are folded into one state per group
+    (:func:`fold_batches`), so that readers open a bounded number of folders. A path
+    belongs to one checkpoint.
     """
+    schema = df.schema
+
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if keys and (batch_id + 1) % fold_every == 0:
+            fold_batches(batch.sparkSession, path, schema, keys, batch_id)
 
     return (
         df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
@@ -51,13 +77,105 @@ def update_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def _folded(folder: Folder) -> list[int]:
+    """The batches up to which complete folds exist."""
+    names = [x for x in folder.names(FOLDED) if folder.exists(f"{FOLDED}/{x}/_SUCCESS")]
+    return sorted(int(x.removeprefix("upto=")) for x in names)
+
+
 def latest(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
-    """The newest state of each group that :func:`update_table` wrote."""
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    """The newest state of each group that :func:`update_table` wrote: the last fold and the batches after it."""
+    folded = _folded(Folder(spark, path))[-1:]
+    batch = T.StructField("batch", T.LongType())
+    rows = spark.read.schema(T.StructType([*schema.fields, batch])).option("basePath", path).parquet(path)
+    for upto in folded:
+        older = spark.read.schema(schema).parquet(f"{path}/{FOLDED}/upto={upto}").withColumn("batch", F.lit(upto).cast("long"))
+        rows = rows.where(F.col("batch") > upto).unionByName(older)
     newest = F.max_by(F.struct(*schema.fieldNames()), "batch").alias("row")
     return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(newest).select("row.*")
 
 
+def fold_batches(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], upto: int) -> None:
+    """Fold the batches through ``upto`` into one state per group and remove their folders.
+
+    A fold counts once it is written to the end; until then the batches stay, so a
+    job that fails loses nothing and may be repeated.
+    """
+    folder = Folder(spark, path)
+    latest(spark, path, schema, keys).write.mode("overwrite").parquet(f"{path}/{FOLDED}/upto={upto}")
+    for name in folder.names():
+        # The newest batch folder stays: a table needs one to be listed.
+        if name.startswith("batch=") and int(name.removeprefix("batch=")) < upto:
+            folder.remove(name)
+    for older in _folded(folder)[:-1]:
+        folder.remove(f"{FOLDED}/upto={older}")
+
+
+def append_new(stream: DataFrame, path: str, checkpoint: str, key: str = "message_id", buckets: int = 64) -> StreamingQuery:
+    """Append rows whose ``key`` is not stored yet, however long ago its first copy came.
+
+    Rows are stored below ``batch`` and ``bucket``, a hash of the key. Before a batch
+    is written it is anti-joined with the keys of the buckets it touches in earlier
+    batches; only that column is read. No state is kept, and a batch that runs again
+    overwrites its own folder. Of copies in one batch one is stored; rows without a
+    key are always stored. A path belongs to one checkpoint.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    places = [T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())]
+    stored = T.StructType([stream.schema[key], *places])
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("bucket", bucket)
+        if Folder(spark, path).names():
+            touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]
+            known = (
+                spark.read.schema(stored).parquet(path)
+                .where((F.col("batch") < batch_id) & F.col("bucket").isin(touched)).select("bucket", key)
+            )
+            fresh = fresh.join(known, ["bucket", key], "left_anti")
+        without = batch.where(F.col(key).isNull()).withColumn("bucket", bucket)
+        (
+            fresh.unionByName(without).repartition("bucket")
+            .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+        )
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def transitions_table(stream: DataFrame, path: str, checkpoint: str, id_col: str = "event_id", fold_every: int = 100) -> StreamingQuery:
+    """Label transitions of a stream, as segments by session and day (:func:`live_transitions` adds them up).
+
+    Each batch stores its labels under their day and counts the days it touches
+    again, in ranges of rows; so rows may come late and in any order, and a batch that
+    runs again changes nothing. The cost of a batch grows with its days, not with
+    the age of the stream. A path belongs to one checkpoint.
+    """
+    schema = stream.select("session_id", "ts", id_col, "emotion").schema
+    places = [T.StructField("batch", T.LongType()), T.StructField("day", T.DateType())]
+    stored = T.StructType([*schema.fields, *places])
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = batch.where(F.col("emotion").isNotNull()).select(*schema.fieldNames(), F.to_date("ts").alias("day"))
+        known.repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{path}/labels/batch={batch_id}")
+        rows = spark.read.schema(stored).option("basePath", f"{path}/labels").parquet(f"{path}/labels")
+        days = [r.day for r in rows.where(F.col("batch") == batch_id).select("day").distinct().collect()]
+        touched = F.col("day").isin([d for d in days if d is not None])
+        touched = touched | F.col("day").isNull() if None in days else touched
+        segments = sessions.transition_segments(rows.where(touched & (F.col("batch") <= batch_id)).drop("batch"), id_col)
+        segments.write.mode("overwrite").parquet(f"{path}/segments/batch={batch_id}")
+        if (batch_id + 1) % fold_every == 0:
+            fold_batches(spark, f"{path}/segments", SEGMENT, ["session_id", "day"], batch_id)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live_transitions(spark: SparkSession, path: str) -> DataFrame:
+    """Transition counts per session from what :func:`transitions_table` has written so far."""
+    return sessions.merge_segments(latest(spark, f"{path}/segments", SEGMENT, ["session_id", "day"]))
+
+
 def score_to(
     stream: DataFrame, scored_path: str, rejected_path: str, checkpoint: str, scorer=None, candidates=(),
     stored: DataFrame | None = None,

@@ -82,6 +82,61 @@ def test_partials_add_up_to_batch(spark, tmp_path):
     assert got == want
 
 
+def arrive(spark, folder, rows, schema, start):
+    """Files one after another, each a batch of its own; the query is started again for each."""
+    for part in rows:
+        df = spark.createDataFrame(part, schema)
+        df.coalesce(1).write.mode("append").parquet(str(folder))
+        start(jobs.read_stream(spark, str(folder), df.schema)).awaitTermination()
+
+
+def test_a_repeat_weeks_later_is_stored_once(spark, tmp_path):
+    schema = "message_id long, ts timestamp, message string"
+    first = [(i, AT, "a") for i in range(10)] + [(3, AT, "a"), (None, AT, "n"), (None, AT, "n")]
+    later = [(i, AT + timedelta(days=40), "b") for i in range(5, 15)]
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    arrive(spark, tmp_path / "in", [first, later, later], schema, lambda s: jobs.append_new(s, out, state, buckets=4))
+    rows = spark.read.schema(schema).parquet(out).collect()
+    assert sorted(r.message_id for r in rows if r.message_id is not None) == list(range(15))
+    assert {r.message for r in rows if r.message_id is not None and r.message_id < 10} == {"a"} and len(rows) == 17
+    # The last batch runs again, as after a crash before its commit.
+    for name in ("2", ".2.crc"):
+        (tmp_path / "state" / "commits" / name).unlink()
+    jobs.append_new(jobs.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), out, state, buckets=4).awaitTermination()
+    assert spark.read.schema(schema).parquet(out).count() == 17
+
+
+def test_streamed_transitions_equal_batch(spark, tmp_path):
+    rows = [
+        (i, f"u{i % 3}" if i % 11 else None, AT + timedelta(hours=i), None if i % 7 == 0 else "abcd"[i * i % 4])
+        for i in range(24 * 5)
+    ]
+    schema = "event_id long, session_id string, ts timestamp, emotion string"
+    # Late rows: each batch holds rows of all days; one batch has no label at all.
+    parts = [rows[k::3] for k in range(3)] + [[(999, "u0", AT, None)]]
+    path, state = str(tmp_path / "moves"), str(tmp_path / "state")
+    arrive(spark, tmp_path / "in", parts, schema, lambda s: jobs.transitions_table(s, path, state, fold_every=2))
+    want = sessions.session_transitions(spark.createDataFrame(rows, schema))
+    assert {tuple(r) for r in jobs.live_transitions(spark, path).collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_batches_are_folded(spark, tmp_path):
+    schema = "event_id long, session_id string, ts timestamp, emotion string, confidence double"
+    parts = [[(10 * b + i, f"u{i % 2}", AT + timedelta(minutes=b), "ab"[i % 2], 0.5) for i in range(10)] for b in range(5)]
+    path, state, keys = str(tmp_path / "p"), str(tmp_path / "state"), ["day", "session_id", "emotion"]
+    seen = []
+
+    def start(stream):
+        partials = jobs.session_partials(stream)
+        seen.append(partials.schema)
+        return jobs.update_table(partials, path, state, keys, fold_every=2)
+
+    arrive(spark, tmp_path / "in", parts, schema, start)
+    newest = jobs.latest(spark, path, seen[0], keys).collect()
+    assert sorted((r.session_id, r.emotion, r.n) for r in newest) == [("u0", "a", 25), ("u1", "b", 25)]
+    assert len(list((tmp_path / "p").glob("batch=*"))) <= 3 and len(list((tmp_path / "p" / "_folded").glob("upto=*"))) == 1
+
+
 def test_running_totals(chat, spark):
     df, stream = chat
     query = jobs.running_totals(stream).writeStream.outputMode("complete").format("memory").queryName("totals").trigger(availableNow=True).start()
