@@ -9,9 +9,15 @@ measures share one exact scheme:
 3. A stored text can only reach that bound if it shares one of the query's
    rarer terms: the most common terms together cannot add up to it. Only the
    rarer ones (the prefix) are joined with the postings of the bank.
-4. The candidates are scored exactly and the best one is kept. For the cosine
-   the prefix already gives a partial score; only pairs that the common terms
-   could still lift to the bound are finished.
+4. The candidates are scored exactly and the best one is kept.
+
+For the cosine, step 3 works on blocks instead of whole terms: the postings of a
+term are cut by weight, and each block knows its size and largest weight. A
+query reads blocks in the order of what they can add per posting, until no text
+outside them can reach the bound. What it has read gives a partial score; only
+pairs that the unread blocks could still lift to the bound are finished. So a
+query made of common words meets the texts in which those words weigh most, not
+every text that has them.
 
 Step 2 may look at any subset of the bank without changing the answer, because
 step 3 finds everything that could beat the bound.
@@ -22,6 +28,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -38,6 +45,10 @@ from colloquy.operators.frames import count_rows
 SEED_TERMS = 3
 SEED_TEXTS = 4
 SLACK = 1e-9
+#: Postings a query may read to find its first bound, next to those of its rarest terms.
+SEED_POSTINGS = 1024
+#: Postings of a term are cut into blocks of weights that agree in floor(weight * LEVELS).
+LEVELS = 64
 
 
 def _key() -> Column:
@@ -130,6 +141,27 @@ def tfidf_weights(bank: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class TfidfIndex:
+    """``postings``: bid, term, w, level. ``blocks``: term, level, postings ``n``, largest weight ``top``, df, idf."""
+
+    postings: DataFrame
+    blocks: DataFrame
+
+
+def tfidf_index(bank: DataFrame) -> TfidfIndex:
+    """Postings of the distinct stored texts, and their blocks; both written.
+
+    A term has at most ``LEVELS + 1`` blocks, counted on the map side, whatever its frequency.
+    """
+    level = F.floor(F.col("w") * LEVELS).cast("int").alias("level")
+    postings = materialize(tfidf_postings(bank).select("bid", "term", "df", "idf", "w", level), "postings")
+    blocks = postings.groupBy("term", "level").agg(
+        count_rows().alias("n"), F.max("w").alias("top"), F.first("df").alias("df"), F.first("idf").alias("idf"),
+    )
+    return TfidfIndex(postings.drop("df", "idf"), materialize(blocks, "posting-blocks"))
+
+
 def _query_terms(distinct: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Unit-length query terms known to the bank."""
     spread = distinct.select("qid", F.explode(T.ngrams_1_2(T.model_tokens("qtext"))).alias("term"))
@@ -139,9 +171,7 @@ def _query_terms(distinct: DataFrame, vocabulary: DataFrame) -> DataFrame:
         .withColumn("raw", F.col("tf") * F.col("idf"))
     )
     norms = raw.groupBy("qid").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, "qid").select(
-        "qid", "term", "df", "top_w", (F.col("raw") / F.col("norm")).alias("w")
-    )
+    return raw.join(norms, "qid").select("qid", "term", "df", (F.col("raw") / F.col("norm")).alias("w"))
 
 
 def _cosines(pairs: DataFrame, query_terms: DataFrame, postings: DataFrame) -> DataFrame:
@@ -154,48 +184,95 @@ def _cosines(pairs: DataFrame, query_terms: DataFrame, postings: DataFrame) -> D
     )
 
 
-def tfidf_best(queries: DataFrame, bank: DataFrame) -> DataFrame:
+def _ranked_blocks(terms: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``qid, term, qw, level, top, reach, upto``: the blocks of each query's terms in reading order.
+
+    ``reach`` is the most that a block and all those after it can add to a score. Two
+    limits hold: the largest weights of the unread blocks, and the length of the
+    query's part that has any. ``upto`` counts postings as far as the block.
+    """
+    of_term = W.partitionBy("qid", "term").orderBy(F.col("level").desc())
+    below = F.lead("top").over(of_term)
+    sized = terms.select("qid", "term", F.col("w").alias("qw")).join(blocks.select("term", "level", "n", "top"), "term").select(
+        "qid", "term", "qw", "level", "n", "top",
+        (F.col("qw") * (F.col("top") - F.coalesce(below, F.lit(0.0)))).alias("gain"),
+        F.when(below.isNull(), F.col("qw") * F.col("qw")).otherwise(0.0).alias("length"),
+    )
+    # A block comes after the heavier ones of its term, so it is worth no more than they are.
+    merit = F.min(F.col("gain") / F.col("n")).over(of_term.rowsBetween(W.unboundedPreceding, W.currentRow))
+    last_first = W.partitionBy("qid").orderBy("merit", "term", "level").rowsBetween(W.unboundedPreceding, W.currentRow)
+    reach = F.least(F.sum("gain").over(last_first), F.sqrt(F.sum("length").over(last_first)))
+    upto = F.sum("n").over(W.partitionBy("qid")) - F.sum("n").over(last_first) + F.col("n")
+    return sized.withColumn("merit", merit).select("qid", "term", "qw", "level", "top", reach.alias("reach"), upto.alias("upto"))
+
+
+def _limit() -> Column:
+    return F.coalesce("bound", F.lit(0.0)) - SLACK
+
+
+def _first_bound(terms: DataFrame, ranked: DataFrame, postings: DataFrame) -> DataFrame:
+    """``qid, bound``: the best exact score among a few texts, found by rare terms and in the first blocks."""
+    begun = (
+        ranked.where(F.col("upto") <= SEED_POSTINGS).join(postings, ["term", "level"])
+        .groupBy("qid", "bid").agg(F.sum(F.col("qw") * F.col("w")).alias("part"))
+    )
+    place = F.row_number().over(W.partitionBy("qid").orderBy(F.col("part").desc(), "bid"))
+    ahead = begun.withColumn("_p", place).where(F.col("_p") <= SEED_TEXTS).select("qid", "bid")
+    pairs = _seeds(terms, postings, F.col("w").desc()).unionByName(ahead).distinct()
+    return _cosines(pairs, terms, postings).groupBy("qid").agg(F.max("score").alias("bound"))
+
+
+def _met(marked: DataFrame, postings: DataFrame) -> DataFrame:
+    """``qid, bid, part, open, bound``: pairs met in blocks that were read, the part of the score read and the most that is open.
+
+    What a text can still get comes from terms in whose read blocks it was not, and
+    from the rest of its unit length.
+    """
+    of_term = W.partitionBy("qid", "term")
+    left = F.max(F.when(~F.col("read"), F.col("top"))).over(of_term)
+    blocks = marked.withColumn("left", F.coalesce(left, F.lit(0.0)))
+    square = F.when(F.col("left") > 0, F.col("qw") * F.col("qw")).otherwise(0.0)
+    rest = marked.where(~F.col("read")).groupBy("qid", "term", "qw").agg(F.max("top").alias("left")).groupBy("qid").agg(
+        F.sum(F.col("qw") * F.col("left")).alias("most"), F.sum(F.col("qw") * F.col("qw")).alias("length"),
+    )
+    pairs = blocks.where("read").withColumn("square", square).join(postings, ["term", "level"]).groupBy("qid", "bid", "bound").agg(
+        F.sum(F.col("qw") * F.col("w")).alias("part"), F.sum(F.col("qw") * F.col("left")).alias("closed"),
+        F.sum("square").alias("used"), F.sum(F.col("w") * F.col("w")).alias("filled"),
+    )
+    none = F.lit(0.0)
+    length = F.greatest(F.coalesce("length", none) - F.col("used"), none) * F.greatest(1 - F.col("filled"), none)
+    most = F.greatest(F.coalesce("most", none) - F.col("closed"), none)
+    # A root turns rounding errors of 1e-16 into 1e-8, hence the small number under it.
+    still = F.least(most, F.sqrt(length + 1e-14))
+    return pairs.join(rest, "qid", "left").select("qid", "bid", "part", still.alias("open"), "bound")
+
+
+def tfidf_best(queries: DataFrame, bank: DataFrame, index: TfidfIndex | None = None) -> DataFrame:
     """Best stored text per query by TF-IDF cosine over unigrams and bigrams.
 
-    Adds ``bank_pos`` and ``score`` to the query rows.
+    Adds ``bank_pos`` and ``score`` to the query rows. ``index`` is that of ``bank``,
+    for example a saved one; without it, it is built.
     """
     key = _key()
-    postings = materialize(tfidf_postings(bank), "postings")
-    vocabulary = postings.groupBy("term").agg(
-        F.first("df").alias("df"), F.first("idf").alias("idf"), F.max("w").alias("top_w")
-    )
+    index = index or tfidf_index(bank)
+    postings = index.postings
+    vocabulary = index.blocks.groupBy("term").agg(F.first("df").alias("df"), F.first("idf").alias("idf"))
     distinct = _distinct_queries(queries, key)
     terms = materialize(_query_terms(distinct, vocabulary), "query-terms")
-
-    bound = (
-        _cosines(_seeds(terms, postings, F.col("w").desc()), terms, postings)
-        .groupBy("qid").agg(F.max("score").alias("bound"))
-    )
-    # Sum from the most common term inwards: what the suffix can add at most.
-    # Two limits hold: per-term maxima, and the length of the suffix itself.
-    common_first = W.partitionBy("qid").orderBy(F.col("df").desc(), F.col("term").desc())
-    up_to = common_first.rowsBetween(W.unboundedPreceding, W.currentRow)
-    reach = F.least(
-        F.sum(F.col("w") * F.col("top_w")).over(up_to),
-        F.sqrt(F.sum(F.col("w") * F.col("w")).over(up_to)),
-    )
-    limit = F.coalesce("bound", F.lit(0.0)) - SLACK
+    ranked = materialize(_ranked_blocks(terms, index.blocks), "ranked-blocks")
+    bound = _first_bound(terms, ranked, postings)
     marked = materialize(
-        terms.join(bound, "qid", "left").withColumn("reach", reach)
-        .select("qid", "term", F.col("w").alias("qw"), "bound", "reach", (F.col("reach") >= limit).alias("in_prefix")), "prefix",
-    )
-    rest = marked.where(~F.col("in_prefix"))
-    # One row per pair: what the prefix terms give, kept only if the common terms could still lift it to the bound.
-    begun = (
-        marked.where("in_prefix").join(postings.select("term", "bid", "w"), "term")
-        .groupBy("qid", "bid", "bound").agg(F.sum(F.col("qw") * F.col("w")).alias("part"))
-        .join(rest.groupBy("qid").agg(F.max("reach").alias("rest")), "qid", "left")
-        .where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= limit).select("qid", "bid", "part")
-    )
-    begun = materialize(begun, "begun")
+        ranked.join(bound, "qid", "left").withColumn("read", F.col("reach") >= _limit()).drop("upto"), "marked-blocks",
+    )
+    met = materialize(_met(marked, postings), "met")
+    # What was read of the best pair is a bound, too.
+    better = met.groupBy("qid").agg(F.max("part").alias("better"))
+    begun = met.join(better, "qid").where(F.col("part") + F.col("open") >= F.greatest(_limit(), F.col("better") - SLACK))
+    begun = materialize(begun.select("qid", "bid", "part"), "begun")
+    depth = marked.where(~F.col("read")).groupBy("qid", "term", "qw").agg(F.max("level").alias("depth"))
     added = (
-        begun.select("qid", "bid").join(rest.select("qid", "term", "qw"), "qid")
-        .join(postings.select("bid", "term", "w"), ["bid", "term"])
+        begun.select("qid", "bid").join(depth, "qid").join(postings, ["bid", "term"])
+        .where(F.col("level") <= F.col("depth"))
         .groupBy("qid", "bid").agg(F.sum(F.col("qw") * F.col("w")).alias("more"))
     )
     scored = begun.join(added, ["qid", "bid"], "left").select(

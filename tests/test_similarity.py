@@ -178,3 +178,19 @@ def test_queries_without_text_and_empty_banks_keep_their_rows(spark):
         assert got[1].score == (1.0 if best is S.char_best else 0.0) and got[2].score > 0 and got[2].bank_pos == 1
         none = S.best_match(best(asked, bank.limit(0)), bank.limit(0), 0.6).collect()
         assert len(none) == 2 and not any(r.matched for r in none)
+
+
+def test_common_words_read_blocks_not_whole_lists(spark, monkeypatch):
+    """All texts are made of ten words; a list of one word holds most of the bank."""
+    rng = random.Random(1)
+    words = "the of and you to it is in that for".split()
+    bank, asked = ([" ".join(rng.choice(words) for _ in range(rng.randint(3, 12))) for _ in range(n)] for n in (900, 60))
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    b = spark.createDataFrame(list(enumerate(bank)), "bank_pos long, text string")
+    met, plain = [], S._met
+    monkeypatch.setattr(S, "_met", lambda *a: met.append(plain(*a)) or met[0])
+    got = {r.query_id: (r.bank_pos, r.score) for r in S.tfidf_best(q, b).collect()}
+    for i, scores in enumerate(brute_tfidf(asked, bank)):
+        rounded = [round(s, 10) for s in scores]
+        assert got[i][1] == pytest.approx(max(rounded), abs=1e-9) and got[i][0] == rounded.index(max(rounded))
+    assert met[0].count() < 0.45 * len(set(asked)) * len(set(bank))
