@@ -639,6 +639,7 @@ SELECT q.query_id, 'q' || q.query_id AS session_id, CASE WHEN blank OR too_long
   CASE WHEN blank THEN {_text(C.ROUTE_EMPTY_MESSAGE)} WHEN too_long THEN {_text(C.ROUTE_LONG_MESSAGE.format(limit=C.MAX_INPUT_CHARS))}
     WHEN matched THEN stored_reply ELSE {_ROUTE_REPLY} END AS response
 FROM checked q LEFT JOIN preds p ON p.doc_id = q.query_id"""
+ORACLES["saved_model_route"] = ORACLES["hybrid_route"]
 
 
 

@@ -16,9 +16,9 @@ from colloquy.functions import constants as C
 from colloquy.functions import rules as R
 from colloquy.functions import text as T
 from colloquy.operators import audit, evaluate, frames, linear, messages, models, sessions, similarity, split
-from colloquy.session import scratch_path
+from colloquy.session import scratch_path, shared_dir
+from colloquy.sources import artifacts, tables
 from colloquy.sources import derived as D
-from colloquy.sources import tables
 from colloquy.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -585,10 +585,35 @@ def threshold_choice_char(spark, sf):
 @query
 def hybrid_route(spark, sf):
     asked, stored = _sides(spark, sf)
-    found = similarity.best_match(similarity.tfidf_best(asked, stored), stored, MATCH_THRESHOLD)
-    model = linear.fit(stored, row_id="bank_pos")
+    return _routed(asked, _router(spark, stored))
+
+
+def _router(spark: SparkSession, stored: DataFrame) -> dict[str, DataFrame]:
+    """Bank, index and model as one published version; made anew only where the bank has changed."""
+    def make() -> dict[str, DataFrame]:
+        model = linear.fit(stored, row_id="bank_pos")
+        return {"bank": stored, **artifacts.index_tables(similarity.tfidf_index(stored)), **artifacts.model_tables(model)}
+
+    return artifacts.ensure(spark, f"{shared_dir(spark).rstrip('/')}/router", artifacts.fingerprint(stored), make)
+
+
+def _routed(asked: DataFrame, router: dict[str, DataFrame]) -> DataFrame:
+    stored = router["bank"]
+    best = similarity.tfidf_best(asked, stored, artifacts.index_of(router))
+    found = similarity.best_match(best, stored, MATCH_THRESHOLD)
     rows = asked.withColumn("session_id", F.concat(F.lit("q"), "query_id"))
-    return messages.hybrid_route(rows, found, linear.scorer(model, "query_id", "text"))
+    return messages.hybrid_route(rows, found, linear.scorer(artifacts.model_of(router), "query_id", "text"))
+
+
+@query
+def saved_model_route(spark, sf):
+    """Index and model are published twice and the newest version is loaded, then routes all questions."""
+    asked, stored = _sides(spark, sf)
+    path = scratch_path(spark, "artifact")
+    made = _router(spark, stored)
+    artifacts.publish(spark, path, {"bank": stored.limit(0)}, "old")
+    artifacts.publish(spark, path, made, "new")
+    return _routed(asked, artifacts.load(spark, path))
 
 
 # --- Models ----------------------------------------------------------------------------------
