@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import uniform, whole_text
@@ -12,23 +14,35 @@ from colloquy.session import materialize
 
 #: Words reserved for the result.
 COPY, POSITION = "copy_no", "shuffle_key"
+#: Steps begin at 0 where the span would begin below this number.
+FAR = 32
+#: A document is exploded into runs of so many copies, then each run into its copies, so that no array grows with the count.
+RUN = 4096
 
 
-def poisson_steps(rate: Column) -> Column:
-    """The distribution function of a Poisson variable at 0, 1, 2, ... until its tail is below 2^-52.
+def poisson_steps(rates: DataFrame) -> DataFrame:
+    """``_source, _rate, _first, _steps``: the distribution function of a Poisson variable at ``_first``, ``_first`` + 1, ...
 
-    The array is as long as ``rate`` needs (mean plus twelve deviations plus 24).
+    The steps span the mean plus and minus twelve deviations and 24, from 0 for means
+    below about 270; outside them lies less than 2^-52. They are summed up as rows of
+    a window, so their number grows with the root of the mean, and so does the work.
     """
-    last = (rate + 12 * F.sqrt(rate) + 24).cast("int")
-    start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("total"), F.array(F.exp(-rate)).alias("steps"))
-
-    def step(state: Column, k: Column) -> Column:
-        log_p = state["log_p"] + F.log(rate / k)
-        total = state["total"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), total.alias("total"), F.concat(state["steps"], F.array(total)).alias("steps"))
-
-    walked = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda state: state["steps"])
-    return F.when(rate > 0, walked).otherwise(F.array(F.lit(1.0)))
+    rate = F.col("_rate")
+    reach = 12 * F.sqrt(rate) + 24
+    low = F.floor(rate - reach)
+    # The logarithm of a factorial by Stirling's series, exact to 1e-12 from 32 on.
+    first = F.when(low >= FAR, low).otherwise(F.lit(0)).cast("long")
+    n = F.col("_first").cast("double")
+    far = n - rate + n * F.log(rate / n) - F.log(2 * math.pi * n) / 2 - 1 / (12 * n) + 1 / (360 * n * n * n)
+    start = F.when(n > 0, far).otherwise(-rate)
+    last = F.when(rate > 0, (rate + reach).cast("long")).otherwise(F.lit(0).cast("long"))
+    so_far = W.partitionBy("_source").orderBy("_k").rowsBetween(W.unboundedPreceding, W.currentRow)
+    log_p = F.sum(F.when(F.col("_k") == n, start).otherwise(F.log(rate / F.col("_k")))).over(so_far)
+    walked = (
+        rates.withColumn("_first", first).withColumn("_k", F.explode(F.sequence("_first", last)))
+        .withColumn("_log_p", log_p).withColumn("_total", F.sum(F.exp("_log_p")).over(so_far))
+    )
+    return walked.groupBy("_source", "_rate", "_first").agg(F.sort_array(F.collect_list("_total")).alias("_steps"))
 
 
 def source_rates(
@@ -52,9 +66,9 @@ def source_rates(
     weighted = counts.withColumn("_weight", weight)
     all_rows, all_weight = weighted.agg(F.sum("_n").alias("n"), F.sum("_weight").alias("w")).first()
     if not all_weight:
-        return weighted.select("_source", F.lit(0.0).alias("_rate"), F.array(F.lit(1.0)).alias("_steps"))
+        return poisson_steps(weighted.select("_source", F.lit(0.0).alias("_rate")))
     rate = F.lit(float(total_repetitions) * all_rows) * F.col("_weight") / F.lit(float(all_weight)) / F.col("_n")
-    return weighted.select("_source", rate.alias("_rate")).withColumn("_steps", poisson_steps(F.col("_rate")))
+    return poisson_steps(weighted.select("_source", rate.alias("_rate")))
 
 
 def mix_sources(
@@ -88,13 +102,16 @@ def mix_sources(
     columns = [c for c in docs.columns if c not in (COPY, POSITION)]
     rates = materialize(source_rates(docs, weights, total_repetitions, source), "rates")
     name = F.coalesce(F.col(doc_id).cast("string"), F.md5(whole_text(text).cast("binary")))
-    rates = rates.withColumnRenamed("_source", "_mix_source").withColumnRenamed("_steps", "_mix_steps")
+    rates = rates.withColumnsRenamed({"_source": "_mix_source", "_first": "_mix_first", "_steps": "_mix_steps"})
+    times = F.col("_mix_times")
+    past = F.least(times, (F.col("_mix_run") + 1) * RUN)
     counted = (
         docs.join(rates, F.col(source).eqNullSafe(F.col("_mix_source")))
         .withColumn("_mix_u", uniform(name, F.lit(str(seed))))
-        .withColumn("_mix_times", F.size(F.filter("_mix_steps", lambda step: step <= F.col("_mix_u"))))
+        .withColumn("_mix_times", F.col("_mix_first") + F.size(F.filter("_mix_steps", lambda step: step <= F.col("_mix_u"))))
         .where("_mix_times > 0")
-        .withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
+        .withColumn("_mix_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / RUN))))
+        .withColumn(COPY, F.explode(F.sequence((F.col("_mix_run") * RUN + 1).cast("int"), past.cast("int"))))
         .withColumn(POSITION, uniform(name, F.col(COPY).cast("string"), F.lit(f"order{seed}")))
         .select(*columns, COPY, POSITION)
     )

@@ -85,6 +85,33 @@ def test_mixing_edges(docs, spark):
 GRANT, NOTICE, WARRANTY = (licenses.SENTENCES[f"mit.{x}"] for x in ("grant", "notice", "warranty"))
 
 
+def test_steps_of_small_and_large_means(spark):
+    """Against sums of the density; past 32 deviations' room the steps begin near the mean."""
+    means = [0.0, 0.5, 30.0, 269.0, 300.0, 5000.0, 1e6, 1e8]
+    rates = spark.createDataFrame([(str(m), m) for m in means] + [(None, 2.0)], "_source string, _rate double")
+    got = {r["_source"]: r for r in mixing.poisson_steps(rates).collect()}
+    assert len(got) == len(means) + 1 and got["0.0"]["_steps"] == [1.0]
+    for m in means[1:]:
+        row = got[str(m)]
+        assert len(row["_steps"]) < 25 * math.sqrt(m) + 60 and abs(row["_steps"][-1] - 1) < 1e-6
+        if m > 5000:
+            middle = row["_steps"][int(m) - row["_first"]]
+            assert abs(middle - 0.5 - 2 / (3 * math.sqrt(2 * math.pi * m))) < 1e-6
+            continue
+        total = 0.0
+        for k in range(row["_first"] + len(row["_steps"])):
+            total += math.exp(k * math.log(m) - m - math.lgamma(k + 1))
+            if k >= row["_first"]:
+                assert abs(total - row["_steps"][k - row["_first"]]) < 1e-10
+
+
+def test_one_document_repeated_a_million_times(spark):
+    one = spark.createDataFrame([(1, "a", "rare")], "doc_id long, text string, source string")
+    row = mixing.mix_sources(one, total_repetitions=1e6, shuffled=False).selectExpr(
+        "count(*) AS n", "max(copy_no) AS last", "count(DISTINCT copy_no) AS copies").first()
+    assert row.n == row.last == row.copies and abs(row.n - 1e6) < 6000
+
+
 def test_licences_by_order(spark):
     rows = [
         (1, f"Intro.\n{GRANT}:\n{NOTICE.capitalize()}. Something else!\n{WARRANTY}.", "MIT", 3),
