@@ -16,7 +16,7 @@ from colloquy.functions import constants as C
 from colloquy.functions import rules as R
 from colloquy.functions import text as T
 from colloquy.operators import audit, evaluate, frames, linear, messages, models, sessions, similarity, split
-from colloquy.session import scratch_path, shared_dir
+from colloquy.session import materialize, scratch_path, shared_dir
 from colloquy.sources import artifacts, tables
 from colloquy.sources import derived as D
 from colloquy.streaming import jobs
@@ -590,6 +590,8 @@ def hybrid_route(spark, sf):
 
 def _router(spark: SparkSession, stored: DataFrame) -> dict[str, DataFrame]:
     """Bank, index and model as one published version; made anew only where the bank has changed."""
+    stored = materialize(stored, "bank")
+
     def make() -> dict[str, DataFrame]:
         model = linear.fit(stored, row_id="bank_pos")
         return {"bank": stored, **artifacts.index_tables(similarity.tfidf_index(stored)), **artifacts.model_tables(model)}
