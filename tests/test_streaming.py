@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators import messages, sessions
+from colloquy.plans.registry import QUERIES
 from colloquy.streaming import jobs
 
 AT = datetime(2024, 1, 1)
@@ -144,3 +145,17 @@ def test_running_totals(chat, spark):
     assert {tuple(r) for r in spark.table("totals").collect()} == {
         tuple(r) for r in df.groupBy("session_id", "emotion").count().collect()
     }
+
+
+def test_streams_read_tables_of_many_files(spark, tmp_path):
+    """Large tables are folders of files, not one file."""
+    talk = spark.createDataFrame([(i // 4, i % 4, "user" if i % 2 == 0 else "assistant", f"hello {i}") for i in range(80)],
+                                 "conv_id long, turn long, role string, text string")
+    events = spark.createDataFrame([(i, f"2024-01-01 00:{i:02d}:00", i % 5, "view", float(i), '{"k": 1}') for i in range(50)],
+                                   "event_id long, ts string, user_id long, event_type string, value double, props string")
+    for name, df in (("conversations", talk), ("events", events)):
+        df.repartition(3).write.parquet(str(tmp_path / "many" / f"{name}.parquet"))
+        df.toPandas().to_parquet(tmp_path / f"{name}.parquet", index=False)
+    for name, least in (("stream_scoring", 1), ("stream_quarantine", 1), ("stream_once_per_message", 50)):
+        one, many = ({tuple(r) for r in QUERIES[name](spark, str(d)).collect()} for d in (tmp_path, tmp_path / "many"))
+        assert one == many and len(many) >= least
