@@ -1,12 +1,15 @@
 """Keyed linear models: closed form, descent against plain loops, accuracy beside MLlib, folds against separate fits."""
 
 import math
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import evaluate, linear, messages, models
+from colloquy.operators import evaluate, linear, messages, models, tiles
+from colloquy.session import shared_dir
 from colloquy.sources import derived as D
 
 ROWS = [(0, "sun sun day", "a"), (1, "sun day off", "a"), (2, "rain day", "b"), (3, "rain off", "b"), (4, None, "b"), (5, "rain", None)]
@@ -146,3 +149,43 @@ def test_scorer_plugs_into_the_policy(corpus, spark):
                                "message_id long, session_id string, message string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     got = {r.message_id: r for r in messages.score_messages(df, linear.scorer(linear.fit(corpus))).collect()}
     assert got[1].emotion == "fear" and got[2].emotion == "neutral"
+
+
+def test_blocks_hold_the_terms_of_each_row(spark):
+    """Counted in blocks and by part as within the row; a row that comes twice keeps the terms of both."""
+    rows = [(i // 2 if i < 4 else i, f"aa b{i % 3}b aa B{i % 3}b cc" if i % 5 else None, "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string").withColumn("fold", F.lit(-1))
+    found = tiles.counted(df.repartition(3), "text", "doc_id", "label", "fold", 3).collect()
+    ids = {r.block: r.rows for r in found if r.rows is not None}
+    got = Counter()
+    for r in found:
+        places, tf, done = np.frombuffer(r["at"] or b"", np.uint16), np.frombuffer(r["tf"] or b"", np.int32), 0
+        for term, n in zip(r.terms or [], np.frombuffer(r["counts"] or b"", np.int32)):
+            for at, count in zip(places[done:done + n], tf[done:done + n]):
+                got[ids[r.block][at], term] += int(count)
+            done += n
+    want = Counter()
+    for r in linear.term_counts(df, "text", F.col("doc_id")).collect():
+        for t in r.terms:
+            want[r.doc_id, t.term] += t.tf
+    assert got == want and sorted(x for v in ids.values() for x in v) == sorted({r[0] for r in rows})
+    terms = spark.createDataFrame([(r.term,) for r in linear.term_counts(df, "text").select(F.inline("terms")).distinct().collect()], "term string")
+    dealt = {r.term: r.p for r in terms.select("term", tiles.part("term", 3).alias("p")).collect()}
+    assert all(dealt[t] == r.part for r in found for t in r.terms or [])
+
+
+def test_steps_write_rows_and_not_weights(corpus, spark):
+    """What a step keeps grows with rows and labels; shuffles of earlier steps are gone."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {x for x in files.getAllFiles().mkString("|").split("|") if "/shuffle_" in x}
+
+    before, folder = shuffles(), Path(shared_dir(spark))
+    known = set(folder.iterdir())
+    linear.fit(corpus, models.SVM, steps=6)
+    new = [p for p in folder.iterdir() if p not in known]
+    assert not [p for p in new if p.name.startswith(("weights", "pulls", "unit-vectors"))]
+    steps = [sum(f.stat().st_size for f in p.glob("*.parquet")) for p in new if p.name.startswith("steps")]
+    assert len(steps) == 6 and max(steps) < 40_000
+    assert len(shuffles() - before) <= 30
