@@ -25,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import mixed, stable_hash, whole_text
+from colloquy.llm.common import batches_of, mixed, release_memory, stable_hash, tidy, whole_text
 from colloquy.session import materialize
 
 LEAST_COUNT, LONGEST = 100, 5
@@ -36,6 +37,8 @@ LEAST_COUNT, LONGEST = 100, 5
 BLOCK_BYTES = 6 << 20
 #: So many input partitions of blocks are counted by one task: what it counts more than once leaves it as one row.
 BLOCK_PARTITIONS = 4
+#: Texts, and blocks, that are handed to a worker at once.
+TEXTS_AT_ONCE, BLOCKS_AT_ONCE = 500, 2
 #: Longer texts are cut into words by so many bytes at a time.
 SLICE_BYTES = 1 << 20
 #: Side of a tile in ranks, and the pairs from which on a tile is counted densely.
@@ -133,7 +136,7 @@ def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
         for lang in list(opened):
             yield from close(lang)
 
-    return texts.mapInArrow(run, "lang string, n_words long, words binary, counts binary, ids binary")
+    return texts.mapInArrow(tidy(run), "lang string, n_words long, words binary, counts binary, ids binary")
 
 
 def _unpacked(rows: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
@@ -199,15 +202,24 @@ def _filter_of(frequent: DataFrame, size: int, rows: int, most_bits: int) -> byt
                 yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(own, pa.binary())], names=["shard", "at"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards: dict[int, np.ndarray] = {}
+        # Shards come one after the other, and only one is held.
+        own, flags = None, None
+
+        def packed() -> pa.RecordBatch:
+            bits_ = np.packbits(flags, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([bits_], pa.binary())], names=["shard", "bits"])
+
         for batch in batches:
             for shard, at in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shards.setdefault(shard, np.zeros(width, bool))[np.frombuffer(at.as_py(), np.uint32)] = True
-        for shard, flags in shards.items():
-            packed = np.packbits(flags, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([packed], pa.binary())], names=["shard", "bits"])
-
-    parts = frequent.select("lang", "phrase").mapInArrow(sent, "shard int, at binary").repartition("shard")
+                if shard != own:
+                    if own is not None:
+                        yield packed()
+                    own, flags = shard, np.zeros(width, bool)
+                flags[np.frombuffer(at.as_py(), np.uint32)] = True
+        if own is not None:
+            yield packed()
+
+    parts = frequent.select("lang", "phrase").mapInArrow(sent, "shard int, at binary").repartition("shard").sortWithinPartitions("shard")
     whole = bytearray(bits // 8)
     for row in parts.mapInArrow(merged, "shard int, bits binary").toLocalIterator():
         whole[row.shard * width // 8:(row.shard + 1) * width // 8] = row.bits
@@ -281,15 +293,16 @@ def grow(words: list[bytes], lang: str, ids: np.ndarray, filters: list[bytes]) -
     return np.concatenate((phrases[a], phrases[b][:, -1:]), axis=1), n
 
 
-def _grown(blocks: DataFrame, filters: list[bytes]) -> DataFrame:
+def _grown(blocks: DataFrame, filters: list[Broadcast]) -> DataFrame:
     """``lang, phrase, n``: what each block counts of phrases of one word more than there are filters."""
     spark = blocks.sparkSession
-    shared = spark.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x.value for x in filters]
         for batch in batches:
+            release_memory()
             for lang, words, _, ids in _unpacked(batch):
-                places, n = grow(words, lang, ids.astype(np.int64), shared.value)
+                places, n = grow(words, lang, ids.astype(np.int64), held)
                 known = pa.array(words, pa.binary())
                 for start in range(0, len(n), 1 << 16):
                     columns = places[start:start + (1 << 16)].T
@@ -297,7 +310,7 @@ def _grown(blocks: DataFrame, filters: list[bytes]) -> DataFrame:
                     yield from _rows_of(lang, phrases, n[start:start + (1 << 16)])
 
     few = max(blocks.rdd.getNumPartitions() // BLOCK_PARTITIONS, spark.sparkContext.defaultParallelism)
-    return blocks.coalesce(few).mapInArrow(run, "lang string, phrase binary, n long")
+    return blocks.coalesce(few).mapInArrow(tidy(run), "lang string, phrase binary, n long")
 
 
 # --- Phrases ---------------------------------------------------------------------------------
@@ -310,19 +323,23 @@ def frequent_phrases(
     texts = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), whole_text(text).cast("binary").alias("text"),
     )
-    blocks = materialize(_blocks(texts, block_bytes), "word-blocks")
+    spark = docs.sparkSession
+    with batches_of(spark, TEXTS_AT_ONCE):
+        blocks = materialize(_blocks(texts, block_bytes), "word-blocks")
     n_words = materialize(blocks.groupBy("lang").agg(F.sum("n_words").alias("n_words")), "language-words")
-    counted = blocks.mapInArrow(_words, "lang string, phrase binary, n long")
+    counted = blocks.mapInArrow(tidy(_words), "lang string, phrase binary, n long")
     levels: list[DataFrame] = []
-    filters: list[bytes] = []
+    filters: list[Broadcast] = []
     for size in range(1, longest + 1):
         frequent = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        levels.append(materialize(frequent, f"phrases-{size}"))
+        with batches_of(spark, BLOCKS_AT_ONCE):
+            levels.append(materialize(frequent, f"phrases-{size}"))
         rows = levels[-1].count()
         if not rows:
             break
         if size < longest:
-            filters.append(_filter_of(levels[-1], size, rows, most_bits))
+            # Each filter goes out once, as a broadcast of its own.
+            filters.append(spark.sparkContext.broadcast(_filter_of(levels[-1], size, rows, most_bits)))
             counted = _grown(blocks, list(filters))
     return levels, n_words
 

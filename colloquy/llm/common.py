@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -130,5 +131,18 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, "1000")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, most: int) -> Iterator[None]:
+    """What is run in here hands at most so many rows at a time to Python."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    own = int(before)
+    spark.conf.set(setting, str(min(own, most) if own > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

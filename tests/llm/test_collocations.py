@@ -96,3 +96,21 @@ def test_compacted_sequences_keep_their_pairs():
     ids = np.array([-1, -1, 5, -1, 3, 4, -1, -1, -1, 7, 8, 9, -1, 2])
     assert C.compact(ids).tolist() == [-1, 3, 4, -1, 7, 8, 9, -1]
     assert C.compact(np.zeros(0, np.int64)).tolist() == []
+
+
+def test_few_texts_and_blocks_reach_a_worker_at_once(spark, monkeypatch):
+    """With Spark's own 10,000 rows a task would hold all of its blocks, and a Python worker with it."""
+    setting, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, C.materialize
+    before = spark.conf.get(setting)
+
+    def recorded(df, name):
+        seen[name] = int(spark.conf.get(setting))
+        return write(df, name)
+
+    monkeypatch.setattr(C, "materialize", recorded)
+    docs = spark.createDataFrame([(i, "new york city", "en") for i in range(9)], DOCS)
+    levels, _ = C.frequent_phrases(docs, 5, 3)
+    assert [level.count() for level in levels] == [3, 2, 1]
+    assert seen["word-blocks"] <= C.TEXTS_AT_ONCE < 10000
+    assert all(seen[f"phrases-{size}"] <= C.BLOCKS_AT_ONCE < 10 for size in (1, 2, 3))
+    assert spark.conf.get(setting) == before
