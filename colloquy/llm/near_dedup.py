@@ -37,6 +37,15 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     return np.unique(runs(hashes, min(k, len(hashes)))) if len(hashes) else hashes
 
 
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """:func:`shingles` of each text; the words of all are hashed at once."""
+    lists = [words(text) for text in texts]
+    hashes = stable_hash([w for one in lists for w in one])
+    ends = np.cumsum([len(one) for one in lists])
+    each = [hashes[end - len(one):end] for end, one in zip(ends, lists)]
+    return [np.unique(runs(own, min(WORDS, len(own)))) if len(own) else own for own in each]
+
+
 def signature(found: np.ndarray) -> np.ndarray:
     """For each coordinate, a 64-bit key of the coordinate and its least hashed shingle."""
     least = np.array([mixed(found ^ seed).min() for seed in _SEEDS])
@@ -47,16 +56,9 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for part in slices(batch["text"].str.len().tolist(), _BLOCK):
             block = batch.iloc[part]
-            lists = [words(text) for text in block["text"]]
-            hashes = stable_hash([w for one in lists for w in one])
-            ends = np.cumsum([len(one) for one in lists])
-            sizes, keys = [], []
-            for end, one in zip(ends, lists):
-                own = hashes[end - len(one):end]
-                found = np.unique(runs(own, min(WORDS, len(own)))) if len(own) else own
-                sizes.append(len(found))
-                keys.append(signature(found) if len(found) else [])
-            yield pd.DataFrame({"doc_id": block["doc_id"], "node": block["node"], "n": sizes, "keys": keys})
+            sets = shingle_sets(block["text"].tolist())
+            keys = [signature(found) if len(found) else [] for found in sets]
+            yield pd.DataFrame({"doc_id": block["doc_id"], "node": block["node"], "n": [len(found) for found in sets], "keys": keys})
 
 
 def signed_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -71,7 +73,7 @@ def _node(text: str) -> Column:
 
 
 def prefix_lists(nodes: DataFrame) -> DataFrame:
-    """Posting lists ``key, size, node, score, keys`` that a pair with enough matches must meet in.
+    """Posting lists ``key, size, node, score, n, keys`` that a pair with enough matches must meet in.
 
     Each text's coordinates are put in order of how many texts share them, rare
     ones first, and the ``MATCHES - 1`` commonest are skipped: two texts that
@@ -90,44 +92,50 @@ def prefix_lists(nodes: DataFrame) -> DataFrame:
     return (
         ordered.select("node", score.alias("score"), F.explode(kept).alias("posting"))
         .select("node", "score", "posting.key", "posting.size")
-        .join(nodes.select("node", "keys"), "node")
+        .join(nodes.select("node", "n", "keys"), "node")
     )
 
 
+def near_in_size(n_a: str, n_b: str) -> Column:
+    """Whether two sets of these sizes can have a Jaccard similarity of 0.75 at all: as if one held the other."""
+    return 100 * F.least(n_a, n_b) >= 75 * F.greatest(n_a, n_b)
+
+
 def _matches(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
 def short_pairs(lists: DataFrame, least: int) -> DataFrame:
-    """Pairs of short lists with at least ``least`` matches."""
+    """Pairs of short lists with at least ``least`` matches and near in size."""
     short = lists.where(F.col("size") <= SHORT_LIST)
-    left = short.select("key", F.col("node").alias("a"), F.col("keys").alias("keys_a"))
-    right = short.select("key", F.col("node").alias("b"), F.col("keys").alias("keys_b"))
+    left = short.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("keys").alias("keys_a"))
+    right = short.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("keys").alias("keys_b"))
     return (
-        left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (_matches("keys_a", "keys_b") >= least))
+        left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & near_in_size("n_a", "n_b")
+                  & (_matches("keys_a", "keys_b") >= least))
         .select("a", "b").distinct()
     )
 
 
 def stars(lists: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Hubs of long lists: ``key, hub, node, level`` of the texts near one, and ``key, node, keys, levels`` of all texts.
+    """Hubs of long lists: ``key, hub, node, level, sized`` of the texts near one, and ``key, node, keys, levels`` of all texts.
 
     The first hub of a list is the member whose coordinates are the commonest,
     the one nearest to the middle of a group of copies. Where members are far
     from it (fewer than ``least`` matches), one of those is the next hub of the
     list, and so on ``HUBS`` times; every hub is held against the whole list.
-    ``levels`` are the hubs of its list that a text is near.
+    ``levels`` are the hubs of its list that a text is near, ``sized`` says whether it is near in size, too.
     """
-    members = materialize(lists.where(F.col("size") > SHORT_LIST).select("key", "node", "score", "keys"), "members")
+    members = materialize(lists.where(F.col("size") > SHORT_LIST).select("key", "node", "score", "n", "keys"), "members")
     left, near = members, []
     for level in range(HUBS):
         hubs = materialize(
-            left.groupBy("key").agg(F.max(F.struct("score", "node", "keys")).alias("top"))
-            .select("key", F.col("top.node").alias("hub"), F.col("top.keys").alias("hub_keys")), "hubs",
+            left.groupBy("key").agg(F.max(F.struct("score", "node", "keys", "n")).alias("top"))
+            .select("key", F.col("top.node").alias("hub"), F.col("top.keys").alias("hub_keys"), F.col("top.n").alias("hub_n")), "hubs",
         )
         rays = members.join(hubs, "key").where(_matches("keys", "hub_keys") >= least)
-        near.append(rays.select("key", "hub", "node", F.lit(level).alias("level")))
-        left = materialize(left.join(hubs, "key").where(_matches("keys", "hub_keys") < least).drop("hub", "hub_keys"), "far")
+        near.append(rays.select("key", "hub", "node", F.lit(level).alias("level"), near_in_size("n", "hub_n").alias("sized")))
+        left = materialize(left.join(hubs, "key").where(_matches("keys", "hub_keys") < least).drop("hub", "hub_keys", "hub_n"), "far")
     near = materialize(reduce(DataFrame.unionByName, near), "near")
     levels = materialize(near.groupBy("key", "node").agg(F.collect_set("level").alias("levels")), "levels")
     placed = members.join(levels, ["key", "node"], "left").select(
@@ -137,14 +145,16 @@ def stars(lists: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    recent = Recent(shingles, _KEPT)
     for batch in batches:
-        sizes = []
-        for a, b, text_a, text_b in batch[["a", "b", "text_a", "text_b"]].itertuples(index=False):
-            own, other = recent(a, text_a), recent(b, text_b)
-            sizes.append((len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other)))
-        both, n_a, n_b = zip(*sizes) if sizes else ((), (), ())
-        yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "both": both, "n_a": n_a, "n_b": n_b})
+        for part in slices((batch["text_a"].str.len() + batch["text_b"].str.len()).tolist(), _BLOCK):
+            block = batch.iloc[part]
+            texts = dict(zip(block["a"], block["text_a"])) | dict(zip(block["b"], block["text_b"]))
+            sets = dict(zip(texts, shingle_sets(list(texts.values()))))
+            pairs = [(sets[a], sets[b]) for a, b in zip(block["a"], block["b"])]
+            yield pd.DataFrame({
+                "a": block["a"], "b": block["b"], "both": [len(np.intersect1d(own, other, assume_unique=True)) for own, other in pairs],
+                "n_a": [len(own) for own, _ in pairs], "n_b": [len(other) for _, other in pairs],
+            })
 
 
 def confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -278,8 +288,8 @@ def closing_pairs(measured: DataFrame, placed: DataFrame, components: DataFrame,
 def linked_components(lists: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], least: int) -> DataFrame:
     """``node, component`` of all texts that have a link of similarity 0.75 or more.
 
-    ``lists`` has ``key, size, node, score, keys``; texts that share a list and
-    at least ``least`` of their keys are confirmed on whole shingle sets.
+    ``lists`` has ``key, size, node, score, n, keys``, with ``n`` the size of a text's shingle set; texts that share a list and
+    at least ``least`` of their keys, and whose sizes allow a link, are confirmed on whole shingle sets.
     ``bodies_of`` gives ``node, text`` for a table of wanted nodes. Lists of up
     to ``SHORT_LIST`` texts give all their pairs, longer ones a star and what
     :func:`closing_pairs` adds.
@@ -287,7 +297,7 @@ def linked_components(lists: DataFrame, bodies_of: Callable[[DataFrame], DataFra
     pairs = materialize(short_pairs(lists, least), "pairs")
     rays, placed = stars(lists, least)
     tested = pairs.unionByName(
-        rays.where(F.col("hub") != F.col("node")).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+        rays.where(F.col("sized") & (F.col("hub") != F.col("node"))).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     )
     tested = materialize(tested.distinct(), "tested")
     wanted = tested.select(F.explode(F.array("a", "b")).alias("node")).unionByName(placed.select("node")).distinct()
@@ -323,7 +333,8 @@ def grouped_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     modest_batches(docs.sparkSession)
     signed = materialize(signed_documents(docs, doc_id, text), "signed")
-    nodes = signed.where("n > 0").groupBy("node").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("first_id"))
+    nodes = signed.where("n > 0").groupBy("node").agg(
+        F.first("keys").alias("keys"), F.first("n").alias("n"), F.min("doc_id").alias("first_id"))
     lists = materialize(prefix_lists(nodes), "lists")
 
     def bodies_of(wanted: DataFrame) -> DataFrame:

@@ -69,6 +69,18 @@ def _run_hash(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return mixed(total).view(np.int64)
 
 
+def _distinct(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many different hashes each of consecutive runs of ``counts`` hashes has."""
+    bits = np.uint64(len(counts).bit_length())
+    high = np.uint64(64) - bits
+    keys = np.sort((np.repeat(np.arange(len(counts), dtype=np.uint64), counts) << high) | (hashes >> bits))
+    found, ends = counts.copy(), np.cumsum(counts)
+    # Only a run with equal keys can have equal hashes.
+    for i in np.unique(keys[1:][keys[1:] == keys[:-1]] >> high).astype(np.int64):
+        found[i] = len(np.unique(hashes[ends[i] - counts[i]:ends[i]]))
+    return found
+
+
 def _lines_and_blocks(start: np.ndarray, size: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, words and text of each line, and of each block of two lines or more that no blank line parts."""
     written = np.flatnonzero(size > 0)
@@ -84,10 +96,11 @@ def _lines_and_blocks(start: np.ndarray, size: np.ndarray, text: np.ndarray) ->
 
 
 def parts_of(texts: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Paragraphs (``text, at, n_words, digest, bands``) and anchored passages (without bands) of some texts.
+    """Paragraphs (``text, at, n_words, n, bands, digest``) and anchored passages (without ``n`` and bands) of some texts.
 
     Paragraphs are lines, and blocks of several lines between blank ones, of a
-    shingle or more; the same words are one digest on one line or on many. ``text`` is the number of the text, ``at`` the place of the first word in it.
+    shingle or more; the same words are one digest on one line or on many. ``text`` is the number of the text, ``at`` the place of
+    the first word in it, ``n`` the number of different shingles.
     """
     lines = [[line.encode().lower().split() for line in text.split("\n")] for text in texts]
     hashes = stable_hash([word for text in lines for line in text for word in line])
@@ -104,8 +117,10 @@ def parts_of(texts: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
         counts = size - WORDS + 1
         begins = np.cumsum(counts) - counts
         within = np.arange(counts.sum()) - np.repeat(begins, counts)
-        paragraphs["bands"] = list(_bands(fives[np.repeat(first, counts) + within], begins))
-        order = mixed(fives[np.repeat(first, counts) + within] + mixed(within.astype(np.uint64)))
+        own = fives[np.repeat(first, counts) + within]
+        paragraphs["n"] = _distinct(own, counts)
+        paragraphs["bands"] = list(_bands(own, begins))
+        order = mixed(own + mixed(within.astype(np.uint64)))
         paragraphs["digest"] = mixed(np.add.reduceat(order, begins) + size.astype(np.uint64)).view(np.int64)
 
     before = PASSAGE_WORDS // 2
@@ -149,6 +164,7 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     own = found.pop("text").to_numpy()
                     found.insert(0, "doc_id", ids.take(own))
                     found.insert(0, "key", keys[own])
+                    found["n"] = found["n"].astype("Int64") if "n" in found else pd.array([None] * len(found), "Int64")
                     yield found if "bands" in found else found.assign(bands=None)
 
 
@@ -169,22 +185,25 @@ def _name(column: str = "digest"):
 
 def similar_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """``digest, cluster`` of paragraphs that are linked with a different one."""
-    nodes = paragraphs.groupBy("digest").agg(F.first("bands").alias("keys"), F.min(F.struct("key", "at", "n_words")).alias("place"))
-    nodes = materialize(nodes.withColumn("node", _name()), "paragraphs")
+    nodes = paragraphs.groupBy("digest").agg(
+        F.first("bands").alias("keys"), F.first("n").alias("n"), F.min(F.struct("key", "at", "n_words")).alias("place"))
+    nodes = materialize(nodes, "paragraphs").withColumn("node", _name())
     postings = nodes.select("node", F.explode("keys").alias("key"))
     sizes = materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     # Most paragraphs share no band: the signatures follow only those that do.
     shared = materialize(postings.join(sizes, "key"), "shared")
     scores = shared.groupBy("node").agg(F.sum("size").alias("score"))
-    lists = materialize(shared.join(scores.join(nodes.select("node", "keys"), "node"), "node"), "lists")
+    lists = materialize(shared.join(scores.join(nodes.select("node", "n", "keys"), "node"), "node"), "lists")
 
     def bodies_of(wanted: DataFrame) -> DataFrame:
         places = (
             nodes.join(wanted, "node", "left_semi").groupBy("place.key")
             .agg(F.collect_list(F.struct("place.at", "place.n_words", "digest")).alias("wanted"))
         )
-        texts = docs.select("key", "text").join(places, "key").mapInPandas(_paragraphs, "digest long, text string")
-        return texts.select(_name().alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
+        # A digest has one place. Repeated rows are one before their texts meet the places, so its paragraph comes once.
+        once = docs.select("key", "text").groupBy("key").agg(F.first("text").alias("text"))
+        texts = once.join(places, "key").mapInPandas(_paragraphs, "digest long, text string")
+        return texts.select(_name().alias("node"), "text")
 
     linked = linked_components(lists, bodies_of, 1)
     return nodes.join(linked, "node").select("digest", F.col("component").alias("cluster"))
@@ -271,7 +290,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         row_key(doc_id, text).alias("key"), id_text(doc_id).alias("doc_id"), whole_text(text).alias("text")
     )
     kind = docs.schema[doc_id].dataType
-    found = base.mapInPandas(_parts, "key binary, doc_id string, at long, n_words long, digest long, bands array<bigint>")
+    found = base.mapInPandas(_parts, "key binary, doc_id string, at long, n_words long, digest long, n long, bands array<bigint>")
     parts = materialize(found.withColumn("doc_id", F.col("doc_id").cast(kind)), "parts")
     paragraphs = parts.where(F.col("bands").isNotNull())
     similar = materialize(similar_paragraphs(base, paragraphs), "similar")

@@ -301,3 +301,30 @@ def test_an_automaton_belongs_to_its_items(spark):
         items[:] = [(1, text, 0)]
         finder = decontaminate._finder(SimpleNamespace(value=decontaminate.block_of(items)), kind)
         assert list(finder.func(pd.Series([f"x {text} y"])))[0] == [(1, 0, 2, 2 + len(text))]
+
+
+def test_distinct_shingles_of_runs():
+    rng = np.random.default_rng(3)
+    counts = np.array([1, 50, 7, 400, 1, 30])
+    hashes = rng.integers(0, 60, counts.sum()).astype(np.uint64) << np.uint64(57) >> np.uint64(rng.integers(0, 9))
+    runs = np.split(hashes, np.cumsum(counts)[:-1])
+    assert substring_dedup._distinct(hashes, counts).tolist() == [len(set(run.tolist())) for run in runs]
+
+
+def test_texts_too_unlike_in_size_are_not_paired(spark, monkeypatch):
+    """A paragraph and a part of it share bands, but no similarity of 0.75 is possible: their texts are not moved at all."""
+    rng = random.Random(5)
+    line = words(rng, 60)
+    near = line[:30] + ["x"] + line[31:]
+    rows = [(1, " ".join(line)), (2, " ".join(near)), (3, " ".join(line[:36])), (4, " ".join(words(rng, 30)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, write = {}, near_dedup.materialize
+
+    def recorded(df, name):
+        seen[name] = write(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(near_dedup, "materialize", recorded)
+    found = substring_dedup.repeated_passages(docs).where("removed").collect()
+    assert {r.doc_id for r in found} >= {2}
+    assert seen["tested"].count() == 1 and seen["bodies"].count() == 2
