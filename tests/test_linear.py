@@ -189,3 +189,29 @@ def test_steps_write_rows_and_not_weights(corpus, spark):
     steps = [sum(f.stat().st_size for f in p.glob("*.parquet")) for p in new if p.name.startswith("steps")]
     assert len(steps) == 6 and max(steps) < 40_000
     assert len(shuffles() - before) <= 30
+
+
+def test_products_by_runs_of_entries(monkeypatch):
+    rng = np.random.default_rng(7)
+    values, taken, to = rng.random((5, 3)), rng.integers(0, 5, 40), rng.integers(0, 4, 40)
+    tf = rng.integers(1, 4, 40).astype(float)
+    want = np.zeros((6, 3))
+    np.add.at(want, to, values[taken] * tf[:, None])
+    for size in (7, 40, 1000):
+        monkeypatch.setattr(tiles, "ENTRIES", size)
+        assert np.allclose(tiles._product(values, taken, tf, to, 6), want)
+    assert tiles._product(values, taken[:0], tf[:0], to[:0], 6).shape == (6, 3)
+
+
+def test_models_in_steps_share_their_passes(corpus, monkeypatch):
+    """A pass over the tiles for each step, whatever the number of models; the same predictions as one model at a time."""
+    passes, margins = [], tiles.margins
+    monkeypatch.setattr(tiles, "margins", lambda *a, **k: passes.append(a) or margins(*a, **k))
+    together = {(r.model, r.row): r.pred for r in linear.cross_predict(corpus, folds=3, steps=3).collect()}
+    assert len(passes) == 1 + 3 + 2  # curvature, steps, what is judged: both models in steps, and Bayes
+    alone = {(r.model, r.row): r.pred for name in models.MODELS for r in linear.cross_predict(corpus, [name], folds=3, steps=3).collect()}
+    assert together == alone and len(together) == 3 * corpus.count()
+    both, one = linear.fit_models(corpus, steps=2), linear.fit(corpus, models.SVM, steps=2)
+    weights = {r.term: r.w for r in one.terms.collect()}
+    assert {r.term: r.w for r in both[models.SVM].terms.collect()} == {t: pytest.approx(w) for t, w in weights.items()}
+    assert both[models.SVM].bias == pytest.approx(one.bias)
