@@ -53,9 +53,13 @@ def stable_hash(values: list[bytes]) -> np.ndarray:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (multiply and shift)."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    out = x >> np.uint64(32)
+    out ^= x
+    out *= np.uint64(0x9FB21C651E98DF25)
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out
 
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -233,6 +233,44 @@ def core_stars(measured: DataFrame) -> DataFrame:
     )
 
 
+def sharing_pairs(measured: DataFrame) -> DataFrame:
+    """``node_a, node_b`` from two components of a group, with a common rest, that have enough of it in common.
+
+    As sizes of linked sets differ by a quarter at most, a text needs at least
+    ``3 (n + 3/4 n) / 7 - inside`` shingles of its rest in common with another
+    one. So only the rarest of those that any other text of the group has are
+    posted, all but so many less one: of two texts with enough in common, at
+    least one common shingle is posted by both. Pairs that meet are counted on
+    whole rests.
+    """
+    postings = measured.select("hub", "node", F.explode("rest").alias("shingle"))
+    sizes = materialize(postings.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    common = postings.join(sizes, ["hub", "shingle"]).groupBy("hub", "node").agg(
+        F.array_sort(F.collect_list(F.struct("size", "shingle")))["shingle"].alias("common"))
+    fewest = F.greatest(F.lit(1), F.ceil(3 * (F.col("n") + F.ceil(F.col("n") * 0.75)) / 7) - F.col("inside"))
+    able = common.join(measured.drop("rest"), ["hub", "node"]).withColumn("posted", (F.size("common") - fewest + 1).cast("int")).where("posted > 0")
+    able = materialize(able, "able")
+
+    def side(name: str) -> DataFrame:
+        return able.select(
+            "hub", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "n", "inside")], F.size("common").alias(f"rest_{name}"),
+            F.explode(F.slice("common", F.lit(1), F.col("posted"))).alias("shingle"),
+        )
+
+    a, b = side("a"), side("b")
+    need, inside = 3 * (F.col("n_a") + F.col("n_b")), F.least("inside_a", "inside_b")
+    met = a.join(
+        b, (a["hub"] == b["hub"]) & (a["shingle"] == b["shingle"]) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
+        & near_in_size("n_a", "n_b") & (7 * (inside + F.least("rest_a", "rest_b")) >= need),
+    ).select(a["hub"], "node_a", "node_b", inside.alias("inside"), need.alias("need")).distinct()
+
+    def rest(name: str) -> DataFrame:
+        return able.select("hub", F.col("node").alias(f"node_{name}"), F.col("common").alias(f"common_{name}"))
+
+    counted = met.join(rest("a"), ["hub", "node_a"]).join(rest("b"), ["hub", "node_b"])
+    return counted.where(7 * (F.col("inside") + _matches("common_a", "common_b")) >= F.col("need")).select("node_a", "node_b")
+
+
 def closing_pairs(measured: DataFrame, placed: DataFrame, components: DataFrame, least: int) -> DataFrame:
     """Pairs of long lists that the stars leave open and that may still be similar enough.
 
@@ -248,19 +286,11 @@ def closing_pairs(measured: DataFrame, placed: DataFrame, components: DataFrame,
         .groupBy("hub").agg(F.max(F.struct("rows", "component"))["component"].alias("main")), "main",
     )
 
-    def side(name: str, *more: str) -> DataFrame:
-        return measured.select("hub", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "n", "inside")], *more)
+    def side(name: str) -> DataFrame:
+        return measured.select("hub", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "n", "inside")])
 
-    rest = F.explode("rest").alias("shingle")
-    need = 3 * (F.col("n_a") + F.col("n_b"))
     inside = F.least("inside_a", "inside_b")
-    a, b = side("a", rest), side("b", rest)
-    sharing = (
-        a.join(b, (a["hub"] == b["hub"]) & (a["shingle"] == b["shingle"])
-               & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")))
-        .groupBy(a["hub"], "node_a", "node_b", "n_a", "n_b", "inside_a", "inside_b").agg(F.count(F.lit(1)).alias("common"))
-        .where(7 * (inside + F.col("common")) >= need).select("node_a", "node_b")
-    )
+    sharing = sharing_pairs(measured)
     odd = side("a").join(main, "hub").where(F.col("component_a") != F.col("main")).withColumn(
         "n_b", F.explode(F.sequence(
             F.ceil(F.col("n_a") * 0.75), F.greatest(F.ceil(F.col("n_a") * 0.75) - 1, F.floor(7 * F.col("inside_a") / 3 - F.col("n_a"))),

@@ -297,7 +297,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     first = materialize(similar.groupBy("cluster").agg(F.min("digest").alias("unit")), "first")
     alike = similar.join(first, "cluster").select("digest", "unit")
     again = (
-        parts.groupBy("digest").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+        # Documents by a number, as long as a digest: least and largest bytes would be found by sorting all places.
+        parts.select("digest", F.xxhash64("key").alias("_key")).groupBy("digest").agg(F.min("_key").alias("low"), F.max("_key").alias("high"))
         .where("low <> high").select("digest", F.col("digest").alias("unit"), F.lit(False).alias("similar"))
     )
     marked = alike.withColumn("similar", F.lit(True)).unionByName(again.join(similar, "digest", "left_anti"))

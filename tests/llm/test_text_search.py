@@ -328,3 +328,28 @@ def test_texts_too_unlike_in_size_are_not_paired(spark, monkeypatch):
     found = substring_dedup.repeated_passages(docs).where("removed").collect()
     assert {r.doc_id for r in found} >= {2}
     assert seen["tested"].count() == 1 and seen["bodies"].count() == 2
+
+
+def test_rests_meet_by_their_rarest_shared_shingles(spark, monkeypatch):
+    """No pair with enough in common is lost, and texts that share one frequent shingle only do not meet."""
+    rng = np.random.default_rng(11)
+    rows = [("h", i, i, 8, 2, [1000, *range(2000 + 6 * i, 2005 + 6 * i)]) for i in range(60)]
+    for i in range(60, 120):
+        rest = sorted(rng.choice(14, size=rng.integers(3, 7), replace=False).tolist())
+        rows.append(("h", i, i if i % 9 else 60, len(rest) + 4, 4, rest))
+    measured = spark.createDataFrame(rows, "hub string, node int, component int, n long, inside long, rest array<bigint>")
+    want = set()
+    for _, a, component, n_a, in_a, rest_a in rows:
+        for _, b, other, n_b, in_b, rest_b in rows:
+            common = len(set(rest_a) & set(rest_b))
+            near = 100 * min(n_a, n_b) >= 75 * max(n_a, n_b)
+            if a < b and component != other and common and near and 7 * (min(in_a, in_b) + common) >= 3 * (n_a + n_b):
+                want.add((a, b))
+    found = near_dedup.sharing_pairs(measured)
+    assert len(want) > 20 and {tuple(r) for r in found.collect()} == want
+
+    met = []
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, name: met.append((name, df.localCheckpoint())) or met[-1][1])
+    near_dedup.sharing_pairs(measured).count()
+    able = dict(met)["able"]
+    assert able.where("node < 60").isEmpty()
