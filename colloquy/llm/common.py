@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -108,23 +107,6 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return tidied
 
 
-class Recent:
-    """Arrays by key, the least recently used ones left out beyond ``most`` bytes."""
-
-    def __init__(self, make: Callable[..., np.ndarray], most: int):
-        self.make, self.most, self.held, self.size = make, most, OrderedDict(), 0
-
-    def __call__(self, key: bytes, *args) -> np.ndarray:
-        if key in self.held:
-            self.held.move_to_end(key)
-            return self.held[key]
-        made = self.held[key] = self.make(*args)
-        self.size += made.nbytes
-        while self.size > self.most and len(self.held) > 1:
-            self.size -= self.held.popitem(last=False)[1].nbytes
-        return made
-
-
 def modest_batches(spark: SparkSession) -> None:
     """Hand whole texts to Python 1,000 rows at a time, unless the session already chose another number.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import (
-    Recent, id_text, mixed, modest_batches, runs, slices, stable_hash, tidy, whole_text, words,
+    id_text, mixed, modest_batches, runs, slices, stable_hash, tidy, whole_text, words,
 )
 from colloquy.llm.components import connected_components
 from colloquy.session import materialize
@@ -27,8 +27,8 @@ HUBS = 4
 #: Texts of a hub's group that its core is taken from, and how many of them must hold a shingle of the core.
 CORE_TEXTS, CORE_LEAST = 32, 2
 _SEEDS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64))
-#: Text handled at once in a task, in characters, and bytes of shingle sets kept for the next pairs of a task.
-_BLOCK, _KEPT = 1_000_000, 16_000_000
+#: Text handled at once in a task, in characters.
+_BLOCK = 1_000_000
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -38,12 +38,19 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """:func:`shingles` of each text; the words of all are hashed at once."""
+    """:func:`shingles` of each text; the words and the shingles of all are hashed at once."""
     lists = [words(text) for text in texts]
     hashes = stable_hash([w for one in lists for w in one])
-    ends = np.cumsum([len(one) for one in lists])
-    each = [hashes[end - len(one):end] for end, one in zip(ends, lists)]
-    return [np.unique(runs(own, min(WORDS, len(own)))) if len(own) else own for own in each]
+    fives = runs(hashes, WORDS)
+    sets, end = [], 0
+    for size in map(len, lists):
+        start, end = end, end + size
+        if size >= WORDS:
+            found = np.sort(fives[start:end - WORDS + 1])
+            sets.append(found[np.append(True, found[1:] != found[:-1])])
+        else:
+            sets.append(runs(hashes[start:end], size) if size else hashes[:0])
+    return sets
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -105,6 +112,11 @@ def _matches(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
+def _alike(a: str, b: str, least: int) -> Column:
+    """Whether two members of a list have at least ``least`` keys in common: one they always have, that of the list."""
+    return F.lit(True) if least == 1 else _matches(a, b) >= least
+
+
 def short_pairs(lists: DataFrame, least: int) -> DataFrame:
     """Pairs of short lists with at least ``least`` matches and near in size."""
     short = lists.where(F.col("size") <= SHORT_LIST)
@@ -112,7 +124,7 @@ def short_pairs(lists: DataFrame, least: int) -> DataFrame:
     right = short.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("keys").alias("keys_b"))
     return (
         left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & near_in_size("n_a", "n_b")
-                  & (_matches("keys_a", "keys_b") >= least))
+                  & _alike("keys_a", "keys_b", least))
         .select("a", "b").distinct()
     )
 
@@ -123,19 +135,20 @@ def stars(lists: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     The first hub of a list is the member whose coordinates are the commonest,
     the one nearest to the middle of a group of copies. Where members are far
     from it (fewer than ``least`` matches), one of those is the next hub of the
-    list, and so on ``HUBS`` times; every hub is held against the whole list.
+    list, and so on ``HUBS`` times; every hub is held against the whole list. No member is far if one key will do.
     ``levels`` are the hubs of its list that a text is near, ``sized`` says whether it is near in size, too.
     """
     members = materialize(lists.where(F.col("size") > SHORT_LIST).select("key", "node", "score", "n", "keys"), "members")
     left, near = members, []
-    for level in range(HUBS):
+    for level in range(HUBS if least > 1 else 1):
+        if level:
+            left = materialize(left.join(hubs, "key").where(~_alike("keys", "hub_keys", least)).drop("hub", "hub_keys", "hub_n"), "far")
         hubs = materialize(
             left.groupBy("key").agg(F.max(F.struct("score", "node", "keys", "n")).alias("top"))
             .select("key", F.col("top.node").alias("hub"), F.col("top.keys").alias("hub_keys"), F.col("top.n").alias("hub_n")), "hubs",
         )
-        rays = members.join(hubs, "key").where(_matches("keys", "hub_keys") >= least)
+        rays = members.join(hubs, "key").where(_alike("keys", "hub_keys", least))
         near.append(rays.select("key", "hub", "node", F.lit(level).alias("level"), near_in_size("n", "hub_n").alias("sized")))
-        left = materialize(left.join(hubs, "key").where(_matches("keys", "hub_keys") < least).drop("hub", "hub_keys", "hub_n"), "far")
     near = materialize(reduce(DataFrame.unionByName, near), "near")
     levels = materialize(near.groupBy("key", "node").agg(F.collect_set("level").alias("levels")), "levels")
     placed = members.join(levels, ["key", "node"], "left").select(
@@ -144,6 +157,10 @@ def stars(lists: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     return near, materialize(placed, "placed")
 
 
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for part in slices((batch["text_a"].str.len() + batch["text_b"].str.len()).tolist(), _BLOCK):
@@ -151,8 +168,9 @@ def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts = dict(zip(block["a"], block["text_a"])) | dict(zip(block["b"], block["text_b"]))
             sets = dict(zip(texts, shingle_sets(list(texts.values()))))
             pairs = [(sets[a], sets[b]) for a, b in zip(block["a"], block["b"])]
+            united = [np.sort(np.concatenate(pair)) for pair in pairs]
             yield pd.DataFrame({
-                "a": block["a"], "b": block["b"], "both": [len(np.intersect1d(own, other, assume_unique=True)) for own, other in pairs],
+                "a": block["a"], "b": block["b"], "both": [np.count_nonzero(x[1:] == x[:-1]) for x in united],
                 "n_a": [len(own) for own, _ in pairs], "n_b": [len(other) for _, other in pairs],
             })
 
@@ -164,29 +182,41 @@ def confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
         .join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    counted = texts.mapInPandas(tidy(_overlaps), "a binary, b binary, both long, n_a long, n_b long")
+    kind = _kind(pairs, "a")
+    counted = texts.mapInPandas(tidy(_overlaps), f"a {kind}, b {kind}, both long, n_a long, n_b long")
     return counted.where("100 * both >= 75 * (n_a + n_b - both)").select("a", "b")
 
 
 def _core(group: pd.DataFrame) -> pd.DataFrame:
-    values, counts = np.unique(np.concatenate([shingles(text) for text in group["text"]]), return_counts=True)
+    values, counts = np.unique(np.concatenate(shingle_sets(group["text"].tolist())), return_counts=True)
     least = min(CORE_LEAST, len(group))
     return pd.DataFrame({"hub": group["hub"].iloc[:1], "core": [values[counts >= least].tobytes()]})
 
 
+def _held(own: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """Which of some values are in ``core``, which is in order."""
+    at = np.searchsorted(core, own)
+    found = at < len(core)
+    found[found] = core[at[found]] == own[found]
+    return found
+
+
 def _rests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    recent = Recent(shingles, _KEPT)
     for batch in batches:
-        inside, rests, sizes = [], [], []
-        for node, text, core in zip(batch["node"], batch["text"], batch["core"]):
-            own = recent(node, text)
-            rest = np.setdiff1d(own, np.frombuffer(core, np.uint64), assume_unique=True)
-            sizes.append(len(own))
-            inside.append(len(own) - len(rest))
-            rests.append(rest.view(np.int64))
-        yield pd.DataFrame({
-            "hub": batch["hub"], "node": batch["node"], "n": sizes, "inside": inside, "rest": rests,
-        })
+        for part in slices(batch["text"].str.len().tolist(), _BLOCK):
+            block = batch.iloc[part]
+            texts = dict(zip(block["node"], block["text"]))
+            sets = dict(zip(texts, shingle_sets(list(texts.values()))))
+            inside, rests, sizes = [], [], []
+            for node, core in zip(block["node"], block["core"]):
+                own = sets[node]
+                rest = own[~_held(own, np.frombuffer(core, np.uint64))]
+                sizes.append(len(own))
+                inside.append(len(own) - len(rest))
+                rests.append(rest.view(np.int64))
+            yield pd.DataFrame({
+                "hub": block["hub"], "node": block["node"], "n": sizes, "inside": inside, "rest": rests,
+            })
 
 
 def _placed_in(df: DataFrame, components: DataFrame) -> DataFrame:
@@ -209,11 +239,11 @@ def measured_groups(rays: DataFrame, bodies: DataFrame, components: DataFrame) -
     first = Window.partitionBy("hub").orderBy(F.xxhash64("node"), "node")
     core = materialize(
         near.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= CORE_TEXTS)
-        .join(bodies, "node").select("hub", "text").groupBy("hub").applyInPandas(_core, "hub binary, core binary"), "core",
+        .join(bodies, "node").select("hub", "text").groupBy("hub").applyInPandas(_core, f"hub {_kind(rays, 'hub')}, core binary"), "core",
     )
     return materialize(
         near.join(core, "hub").join(bodies, "node").select("hub", "node", "text", "core")
-        .mapInPandas(tidy(_rests), "hub binary, node binary, n long, inside long, rest array<bigint>"), "rests",
+        .mapInPandas(tidy(_rests), f"hub {_kind(rays, 'hub')}, node {_kind(rays, 'node')}, n long, inside long, rest array<bigint>"), "rests",
     )
 
 
@@ -238,30 +268,34 @@ def sharing_pairs(measured: DataFrame) -> DataFrame:
 
     As sizes of linked sets differ by a quarter at most, a text needs at least
     ``3 (n + 3/4 n) / 7 - inside`` shingles of its rest in common with another
-    one. So only the rarest of those that any other text of the group has are
-    posted, all but so many less one: of two texts with enough in common, at
-    least one common shingle is posted by both. Pairs that meet are counted on
-    whole rests.
+    one. So only the rarest of those that another component of the group has are
+    posted, all but so many less one: of two texts with enough in common, the
+    first common shingle is posted by both. From where they meet, each must have
+    enough left. Pairs that meet are counted on whole rests.
     """
-    postings = measured.select("hub", "node", F.explode("rest").alias("shingle"))
-    sizes = materialize(postings.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    common = postings.join(sizes, ["hub", "shingle"]).groupBy("hub", "node").agg(
-        F.array_sort(F.collect_list(F.struct("size", "shingle")))["shingle"].alias("common"))
+    # What many texts of a group have is in its core, so few hold the same shingle of their rests.
+    holders = Window.partitionBy("hub", "shingle")
+    postings = measured.select("hub", "node", F.xxhash64("component").alias("part"), F.explode("rest").alias("shingle"))
+    shared = postings.select(
+        "hub", "node", "shingle", F.count(F.lit(1)).over(holders).alias("size"),
+        F.min("part").over(holders).alias("low"), F.max("part").over(holders).alias("high"),
+    ).where("low <> high")
+    common = shared.groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("size", "shingle")))["shingle"].alias("common"))
     fewest = F.greatest(F.lit(1), F.ceil(3 * (F.col("n") + F.ceil(F.col("n") * 0.75)) / 7) - F.col("inside"))
     able = common.join(measured.drop("rest"), ["hub", "node"]).withColumn("posted", (F.size("common") - fewest + 1).cast("int")).where("posted > 0")
     able = materialize(able, "able")
 
     def side(name: str) -> DataFrame:
         return able.select(
-            "hub", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "n", "inside")], F.size("common").alias(f"rest_{name}"),
-            F.explode(F.slice("common", F.lit(1), F.col("posted"))).alias("shingle"),
-        )
+            "hub", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "n", "inside")], F.size("common").alias("own"),
+            F.posexplode(F.slice("common", F.lit(1), F.col("posted"))).alias("place", "shingle"),
+        ).withColumn(f"left_{name}", F.col("own") - F.col("place")).drop("own", "place")
 
     a, b = side("a"), side("b")
     need, inside = 3 * (F.col("n_a") + F.col("n_b")), F.least("inside_a", "inside_b")
     met = a.join(
         b, (a["hub"] == b["hub"]) & (a["shingle"] == b["shingle"]) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-        & near_in_size("n_a", "n_b") & (7 * (inside + F.least("rest_a", "rest_b")) >= need),
+        & near_in_size("n_a", "n_b") & (7 * (inside + F.least("left_a", "left_b")) >= need),
     ).select(a["hub"], "node_a", "node_b", inside.alias("inside"), need.alias("need")).distinct()
 
     def rest(name: str) -> DataFrame:
@@ -309,7 +343,7 @@ def closing_pairs(measured: DataFrame, placed: DataFrame, components: DataFrame,
     distant = far.join(
         other_member,
         (far["key"] == other_member["key"]) & (F.col("component_a") != F.col("component_b"))
-        & ~F.arrays_overlap("levels_a", "levels_b") & (_matches("keys_a", "keys_b") >= least),
+        & ~F.arrays_overlap("levels_a", "levels_b") & _alike("keys_a", "keys_b", least),
     )
     found = sharing.unionByName(sized.select("node_a", "node_b")).unionByName(distant.select("node_a", "node_b"))
     return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
@@ -319,11 +353,14 @@ def linked_components(lists: DataFrame, bodies_of: Callable[[DataFrame], DataFra
     """``node, component`` of all texts that have a link of similarity 0.75 or more.
 
     ``lists`` has ``key, size, node, score, n, keys``, with ``n`` the size of a text's shingle set; texts that share a list and
-    at least ``least`` of their keys, and whose sizes allow a link, are confirmed on whole shingle sets.
+    at least ``least`` of their keys, and whose sizes allow a link, are confirmed on whole shingle sets. If ``least`` is 1,
+    ``keys`` is not needed.
     ``bodies_of`` gives ``node, text`` for a table of wanted nodes. Lists of up
     to ``SHORT_LIST`` texts give all their pairs, longer ones a star and what
     :func:`closing_pairs` adds.
     """
+    if "keys" not in lists.columns:
+        lists = lists.withColumn("keys", F.lit(None).cast("array<bigint>"))
     pairs = materialize(short_pairs(lists, least), "pairs")
     rays, placed = stars(lists, least)
     tested = pairs.unionByName(

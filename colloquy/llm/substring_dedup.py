@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from colloquy.llm.common import id_text, mixed, modest_batches, row_key, runs, slices, stable_hash, whole_text
+from colloquy.llm.common import mixed, modest_batches, row_key, runs, slices, stable_hash, tidy, whole_text
 from colloquy.llm.components import connected_components
 from colloquy.llm.near_dedup import WORDS, linked_components
 from colloquy.session import materialize
@@ -20,7 +22,7 @@ from colloquy.session import materialize
 #: ``PASSAGE_WORDS + SPAN - 1`` words (51) or more holds an anchored passage as a whole.
 PASSAGE_WORDS, SPAN = 24, 28
 BAND_ROWS, RECALL = 2, 0.999
-_BLOCK = 2_000_000
+_BLOCK = 500_000
 
 
 def bands_for(similarity: float, recall: float = RECALL, rows: int = BAND_ROWS) -> int:
@@ -30,12 +32,19 @@ def bands_for(similarity: float, recall: float = RECALL, rows: int = BAND_ROWS)
 
 BANDS = bands_for(0.75)
 _SEEDS = mixed(np.arange(101, 101 + BANDS * BAND_ROWS, dtype=np.uint64))
+BAND_KEYS = [f"band_{i}" for i in range(BANDS)]
 
 
-def _bands(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each run of shingles that begins at ``starts``, one 64-bit key for each band of its MinHash signature."""
-    least = np.stack([np.minimum.reduceat(mixed(hashes ^ seed), starts) for seed in _SEEDS], axis=1)
-    least = least.reshape(len(starts), BANDS, BAND_ROWS)
+def _bands(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of ``counts`` shingles from ``first`` on, one 64-bit key for each band of its MinHash signature.
+
+    Runs may overlap, as a block does its lines: each shingle is hashed once for all of them.
+    """
+    # Every other minimum is that of a gap between two runs; the value added stands after the last one.
+    bounds = np.stack([first, first + counts], axis=1).ravel()
+    padded = np.append(hashes, np.uint64(0))
+    least = np.stack([np.minimum.reduceat(mixed(padded ^ seed), bounds)[::2] for seed in _SEEDS], axis=1)
+    least = least.reshape(len(first), BANDS, BAND_ROWS)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), least.shape[:2])
     for row in range(BAND_ROWS):
         key = mixed(key + least[:, :, row])
@@ -57,8 +66,9 @@ def _anchors(hashes: np.ndarray, alive: np.ndarray) -> np.ndarray:
         step = min(width, SPAN - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    least = least[alive[:len(least)]]
-    return np.unique(least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    # Windows move to the right, and so do the places of their minima: equal ones are neighbours.
+    at = (least[alive[:len(least)]] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return at[np.append(True, at[1:] != at[:-1])[:len(at)]]
 
 
 def _run_hash(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -96,7 +106,7 @@ def _lines_and_blocks(start: np.ndarray, size: np.ndarray, text: np.ndarray) ->
 
 
 def parts_of(texts: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Paragraphs (``text, at, n_words, n, bands, digest``) and anchored passages (without ``n`` and bands) of some texts.
+    """Paragraphs (``text, at, n_words, n, digest`` and band keys) and anchored passages (without ``n`` and bands) of some texts.
 
     Paragraphs are lines, and blocks of several lines between blank ones, of a
     shingle or more; the same words are one digest on one line or on many. ``text`` is the number of the text, ``at`` the place of
@@ -119,8 +129,8 @@ def parts_of(texts: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
         within = np.arange(counts.sum()) - np.repeat(begins, counts)
         own = fives[np.repeat(first, counts) + within]
         paragraphs["n"] = _distinct(own, counts)
-        paragraphs["bands"] = list(_bands(own, begins))
-        order = mixed(own + mixed(within.astype(np.uint64)))
+        paragraphs[BAND_KEYS] = _bands(fives, first, counts)
+        order = mixed(own + mixed(np.arange(counts.max(), dtype=np.uint64))[within])
         paragraphs["digest"] = mixed(np.add.reduceat(order, begins) + size.astype(np.uint64)).view(np.int64)
 
     before = PASSAGE_WORDS // 2
@@ -143,29 +153,30 @@ def parts_of(texts: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
 
 def _united(passages: pd.DataFrame) -> pd.DataFrame:
     """Places of one passage that overlap in one text, as one: a text that repeats a few words has it at very many."""
-    passages = passages.sort_values(["text", "digest", "at"], ignore_index=True)
-    before = passages.shift()
-    apart = (passages["text"] != before["text"]) | (passages["digest"] != before["digest"])
-    apart |= passages["at"] >= before["at"] + before["n_words"]
-    first = np.flatnonzero(apart.to_numpy(dtype=bool))
-    last = np.append(first[1:], len(passages))[:len(first)] - 1
-    out = passages.iloc[first].copy()
-    out["n_words"] = passages["at"].to_numpy()[last] + passages["n_words"].to_numpy()[last] - out["at"].to_numpy()
-    return out
-
-
-def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # They come by text and place, so those of one digest stay in that order.
+    order = np.argsort(passages["digest"].to_numpy(), kind="stable")
+    text, at, n_words, digest = (passages[c].to_numpy()[order] for c in ("text", "at", "n_words", "digest"))
+    apart = np.ones(len(order), dtype=bool)
+    apart[1:] = (text[1:] != text[:-1]) | (digest[1:] != digest[:-1]) | (at[1:] >= at[:-1] + n_words[:-1])
+    first = np.flatnonzero(apart)
+    last = np.append(first[1:], len(order))[:len(first)] - 1
+    return pd.DataFrame({"text": text[first], "at": at[first], "n_words": at[last] + n_words[last] - at[first], "digest": digest[first]})
+
+
+_NUMBERS = ["at", "n_words", "digest", "n", *BAND_KEYS]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch["text"].str.len().tolist(), _BLOCK):
-            block = batch.iloc[part]
-            keys, ids = block["key"].to_numpy(dtype=object), block["doc_id"].array
-            for found in parts_of(block["text"].tolist()):
+        texts = batch.column("text").to_pylist()
+        for part in slices([len(text) for text in texts], _BLOCK):
+            for found in parts_of(texts[part]):
                 if len(found):
-                    own = found.pop("text").to_numpy()
-                    found.insert(0, "doc_id", ids.take(own))
-                    found.insert(0, "key", keys[own])
-                    found["n"] = found["n"].astype("Int64") if "n" in found else pd.array([None] * len(found), "Int64")
-                    yield found if "bands" in found else found.assign(bands=None)
+                    own = pa.array(found["text"].to_numpy() + part.start)
+                    columns = {name: batch.column(name).take(own) for name in ("key", "doc_id")}
+                    for name in _NUMBERS:
+                        columns[name] = pa.array(found[name].to_numpy()) if name in found else pa.nulls(len(found), pa.int64())
+                    yield pa.RecordBatch.from_pydict(columns)
 
 
 def _paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,35 +189,38 @@ def _paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["digest", "text"])
 
 
-def _name(column: str = "digest"):
-    """A digest as the 8 bytes that the shared linking code takes as a node."""
-    return F.unhex(F.lpad(F.hex(F.col(column)), 16, "0"))
+def _row_number(doc_id: str, text: str) -> Column:
+    """The first 64 bits of the row's key as a number, in the order of the bytes.
+
+    Places and bands are numbers, too, so that Spark groups and shuffles them without sorting bytes.
+    """
+    first = F.substring(F.hex(row_key(doc_id, text)), 1, 16)
+    return F.conv(first, 16, -10).cast("long").bitwiseXOR(F.lit(-2**63))
 
 
 def similar_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """``digest, cluster`` of paragraphs that are linked with a different one."""
-    nodes = paragraphs.groupBy("digest").agg(
-        F.first("bands").alias("keys"), F.first("n").alias("n"), F.min(F.struct("key", "at", "n_words")).alias("place"))
-    nodes = materialize(nodes, "paragraphs").withColumn("node", _name())
-    postings = nodes.select("node", F.explode("keys").alias("key"))
+    # What has one digest has the same words, so the same bands; key and place are those of one of them.
+    nodes = paragraphs.groupBy(F.col("digest").alias("node")).agg(
+        *[F.min(name).alias(name) for name in ("n", "n_words", *BAND_KEYS)], F.first("key").alias("key"), F.first("at").alias("at"))
+    nodes = materialize(nodes, "paragraphs")
+    postings = nodes.select("node", "n", F.explode(F.array(*BAND_KEYS)).alias("key"))
     sizes = materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    # Most paragraphs share no band: the signatures follow only those that do.
-    shared = materialize(postings.join(sizes, "key"), "shared")
-    scores = shared.groupBy("node").agg(F.sum("size").alias("score"))
-    lists = materialize(shared.join(scores.join(nodes.select("node", "n", "keys"), "node"), "node"), "lists")
+    # Most paragraphs share no band. Those that do have at most one row a band each, so the sum is over few.
+    shared = postings.join(sizes.hint("shuffle_hash"), "key")
+    lists = materialize(shared.withColumn("score", F.sum("size").over(Window.partitionBy("node"))), "lists")
 
     def bodies_of(wanted: DataFrame) -> DataFrame:
         places = (
-            nodes.join(wanted, "node", "left_semi").groupBy("place.key")
-            .agg(F.collect_list(F.struct("place.at", "place.n_words", "digest")).alias("wanted"))
+            nodes.join(wanted, "node", "left_semi").groupBy("key")
+            .agg(F.collect_list(F.struct("at", "n_words", F.col("node").alias("digest"))).alias("wanted"))
         )
-        # A digest has one place. Repeated rows are one before their texts meet the places, so its paragraph comes once.
-        once = docs.select("key", "text").groupBy("key").agg(F.first("text").alias("text"))
-        texts = once.join(places, "key").mapInPandas(_paragraphs, "digest long, text string")
-        return texts.select(_name().alias("node"), "text")
+        # A digest has one place. Repeated rows meet it each, and are one before their words are cut out.
+        met = docs.select("key", "text").join(places.hint("shuffle_hash"), "key")
+        once = met.groupBy("key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+        return once.mapInPandas(tidy(_paragraphs), "digest long, text string").withColumnRenamed("digest", "node")
 
-    linked = linked_components(lists, bodies_of, 1)
-    return nodes.join(linked, "node").select("digest", F.col("component").alias("cluster"))
+    return linked_components(lists, bodies_of, 1).select(F.col("node").alias("digest"), F.col("component").alias("cluster"))
 
 
 def _minus(start: int, end: int, kept: list[tuple[int, int]], ends: list[int]) -> list[tuple[int, int]]:
@@ -286,25 +300,22 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     than any other. Null and empty texts have no passage.
     """
     modest_batches(docs.sparkSession)
-    base = docs.select(
-        row_key(doc_id, text).alias("key"), id_text(doc_id).alias("doc_id"), whole_text(text).alias("text")
-    )
+    base = docs.select(_row_number(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
     kind = docs.schema[doc_id].dataType
-    found = base.mapInPandas(_parts, "key binary, doc_id string, at long, n_words long, digest long, n long, bands array<bigint>")
-    parts = materialize(found.withColumn("doc_id", F.col("doc_id").cast(kind)), "parts")
-    paragraphs = parts.where(F.col("bands").isNotNull())
+    schema = StructType([StructField("key", LongType()), StructField("doc_id", kind), *[StructField(name, LongType()) for name in _NUMBERS]])
+    parts = materialize(base.mapInArrow(tidy(_parts), schema), "parts")
+    paragraphs = parts.where(F.col("n").isNotNull())
     similar = materialize(similar_paragraphs(base, paragraphs), "similar")
     first = materialize(similar.groupBy("cluster").agg(F.min("digest").alias("unit")), "first")
     alike = similar.join(first, "cluster").select("digest", "unit")
     again = (
-        # Documents by a number, as long as a digest: least and largest bytes would be found by sorting all places.
-        parts.select("digest", F.xxhash64("key").alias("_key")).groupBy("digest").agg(F.min("_key").alias("low"), F.max("_key").alias("high"))
+        parts.groupBy("digest").agg(F.min("key").alias("low"), F.max("key").alias("high"))
         .where("low <> high").select("digest", F.col("digest").alias("unit"), F.lit(False).alias("similar"))
     )
     marked = alike.withColumn("similar", F.lit(True)).unionByName(again.join(similar, "digest", "left_anti"))
     marked = materialize(marked, "marked")
     repeated = materialize(
-        parts.join(marked, "digest").select("key", "doc_id", "at", (F.col("at") + F.col("n_words")).alias("end"), "unit", "similar").distinct(),
+        parts.join(marked.hint("shuffle_hash"), "digest").select("key", "doc_id", "at", (F.col("at") + F.col("n_words")).alias("end"), "unit", "similar").distinct(),
         "repeated",
     )
     one = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "key")
@@ -318,15 +329,16 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     keepers = holders_of(repeated.where("similar"), "keepers").select("unit", "keeper")
     gone = F.max(F.when(F.col("key") != F.col("keeper"), F.col("end"))).over(Window.partitionBy("key").orderBy("at"))
-    live = repeated.join(keepers, "unit", "left").withColumn("gone", gone)
+    others = repeated.where(~F.col("similar")).withColumn("keeper", F.lit(None).cast("long"))
+    live = repeated.where("similar").join(keepers, "unit", "left").unionByName(others).withColumn("gone", gone)
     live = materialize(live.where(F.col("similar") | F.coalesce(F.col("gone") < F.col("end"), F.lit(True))).drop("keeper", "gone"), "live")
     holders = holders_of(live, "holders")
-    placed = live.join(holders, "unit").groupBy("key").agg(
+    placed = live.join(holders.hint("shuffle_hash"), "unit").groupBy("key").agg(
         F.first("doc_id").cast("string").alias("doc_id"),
         F.collect_list(F.struct("at", "end", "unit", "holders", "n_docs", (F.col("key") == F.col("keeper")).alias("kept"))).alias("places"),
     )
     stretches = materialize(placed.select("doc_id", "places").mapInPandas(
-        _stretches,
+        tidy(_stretches),
         "doc_id string, start_word long, end_word long, head long, n_docs long, removed boolean, units array<bigint>",
     ), "stretches")
     clusters = connected_components(stretches.select(F.col("head").alias("a"), F.explode("units").alias("b")).distinct())

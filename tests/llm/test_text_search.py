@@ -353,3 +353,73 @@ def test_rests_meet_by_their_rarest_shared_shingles(spark, monkeypatch):
     near_dedup.sharing_pairs(measured).count()
     able = dict(met)["able"]
     assert able.where("node < 60").isEmpty()
+
+
+def test_a_shingle_is_hashed_once_for_its_line_and_its_block(monkeypatch):
+    rng = random.Random(31)
+    lines = [words(rng, 12) for _ in range(40)]
+    text = "\n".join(map(" ".join, lines)) + "\n\n" + " ".join(words(rng, 9))
+    sizes, mix = [], substring_dedup.mixed
+    monkeypatch.setattr(substring_dedup, "mixed", lambda x: sizes.append(x.size) or mix(x))
+    found, _ = substring_dedup.parts_of([text, "", text])
+    n_words = 2 * (40 * 12 + 9)
+    assert sum(size > n_words for size in sizes) <= 1 and len(found) == 2 * 42
+    for row in found.to_dict("records"):
+        hashes = np.sort(near_dedup.shingles(" ".join(text.split()[row["at"]:row["at"] + row["n_words"]])))
+        for band in range(substring_dedup.BANDS):
+            key = np.array([band], dtype=np.uint64)
+            for seed in substring_dedup._SEEDS[2 * band:2 * band + 2]:
+                key = mix(key + mix(hashes ^ seed).min())
+            assert key.view(np.int64)[0] == row[f"band_{band}"]
+        assert row["n"] == len(hashes)
+
+
+def test_shingle_sets_equal_those_of_single_texts():
+    rng = random.Random(32)
+    texts = [" ".join(words(rng, n)) for n in (0, 1, 4, 5, 6, 40, 0, 3)] + ["a " * 30, "A b c d e a b c d e", ""]
+    for own, text in zip(near_dedup.shingle_sets(texts), texts, strict=True):
+        assert own.tolist() == near_dedup.shingles(text).tolist()
+    core = near_dedup.shingles(texts[5])[::3]
+    for own in near_dedup.shingle_sets(texts):
+        assert near_dedup._held(own, core).tolist() == np.isin(own, core).tolist()
+        assert not near_dedup._held(own, core[:0]).any()
+
+
+def test_paragraphs_are_grouped_without_sorting_and_listed_without_signatures(spark, monkeypatch):
+    """A list longer than ``SHORT_LIST``: bands and places are grouped by hash, and a list needs no key but its own."""
+    rng = random.Random(33)
+    line = words(rng, 60)
+    rows = [(f"d{i:02}", " ".join(words(rng, 9)) + "\n\n" + " ".join(line[:i] + ["x"] + line[i + 1:])) for i in range(20, 40)]
+    rows += [(None, " ".join(line)), (rows[3][0], rows[3][1]), ("e", " ".join(words(rng, 50)))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    plans, tables, write = {}, {}, near_dedup.materialize
+
+    def recorded(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().sparkPlan().toString())
+        tables.setdefault(name, write(df, name))
+        return tables[name] if name == "parts" else write(df, name)
+
+    for module in (near_dedup, substring_dedup):
+        monkeypatch.setattr(module, "materialize", recorded)
+    found = substring_dedup.repeated_passages(docs).collect()
+    assert {r.doc_id for r in found if r.removed} == {None, *[f"d{i}" for i in range(21, 40)]}
+    assert all(r.end_word - r.start_word == 60 and r.start_word in (0, 9) for r in found if r.removed)
+    assert "SortAggregate" not in plans["paragraphs"] and "far" not in plans
+    assert not any("array" in kind for _, kind in tables["lists"].dtypes)
+
+
+def test_row_numbers_are_in_the_order_of_row_keys(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(200)] + [(None, "x"), (None, None)], "doc_id long, text string")
+    keys = docs.select(substring_dedup.row_key().alias("key"), substring_dedup._row_number("doc_id", "text").alias("number")).collect()
+    assert [r.number for r in sorted(keys, key=lambda r: bytes(r.key))] == sorted({r.number for r in keys})
+
+
+def test_rests_shared_in_one_component_only_are_not_posted(spark, monkeypatch):
+    rows = [("h", i, i % 2, 20, 10, [*range(8), 100 + i, 200 + i]) for i in range(6)]
+    rows += [("h", 10 + i, 2, 20, 10, [*range(500, 510)]) for i in range(4)]
+    measured = spark.createDataFrame(rows, "hub string, node int, component int, n long, inside long, rest array<bigint>")
+    met = []
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, name: met.append((name, df.localCheckpoint())) or met[-1][1])
+    found = {tuple(r) for r in near_dedup.sharing_pairs(measured).collect()}
+    assert found == {(a, b) for a in range(6) for b in range(a + 1, 6) if (a + b) % 2}
+    assert {r.node: sorted(r.common) for r in dict(met)["able"].collect()} == dict.fromkeys(range(6), [*range(8)])
