@@ -215,3 +215,47 @@ def test_models_in_steps_share_their_passes(corpus, monkeypatch):
     weights = {r.term: r.w for r in one.terms.collect()}
     assert {r.term: r.w for r in both[models.SVM].terms.collect()} == {t: pytest.approx(w) for t, w in weights.items()}
     assert both[models.SVM].bias == pytest.approx(one.bias)
+
+
+def test_passes_in_bounded_room(corpus, spark, monkeypatch):
+    """Cells that do not fit go one after the other, with the same weights; rows send numbers to groups of parts, not to each part."""
+    whole = linear.fit(corpus, models.SVM, steps=2)
+    monkeypatch.setattr(tiles, "ROOM", corpus.count() * 8 * 2)
+    folder = Path(shared_dir(spark))
+    known = set(folder.iterdir())
+    some = linear.fit(corpus, models.SVM, steps=2)
+    assert [p for p in folder.iterdir() if p not in known and p.name.startswith("margins")]
+    weights = {r.term: r.w for r in whole.terms.collect()}
+    assert {r.term: r.w for r in some.terms.collect()} == {t: pytest.approx(w) for t, w in weights.items()}
+    tiled = some.sums.tiled
+    assert tiles.Tiled(tiled.frame, 6400, (1,), 1, 2).groups <= 6400 / tiles.GROUP
+    assert tiles.Tiled(tiled.frame, 2, (1,), 1, 2).groups == 2
+
+
+def test_a_fit_keeps_only_what_is_read_again(corpus, spark):
+    """Counts are not stored, and neither are the states of earlier steps."""
+    folder = Path(shared_dir(spark))
+    known = set(folder.iterdir())
+    linear.cross_predict(corpus, [models.SVM], folds=2, steps=3).count()
+    new = {p.name: list(p.glob("*.parquet")) for p in folder.iterdir() if p not in known}
+    assert not [n for n in new if n.startswith("term-counts")]
+    assert len([n for n, files in new.items() if n.startswith("steps") and files]) == 1
+
+
+def test_just_fitted_and_stored_models_score_alike(corpus, spark):
+    df = corpus.unionByName(spark.createDataFrame([(900, None, "x"), (901, "unknown words", "x"), (902, "dark dark laugh", "x"), (902, "slam", "x"), (None, "dark", "x")], corpus.schema))
+    for name in (models.BAYES, models.LOGREG):
+        model = linear.fit(corpus, name, steps=2)
+        own, other = ([(r.doc_id, r.text, r.pred, r.confidence) for r in linear.predict(m, df).collect()]
+                      for m in (model, linear.LinearModel(model.terms, model.labels, model.bias)))
+        key = lambda r: (r[0] is None, r[0], r[1] or "")
+        for a, b in zip(sorted(own, key=key), sorted(other, key=key), strict=True):
+            assert a[:3] == b[:3] and a[3] == pytest.approx(b[3])
+
+
+def test_places_beyond_small_numbers():
+    """Rows past 2**16 and counts past 255 keep their values."""
+    high, tf = np.array([0, 3, 255]), np.array([1, 70_000])
+    assert list(tiles._widened(tiles._narrow(high, np.uint8, np.uint16), 3, np.uint8, np.uint16)) == [0, 3, 255]
+    assert list(tiles._widened(tiles._narrow(high + 1, np.uint8, np.uint16), 3, np.uint8, np.uint16)) == [1, 4, 256]
+    assert list(tiles._widened(tiles._narrow(tf, np.uint8, np.int32), 2, np.uint8, np.int32)) == [1, 70_000]
