@@ -259,3 +259,27 @@ def test_places_beyond_small_numbers():
     assert list(tiles._widened(tiles._narrow(high, np.uint8, np.uint16), 3, np.uint8, np.uint16)) == [0, 3, 255]
     assert list(tiles._widened(tiles._narrow(high + 1, np.uint8, np.uint16), 3, np.uint8, np.uint16)) == [1, 4, 256]
     assert list(tiles._widened(tiles._narrow(tf, np.uint8, np.int32), 2, np.uint8, np.int32)) == [1, 70_000]
+
+
+@pytest.mark.parametrize("kind", [models.LOGREG, models.SVM])
+def test_fits_until_the_gradient_is_gone(corpus, kind):
+    """Unless steps are asked for, the fit ends at the minimum."""
+    rows = [tuple(r) for r in corpus.collect()]
+    terms, x = _vectors(rows)
+    labels = sorted(OWN)
+    target = np.eye(3)[[labels.index(r[2]) for r in rows]]
+
+    def gradient(w, b):
+        z = x @ w + b
+        if kind == models.LOGREG:
+            e = np.exp(z - z.max(1, keepdims=True))
+            c, own = e / e.sum(1, keepdims=True) - target, 0.0
+        else:
+            side = 2 * target - 1
+            c, own = -2 * side * np.maximum(0, 1 - side * z), b
+        return math.sqrt(((w + x.T @ c) ** 2).sum() + ((c.sum(0) + own) ** 2).sum())
+
+    model = linear.fit(corpus, kind)
+    got = {r.term: r.w for r in model.terms.collect()}
+    at_zero = gradient(np.zeros((len(terms), 3)), np.zeros(3))
+    assert gradient(np.array([got[t] for t in terms]), np.array(model.bias)) <= 2e-4 * at_zero

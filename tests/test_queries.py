@@ -40,3 +40,8 @@ def test_query_equals_sql(spark, con, sf, name):
 @pytest.mark.parametrize("name", ["char_similarity_top1", "threshold_sweep_char", "best_score_stats_char", "threshold_choice_char", "session_report"])
 def test_rows_only(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_converged_folds_equal_sql(spark, con, sf):
+    """``model_comparison`` fits until it converges, ``cv_summary`` in steps."""
+    assert compare(QUERIES["model_comparison"](spark, sf), con, ORACLES["model_comparison"]) is None
